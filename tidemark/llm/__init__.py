@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, url_filter
+from . import bpe, fingerprint, html_extract, knn, langid, packing, url_filter
 
 
 def queries() -> dict:
@@ -10,8 +10,12 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
+        "op5_language_id": langid.op5_language_id,
+        "op6_voronoi_knn": knn.op6_voronoi_knn,
+        "op8_packing": packing.op8_packing,
+        "op9_tag_path_extraction": html_extract.op9_tag_path_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op6_voronoi_knn": knn.OP6_SQL}
