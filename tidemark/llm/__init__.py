@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, html_extract, knn, langid, packing, url_filter
+from . import bpe, fingerprint, html_extract, knn, langid, ngram_join, packing, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
+        "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
         "op5_language_id": langid.op5_language_id,
         "op6_voronoi_knn": knn.op6_voronoi_knn,
         "op8_packing": packing.op8_packing,
