@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, html_extract, knn, langid, ngram_join, packing, url_filter
+from . import bpe, fingerprint, html_extract, knn, langid, line_dedup, ngram_join, packing, quotes, url_filter
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
         "op5_language_id": langid.op5_language_id,
         "op6_voronoi_knn": knn.op6_voronoi_knn,
+        "op7_quotation_linking": quotes.op7_quotation_linking,
         "op8_packing": packing.op8_packing,
         "op9_tag_path_extraction": html_extract.op9_tag_path_extraction,
+        "op10_fuzzy_line_dedup": line_dedup.op10_fuzzy_line_dedup,
     }
 
 

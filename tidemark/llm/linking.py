@@ -179,7 +179,7 @@ def link_components(items: DataFrame, texts_of: Callable, tokens: Callable, perc
     w = Window.partitionBy("key")
     buckets = items.select("id", "n", F.explode(F.array_distinct("keys")).alias("key"))
     buckets = buckets.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w))
-    buckets = save(buckets.where("low <> high").select("key", "id", "n"))
+    buckets = save(buckets.where("low <> high").select("key", "id", "n").distinct())
     bits = items.select("id", "bits").join(buckets.select("id").distinct(), "id", "left_semi")
     bits = save(bits.distinct())
 
@@ -192,7 +192,7 @@ def link_components(items: DataFrame, texts_of: Callable, tokens: Callable, perc
         again = out.where("a = b").groupBy("key").agg(F.count("*").alias("heads"))
         wide = current.groupBy("key").count().where(F.col("count") > GROUP).select("key")
         again = again.join(wide, "key").where("heads > 1").select("key")
-        current = save(out.where("a = b").join(again, "key", "left_semi").select("key", F.col("a").alias("id")).join(items.select("id", "n"), "id"))
+        current = save(out.where("a = b").join(again, "key", "left_semi").select("key", F.col("a").alias("id")).distinct().join(buckets.select("id", "n").distinct(), "id"))
         if not current.take(1):
             break
     links = verified(ties, texts_of, tokens, percent)
