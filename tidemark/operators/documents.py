@@ -89,27 +89,30 @@ def replace_lane(document: DataFrame, proposal: DataFrame, untouched: Column) ->
     return document.where(~F.coalesce(untouched, F.lit(False))).unionByName(proposal, allowMissingColumns=True)
 
 
+def _walk(items: DataFrame, roots: DataFrame, by: list[str], id_col: str, parent: str, deepest: int) -> DataFrame:
+    """(by, id, depth) of the roots and all items below them, by a recursive query."""
+    spark = items.sparkSession
+    items.select(*by, id_col, parent).createOrReplaceTempView("tidemark_items")
+    roots.select(*by, id_col).createOrReplaceTempView("tidemark_roots")
+    keys = "".join(f"{c}, " for c in by)
+    own = "".join(f"i.{c}, " for c in by)
+    on = "".join(f" AND i.{c} = t.{c}" for c in by)
+    return spark.sql(
+        f"WITH RECURSIVE t({keys}{id_col}, depth) MAX RECURSION LEVEL {deepest + 2} AS (SELECT {keys}{id_col}, 0 FROM tidemark_roots"
+        f" UNION ALL SELECT {own}i.{id_col}, t.depth + 1 FROM tidemark_items i JOIN t ON i.{parent} = t.{id_col}{on} WHERE t.depth < {deepest})"
+        f" SELECT * FROM t"
+    )
+
+
 def depth(items: DataFrame, by: list[str], id_col: str, parent: str, deepest: int = 32) -> DataFrame:
     """Adds the depth of each item (roots 0), null for items on a cycle, under a missing parent or
-    below ``deepest``. Levels are joined from the roots down; each round cuts by the level."""
-    spark = items.sparkSession
-    name = "tidemark_items"
-    items.createOrReplaceTempView(name)
-    keys, on = ", ".join(by), " AND ".join(f"i.{c} = t.{c}" for c in by) or "true"
-    prefix = f"{keys}, " if by else ""
-    tree = spark.sql(f"WITH RECURSIVE t({prefix}id, depth) MAX RECURSION LEVEL {deepest + 2} AS (SELECT {prefix}{id_col}, 0 FROM {name} WHERE {parent} IS NULL UNION ALL SELECT {', '.join('i.' + c for c in by) + ', ' if by else ''}i.{id_col}, t.depth + 1 FROM {name} i JOIN t ON i.{parent} = t.id AND {on} WHERE t.depth < {deepest}) SELECT * FROM t")
-    return items.join(tree.withColumnRenamed("id", id_col), [*by, id_col], "left")
+    below ``deepest``."""
+    return items.join(_walk(items, items.where(F.col(parent).isNull()), by, id_col, parent, deepest), [*by, id_col], "left")
 
 
 def descendants(items: DataFrame, roots: DataFrame, by: list[str], id_col: str, parent: str, deepest: int = 32) -> DataFrame:
     """The roots and all items below them (by, id)."""
-    front = found = roots.select(*by, id_col).distinct()
-    for _ in range(deepest):
-        front = items.join(front.withColumnRenamed(id_col, parent), [*by, parent], "left_semi").select(*by, id_col).join(found, [*by, id_col], "left_anti")
-        if not front.take(1):
-            break
-        found = found.unionByName(front)
-    return found
+    return _walk(items, roots, by, id_col, parent, deepest).select(*by, id_col).distinct()
 
 
 def merge_layer(stored: DataFrame, proposed: DataFrame, by: list[str], id_col: str, parent: str) -> DataFrame:

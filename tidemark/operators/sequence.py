@@ -32,9 +32,7 @@ def pauses(words: DataFrame, by: list[str], text: str, min_dur, start: str = "t_
     first word counts, that after the last doesn't. z is relative to the timeline's own pauses."""
     w = Window.partitionBy(*by).orderBy(start, end, *(order or []))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.row_number().over(w)
-    reach = F.max(F.struct(F.col(end).alias("end"), (-n).alias("n"), F.col(text).alias("text")))
-    ordered = words.withColumn("__n", n)
+    ordered = words.withColumn("__n", F.row_number().over(w))
     reach = F.max(F.struct(F.col(end).alias("end"), (-F.col("__n")).alias("n"), F.col(text).alias("text"))).over(before)
     cut = ordered.withColumn("__p", reach)
     since = F.coalesce(F.col("__p.end"), F.lit(0))
@@ -151,7 +149,10 @@ def derivative(df: DataFrame, by: list[str], t: str, value: str, max_step, name:
 def median_smooth(df: DataFrame, by: list[str], t: str, value: str, half: int, name: str = "smooth") -> DataFrame:
     """Median over ``half`` rows on each side, nulls ignored; a null stays null."""
     w = Window.partitionBy(*by).orderBy(t).rowsBetween(-half, half)
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.median(value).over(w)))
+    near = F.array_sort(F.collect_list(value).over(w))  # at most 2 * half + 1 values
+    n = F.size(near)
+    middle = (F.get(near, F.floor((n - 1) / 2).cast("int")) + F.get(near, F.floor(n / 2).cast("int"))) / 2
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), middle))
 
 
 def bridge_holes(df: DataFrame, by: list[str], t: str, value: str, longest: int, name: str = "bridged") -> DataFrame:

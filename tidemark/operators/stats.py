@@ -68,7 +68,7 @@ def envelope(samples: DataFrame, by: list[str], position: str, value: str, total
     ``position`` in 0..total-1; buckets without samples are silence."""
     b = F.floor(F.col(position) * F.lit(buckets) / F.col(total)).cast("long")
     full = samples.groupBy(*by, b.alias("bucket")).agg(F.min(value).alias("v_min"), F.max(value).alias("v_max"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"), F.count("*").alias("n"))
-    grid = samples.select(*by).distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long"))
+    grid = samples.select(*by).distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     zero = {"v_min": 0.0, "v_max": 0.0, "rms": 0.0, "n": 0}
     return grid.join(full, [*by, "bucket"], "left").na.fill(zero)
 
