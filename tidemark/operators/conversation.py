@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .intervals import islands
 from .joins import overlap_join
@@ -29,7 +30,7 @@ def cross_track_intersections(utterances: DataFrame, by: list[str], track: str,
     return hit.select(*by, F.col(id_col).alias("left_id"), F.col("r_id").alias("right_id"), F.greatest("t_ini", "r_ini").alias("x_ini"), F.least("t_fin", "r_fin").alias("x_fin"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts."""
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

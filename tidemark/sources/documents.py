@@ -17,7 +17,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
         schema = T.StructType.fromDDL(schema)
     if "_corrupt_record" not in schema.fieldNames():
         schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).json(path, multiLine=True, encoding="UTF-8", mode="PERMISSIVE")
+    return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE")
 
 
 def optional(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
