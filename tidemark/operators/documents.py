@@ -214,3 +214,48 @@ def busiest_lane(items: DataFrame, by: list[str], lane: str, a, b, rank: str) ->
     hits = items.where(meets("t_ini", "t_fin", F.lit(a), F.lit(b))).groupBy(*by, lane).agg(F.count("*").alias("hits"), F.min(rank).alias("__rank"))
     w = Window.partitionBy(*by).orderBy(F.desc("hits"), "__rank", lane) if by else Window.orderBy(F.desc("hits"), "__rank", lane)
     return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__rank")
+
+
+def declared_and_used(declared: DataFrame, used: DataFrame, by: list[str], id_col: str, defaults: dict) -> DataFrame:
+    """Declared lanes, and those that only the rows name, with default fields."""
+    extra = used.select(*by, id_col).where(F.col(id_col).isNotNull()).distinct().join(declared, [*by, id_col], "left_anti")
+    return declared.unionByName(extra.withColumns({c: F.lit(v) for c, v in defaults.items()}), allowMissingColumns=True)
+
+
+def partition_errors(whole: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Where ``parts`` doesn't split ``whole`` exactly: rows that are missing, and rows that are extra
+    or twice."""
+    missing = whole.select(*keys).exceptAll(parts.select(*keys)).withColumn("error", F.lit("missing"))
+    extra = parts.select(*keys).exceptAll(whole.select(*keys)).withColumn("error", F.lit("extra"))
+    return missing.unionByName(extra)
+
+
+def outside_parent(items: DataFrame, by: list[str], id_col: str, parent: str) -> DataFrame:
+    """Items whose range lies in no range of their parent."""
+    kids = items.where(F.col(parent).isNotNull()).select(*by, id_col, F.col(parent).alias("__p"), "t_ini", "t_fin")
+    above = items.select(*by, F.col(id_col).alias("__p"), F.col("t_ini").alias("p_ini"), F.col("t_fin").alias("p_fin"))
+    held = kids.join(above, [*by, "__p"]).where((F.col("t_ini") >= F.col("p_ini")) & (F.col("t_fin") <= F.col("p_fin")))
+    return kids.join(held.select(*by, id_col, "t_ini", "t_fin").distinct(), [*by, id_col, "t_ini", "t_fin"], "left_anti").select(*by, id_col)
+
+
+def ordered_layers(layers: DataFrame, saved: DataFrame, by: list[str], id_col: str, rank: str) -> DataFrame:
+    """Layers in the saved order; new ones after the saved ones, by their default rank."""
+    both = layers.join(saved.select(*by, id_col, "pos"), [*by, id_col], "left")
+    w = Window.partitionBy(*by).orderBy(F.col("pos").isNull(), "pos", rank, id_col)
+    return both.withColumn("place", F.row_number().over(w) - 1).drop("pos")
+
+
+def snapped_proposal(proposal: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], id_col: str, radius, eps, reach, least, bin_width=None) -> DataFrame:
+    """A proposal with both edges of each cut at the safest place nearby, and the warnings:
+    cuts that came out too short, or whose edges still cross something."""
+    from .planning import snap
+
+    ends = proposal.select(*by, id_col, F.explode(F.array(F.struct(F.lit("a").alias("e"), F.col("t_ini").alias("t")), F.struct(F.lit("b").alias("e"), F.col("t_fin").alias("t")))).alias("x"))
+    targets = ends.select(*by, F.concat(F.col(id_col).cast("string"), F.lit("/"), F.col("x.e")).alias("__edge"), F.col("x.t").alias("target"))
+    done = snap(targets, hard, soft, by, "__edge", radius, eps, reach, bin_width)
+    name = F.substring_index("__edge", "/", 1)
+    first = done.where("endswith(__edge, '/a')").select(*by, name.alias("__id"), F.col("snapped").alias("s_ini"), F.col("n_hard").alias("h_ini"))
+    last = done.where("endswith(__edge, '/b')").select(*by, name.alias("__id"), F.col("snapped").alias("s_fin"), F.col("n_hard").alias("h_fin"))
+    both = proposal.withColumn("__id", F.col(id_col).cast("string")).join(first, [*by, "__id"]).join(last, [*by, "__id"]).drop("__id")
+    notes = F.array_compact(F.array(F.when(F.col("s_fin") - F.col("s_ini") < F.lit(least), F.lit("too_short")), F.when(F.col("h_ini") + F.col("h_fin") > 0, F.lit("crosses")), F.when((F.col("s_ini") != F.col("t_ini")) | (F.col("s_fin") != F.col("t_fin")), F.lit("moved"))))
+    return both.withColumn("warnings", F.array_join(notes, ",")).drop("h_ini", "h_fin")

@@ -164,3 +164,20 @@ def subtract_range(parts: DataFrame, by: list[str], a, b, min_len=0) -> DataFram
 def edges(df: DataFrame, by: list[str], start: str = "t_ini", end: str = "t_fin") -> DataFrame:
     """Distinct edges of all intervals: (by, t)."""
     return df.select(*by, F.explode(F.array(start, end)).alias("t")).distinct()
+
+
+def shielded(pieces: DataFrame, words: DataFrame, by: list[str], id_col: str, shrink, min_keep, bin_width=None) -> DataFrame:
+    """What is left of each piece outside the words, shrunk on both sides; a piece that keeps
+    nothing is one row without times."""
+    inner = words.select(*by, (F.col("t_ini") + F.lit(shrink)).alias("t_ini"), (F.col("t_fin") - F.lit(shrink)).alias("t_fin")).where("t_fin > t_ini")
+    left = difference(pieces, inner, by, id_col, min_keep, bin_width)
+    return pieces.where("t_fin > t_ini").select(*by, id_col).join(left, [*by, id_col], "left")
+
+
+def speech_from_activity(active: DataFrame, words: DataFrame, by: list[str], merge, bin_width=None) -> DataFrame:
+    """Voice activity that meets a word, and words that no activity meets, as merged regions."""
+    from .joins import overlap_join
+
+    heard = overlap_join(active.select(*by, "t_ini", "t_fin"), words.select(*by, F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin")), by, bin_width=bin_width, how="left_semi")
+    missed = overlap_join(words.select(*by, "t_ini", "t_fin"), active.select(*by, F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin")), by, bin_width=bin_width, how="left_anti")
+    return union(heard.unionByName(missed), by, gap=merge).drop("n_parts")

@@ -340,3 +340,20 @@ def speaker_phrases(words: DataFrame, by: list[str], segments: DataFrame, segmen
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "np", "pd", "T", "F", "DataFrame", "Window")]
+
+
+def hard_cuts(df: DataFrame, by: list[str], pos: str, changed: str, delta: str, least_changed: float = 0.60, least_delta: float = 25.0) -> DataFrame:
+    """Samples where most of the picture changes at once."""
+    return df.where((F.col(changed) > least_changed) & (F.col(delta) > least_delta)).select(*by, pos)
+
+
+def gap_context(gaps: DataFrame, words: DataFrame, by: list[str], text: str, n: int, long_gap) -> DataFrame:
+    """Each gap with the last ``n`` words before and the first ``n`` after it, and its class."""
+    w = Window.partitionBy(*by).orderBy("t_ini", "t_fin", text)
+    around = words.withColumn("said", F.array_join(F.collect_list(text).over(w.rowsBetween(-(n - 1), 0)), " ")).withColumn("follows", F.array_join(F.collect_list(text).over(w.rowsBetween(0, n - 1)), " "))
+    from .joins import asof
+
+    out = asof(gaps, around, by, "t_ini", "t_fin", ["said"], True, prefix="before_")
+    out = asof(out, around, by, "t_fin", "t_ini", ["follows"], False, prefix="after_")
+    kind = F.when(F.col("t_fin") - F.col("t_ini") >= F.lit(long_gap), "long").otherwise("short")
+    return out.withColumn("kind", kind)

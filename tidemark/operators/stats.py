@@ -116,3 +116,16 @@ def median_box(df: DataFrame, by: list[str], cols: tuple[str, str, str, str] = (
     m = df.groupBy(*by).agg(*(F.median(c).alias(c) for c in cols))
     x, y, w, h = map(F.col, cols)
     return m.select(*by, (x - w * margin).alias("x"), (y - h * margin).alias("y"), (w * (1 + 2 * margin)).alias("w"), (h * (1 + 2 * margin)).alias("h"))
+
+
+def word_levels(words: DataFrame, buckets: DataFrame, by: list[str], id_col: str, context, bin_width=None) -> DataFrame:
+    """Per word its level, the local floor (a tenth percentile of the buckets around it), their
+    contrast, z of level and length, and the emphasis. buckets: r_ini, r_fin, rms."""
+    own = level(words, buckets, by, id_col, bin_width)
+    wide = words.select(*by, id_col, (F.col("t_ini") - F.lit(context)).alias("t_ini"), (F.col("t_fin") + F.lit(context)).alias("t_fin"))
+    near = overlap_join(wide, buckets.select(*by, "r_ini", "r_fin", "rms"), by, bin_width=bin_width)
+    db = 20 * F.log10(F.greatest("rms", F.lit(1e-6)))
+    floor = near.groupBy(*by, id_col).agg(F.percentile(db, F.lit(0.1)).alias("local_floor_db"))
+    out = words.withColumn("dur", F.col("t_fin") - F.col("t_ini")).join(own, [*by, id_col]).join(floor, [*by, id_col], "left")
+    out = zscore(zscore(out, by, "level_dbfs"), by, "dur").withColumn("contrast_db", F.col("level_dbfs") - F.col("local_floor_db"))
+    return out.withColumn("emphasis", emphasis(F.col("level_dbfs_z"), F.col("dur_z"), F.col("contrast_db")))
