@@ -89,7 +89,8 @@ def online_cost(seconds, per_minute, speed) -> Column:
 
 def retry_after(header, now) -> Column:
     """Seconds of a Retry-After header, a number or an HTTP date; never negative."""
-    at = F.try_to_timestamp(header, F.lit("EEE, dd MMM yyyy HH:mm:ss zzz"))
+    day = F.regexp_extract(header, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    at = F.try_to_timestamp(F.nullif(day, F.lit("")), F.lit("dd MMM yyyy HH:mm:ss"))
     return F.greatest(F.lit(0.0), F.coalesce(header.try_cast("double"), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double")))
 
 
