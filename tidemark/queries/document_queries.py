@@ -332,7 +332,7 @@ def bleed_duplicates(spark, d):
     return cv.bleed_duplicates(both, ["conv_id"], "role", "id", "body", ["size", "id"], bin_width=60_000)
 
 
-@query("readable_blocks")
+@query("readable_blocks")  # folds by limits of the block: no SQL
 def readable_blocks(spark, d):
     u = utterances(spark, d).withColumn("track", F.lit("A")).withColumn("blocked", F.lit(False))
     return cv.readable_blocks(u, ["conv_id"], "track", "role", "turn", "text", "blocked", 2500, 60_000, 120)
@@ -484,7 +484,13 @@ def edit_list(spark, d):
     return ms.edit_list(iv.flatten(clips(timeline(spark, d)), BY, "rank", bin_width=BIN), BY, 25)
 
 
-@query("filter_script")
+@query(
+    "filter_script",
+    f"""WITH {EV_SQL}, {ERR_SQL}, bo AS (SELECT media_id, max(t_fin) + 3600000 AS hi FROM ev GROUP BY media_id), e AS (SELECT media_id, c_ini AS t_ini, c_fin AS t_fin FROM cut UNION ALL SELECT media_id, hi, NULL FROM bo),
+ r AS (SELECT *, max(t_fin) OVER (PARTITION BY media_id ORDER BY t_ini, t_fin NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e), k AS (SELECT media_id, coalesce(reach, 0) AS a, t_ini AS b FROM r WHERE t_ini - coalesce(reach, 0) >= 600000),
+ n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY a) - 1 AS n FROM k)
+ SELECT media_id, string_agg(printf('[0:a]atrim=start=%d.%03d:end=%d.%03d,asetpts=PTS-STARTPTS[a%d]', a // 1000, a % 1000, b // 1000, b % 1000, n), ';' ORDER BY n) || ';' || string_agg('[a' || n || ']', '' ORDER BY n) || 'concat=n=' || count(*) || ':v=0:a=1[out]' AS script FROM n GROUP BY 1""",
+)
 def filter_script(spark, d):
     ev = timeline(spark, d)
     return ms.filter_script(iv.kept_segments(ev.where("track_id = 'error'"), BY, bounds_of(ev), 600_000), BY)

@@ -81,19 +81,36 @@ def gate_by_words(spark, d):
     return rv.gate_gaps(ev, BY, bounds_of(ev), "words", pad=60_000, min_gap=600_000)
 
 
-@query("gate_by_breaths")
+@query(
+    "gate_by_breaths",
+    f"""WITH {EV_SQL}, c0 AS (SELECT media_id, t_ini + 60000 AS t_ini, t_fin - 60000 AS t_fin FROM ev WHERE track_id = 'error' AND t_fin - 60000 > t_ini + 60000),
+ c1 AS (SELECT *, max(t_fin) OVER (PARTITION BY media_id ORDER BY t_ini, t_fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c0),
+ c2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR t_ini > reach THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t_ini, t_fin) AS i FROM c1),
+ cut AS (SELECT media_id, min(t_ini) AS c_ini, max(t_fin) AS c_fin FROM c2 GROUP BY media_id, i), l AS (SELECT media_id, event_id, t_ini, t_fin FROM ev WHERE track_id = 'view' AND t_fin > t_ini),
+ h AS (SELECT l.*, c_ini, c_fin FROM l JOIN cut ON l.media_id = cut.media_id AND c_ini < t_fin AND c_fin > t_ini),
+ p AS (SELECT media_id, event_id, greatest(t_ini, coalesce(lag(c_fin) OVER (PARTITION BY media_id, event_id ORDER BY c_ini), t_ini)) AS a, least(c_ini, t_fin) AS b FROM h UNION ALL SELECT media_id, event_id, max(c_fin), max(t_fin) FROM h GROUP BY 1, 2
+       UNION ALL SELECT media_id, event_id, t_ini, t_fin FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.event_id = l.event_id))
+ SELECT media_id, a AS t_ini, b AS t_fin FROM p WHERE b > a AND b - a >= 300000""",
+)
 def gate_by_breaths(spark, d):
     ev = timeline(spark, d)
     breaths = ev.where("track_id = 'view'").withColumnRenamed("event_id", "breath_id")
     return rv.gate_gaps(ev.where("track_id = 'error'"), BY, bounds_of(ev), "breaths", breaths=breaths, shrink=60_000, min_gap=300_000)
 
 
-@query("word_levels")
+@query(
+    "word_levels",
+    f"""WITH {EV_SQL}, b AS (SELECT media_id, t_ini AS r_ini, t_fin AS r_fin, value / 500 AS rms FROM ev), w AS (SELECT media_id, event_id, t_ini, t_fin, t_fin - t_ini AS dur FROM ev WHERE track_id = 'click'),
+ l AS (SELECT w.media_id, w.event_id, 10 * log10(CASE WHEN avg(rms * rms) < 1e-12 THEN 1e-12 ELSE avg(rms * rms) END) AS lv FROM w LEFT JOIN b ON b.media_id = w.media_id AND r_ini < t_fin AND r_fin > t_ini GROUP BY 1, 2),
+ f AS (SELECT w.media_id, w.event_id, quantile_cont(20 * log10(greatest(rms, 1e-6)), 0.1) AS fl FROM w JOIN b ON b.media_id = w.media_id AND r_ini < t_fin + 86400000 AND r_fin > t_ini - 86400000 GROUP BY 1, 2),
+ j AS (SELECT w.media_id, w.event_id, dur, lv, fl FROM w JOIN l USING (media_id, event_id) LEFT JOIN f USING (media_id, event_id)), z AS (SELECT media_id, avg(lv) AS ml, stddev_pop(lv) AS sl, avg(dur) AS md, stddev_pop(dur) AS sd FROM j GROUP BY 1)
+ SELECT media_id, event_id, round(lv, 5) AS level_dbfs, round(fl, 5) AS local_floor_db, round(lv - fl, 5) AS contrast_db, round(1 / (1 + exp(-(0.72 * (lv - ml) / CASE WHEN coalesce(sl, 0) = 0 THEN 1 ELSE sl END + 0.18 * (dur - md) / CASE WHEN coalesce(sd, 0) = 0 THEN 1 ELSE sd END + 0.10 * least(greatest((lv - fl) / 6, -3), 3)))), 5) AS emphasis FROM j JOIN z USING (media_id)""",
+)
 def word_levels(spark, d):
     ev = timeline(spark, d)
     b = ev.select("media_id", F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin"), (F.col("value") / 500).alias("rms"))
     out = st.word_levels(ev.where("track_id = 'click'").select("media_id", "event_id", "t_ini", "t_fin"), b, BY, "event_id", 24 * HOUR, BIN)
-    return out.select("media_id", "event_id", *(F.round(c, 6).alias(c) for c in ("level_dbfs", "local_floor_db", "contrast_db", "emphasis")))
+    return out.select("media_id", "event_id", *(F.round(c, 5).alias(c) for c in ("level_dbfs", "local_floor_db", "contrast_db", "emphasis")))
 
 
 @query("silence_with_gate")
