@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -164,32 +165,38 @@ class ByteBpe:
         """For each text: number of ids, sha256 of the id list and of the decoded bytes.
 
         The strings of many short texts are learnt together, so that the matrices are tall;
-        a long text is hashed slice by slice."""
+        a long text is split and hashed slice by slice, never held as a whole list."""
         out, held, size = [], [], 0
         for text in texts:
+            if len(text) > slice_pieces:
+                out += [self._digest([p]) for p in held]
+                held, size = [], 0
+                out.append(self._digest(self._slices(text, slice_pieces)))
+                continue
             held.append(self.pieces(text))
             size += len(held[-1])
-            if size >= slice_pieces:
-                out += self._digest(held, slice_pieces)
+            if size >= slice_pieces or len(texts) == len(out) + len(held):
+                self.learn(set().union(*held))
+                out += [self._digest([p], learnt=True) for p in held]
                 held, size = [], 0
-        return out + self._digest(held, slice_pieces)
-
-    def _digest(self, held: list[list[str]], step: int) -> list[tuple[int, str, str]]:
-        out, together = [], sum(map(len, held)) <= 2 * step
-        if together:
-            self.learn(set().union(*held))
-        for pieces in held:
-            n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
-            for s in range(0, len(pieces), step):
-                part = pieces[s : s + step]
-                if not together:
-                    self.learn(set(part))
+        return out + [self._digest([p]) for p in held]
+
+    def _slices(self, text: str, step: int):
+        found = (m.group() for m in self.pattern.finditer(text))
+        while part := list(islice(found, step)):
+            yield part
+
+    def _digest(self, slices, learnt: bool = False) -> tuple[int, str, str]:
+        n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+        for part in slices:
+            if not learnt:
+                self.learn(set(part))
+            if part:
                 counts, ids, raw = zip(*map(self.known.__getitem__, part), strict=True)
+                ids_sha.update((("," if n else "") + ",".join(ids)).encode())
                 n += sum(counts)
-                ids_sha.update((("," if s else "") + ",".join(ids)).encode())
                 text_sha.update(b"".join(raw))
-            out.append((n, ids_sha.hexdigest(), text_sha.hexdigest()))
-        return out
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,7 +43,8 @@ BLOCK_BITS = 8
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    """Code points of a text, four bytes each; they are widened chunk by chunk."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 class Powers:
@@ -71,6 +72,7 @@ class PrefixHash:
 
     def __init__(self, text: np.ndarray, moduli: int = 2):
         self.n, self.prefix = len(text), []
+        text = text.astype(np.uint64) + np.uint64(1)
         for w in POWERS[:moduli]:
             w.grow(self.n + 1)
             # terms are below 2**31, so sums of up to 2**32 of them fit; one reduction at the end
@@ -102,7 +104,7 @@ def whole_hash(text: np.ndarray) -> str:
         w.grow(min(len(text), CHUNK) + 1)
         total, shift = 0, 1
         for s in range(0, len(text), CHUNK):
-            part = text[s : s + CHUNK]
+            part = text[s : s + CHUNK].astype(np.uint64) + np.uint64(1)
             total = (total + int((part % w.p * w.up[: len(part)] % w.p).sum()) * shift) % int(w.p)
             shift = shift * pow(int(w.up[1]), CHUNK, int(w.p)) % int(w.p)
         totals.append(total)
