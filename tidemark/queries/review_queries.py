@@ -12,7 +12,7 @@ from ..plans import review as rv
 from ..plans.silence import analyse_silence, bounds_of, gate
 from ..sources.timeline import EV_SQL, read, timeline
 from .document_queries import MAP_SQL, TREE_SQL, mapping, tree
-from .interval_queries import BIN, BOUNDS_SQL, HOUR, clips
+from .interval_queries import BIN, BOUNDS_SQL, HOUR, UNION_SQL, clips
 from .registry import query
 
 BY = ["media_id"]
@@ -113,7 +113,16 @@ def word_levels(spark, d):
     return out.select("media_id", "event_id", *(F.round(c, 5).alias(c) for c in ("level_dbfs", "local_floor_db", "contrast_db", "emphasis")))
 
 
-@query("silence_with_gate")
+@query(
+    "silence_with_gate",
+    f"""WITH {EV_SQL}, {UNION_SQL}, {BOUNDS_SQL}, e AS (SELECT media_id, t_ini, t_fin FROM un UNION ALL SELECT media_id, hi, NULL FROM bo),
+ r AS (SELECT *, max(t_fin) OVER (PARTITION BY media_id ORDER BY t_ini, t_fin NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+ g AS (SELECT media_id, greatest(coalesce(reach, lo), lo) AS a, least(t_ini, hi) AS b, coalesce(reach, lo) <= lo AS le, t_fin IS NULL AS tr FROM r JOIN bo USING (media_id) WHERE least(t_ini, hi) - greatest(coalesce(reach, lo), lo) >= {HOUR}),
+ c AS (SELECT media_id, CASE WHEN le THEN a ELSE a + 300000 END AS t_ini, CASE WHEN tr THEN b ELSE b - 300000 END AS t_fin FROM g), f AS (SELECT * FROM c WHERE t_fin - t_ini >= 400000),
+ k AS (SELECT media_id, t_ini AS x, t_fin + {2 * HOUR} AS y, value / 500 AS rms FROM ev), q AS (SELECT media_id, coalesce(quantile_cont(20 * log10(CASE WHEN rms > 1e-5 THEN rms END), 0.2), -60) AS fl FROM k GROUP BY 1),
+ l AS (SELECT f.media_id, f.t_ini, f.t_fin, 10 * log10(CASE WHEN avg(rms * rms) < 1e-12 THEN 1e-12 ELSE avg(rms * rms) END) AS lv FROM f LEFT JOIN k ON k.media_id = f.media_id AND x < f.t_fin AND y > f.t_ini GROUP BY 1, 2, 3)
+ SELECT media_id, 'cut-' || t_ini AS cut_id, t_ini, t_fin, NOT coalesce(lv - fl > 12 AND lv > -55, false) AS enabled, CASE WHEN coalesce(lv - fl > 12 AND lv > -55, false) THEN 0.4 ELSE 0.9 END::DOUBLE AS confidence FROM l JOIN q USING (media_id)""",
+)
 def silence_with_gate(spark, d):
     ev = timeline(spark, d)
     cuts = analyse_silence(ev, bounds_of(ev), HOUR, 300_000, 300_000, 400_000).withColumn("cut_id", F.concat_ws("-", F.lit("cut"), F.col("t_ini").cast("string")))
