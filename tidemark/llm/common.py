@@ -29,6 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most ``rows`` rows, so that a task holds few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def save(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it
     back, so a lost executor costs a re-read and not a re-computation."""
@@ -48,14 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     self-loops are ignored; repeated edges count once; no edges give no rows.
     """
     pairs = save(edges.select("a", "b").dropna().select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or state[0] == 0:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            ).groupBy("node").agg(F.min("component").alias("component"))
-        seen = tuple(state)
+    while not _stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -64,3 +64,11 @@ def components(edges: DataFrame) -> DataFrame:
             low.select("u", F.col("m").alias("v"))
         )
         pairs = save(small.where("u <> v").distinct())
+    centres = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Is every u tied once, to a v that is no u? Then the v are the smallest of their components."""
+    n, distinct = pairs.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == distinct and not pairs.select(F.col("v").alias("u")).distinct().join(pairs, "u", "left_semi").take(1)

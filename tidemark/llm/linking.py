@@ -1,247 +1,174 @@
 """Similarity links between items of any count, without emitting the pairs of a group.
 
-Input are items (id, set size, blocking keys, optional bitmap of the hashed token set) such
-that two items that link share a blocking key. The links are found in two rounds:
-
-1. Leaders. Items with a common key are dealt into groups of bounded size. In each group an
-   item is tied to the first leader that its bitmap lets be similar, or becomes a leader;
-   leaders of one key meet again in the next level. The ties, at most one per item and group,
-   are verified exactly and give first components, which take in large families of copies.
-2. Token-group matrix. Components (split into bounded groups) are the columns, keys the rows.
-   An item probes only groups of other components with which it shares a key and a possible
-   size; the group's token union bounds the overlap; only qualifying groups are opened, and the
-   pairs in them that pass the bitmap bound are verified exactly.
-
-Every pair that shares a key is thus verified, or excluded by a bound that holds, or already
-in one component. Components of both rounds come from distributed union-find.
+Input are items (id, set size n, need, blocking keys) such that two items that link have at
+least the smaller of their needs of keys in common. The links are found in two rounds:
+
+1. Grouping. Under each key an item is tied to the first item and to the one before it (two
+   ties, however many items share the key). Items whose ties (by enough keys) lead to the same first
+   item, or that share a frequent key, form a family, dealt into groups of bounded size. The ties are
+   verified exactly and give first components, which take in large families of copies.
+2. Token-group matrix. The groups are the columns, the union of their items' keys the rows.
+   Only keys of several components are left. For two groups the keys that both unions hold
+   are counted: an upper bound of the keys that any two of their items share. Pairs of groups
+   below the need, without a possible size, or all of one component, stay closed. The others
+   are opened in cells: the items of one group against those of its partners, compared by
+   counting common tokens inside the task, so no pairs of items are ever emitted.
+
+Every pair of items that shares enough keys is thus compared exactly, or excluded by a bound
+that holds, or already in one component. Components of both rounds come from distributed union-find.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, save, slices
 
-#: Items of a group that one task compares, and verifications per hub and task.
-GROUP, OPEN, HUB = 200, 64, 256
-LEVELS = 3
+#: Items of a group, and partners that one task compares with a group.
+GROUP, CELL = 128, 256
+#: A key of more items is frequent: its items are grouped by it, alike or not.
+CROWD = 64
 FILTER_BITS = 23
 
 
-def least_overlap(a: int, b: int, percent: int) -> int:
-    """Smallest intersection with 100 * intersection >= percent * union, for set sizes a and b."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Token union as a bitmap of 4 to 8 bits a token, between 64 and 16,384 bits."""
-    width = min(1 << 14, max(64, 1 << int(4 * max(1, len(tokens)) - 1).bit_length()))
-    bits = np.zeros(width, np.uint8)
-    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def fold(bits: int, width: int, to: int) -> int:
-    while width > to:
-        width //= 2
-        bits = bits & ((1 << width) - 1) | bits >> width
-    return bits
-
-
-def _numbers(column: pa.Array) -> list:
-    return [None if b is None else (int.from_bytes(b, "little"), 8 * len(b)) for b in column.to_pylist()]
-
-
-def missing(query, union) -> int:
-    """A lower bound of the query's tokens that the union lacks."""
-    if query is None or union is None:
-        return 0
-    width = min(query[1], union[1])
-    return (fold(*query, width) & ~fold(*union, width)).bit_count()
-
-
-def may_link(n: int, bits, m: int, other, percent: int) -> bool:
-    """False only if the two sets surely do not link."""
-    if percent * max(n, m) > 100 * min(n, m):
-        return False
-    need = least_overlap(n, m, percent)
-    return missing(bits, other) <= n - need and missing(other, bits) <= m - need
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of one key after the other, from batches sorted by key; a run must be bounded."""
-    key, held = None, []
-    for b in batches:
-        names = [_numbers(b[c]) if c == "bits" else b[c].to_pylist() for c in columns]
-        for k, row in zip(zip(*(b[c].to_pylist() for c in keys), strict=True), zip(*names, strict=True), strict=True):
-            if k != key and held:
-                yield key, held
-                held = []
-            key = k
-            held.append(row)
-    if held:
-        yield key, held
-
-
 def _out(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
 
 
-def leaders(grouped: DataFrame, percent: int) -> DataFrame:
-    """(key, a, b): b tied to leader a; a leader is tied to itself."""
-
-    def run(batches):
-        rows = []
-        for (key, _), items in runs(batches, ["key", "chunk"], ["id", "n", "bits"]):
-            heads: list[tuple] = []
-            for i, n, bits in sorted(items, key=lambda r: r[0]):
-                head = next((h for h in heads if may_link(n, bits, h[1], h[2], percent)), None)
-                if head is None:
-                    heads.append(head := (i, n, bits))
-                rows.append((key, head[0], i))
-            if len(rows) > 20_000:
-                yield _out(rows, ["key", "a", "b"])
-                rows = []
-        yield _out(rows, ["key", "a", "b"])
-
-    partitions = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = grouped.repartition(partitions, "key", "chunk").sortWithinPartitions("key", "chunk")
-    return dealt.select("key", "chunk", "id", "n", "bits").mapInArrow(run, "key long, a long, b long")
-
-
-def chunked(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds ``chunk``: rows of a key dealt by a hash of the id into chunks of about ``size``."""
-    many = rows.groupBy(key).count().where(F.col("count") > 1)
-    return rows.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / size))).drop("count")
-
-
-def verified(pairs: DataFrame, texts_of: Callable, tokens: Callable, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, computed from their whole texts, link. Texts travel to the
-    pairs' hubs; a hub with many partners is split, so a task holds one hub's sets at a time."""
-    pairs = pairs.select("a", "b").where("a <> b").distinct()
-    degree = pairs.groupBy("a").count()
-    salted = save(pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / HUB))).select("a", "salt", "b"))
-    wanted = salted.select(F.col("a").alias("cell"), "salt", F.col("b").alias("id"), F.lit(1).alias("part"))
-    wanted = wanted.unionByName(salted.select(F.col("a").alias("cell"), "salt", F.col("a").alias("id"), F.lit(0).alias("part")).distinct())
-    need = wanted.select("id").distinct()
-    rows = wanted.join(texts_of(need), "id")
-
-    def run(batches):
-        cell, hub, found = None, [], []
-        for b in batches:
-            for at, salt, part, i, text in zip(*(b[c].to_pylist() for c in ("cell", "salt", "part", "id", "text")), strict=True):
-                if (at, salt) != cell:
-                    cell, hub = (at, salt), []
-                t = tokens(text)
-                if part == 0:
-                    hub.append(t)
-                elif any(_linked(h, t, percent) for h in hub):
-                    found.append((at, i))
-        yield _out(sorted(set(found)), ["a", "b"])
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of a short array."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(partitions, "cell", "salt").sortWithinPartitions("cell", "salt", "part", "id")
-    return save(dealt.select("cell", "salt", "part", "id", "text").mapInArrow(run, "a long, b long"))
 
+def verified(left: DataFrame, right: DataFrame, texts_of: Callable, tokens: Callable, percent: int) -> DataFrame:
+    """Links (a, b) between the items (cell, id) of ``left`` and those of ``right``, cell by cell,
+    as a spanning forest of each cell's links, so a cell of n items gives fewer than n rows.
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if not len(a) or not len(b) or percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
+    The sets are computed from whole texts. A cell's left side is bounded by the caller; its
+    right side is dealt into parts of about CELL items, each with a copy of the left side."""
+    left, right = left.distinct(), right.distinct()
+    many = right.groupBy("cell").count()
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / CELL))
+    dealt = save(right.join(many, "cell").select("cell", part.alias("part"), "id", F.lit(1).alias("side")))
+    first = left.join(dealt.select("cell", "part").distinct(), "cell").select("cell", "part", "id", F.lit(0).alias("side"))
+    wanted = dealt.unionByName(first)
+    rows = wanted.join(texts_of(wanted.select("id").distinct()), "id")
 
-
-def membership(ids: DataFrame, slot, size_bits: int = FILTER_BITS):
-    """A broadcast bit filter of fixed size that holds every id; at most 2**17 words travel."""
-    at = ids.select(slot.alias("s")).select(F.shiftright("s", 6).alias("word"), F.col("s").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    words = at.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
-    filled = np.zeros(1 << (size_bits - 6), np.int64)
-    filled[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return ids.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
-
-
-def inside(filled: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (filled[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) != 0
+    def run(batches):
+        cell, held, index, joined, found = None, [], None, {}, []
+        for b in slices(batches):
+            sets = tokens(b["text"].to_pylist())
+            for at, part, side, i, t in zip(*(b[c].to_pylist() for c in ("cell", "part", "side", "id")), sets, strict=True):
+                if (at, part) != cell:
+                    found += _stars(joined)
+                    cell, held, index, joined = (at, part), [], None, {}
+                if side == 0:
+                    held.append((i, t))
+                elif held:
+                    index = index or _index(held)
+                    for a in _partners(index, t, percent):
+                        x, y = sorted((_root(joined, a), _root(joined, i)))
+                        joined[y] = x
+            if len(found) > 20_000:
+                yield _out(found, ["a", "b"])
+                found = []
+        yield _out(found + _stars(joined), ["a", "b"])
+
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(partitions, "cell", "part").sortWithinPartitions("cell", "part", "side", "id")
+    return save(placed.select("cell", "part", "side", "id", "text").mapInArrow(run, "a long, b long"))
+
+
+def _root(joined: dict[int, int], x: int) -> int:
+    """Union-find inside a cell, with path halving; the smallest id is the root."""
+    while (up := joined.setdefault(x, x)) != x:
+        joined[x] = x = joined[up]
+    return x
+
+
+def _stars(joined: dict[int, int]) -> list[tuple[int, int]]:
+    """A cell's links as a spanning forest: one row for each item but the roots."""
+    return [(r, x) for x in list(joined) if (r := _root(joined, x)) != x]
+
+
+def _index(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Tokens of all items of a cell's left side in order, their owners, ids and sizes."""
+    sizes = np.array([len(t) for _, t in held])
+    all_tokens = np.concatenate([t for _, t in held])
+    order = np.argsort(all_tokens, kind="stable")
+    return all_tokens[order], np.repeat(np.arange(len(held)), sizes)[order], np.array([i for i, _ in held]), sizes
+
+
+def _partners(index: tuple[np.ndarray, ...], t: np.ndarray, percent: int) -> list[int]:
+    """Ids of the left side whose set links with t: common tokens counted over the whole side."""
+    all_tokens, owners, ids, sizes = index
+    low, high = (np.searchsorted(all_tokens, t, side) for side in ("left", "right"))
+    n = high - low
+    hits = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    shared = np.bincount(owners[hits], minlength=len(ids))
+    return ids[(shared > 0) & (100 * shared >= percent * (sizes + len(t) - shared))].tolist()
+
+
+def sifted(rows: DataFrame, need: DataFrame, slot) -> DataFrame:
+    """The rows whose id is in ``need``. Most others are dropped before the shuffle by a bit filter
+    of fixed size: at most 2**(FILTER_BITS - 6) words are broadcast, however many ids there are."""
+    at = need.select(slot.alias("s")).select(F.shiftright("s", 6).alias("__word"), F.col("s").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = at.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("__bits"))
+    marked = rows.withColumn("__slot", slot).withColumn("__word", F.shiftright("__slot", 6))
+    near = marked.join(F.broadcast(words), "__word").where(F.expr("(shiftright(__bits, cast(__slot & 63 as int)) & 1) = 1"))
+    # an inner join: a semi-join would be pushed below the filter and shuffle all texts
+    return near.select(*rows.columns).join(need.distinct(), "id")
 
 
 def link_components(items: DataFrame, texts_of: Callable, tokens: Callable, percent: int) -> DataFrame:
     """(node, component) of the items that link to another item.
 
-    items: id long, n long, keys array<long>, bits binary (may be null); texts_of(ids) gives
-    (id, text); tokens(text) gives the sorted distinct hashed tokens."""
-    w = Window.partitionBy("key")
-    buckets = items.select("id", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    buckets = buckets.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w))
-    buckets = save(buckets.where("low <> high").select("key", "id", "n").distinct())
-    bits = items.select("id", "bits").join(buckets.select("id").distinct(), "id", "left_semi")
-    bits = save(bits.distinct())
-
-    ties, current = None, buckets
-    for level in range(LEVELS):
-        out = save(leaders(chunked(current.join(bits, "id"), "key", GROUP), percent))
-        ties = out if ties is None else ties.unionByName(out)
-        if level + 1 == LEVELS:
-            break
-        again = out.where("a = b").groupBy("key").agg(F.count("*").alias("heads"))
-        wide = current.groupBy("key").count().where(F.col("count") > GROUP).select("key")
-        again = again.join(wide, "key").where("heads > 1").select("key")
-        current = save(out.where("a = b").join(again, "key", "left_semi").select("key", F.col("a").alias("id")).distinct().join(buckets.select("id", "n").distinct(), "id"))
-        if not current.take(1):
-            break
-    links = verified(ties, texts_of, tokens, percent)
+    items: id long, n long, need int, keys array<long>; texts_of(ids) gives (id, text);
+    tokens(texts) gives the sorted distinct hashed tokens of each whole text."""
+    w, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("id")
+    buckets = items.select("id", "n", "need", F.explode(F.array_distinct("keys")).alias("key"))
+    buckets = buckets.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("size", F.count("*").over(w))
+    buckets = save(buckets.where("low <> high").distinct().withColumn("prev", F.lag("id").over(before)).drop("high"))
+
+    sizes = buckets.select("id", "n", "need").distinct()
+    tied = buckets.select("need", F.col("id").alias("b"), F.explode(F.array_distinct(F.array("low", "prev"))).alias("a")).where("a <> b")
+    tied = tied.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    other = sizes.select(F.col("id").alias("a"), F.col("need").alias("its_need"))
+    tied = save(tied.join(other, "a").where(F.col("shared") >= F.least("need", "its_need")).select("a", "b"))
+    links = verified(tied.select(F.col("a").alias("cell"), F.col("a").alias("id")), tied.select(F.col("a").alias("cell"), F.col("b").alias("id")), texts_of, tokens, percent)
     first = components(links)
-
-    named = buckets.join(first, buckets["id"] == first["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    named = named.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low <> high").select("key", "id", "n", "comp")
-    named = save(named)
-    members = named.select("id", "n", "comp").distinct()
-    parts = members.groupBy("comp").count()
-    members = members.join(parts, "comp").withColumn("g", F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / OPEN)))).drop("count")
-    members = save(members.join(bits, "id"))
-
-    def unions(batches):
-        out = []
-        for (g,), rows in runs(batches, ["g"], ["n", "comp", "bits"]):
-            union = None
-            if all(r[2] is not None for r in rows):
-                width = min(r[2][1] for r in rows)
-                number = 0
-                for r in rows:
-                    number |= fold(*r[2], width)
-                union = number.to_bytes(width // 8, "little")
-            out.append((g, rows[0][1], min(r[0] for r in rows), max(r[0] for r in rows), union))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary() if i == 4 else pa.int64()) for i in range(5)], ["g", "g_comp", "n_min", "n_max", "g_bits"])
-
-    partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = members.select("g", "n", "comp", "bits").repartition(partitions, "g").sortWithinPartitions("g")
-    groups = save(groups.mapInArrow(unions, "g long, g_comp long, n_min long, n_max long, g_bits binary"))
-    matrix = named.select("key", "id").join(members.select("id", "g"), "id").select("key", "g").distinct()
-    matrix = matrix.join(groups.drop("g_bits"), "g")
-    sizes = (F.lit(100) * F.col("n_max") >= F.lit(percent) * F.col("n")) & (F.lit(100) * F.col("n") >= F.lit(percent) * F.col("n_min"))
-    probes = named.join(matrix, "key").where((F.col("comp") < F.col("g_comp")) & sizes).select("id", "g").distinct()
-    probes = probes.join(members.select("id", "n", "bits").distinct(), "id").join(groups.select("g", "g_bits"), "g")
-
-    def qualify(batches):
-        """Opens a group only if its token union can hold enough of the query."""
-        for b in batches:
-            keep = [missing(q, u) <= n - -(-n * percent // 100) for n, q, u in zip(b["n"].to_pylist(), _numbers(b["bits"]), _numbers(b["g_bits"]), strict=True)]
-            yield b.select(["id", "n", "bits", "g"]).filter(pa.array(keep, pa.bool_()))
-
-    opened = probes.mapInArrow(qualify, "id long, n long, bits binary, g long")
-    inner = members.select("g", F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
-
-    def pairs(batches):
-        for b in batches:
-            rows = zip(b["n"].to_pylist(), _numbers(b["bits"]), b["m"].to_pylist(), _numbers(b["other"]), strict=True)
-            yield b.select(["id", "b"]).filter(pa.array([may_link(n, x, m, y, percent) for n, x, m, y in rows], pa.bool_()))
-
-    left = opened.join(inner, "g").select("id", "n", "bits", "b", "m", "other").mapInArrow(pairs, "id long, b long")
-    more = verified(left.select(F.col("id").alias("a"), "b"), texts_of, tokens, percent)
+    # the first item that an item is tied to; under a frequent key, the first item of the key
+    near = tied.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("near"))
+    crowd = buckets.where(F.col("size") > CROWD).groupBy("id").agg(F.min("low").alias("crowd"))
+    family = crowd.join(near, "id", "full_outer").select("id", F.coalesce("crowd", "near").alias("family"))
+
+    named = buckets.drop("low", "prev", "size").join(first, buckets["id"] == first["node"], "left").select("key", "id", "n", "need", F.coalesce("component", "id").alias("comp"))
+    named = named.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low <> high").drop("low", "high")
+    named = save(named.join(family, "id", "left").withColumn("family", F.coalesce("family", "id")))
+    members = named.select("id", "n", "need", "comp", "family").distinct()
+    count = members.groupBy("family").count()
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / GROUP))
+    members = save(members.join(count, "family").withColumn("g", F.xxhash64("family", part)).select("id", "n", "need", "comp", "g"))
+    groups = save(members.groupBy("g").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("need").alias("need"), F.min("comp").alias("low"), F.max("comp").alias("high")))
+    matrix = save(named.select("key", "id").join(members.select("id", "g"), "id").select("key", "g").distinct().join(groups, "g"))
+    partner = matrix.withColumnsRenamed({c: f"o_{c}" for c in matrix.columns if c != "key"})
+    possible = (F.lit(percent) * F.col("n_min") <= F.lit(100) * F.col("o_n_max")) & (F.lit(percent) * F.col("o_n_min") <= F.lit(100) * F.col("n_max"))
+    several = (F.least("low", "o_low") != F.greatest("high", "o_high")) & (F.col("g") < F.col("o_g"))
+    overlap = matrix.join(partner, "key").where(possible & several)
+    overlap = overlap.groupBy("g", "o_g").agg(F.count("*").alias("shared"), F.min(F.least("need", "o_need")).alias("least"))
+    opened = overlap.where("shared >= least").select(F.col("g").alias("cell"), F.col("o_g").alias("g"))
+    own = groups.where("low <> high").select(F.col("g").alias("cell"), "g")
+    opened = save(opened.unionByName(own))
+    left = opened.select("cell").distinct().join(members.select(F.col("g").alias("cell"), "id"), "cell")
+    right = opened.join(members.select("g", "id"), "g").select("cell", "id")
+    more = verified(left, right, texts_of, tokens, percent)
     return components(links.unionByName(more))
