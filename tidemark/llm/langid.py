@@ -28,7 +28,7 @@ from .common import save, table
 
 #: Documented bound of the fitting sample: learning documents per language, about.
 SAMPLE_DOCS = 1500
-#: n-grams kept per language, and at most this many languages.
+#: n-grams kept per language; more languages than these are refused, so the filter's size is bounded.
 GRAMS, MAX_LANGUAGES = 6000, 512
 ORDERS = (3, 4)
 SLOT_BITS, PROBES = 18, 3
@@ -108,7 +108,9 @@ class LanguageFilter:
 def fit(learning: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
     """Fits on a bounded sample; only n_languages * GRAMS n-grams reach the driver."""
     rows = learning.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES)
+    counts = save(rows.groupBy("lang").count())
+    if counts.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.least(F.lit(1.0), SAMPLE_DOCS / F.col("count"))
     sample = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
 
