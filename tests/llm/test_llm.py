@@ -328,6 +328,8 @@ def test_html_cases(spark):
     <div class="ad">Buy now, cheap.</div><article><h1>Head &amp; line</h1><p><b>Bold   text,<br><p>Second&nbsp;one. &lt;tag&gt;<ul><li>item one<li>item two</ul></article>
     <aside>Side, text.</aside><div id="comments"><p>I disagree, strongly.</p></div><footer>&copy; me</footer></body></html>"""
     assert html_extract.main_text(page) == "Head & line\nBold text,\nSecond one. <tag>\nitem one\nitem two"
+    page2 = '<body class="no-sidebar"><div id="main" class="content with-sidebar"><article><div class="article-header"><h1>T</h1></div><p>Some text, here.</p><article class="comment"><p>Mine.</p></article></article></div></body>'
+    assert html_extract.main_text(page2) == "T\nSome text, here."
     assert html_extract.main_text("<article><p>cut off &am") == "cut off &am" and html_extract.main_text("<article><p>cut <b") == "cut"
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
     df = spark.createDataFrame([(1, None, None, "c"), (2, "u", page, "c"), (2, "u", page, "c")], "page_id long, url string, html string, text string")

@@ -48,6 +48,10 @@ FURNITURE_WORDS = frozenset(
     "social related recommended comment comments disqus reply replies respond toolbar pager pagination copyright contentinfo complementary".split()
 )
 CONTENT_TAGS = frozenset(("article", "main"))
+#: A class such as with-sidebar tells what an element has, not what it is.
+HAS = frozenset("with has no without".split())
+#: The words that make even an article furniture: reader comments and teasers.
+NOT_CONTENT = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended teaser".split())
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
@@ -120,10 +124,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                     break
         if tag in VOID:
             continue
-        words = [w for _, v in ATTRIBUTE.findall(m[3]) for w in WORD.findall(v.lower())]
+        names = [WORD.findall(name) for _, v in ATTRIBUTE.findall(m[3]) for name in v.strip("\"'").lower().split()]
+        words = [w for name in names if name and name[0] not in HAS for w in name]
         inside = bool(stack) and stack[-1][2]
-        own = tag in FURNITURE_TAGS and not (tag == "header" and any(t in CONTENT_TAGS for t, _, _ in stack))
-        own |= tag not in ("html", "body", *CONTENT_TAGS) and not FURNITURE_WORDS.isdisjoint(words)
+        in_content = any(t in CONTENT_TAGS for t, _, _ in stack)
+        hints = NOT_CONTENT if tag in CONTENT_TAGS else frozenset() if tag in ("html", "body") else FURNITURE_WORDS
+        if in_content:  # the head of an article belongs to it
+            hints -= {"header"}
+        own = tag in FURNITURE_TAGS and not (tag == "header" and in_content) or not hints.isdisjoint(words)
         stack.append((tag, ".".join([tag, *words]), inside or own))
     flush()
     return out
