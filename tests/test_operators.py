@@ -118,9 +118,9 @@ def test_hysteresis_needs_trigger_and_stops_at_holes(spark):
 
 
 def test_wake_spans(spark):
-    rows = [(1, 0, 1, "ava"), (1, 1, 2, "ava"), (1, 3, 4, "go"), (1, 30, 31, "ava"), (1, 31, 32, "x"), (1, 33, 34, "ava"), (1, 34, 90, "y")]
+    rows = [(1, 0, 1, "hey"), (1, 1, 2, "hey"), (1, 3, 4, "go"), (1, 30, 31, "hey"), (1, 31, 32, "x"), (1, 33, 34, "hey"), (1, 34, 90, "y")]
     df = spark.createDataFrame(rows, "m int, t_ini long, t_fin long, w string")
-    assert got(sq.wake_spans(df, M, "w", {"ava"}, 10, 20, 2), "t_ini", "t_fin", "cause", "heard") == [(0, 4, "silence", "ava go"), (30, 32, "invocation", "x"), (33, 34, "limit", "")]
+    assert got(sq.wake_spans(df, M, "w", {"hey"}, 10, 20, 2), "t_ini", "t_fin", "cause", "heard") == [(0, 4, "silence", "hey go"), (30, 32, "invocation", "x"), (33, 34, "limit", "")]
 
 
 def test_pairwise_merge_is_ordered(spark):
