@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope():
+    """Collects the paths of the tables that ``save`` writes inside the scope, so that they can
+    be dropped once what was derived from them is written."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables wherever the shared folder lies."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    paths.clear()
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches in parts of at most ``rows`` rows, so that a task holds few texts at a time."""
     for b in batches:
@@ -36,12 +60,15 @@ def slices(batches, rows: int = 1000):
             yield b.slice(at, rows)
 
 
-def save(df: DataFrame) -> DataFrame:
+def save(df: DataFrame, dictionary: bool = True) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it
-    back, so a lost executor costs a re-read and not a re-computation."""
+    back, so a lost executor costs a re-read and not a re-computation. ``dictionary`` off
+    spares the attempt to encode columns of distinct values."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    for held in _scopes[-1:]:
+        held.append(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save, table
-from .linking import FILTER_BITS, inside, link_components, membership
+from .linking import FILTER_BITS, distinct, link_components, sifted
 
 SPAN, BANDS, ROWS, PERCENT = 9, 12, 5, 80
 #: Spans of a line up to which minima come from many functions, and from which from one.
@@ -74,9 +74,13 @@ def span_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h ^ (h >> np.uint64(31)), first
 
 
-def tokens(text: str) -> np.ndarray:
-    """Sorted distinct span hashes of one normalised line, for the exact Jaccard."""
-    return np.unique(np.concatenate([span_hashes([text])[0]])) if text else np.empty(0, np.uint64)
+def tokens(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct span hashes of normalised lines, for the exact Jaccard."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(texts), 2000):
+        h, first = span_hashes(texts[at : at + 2000])
+        out += [distinct(x) for x in np.split(h, first[1:])]
+    return out
 
 
 def _bands(minima: np.ndarray, salt: int) -> np.ndarray:
@@ -90,56 +94,64 @@ def _bands(minima: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def band_keys(lines: list[str]) -> list[np.ndarray]:
-    """Band keys of each line (not blank), as signed numbers."""
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of lines (not blank): the number of each line's keys, and all keys in line order."""
     h, first = span_hashes(lines)
     counts = np.diff(np.append(first, len(h)))
-    keys = [np.empty(0, np.uint64) for _ in lines]
     width = BANDS * ROWS
 
     def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        take = np.repeat(first[rows], counts[rows]) + np.arange(counts[rows].sum()) - np.repeat(np.cumsum(counts[rows]) - counts[rows], counts[rows])
-        return h[take], np.cumsum(counts[rows]) - counts[rows]
+        n = counts[rows]
+        starts = np.cumsum(n) - n
+        return h[np.repeat(first[rows] - starts, n) + np.arange(n.sum())], starts
 
-    few = np.flatnonzero(counts < MANY)
+    few, long = np.flatnonzero(counts < MANY), np.flatnonzero(counts >= ONE)
+    rows, keys = [], []
     if len(few):
         x, starts = part(few)
-        minima = np.stack([np.minimum.reduceat(x * f, starts) for f in _factors], axis=1)
-        for i, k in zip(few, _bands(minima, 0), strict=True):
-            keys[i] = k
-    long = np.flatnonzero(counts >= ONE)
+        minima = np.empty((len(few), width), np.uint64)
+        for i, f in enumerate(_factors):
+            minima[:, i] = np.minimum.reduceat(x * f, starts)
+        rows.append(np.repeat(few, BANDS))
+        keys.append(_bands(minima, 0).ravel())
     if len(long):
         x, _ = part(long)
-        row = np.repeat(np.arange(len(long)), counts[long])
-        bins = ((x >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
+        cells = np.repeat(np.arange(len(long)) * width, counts[long]) + ((x >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
         empty = np.uint64(2**64 - 1)
         minima = np.full(len(long) * width, empty, np.uint64)
-        np.minimum.at(minima, row * width + bins, x & np.uint64(0xFFFFFFFF))
+        np.minimum.at(minima, cells, x & np.uint64(0xFFFFFFFF))
         minima = minima.reshape(len(long), width)
         shift = 1
         while (minima == empty).any():  # an empty bin takes from a later one
             minima = np.where(minima == empty, np.roll(minima, -shift, axis=1), minima)
             shift *= 2
-        for i, k in zip(long, _bands(minima, 1), strict=True):
-            keys[i] = np.concatenate([keys[i], k])
-    return [k.view(np.int64) for k in keys]
+        rows.append(np.repeat(long, BANDS))
+        keys.append(_bands(minima, 1).ravel())
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(rows, kind="stable")
+    return np.bincount(rows, minlength=len(lines)), keys[order].view(np.int64)
 
 
 def line_items(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, id, keys) of each line that takes part; keys where a task meets the line first."""
+    """(doc_id, line_no, id, keys, line) of each line that takes part; keys and the normalised line
+    where a task meets it first."""
 
     def run(batches):
         seen: set[int] = set()
 
         def flush():
-            found = iter(band_keys(new)) if new else iter(())
-            keys = [next(found) if f else None for f in fresh]
-            out = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "line_no", "id", "keys"])
-            for x in (doc, no, ids, fresh, new):
+            sizes, flat = band_keys(new) if new else (np.empty(0, np.int64), np.empty(0, np.int64))
+            there = np.array(fresh, bool)
+            n = np.zeros(len(fresh), np.int64)
+            n[there] = sizes
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat), mask=pa.array(~there))
+            texts = pa.array([norm if f else None for norm, f in zip(norms, fresh, strict=True)], pa.string())
+            out = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), keys, texts], ["doc_id", "line_no", "id", "keys", "line"])
+            for x in (doc, no, ids, fresh, new, norms):
                 x.clear()
             return out
 
-        doc, no, ids, fresh, new = [], [], [], [], []
+        doc, no, ids, fresh, new, norms = [], [], [], [], [], []
         for b in batches:
             size = 0
             for d, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
@@ -150,6 +162,7 @@ def line_items(docs: DataFrame) -> DataFrame:
                         doc.append(d)
                         no.append(n)
                         ids.append(i)
+                        norms.append(norm)
                         fresh.append(i not in seen)
                         if fresh[-1]:
                             if len(seen) > REMEMBER:
@@ -163,35 +176,17 @@ def line_items(docs: DataFrame) -> DataFrame:
             yield flush()
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return save(rows.mapInArrow(run, "doc_id long, line_no int, id long, keys array<long>"))
+    return save(rows.mapInArrow(run, "doc_id long, line_no int, id long, keys array<long>, line string"), dictionary=False)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): the line numbers, from 0, that do not stay, of documents with any."""
     lines = line_items(docs)
-    items = lines.where("keys is not null").select("id", F.lit(0).cast("long").alias("n"), "keys", F.lit(None).cast("binary").alias("bits"))
+    items = lines.where("keys is not null").select("id", F.lit(0).cast("long").alias("n"), F.lit(1).alias("need"), "keys")
 
     def texts_of(need: DataFrame) -> DataFrame:
-        filled = membership(need, F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
-
-        def run(batches):
-            seen: set[int] = set()
-            for b in batches:
-                ids, texts = [], []
-                for text in b["text"]:
-                    norms = [n for n in map(normalised, (text.as_py() or "").split("\n")) if n]
-                    here = np.fromiter(map(line_id, norms), np.int64, len(norms))
-                    for k in np.flatnonzero(inside(filled.value, here & ((1 << FILTER_BITS) - 1))):
-                        if (i := int(here[k])) not in seen:
-                            if len(seen) > REMEMBER:
-                                seen.clear()
-                            seen.add(i)
-                            ids.append(i)
-                            texts.append(norms[k])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
-
-        found = docs.where("doc_id is not null").select("text").mapInArrow(run, "id long, text string")
-        return found.join(need, "id", "left_semi").dropDuplicates(["id"])
+        slot = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        return sifted(lines.where("line is not null").select("id", F.col("line").alias("text")), need, slot).dropDuplicates(["id"])
 
     linked = link_components(items, texts_of, tokens, PERCENT)
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))

@@ -103,6 +103,8 @@ def _stars(joined: dict[int, int]) -> list[tuple[int, int]]:
 def _index(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
     """Tokens of all items of a cell's left side in order, their owners, ids and sizes."""
     sizes = np.array([len(t) for _, t in held])
+    if len(held) == 1:
+        return held[0][1], sizes, np.array([held[0][0]]), sizes
     all_tokens = np.concatenate([t for _, t in held])
     order = np.argsort(all_tokens, kind="stable")
     return all_tokens[order], np.repeat(np.arange(len(held)), sizes)[order], np.array([i for i, _ in held]), sizes
@@ -111,6 +113,10 @@ def _index(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
 def _partners(index: tuple[np.ndarray, ...], t: np.ndarray, percent: int) -> list[int]:
     """Ids of the left side whose set links with t: common tokens counted over the whole side."""
     all_tokens, owners, ids, sizes = index
+    if len(ids) == 1:
+        at = np.minimum(np.searchsorted(all_tokens, t), len(all_tokens) - 1)
+        shared = int(np.count_nonzero(all_tokens[at] == t)) if len(all_tokens) else 0
+        return ids.tolist() if shared and 100 * shared >= percent * (len(all_tokens) + len(t) - shared) else []
     low, high = (np.searchsorted(all_tokens, t, side) for side in ("left", "right"))
     n = high - low
     hits = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
