@@ -3,31 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import save, table
+from tidemark.llm.common import drop_tables, save, scratch_scope, table
 from tidemark.llm.langid import keep_identified
 from tidemark.llm.line_dedup import dedup_documents
 from tidemark.llm.ngram_join import keep_one
 from tidemark.llm.packing import pack
 
 
+_done: list[str] = []
+
+
+def stage(f: Callable) -> Callable:
+    """A stage's input has been written, so the scratch tables behind it are dropped first: the
+    disk holds those of one stage at a time."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _done)
+        with scratch_scope() as paths:
+            out = f(spark, docs, sf_dir)
+        _done.extend(paths)
+        return out
+
+    return run_stage
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     return keep_identified(docs)
 
 
+@stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with one line of each group of near-equal lines; documents left without a line go."""
     return dedup_documents(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
     return keep_one(docs)
 
 
+@stage
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket and batch of every document."""
     return pack(docs)
@@ -47,6 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir))
+    for _, step in STAGES[:-1]:
+        docs = save(step(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
