@@ -235,9 +235,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = ", ".join(("id long", *RESULT))
     ends = dealt.mapInArrow(edges, "block long, id long, text string, is_first boolean")
     firsts = ends.where("is_first").select(F.col("block").alias("following"), F.col("text").alias("following_text"))
-    top = rows.agg(F.max(F.shiftright("id", BLOCK_BITS)).alias("top"))  # one row: where the ring closes
-    ring = _following_block(rows.select(F.shiftright("id", BLOCK_BITS).alias("block")).distinct()).crossJoin(F.broadcast(top))
-    ring = ring.select("block", F.coalesce("following", "top").alias("following"))
+    top = rows.agg(F.max(F.shiftright("id", BLOCK_BITS))).first()[0]  # where the ring closes
+    ring = _following_block(rows.select(F.shiftright("id", BLOCK_BITS).alias("block")).distinct())
+    ring = ring.select("block", F.coalesce("following", F.lit(top).cast("long")).alias("following"))
     last = ends.where("not is_first").join(ring, "block").join(firsts, "following").select("id", "text", "following_text")
     result = dealt.mapInArrow(inner, schema).unionByName(last.mapInArrow(across, schema))
     return result.select(F.when(F.col("id") != low, F.col("id")).cast(id_type).alias(id_col), *(r.split()[0] for r in RESULT))
