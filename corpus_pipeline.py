@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import drop_tables, save, scratch_scope, table
 from tidemark.llm.langid import keep_identified
-from tidemark.llm.line_dedup import dedup_documents
+from tidemark.llm.line_dedup import SHORT_SPAN, dedup_documents
 from tidemark.llm.ngram_join import keep_one
 from tidemark.llm.packing import pack
 
@@ -41,7 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with one line of each group of near-equal lines; documents left without a line go."""
-    return dedup_documents(docs)
+    return dedup_documents(docs, SHORT_SPAN)
 
 
 @stage

@@ -404,6 +404,23 @@ def test_line_dedup_against_brute_force(spark, docs):
         assert kept.get(i, "").strip() == left.strip() if got.get(i) else kept[i] == text
 
 
+def test_line_dedup_finds_edited_lines(spark, docs, tmp_path):
+    """Recall of the query by the edit that was made, not by the module's own spans."""
+    rnd = random.Random(9)
+    words = sorted({w for t in docs["text"][:60] for w in t.split() if w.isalpha()})
+    rows = []
+    for k in range(300):
+        line = f"{k:04d} " + " ".join(rnd.choice(words) for _ in range(40))[:70]
+        at = rnd.randrange(5, 75)
+        rows += [(2 * k, line), (2 * k + 1, line[:at] + "#" + line[at + 1 :])]
+    tail = "".join(f"{i:03d}" for i in range(40))  # equal sets, of very different lengths
+    rows += [(1000, "ab" * 10 + tail), (1001, "ab" * 200 + tail)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.op10_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
+    found = sum(got[2 * k + 1] == [0] for k in range(300))
+    assert found >= 0.97 * 300 and not any(got[i] for i in got if i % 2 == 0) and got[1001] == [0]
+
+
 def test_line_dedup_edges(spark, weird):
     out = line_dedup.dedup_documents(weird).collect()
     got = defaultdict(list)

@@ -1,10 +1,13 @@
 """Fuzzy line deduplication with MinHash.
 
-A line's set are the hashed spans of ``SPAN`` characters of its normalised text (lower case,
-white space as one blank; a shorter line is one span). Equal normalised lines are one item.
+A line's set are the hashed spans of ``span`` characters of its normalised text (lower case,
+white space as one blank; a shorter line is one span). The query and the pipeline use
+``SHORT_SPAN``: one replaced character changes at most 5 spans, so lines from 49 characters on
+still link; with ``SPAN``, the default of the functions, only lines from 89 on. Equal normalised lines are one item.
 Signatures have ``BANDS * ROWS`` minima: from as many hash functions for short lines, from one
 hash dealt into bins for long ones, where bins are well filled; lines of middle length get
-both, so that any two lines of Jaccard similarity 0.8 have one kind in common. With 12 bands
+both, so that any two lines of Jaccard similarity 0.8 have one kind in common (length is the
+number of distinct spans, as in the similarity). With 12 bands
 of 5 rows a pair at the threshold is a candidate with probability 0.99, at 0.9 with 0.99998.
 Candidates are tied through ``linking``, verified by exact Jaccard on the whole lines, and
 distributed union-find gives the components; the line first in (doc_id, line number) stays.
@@ -17,6 +20,8 @@ document only if it had text and no line of it stays.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import save, table
 from .linking import FILTER_BITS, distinct, link_components, sifted
 
-SPAN, BANDS, ROWS, PERCENT = 9, 12, 5, 80
-#: Spans of a line up to which minima come from many functions, and from which from one.
+#: Characters of a span: of the functions' default, and of the query and the pipeline.
+SPAN, SHORT_SPAN = 9, 5
+BANDS, ROWS, PERCENT = 12, 5, 80
+#: Distinct spans of a line up to which minima come from many functions, and from which from one.
 MANY, ONE = 160, 128
 #: Characters hashed at a time, ids a task remembers.
 SLICE, REMEMBER = 1 << 19, 200_000
@@ -56,7 +63,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def span_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def span_hashes(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the spans of all lines one after the other, and the first of each line.
 
     A span's hash comes from prefix sums of code * BASE**i modulo 2**64, and is then mixed."""
@@ -64,21 +71,21 @@ def span_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(7)
     up, down = _power(len(codes) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)])
-    spans = np.maximum(sizes - SPAN + 1, 1)
+    spans = np.maximum(sizes - span + 1, 1)
     first = np.cumsum(spans) - spans
     at = np.repeat(np.cumsum(sizes) - sizes - first, spans) + np.arange(spans.sum())
-    length = np.minimum(SPAN, np.repeat(sizes, spans))
+    length = np.minimum(span, np.repeat(sizes, spans))
     h = (sums[at + length] - sums[at]) * down[at]
     for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     return h ^ (h >> np.uint64(31)), first
 
 
-def tokens(texts: list[str]) -> list[np.ndarray]:
+def tokens(texts: list[str], span: int = SPAN) -> list[np.ndarray]:
     """Sorted distinct span hashes of normalised lines, for the exact Jaccard."""
     out: list[np.ndarray] = []
     for at in range(0, len(texts), 2000):
-        h, first = span_hashes(texts[at : at + 2000])
+        h, first = span_hashes(texts[at : at + 2000], span)
         out += [distinct(x) for x in np.split(h, first[1:])]
     return out
 
@@ -94,18 +101,21 @@ def _bands(minima: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of lines (not blank): the number of each line's keys, and all keys in line order."""
-    h, first = span_hashes(lines)
+    h, first = span_hashes(lines, span)
     counts = np.diff(np.append(first, len(h)))
     width = BANDS * ROWS
+    sizes = counts.copy()
+    for i in np.flatnonzero(counts >= ONE):
+        sizes[i] = len(distinct(h[first[i] : first[i] + counts[i]]))
 
     def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = counts[rows]
         starts = np.cumsum(n) - n
         return h[np.repeat(first[rows] - starts, n) + np.arange(n.sum())], starts
 
-    few, long = np.flatnonzero(counts < MANY), np.flatnonzero(counts >= ONE)
+    few, long = np.flatnonzero(sizes < MANY), np.flatnonzero(sizes >= ONE)
     rows, keys = [], []
     if len(few):
         x, starts = part(few)
@@ -132,7 +142,7 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(rows, minlength=len(lines)), keys[order].view(np.int64)
 
 
-def line_items(docs: DataFrame) -> DataFrame:
+def line_items(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, line_no, id, keys, line) of each line that takes part; keys and the normalised line
     where a task meets it first."""
 
@@ -140,7 +150,7 @@ def line_items(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
 
         def flush():
-            sizes, flat = band_keys(new) if new else (np.empty(0, np.int64), np.empty(0, np.int64))
+            sizes, flat = band_keys(new, span) if new else (np.empty(0, np.int64), np.empty(0, np.int64))
             there = np.array(fresh, bool)
             n = np.zeros(len(fresh), np.int64)
             n[there] = sizes
@@ -179,16 +189,16 @@ def line_items(docs: DataFrame) -> DataFrame:
     return save(rows.mapInArrow(run, "doc_id long, line_no int, id long, keys array<long>, line string"), dictionary=False)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, removed): the line numbers, from 0, that do not stay, of documents with any."""
-    lines = line_items(docs)
+    lines = line_items(docs, span)
     items = lines.where("keys is not null").select("id", F.lit(0).cast("long").alias("n"), F.lit(1).alias("need"), "keys")
 
     def texts_of(need: DataFrame) -> DataFrame:
         slot = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
         return sifted(lines.where("line is not null").select("id", F.col("line").alias("text")), need, slot).dropDuplicates(["id"])
 
-    linked = link_components(items, texts_of, tokens, PERCENT)
+    linked = link_components(items, texts_of, partial(tokens, span=span), PERCENT)
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     first = save(first.join(linked, first["id"] == linked["node"], "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("component")))
     keeper = first.groupBy("component").agg(F.min("first").alias("keep"))
@@ -197,9 +207,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
+def dedup_documents(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents without the lines that do not stay; columns as they came."""
-    gone = removed_lines(docs).withColumnsRenamed({"doc_id": "__doc_id", "removed": "__removed"})
+    gone = removed_lines(docs, span).withColumnsRenamed({"doc_id": "__doc_id", "removed": "__removed"})
     both = docs.join(gone, docs["doc_id"] == gone["__doc_id"], "left").drop("__doc_id")
     names, at = docs.columns, docs.columns.index("text")
 
@@ -229,7 +239,7 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers, from 0)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    gone = removed_lines(docs)
+    gone = removed_lines(docs, SHORT_SPAN)
     counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
