@@ -287,6 +287,21 @@ def test_quotes(spark):
     assert quotes.op7_quotation_linking(spark, SF).count() == 87
 
 
+def test_quotes_wrapped_partial_and_deeper(spark):
+    rows = [
+        (1, 0, "The harbour office opens at nine, and the ferry leaves\nshortly after ten. Bring both tickets."),
+        (1, 1, "> The harbour office opens at\n> nine, and the ferry leaves shortly\n> after ten.\nWhich gate?"),
+        (1, 2, "> the ferry leaves\nAnd when does it return?"),
+        (1, 3, "> whichever gate was it\n> > The harbour office opens at nine,\n> > and the ferry leaves shortly after ten.\nGate four."),
+        (1, 4, "> nothing of this kind\nHm."),
+        (1, 5, "> Which\n> gate?\nFive."),
+        (2, 0, "船は十時に出ます。切符を忘れずに。"), (2, 1, "> 切符を忘れずに\nはい"),
+    ]
+    df = spark.createDataFrame([(c, k, "u", t) for c, k, t in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in quotes.link_quotes(df).collect()}
+    assert got == {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 1, (1, 4): None, (1, 5): 1, (2, 0): None, (2, 1): 0}
+
+
 # ---- op8
 
 
