@@ -240,6 +240,17 @@ def test_false_positives_are_corrected():
     assert abs(hits - len(h) * f.false[0]) < 60
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    word = lambda k, letters: " ".join(letters[(k + j * j) % 8] * 2 + letters[(k // 8 + j) % 8] + letters[k // 64] for j in range(9))
+    rows = [("xx", "kilo wemu zafi topu rano")] * 400 + [("yy", word(k, "abcdefgh")) for k in range(100)] + [("yy", word(0, "abcdefgh"))] * 300 + [("zz", "123 ?")] * 50
+    rows += [("ww", word(k, "mnoprstu")) for k in range(3)] * 200
+    df = spark.createDataFrame(rows, "lang string, text string")
+    sample = [tuple(r) for r in langid.learning_sample(df).select("lang", "text").collect()]
+    assert len(sample) == len(set(sample)) and {x: sum(lang == x for lang, _ in sample) for x in ("xx", "yy", "zz", "ww")} == {"xx": 1, "yy": 20, "zz": 0, "ww": 3}
+    assert langid.fit(df).languages == ["ww", "xx", "yy"]
+
+
 # ---- op6
 
 

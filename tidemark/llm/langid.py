@@ -7,7 +7,7 @@ for false positives, (hits - n * f) / (1 - f) with f the share of set slots to t
 the number of probes; the largest corrected count decides, ties go to the smaller name.
 
 Fitting looks only at text and lang of the learning rows: a bounded sample of whole texts
-(about ``SAMPLE_DOCS`` a language, by a hash of the text), whose n-grams are counted by
+(of each language the ``SAMPLE_DOCS`` distinct texts with letters first by hash), whose n-grams are counted by
 Spark. A language keeps its most frequent ``GRAMS`` n-grams among those that are not much
 more frequent elsewhere. Prediction uses every n-gram of the whole text.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import save, table
 
-#: Documented bound of the fitting sample: learning documents per language, about.
+#: Documented bound of the fitting sample: distinct learning texts per language.
 SAMPLE_DOCS = 1500
 #: n-grams kept per language; more languages than these are refused, so the filter's size is bounded.
 GRAMS, MAX_LANGUAGES = 6000, 512
@@ -105,14 +105,26 @@ class LanguageFilter:
         return self.languages[best], float(min(1.0, max(0.0, found[best] / n)))
 
 
-def fit(learning: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
-    """Fits on a bounded sample; only n_languages * GRAMS n-grams reach the driver."""
-    rows = learning.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    counts = save(rows.groupBy("lang").count())
+def learning_sample(rows: DataFrame) -> DataFrame:
+    """(lang, text): of each language the SAMPLE_DOCS distinct texts with letters that are first by hash.
+
+    Copies count once, so neither the choice nor its size depends on how often a text is repeated."""
+    rows = rows.dropna().where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    known = save(rows.select("lang", "h").distinct())
+    counts = save(known.groupBy("lang").count())
     if counts.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.least(F.lit(1.0), SAMPLE_DOCS / F.col("count"))
-    sample = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    # twice the sample by the hash alone, so that no task ranks a whole language
+    share = F.least(F.lit(1.0), 2 * SAMPLE_DOCS / F.col("count"))
+    near = known.join(F.broadcast(counts), "lang").where((F.col("count") <= 2 * SAMPLE_DOCS) | (F.col("h").cast("double") <= (2 * share - 1) * 2.0**63))
+    rank = Window.partitionBy("lang").orderBy("h")
+    first = save(near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE_DOCS).select("lang", "h"))
+    return rows.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def fit(learning: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
+    """Fits on a bounded sample; only n_languages * GRAMS n-grams reach the driver."""
+    sample = learning_sample(learning.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
 
     def count(batches):
         for b in batches:
