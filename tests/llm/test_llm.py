@@ -277,6 +277,17 @@ def test_knn_edges(spark, monkeypatch):
     assert knn.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0 and knn.top_k(df.where("vec_id = 1"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_knn_repeated_query_rows(spark, tmp_path):
+    rows = [(0, [1.0, 0.0])] * 2 + [(100, [1.0, 0.0]), (100, [0.0, -1.0])] + [(i, [1.0 + 0.001 * i, 0.0]) for i in range(1, 6)] + [(i, [0.001 * i, 2.0]) for i in range(200, 260) if i != 200]
+    frame = pd.DataFrame(rows, columns=["vec_id", "embedding"])
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.register("embeddings", frame)
+    columns = ["query_id", "rank", "vec_id", "score"]
+    got = sorted(map(tuple, knn.op6_voronoi_knn(spark, str(tmp_path)).select(*columns).collect()))
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({knn.OP6_SQL})").fetchall())
+
+
 # ---- op7
 
 

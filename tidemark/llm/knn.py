@@ -13,7 +13,8 @@ merged per query. All scores are exact integers.
 Defined results: rows whose vector is null, or holds a null or a component that is not
 finite, take no part, neither as query nor as candidate; shorter vectors count as padded with
 zeros; a query is no candidate of its own, other rows with an equal vector are; ties go to
-the smaller id; fewer candidates than k give fewer rows; repeated ids are kept as rows;
+the smaller id; fewer candidates than k give fewer rows; repeated ids are kept as rows: a candidate row counts
+once for each query row of an id, and the k best of all these are the id's result, as in SQL;
 empty table, empty result.
 """
 
@@ -126,6 +127,10 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, id_col: str = "vec_id", ve
         return empty
     blocks = -(-n_queries // BLOCK_QUERIES)
     queries = data.where(is_query).select(F.xxhash64("vec_id", "v").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "cell")
+    # equal query rows are solved once, or each would count the candidates of the home round again
+    queries = save(queries.groupBy("query_row", "query_id", "q", "cell").agg(F.count("*").alias("copies")))
+    copies = queries.where("copies > 1").select("query_row", "query_id", "copies")
+    queries = queries.drop("copies")
     queries = queries.withColumn("block", F.pmod("query_row", F.lit(blocks)).cast("int"))
     dealt = dealt.select("vec_id", "v", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     solve, out = _solve(k, width), "query_row long, query_id long, vec_id long, score long"
@@ -149,10 +154,12 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, id_col: str = "vec_id", ve
             f["chunk"] = (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)).astype(np.int32)
             yield f[["query_row", "query_id", "q", "block", "cell", "chunk"]]
 
-    wide = queries.drop("cell").distinct().join(reached, "query_row", "left")
+    wide = queries.drop("cell").join(reached, "query_row", "left")
     spread = wide.mapInPandas(visits, "query_row long, query_id long, q array<double>, block int, cell int, chunk int")
     found = spread.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(solve, out)
-    rank = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.join(copies, ["query_row", "query_id"], "left")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("copies", F.lit(1)), F.lit(k)))))
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
