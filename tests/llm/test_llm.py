@@ -263,8 +263,8 @@ def test_knn_equals_sql(spark):
 
 
 def test_knn_edges(spark, monkeypatch):
-    monkeypatch.setattr(knn, "CHUNK_ROWS", 3)
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", 1)
+    monkeypatch.setattr(knn, "NUMBERS", 8)
+    monkeypatch.setattr(knn, "CELL_ROWS", 1)
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [float("inf"), 1.0]), (7, [-1.0, 0.0]), (8, [0.0, 3.0])] + [(10 + i, [0.001 * i, 0.2]) for i in range(20)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
@@ -288,6 +288,26 @@ def test_knn_repeated_query_rows(spark, tmp_path):
     assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({knn.OP6_SQL})").fetchall())
 
 
+def test_knn_against_brute_force(spark, monkeypatch):
+    """Clusters, repeated rows and ids, cells smaller than k, wide and huge vectors, many chunks and groups."""
+    monkeypatch.setattr(knn, "NUMBERS", 1 << 11)
+    monkeypatch.setattr(knn, "HEAD", 16)
+    monkeypatch.setattr(knn, "CELL_ROWS", 64)
+    rnd = np.random.default_rng(0)
+    centres = rnd.normal(size=(20, 8)) * 3
+    rows = [(i, (centres[i % 20] + rnd.normal(size=8) * 0.1).tolist()) for i in range(2000)]
+    share, shipped = knn.visited_share(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)
+    assert share < 0.4 and shipped < 0.7  # clusters: most chunks stay closed
+    rows += [rows[0]] * 12 + [rows[100]] * 2 + [(7, [0.5])] * 50 + [(8, []), (9, [2e5] * 3), (200, [1e12, 1.0]), (300, [0.1] * 40), (10, [0.2] * 40)]
+    fine = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, x, strict=False)))), i) for own, v in fine if own == q for i, x in fine if i != q]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:10])]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # ---- op7
 
 
