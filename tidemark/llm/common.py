@@ -68,7 +68,7 @@ def save(df: DataFrame, dictionary: bool = True) -> DataFrame:
     path = f"{scratch_dir(spark)}/tidemark/{uuid.uuid4().hex}"
     for held in _scopes[-1:]:
         held.append(path)
-    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -142,26 +142,20 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
     return np.bincount(rows, minlength=len(lines)), keys[order].view(np.int64)
 
 
-def line_items(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, line_no, id, keys, line) of each line that takes part; keys and the normalised line
-    where a task meets it first."""
+def line_items(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, id, line) of each line that takes part; the normalised line where a task
+    meets it first."""
 
     def run(batches):
         seen: set[int] = set()
+        doc, no, ids, lines = [], [], [], []
 
         def flush():
-            sizes, flat = band_keys(new, span) if new else (np.empty(0, np.int64), np.empty(0, np.int64))
-            there = np.array(fresh, bool)
-            n = np.zeros(len(fresh), np.int64)
-            n[there] = sizes
-            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat), mask=pa.array(~there))
-            texts = pa.array([norm if f else None for norm, f in zip(norms, fresh, strict=True)], pa.string())
-            out = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), keys, texts], ["doc_id", "line_no", "id", "keys", "line"])
-            for x in (doc, no, ids, fresh, new, norms):
+            out = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["doc_id", "line_no", "id", "line"])
+            for x in (doc, no, ids, lines):
                 x.clear()
             return out
 
-        doc, no, ids, fresh, new, norms = [], [], [], [], [], []
         for b in batches:
             size = 0
             for d, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
@@ -172,13 +166,12 @@ def line_items(docs: DataFrame, span: int = SPAN) -> DataFrame:
                         doc.append(d)
                         no.append(n)
                         ids.append(i)
-                        norms.append(norm)
-                        fresh.append(i not in seen)
-                        if fresh[-1]:
+                        fresh = i not in seen
+                        lines.append(norm if fresh else None)
+                        if fresh:
                             if len(seen) > REMEMBER:
                                 seen.clear()
                             seen.add(i)
-                            new.append(norm)
                             size += len(norm)
                     if size >= SLICE or len(ids) >= 50_000:
                         yield flush()
@@ -186,19 +179,37 @@ def line_items(docs: DataFrame, span: int = SPAN) -> DataFrame:
             yield flush()
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return save(rows.mapInArrow(run, "doc_id long, line_no int, id long, keys array<long>, line string"), dictionary=False)
+    return save(rows.mapInArrow(run, "doc_id long, line_no int, id long, line string"), dictionary=False)
+
+
+def line_keys(lines: DataFrame, span: int = SPAN) -> DataFrame:
+    """(id, key) of the lines, BANDS keys for each signature. Signatures are never stored: a task
+    reads lines and writes keys to the shuffle."""
+
+    def run(batches):
+        for b in batches:
+            ids, texts, at = b["id"].to_numpy(), b["line"].to_pylist(), 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+                    size += len(texts[end])
+                    end += 1
+                n, keys = band_keys(texts[at:end], span)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at:end], n)), pa.array(keys)], ["id", "key"])
+                at = end
+
+    return lines.where("line is not null").select("id", "line").mapInArrow(run, "id long, key long")
 
 
 def removed_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, removed): the line numbers, from 0, that do not stay, of documents with any."""
-    lines = line_items(docs, span)
-    items = lines.where("keys is not null").select("id", F.lit(0).cast("long").alias("n"), F.lit(1).alias("need"), "keys")
+    lines = line_items(docs)
 
     def texts_of(need: DataFrame) -> DataFrame:
         slot = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
         return sifted(lines.where("line is not null").select("id", F.col("line").alias("text")), need, slot).dropDuplicates(["id"])
 
-    linked = link_components(items, texts_of, partial(tokens, span=span), PERCENT)
+    linked = link_components(line_keys(lines, span), None, texts_of, partial(tokens, span=span), PERCENT)
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     first = save(first.join(linked, first["id"] == linked["node"], "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("component")))
     keeper = first.groupBy("component").agg(F.min("first").alias("keep"))

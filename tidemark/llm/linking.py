@@ -1,7 +1,7 @@
 """Similarity links between items of any count, without emitting the pairs of a group.
 
-Input are items (id, set size n, need, blocking keys) such that two items that link have at
-least the smaller of their needs of keys in common. The links are found in two rounds:
+Input are the blocking keys of items, and where they differ the items' set sizes n and needs,
+such that two items that link have at least the smaller of their needs of keys in common. The links are found in two rounds:
 
 1. Grouping. Under each key an item is tied to the first item and to the one before it (two
    ties, however many items share the key). Items whose ties (by enough keys) lead to the same first
@@ -33,6 +33,8 @@ from .common import components, save, slices
 GROUP, CELL = 128, 256
 #: A key of more items is frequent: its items are grouped by it, alike or not.
 CROWD = 64
+#: Groups of a key that one part of it holds.
+PARTNERS = 512
 FILTER_BITS = 23
 
 
@@ -135,21 +137,24 @@ def sifted(rows: DataFrame, need: DataFrame, slot) -> DataFrame:
     return near.select(*rows.columns).join(need.distinct(), "id")
 
 
-def link_components(items: DataFrame, texts_of: Callable, tokens: Callable, percent: int) -> DataFrame:
+def link_components(keys: DataFrame, sizes: DataFrame | None, texts_of: Callable, tokens: Callable, percent: int) -> DataFrame:
     """(node, component) of the items that link to another item.
 
-    items: id long, n long, need int, keys array<long>; texts_of(ids) gives (id, text);
-    tokens(texts) gives the sorted distinct hashed tokens of each whole text."""
+    keys: id long, key long; sizes: id long, n long, need int, or None where one common key is
+    enough and any sizes can link; texts_of(ids) gives (id, text); tokens(texts) gives the sorted
+    distinct hashed tokens of each whole text."""
     w, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("id")
-    buckets = items.select("id", "n", "need", F.explode(F.array_distinct("keys")).alias("key"))
-    buckets = buckets.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("size", F.count("*").over(w))
+    # only ids and keys are shuffled: most keys have one item and end here
+    buckets = keys.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("size", F.count("*").over(w))
     buckets = save(buckets.where("low <> high").distinct().withColumn("prev", F.lag("id").over(before)).drop("high"))
 
-    sizes = buckets.select("id", "n", "need").distinct()
-    tied = buckets.select("need", F.col("id").alias("b"), F.explode(F.array_distinct(F.array("low", "prev"))).alias("a")).where("a <> b")
-    tied = tied.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
-    other = sizes.select(F.col("id").alias("a"), F.col("need").alias("its_need"))
-    tied = save(tied.join(other, "a").where(F.col("shared") >= F.least("need", "its_need")).select("a", "b"))
+    tied = buckets.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array("low", "prev"))).alias("a")).where("a <> b")
+    tied = tied.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    if sizes is not None:
+        for side in ("a", "b"):
+            tied = tied.join(sizes.select(F.col("id").alias(side), F.col("need").alias(f"need_{side}")), side)
+        tied = tied.where(F.col("shared") >= F.least("need_a", "need_b"))
+    tied = save(tied.select("a", "b"))
     links = verified(tied.select(F.col("a").alias("cell"), F.col("a").alias("id")), tied.select(F.col("a").alias("cell"), F.col("b").alias("id")), texts_of, tokens, percent)
     first = components(links)
     # the first item that an item is tied to; under a frequent key, the first item of the key
@@ -157,19 +162,25 @@ def link_components(items: DataFrame, texts_of: Callable, tokens: Callable, perc
     crowd = buckets.where(F.col("size") > CROWD).groupBy("id").agg(F.min("low").alias("crowd"))
     family = crowd.join(near, "id", "full_outer").select("id", F.coalesce("crowd", "near").alias("family"))
 
-    named = buckets.drop("low", "prev", "size").join(first, buckets["id"] == first["node"], "left").select("key", "id", "n", "need", F.coalesce("component", "id").alias("comp"))
+    named = buckets.select("key", "id").join(first, buckets["id"] == first["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     named = named.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low <> high").drop("low", "high")
     named = save(named.join(family, "id", "left").withColumn("family", F.coalesce("family", "id")))
-    members = named.select("id", "n", "need", "comp", "family").distinct()
+    members = named.select("id", "comp", "family").distinct()
+    members = members.withColumns({"n": F.lit(0).cast("long"), "need": F.lit(1)}) if sizes is None else members.join(sizes, "id")
     count = members.groupBy("family").count()
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / GROUP))
     members = save(members.join(count, "family").withColumn("g", F.xxhash64("family", part)).select("id", "n", "need", "comp", "g"))
     groups = save(members.groupBy("g").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("need").alias("need"), F.min("comp").alias("low"), F.max("comp").alias("high")))
-    matrix = save(named.select("key", "id").join(members.select("id", "g"), "id").select("key", "g").distinct().join(groups, "g"))
-    partner = matrix.withColumnsRenamed({c: f"o_{c}" for c in matrix.columns if c != "key"})
+    matrix = named.select("key", "id").join(members.select("id", "g"), "id").select("key", "g").distinct().join(groups, "g")
+    # a key of many groups is dealt into parts, so that no task meets all its pairs
+    parts = F.ceil(F.count("*").over(w) / PARTNERS).cast("int")
+    matrix = save(matrix.withColumn("parts", parts))
+    partner = matrix.withColumn("part", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int")).drop("parts")
+    partner = partner.withColumnsRenamed({c: f"o_{c}" for c in partner.columns if c not in ("key", "part")})
+    spread = matrix.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     possible = (F.lit(percent) * F.col("n_min") <= F.lit(100) * F.col("o_n_max")) & (F.lit(percent) * F.col("o_n_min") <= F.lit(100) * F.col("n_max"))
     several = (F.least("low", "o_low") != F.greatest("high", "o_high")) & (F.col("g") < F.col("o_g"))
-    overlap = matrix.join(partner, "key").where(possible & several)
+    overlap = spread.join(partner, ["key", "part"]).where(possible & several)
     overlap = overlap.groupBy("g", "o_g").agg(F.count("*").alias("shared"), F.min(F.least("need", "o_need")).alias("least"))
     opened = overlap.where("shared >= least").select(F.col("g").alias("cell"), F.col("o_g").alias("g"))
     own = groups.where("low <> high").select(F.col("g").alias("cell"), "g")

@@ -180,14 +180,16 @@ def join_documents(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = profiles(docs, size, percent)
-    classes = save(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")))
-    items = rows.join(classes, (rows["set_key"] == classes["set_key"]) & (rows["doc_id"] == classes["id"])).select("id", "n", "need", "keys")
+    classes = save(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need")))
+    one = rows.join(classes.select("set_key", "id"), "set_key").where("doc_id = id")
+    keys = one.select("id", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = classes.select("id", "n", "need").distinct()  # rows of one id may hold different sets
 
     def texts_of(need: DataFrame) -> DataFrame:
         rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
         return sifted(rows, need, F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
 
-    found = link_components(items, texts_of, lambda texts: shingle_sets(texts, size), percent)
+    found = link_components(keys, sizes, texts_of, lambda texts: shingle_sets(texts, size), percent)
     merged = classes.join(found, classes["id"] == found["node"], "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(merged, "set_key", "left")
     # rows of one id may hold different sets: they share the smallest component
