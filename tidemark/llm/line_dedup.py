@@ -9,7 +9,9 @@ hash dealt into bins for long ones, where bins are well filled; lines of middle
 both, so that any two lines of Jaccard similarity 0.8 have one kind in common (length is the
 number of distinct spans, as in the similarity). With 12 bands
 of 5 rows a pair at the threshold is a candidate with probability 0.99, at 0.9 with 0.99998.
-Candidates are tied through ``linking``, verified by exact Jaccard on the whole lines, and
+Candidates whose sketches, one bit
+of each minimum, are too far apart are dropped before any line is fetched: of lines with little in
+common these are all but a hundredth. The others are tied through ``linking``, verified by exact Jaccard on the whole lines, and
 distributed union-find gives the components; the line first in (doc_id, line number) stays.
 
 Defined results: blank lines, and lines of rows with a null id, take no part and stay; a null
@@ -25,7 +27,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save, table
@@ -34,6 +36,8 @@ from .linking import FILTER_BITS, distinct, link_components, sifted
 #: Characters of a span: of the functions' default, and of the query and the pipeline.
 SPAN, SHORT_SPAN = 9, 5
 BANDS, ROWS, PERCENT = 12, 5, 80
+#: Of the 60 bits of two lines' sketches at the threshold 6 differ on average; more than 18 do in one pair of a million.
+AWAY = 18
 #: Distinct spans of a line up to which minima come from many functions, and from which from one.
 MANY, ONE = 160, 128
 #: Characters hashed at a time, ids a task remembers.
@@ -101,8 +105,20 @@ def _bands(minima: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of lines (not blank): the number of each line's keys, and all keys in line order."""
+def _sketch(minima: np.ndarray) -> np.ndarray:
+    """One bit of each minimum: two lines agree in a bit with probability (1 + similarity) / 2."""
+    bits = ((minima ^ (minima >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)
+    return (bits << np.arange(BANDS * ROWS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Can lines of these sketches be similar? At most AWAY bits differ."""
+    return F.bit_count(a.bitwiseXOR(b)) <= AWAY
+
+
+def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys of lines (not blank): the number of each line's keys, and all keys in line order
+    with the sketches of the signatures that they come from."""
     h, first = span_hashes(lines, span)
     counts = np.diff(np.append(first, len(h)))
     width = BANDS * ROWS
@@ -116,7 +132,7 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
         return h[np.repeat(first[rows] - starts, n) + np.arange(n.sum())], starts
 
     few, long = np.flatnonzero(sizes < MANY), np.flatnonzero(sizes >= ONE)
-    rows, keys = [], []
+    rows, keys, sketches = [], [], []
     if len(few):
         x, starts = part(few)
         minima = np.empty((len(few), width), np.uint64)
@@ -124,6 +140,7 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
             minima[:, i] = np.minimum.reduceat(x * f, starts)
         rows.append(np.repeat(few, BANDS))
         keys.append(_bands(minima, 0).ravel())
+        sketches.append(np.repeat(_sketch(minima), BANDS))
     if len(long):
         x, _ = part(long)
         cells = np.repeat(np.arange(len(long)) * width, counts[long]) + ((x >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
@@ -137,9 +154,10 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
             shift *= 2
         rows.append(np.repeat(long, BANDS))
         keys.append(_bands(minima, 1).ravel())
-    rows, keys = np.concatenate(rows), np.concatenate(keys)
+        sketches.append(np.repeat(_sketch(minima), BANDS))
+    rows, keys, sketches = (np.concatenate(x) for x in (rows, keys, sketches))
     order = np.argsort(rows, kind="stable")
-    return np.bincount(rows, minlength=len(lines)), keys[order].view(np.int64)
+    return np.bincount(rows, minlength=len(lines)), keys[order].view(np.int64), sketches[order].view(np.int64)
 
 
 def line_items(docs: DataFrame) -> DataFrame:
@@ -183,7 +201,7 @@ def line_items(docs: DataFrame) -> DataFrame:
 
 
 def line_keys(lines: DataFrame, span: int = SPAN) -> DataFrame:
-    """(id, key) of the lines, BANDS keys for each signature. Signatures are never stored: a task
+    """(id, key, sketch) of the lines, BANDS keys for each signature. Signatures are never stored: a task
     reads lines and writes keys to the shuffle."""
 
     def run(batches):
@@ -194,11 +212,11 @@ def line_keys(lines: DataFrame, span: int = SPAN) -> DataFrame:
                 while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
                     size += len(texts[end])
                     end += 1
-                n, keys = band_keys(texts[at:end], span)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at:end], n)), pa.array(keys)], ["id", "key"])
+                n, keys, sketches = band_keys(texts[at:end], span)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at:end], n)), pa.array(keys), pa.array(sketches)], ["id", "key", "sketch"])
                 at = end
 
-    return lines.where("line is not null").select("id", "line").mapInArrow(run, "id long, key long")
+    return lines.where("line is not null").select("id", "line").mapInArrow(run, "id long, key long, sketch long")
 
 
 def removed_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -209,7 +227,7 @@ def removed_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
         slot = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
         return sifted(lines.where("line is not null").select("id", F.col("line").alias("text")), need, slot).dropDuplicates(["id"])
 
-    linked = link_components(line_keys(lines, span), None, texts_of, partial(tokens, span=span), PERCENT)
+    linked = link_components(line_keys(lines, span), None, texts_of, partial(tokens, span=span), PERCENT, alike)
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     first = save(first.join(linked, first["id"] == linked["node"], "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("component")))
     keeper = first.groupBy("component").agg(F.min("first").alias("keep"))

@@ -137,19 +137,23 @@ def sifted(rows: DataFrame, need: DataFrame, slot) -> DataFrame:
     return near.select(*rows.columns).join(need.distinct(), "id")
 
 
-def link_components(keys: DataFrame, sizes: DataFrame | None, texts_of: Callable, tokens: Callable, percent: int) -> DataFrame:
+def link_components(keys: DataFrame, sizes: DataFrame | None, texts_of: Callable, tokens: Callable, percent: int, alike: Callable | None = None) -> DataFrame:
     """(node, component) of the items that link to another item.
 
-    keys: id long, key long; sizes: id long, n long, need int, or None where one common key is
+    keys: id long, key long, and sketch long where ``alike`` says of two sketches whether their items can link; sizes: id long, n long, need int, or None where one common key is
     enough and any sizes can link; texts_of(ids) gives (id, text); tokens(texts) gives the sorted
     distinct hashed tokens of each whole text."""
     w, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("id")
-    # only ids and keys are shuffled: most keys have one item and end here
-    buckets = keys.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("size", F.count("*").over(w))
-    buckets = save(buckets.where("low <> high").distinct().withColumn("prev", F.lag("id").over(before)).drop("high"))
-
-    tied = buckets.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array("low", "prev"))).alias("a")).where("a <> b")
-    tied = tied.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    # only ids and keys (and sketches) are shuffled: most keys have one item and end here
+    sketch = ["sketch"] if alike else []
+    item = F.struct("id", *sketch)
+    buckets = keys.withColumn("low", F.min(item).over(w)).withColumn("high", F.max("id").over(w)).withColumn("size", F.count("*").over(w))
+    buckets = save(buckets.where("low.id <> high").distinct().withColumn("prev", F.lag(item).over(before)).drop("high"))
+
+    tied = buckets.select("id", *sketch, F.explode(F.array_distinct(F.array("low", "prev"))).alias("other")).where("other.id <> id")
+    if alike:
+        tied = tied.where(alike(F.col("sketch"), F.col("other.sketch")))
+    tied = tied.groupBy(F.col("other.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
     if sizes is not None:
         for side in ("a", "b"):
             tied = tied.join(sizes.select(F.col("id").alias(side), F.col("need").alias(f"need_{side}")), side)
@@ -159,10 +163,10 @@ def link_components(keys: DataFrame, sizes: DataFrame | None, texts_of: Callable
     first = components(links)
     # the first item that an item is tied to; under a frequent key, the first item of the key
     near = tied.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("near"))
-    crowd = buckets.where(F.col("size") > CROWD).groupBy("id").agg(F.min("low").alias("crowd"))
+    crowd = buckets.where(F.col("size") > CROWD).groupBy("id").agg(F.min("low.id").alias("crowd"))
     family = crowd.join(near, "id", "full_outer").select("id", F.coalesce("crowd", "near").alias("family"))
 
-    named = buckets.select("key", "id").join(first, buckets["id"] == first["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    named = buckets.select("key", "id", *sketch).join(first, buckets["id"] == first["node"], "left").select("key", "id", *sketch, F.coalesce("component", "id").alias("comp"))
     named = named.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low <> high").drop("low", "high")
     named = save(named.join(family, "id", "left").withColumn("family", F.coalesce("family", "id")))
     members = named.select("id", "comp", "family").distinct()
@@ -184,6 +188,11 @@ def link_components(keys: DataFrame, sizes: DataFrame | None, texts_of: Callable
     overlap = overlap.groupBy("g", "o_g").agg(F.count("*").alias("shared"), F.min(F.least("need", "o_need")).alias("least"))
     opened = overlap.where("shared >= least").select(F.col("g").alias("cell"), F.col("o_g").alias("g"))
     own = groups.where("low <> high").select(F.col("g").alias("cell"), "g")
+    if alike:
+        held = named.select("id", "sketch").distinct().join(members.select("id", "g").distinct(), "id")
+        held = save(held.groupBy("g").agg(F.collect_set("sketch").alias("sketches")))  # of at most GROUP items, about
+        opened = opened.join(held, "g").join(held.select(F.col("g").alias("cell"), F.col("sketches").alias("others")), "cell")
+        opened = opened.where(F.exists("sketches", lambda x: F.exists("others", lambda y: alike(x, y)))).select("cell", "g")
     opened = save(opened.unionByName(own))
     left = opened.select("cell").distinct().join(members.select(F.col("g").alias("cell"), "id"), "cell")
     right = opened.join(members.select("g", "id"), "g").select("cell", "id")
