@@ -81,9 +81,19 @@ def test_url_cases(spark):
 def test_url_collisions_are_confirmed(tmp_path):
     names = url_filter.write_index([("a/x", "block")], str(tmp_path))
     index = url_filter.DigestArray(lambda n: str(tmp_path / n), names)
-    index.text = np.frombuffer(b"b/xblock", np.uint8)  # same digest, another string
-    index.lengths = [2]
-    assert index.probe(["a"], ["/x"]) == [-1]
+    stored = index.text.tobytes()
+    assert index.rule(index.probe(["a"], ["/x"])[0]) == "a/x"
+    for other in (stored.replace(b"a/x", b"b/x"), stored.replace(b"a2", b"b2")):  # same digest, another string
+        assert other != stored
+        index.text = np.frombuffer(other, np.uint8)
+        assert index.probe(["a"], ["/x"]) == [-1]
+
+
+def test_url_very_long(spark):
+    host = ".".join(["a"] * 300_000) + ".example.org"
+    rows = [(1, f"http://{host}/es/x"), (2, "http://org/" + "p" * 1_000_000), (3, "http://x.fr.com/fr/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("org/", "allow"), 3: ("com/fr/", "allow")}
 
 
 # ---- op2
@@ -105,6 +115,17 @@ def test_bpe_equals_library_and_round_trips(spark, docs, weird):
     assert bpe.encode_documents(weird.limit(0), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_long_pieces():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ours, theirs = bpe.ByteBpe(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(4)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "a", "日本語éü"):
+        text = "".join(rnd.choice(letters) for _ in range(6000))
+        assert ours.encode(text) == theirs.encode(text)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    assert ours.decode(ours.encode(text)).decode() == text
+
+
 # ---- op3
 
 
@@ -140,6 +161,45 @@ def test_fingerprints(spark, docs, weird):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def slow_fingerprint(text):
+    """From the definition, one code point at a time."""
+    c = [ord(x) + 1 for x in text]
+    whole = "".join(f"{sum(v * pow(int(x), j, int(p)) for j, v in enumerate(c)) % int(p):08x}" for p, x in ((2147483647, 1_000_003), (2147483629, 91_138_233)))
+    k, found = min(16, len(c)), set()
+    for i in range(len(c) - k + 1 if c else 0):
+        h = sum(v * pow(1_000_003, j, 2147483647) for j, v in enumerate(c[i : i + k])) % 2147483647
+        h = h * 0x9E3779B97F4A7C15 % 2**64
+        found.add(((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> 32)
+    return whole + "".join(f"{h:08x}" for h in sorted(found)[:64])
+
+
+def test_fingerprints_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "CHUNK", 300)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdeé日") for _ in range(rnd.randrange(1, 9)))
+    passage = " ".join(word() for _ in range(150))
+    texts = ["", "a", "x" * 1000] + [" ".join(word() for _ in range(rnd.randrange(300))) for _ in range(12)]
+    texts += [texts[-1], texts[-1][:-40] + "!", "start " + passage + " end", " ".join(word() for _ in range(20)) + passage + "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(df).collect()}
+    for i, t in enumerate(texts):
+        after = texts[i - 1]  # the next lower id, and after the last the first
+        changed = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        own, other, following = map(slow_fingerprint, (t, changed, after))
+        sketch = lambda f: {f[j : j + 8] for j in range(16, len(f), 8)}
+
+        def near(x, y):
+            union = sorted(sketch(x) | sketch(y))[:64]
+            return 1.0 if x == y else sum(h in sketch(x) & sketch(y) for h in union) / len(union) if union else 0.0
+
+        prefix = next((k for k, (a, b) in enumerate(zip(t, changed, strict=False)) if a != b), min(len(t), len(changed)))
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"], r["shared_prefix"]) == (own, other, prefix)
+        assert (r["near_edited"], r["near_next"]) == (near(own, other), near(own, following))
+    n = len(texts) - 1
+    assert got[n]["shared_next"] >= len(passage) and got[n - 2]["shared_next"] == len(texts[n - 2]) - 1 and got[n - 3]["shared_next"] == len(texts[-4]) and got[1]["shared_next"] == 0
+
+
 def test_fingerprint_ids_far_apart(spark):
     ids = [0, 1, 5, 2**20, 2**20 + 300, 2**40, 2**62, -7, -(2**50)]
     df = spark.createDataFrame([(i, f"text number {i} " * 5) for i in ids], "doc_id long, text string")
@@ -322,7 +382,7 @@ def test_quotes(spark):
         (1, 0): (None, 0, "Hello there\nHow are you?"), (1, 1): (0, 1, "Fine."), (1, 2): (1, 2, "Good"), (1, 3): (2, 3, "Bye"), (1, 4): (None, 0, "new"),
         (2, 0): (None, 0, None), (None, 1): (None, 0, ""), (2, 1): (None, 0, ""), (1, 5): (0, 1, "again"),
     }
-    order = [r["turn"] for r in quotes.link_quotes(df.where("conv_id = 1")).orderBy("reply_path").collect()]
+    order = [r["turn"] for r in quotes.link_quotes(df.where("conv_id = 1")).orderBy("thread_turn", "reply_order").collect()]
     assert order == [0, 1, 2, 3, 5, 4] and quotes.link_quotes(df.limit(0)).count() == 0
     chain = spark.createDataFrame([(1, k, "u", (f"> line {k - 1}\n" if k else "") + f"line {k}") for k in range(20)], "conv_id long, turn long, role string, text string")
     assert [r["depth"] for r in quotes.link_quotes(chain).orderBy("turn").collect()] == list(range(20))
@@ -344,6 +404,55 @@ def test_quotes_wrapped_partial_and_deeper(spark):
     assert got == {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 1, (1, 4): None, (1, 5): 1, (2, 0): None, (2, 1): 0}
 
 
+def test_quotes_against_generated_mail(spark):
+    """Trees of 1,500 messages: quotes wrapped anew, cited in part, nested, with strangers' words, a chain and a star."""
+    rnd = random.Random(7)
+
+    def wrapped(marks, text):
+        words, out, width = text.split(), [], rnd.randrange(20, 60)
+        while words:
+            line = [words.pop(0)]
+            while words and len(" ".join([*line, words[0]])) < width:
+                line.append(words.pop(0))
+            out.append(f"{marks} " + " ".join(line))
+        return out
+
+    rows, parent, wrote, quoted = [], {}, {}, {}
+    for conv in range(30):
+        n = 300 if conv < 2 else 32
+        for k in range(n):
+            up = None if k == 0 or rnd.random() < 0.1 and conv > 1 else k - 1 if conv == 0 else 0 if conv == 1 else rnd.randrange(k)
+            own = [" ".join(f"w{rnd.randrange(10**5)}" for _ in range(rnd.randrange(4, 12))) + "." for _ in range(3)]
+            lines = []
+            if up is not None:
+                lines = ["On Monday, someone wrote:"] * (rnd.random() < 0.5)
+                cited = rnd.choice(wrote[conv, up])
+                if rnd.random() < 0.5 and quoted.get((conv, up)):  # the parent's own quote comes along
+                    lines += wrapped("> >", quoted[conv, up])
+                lines += wrapped(">", cited.upper() if rnd.random() < 0.2 else cited)
+                quoted[conv, k] = cited
+            elif rnd.random() < 0.5:
+                lines = ["> these words were never written"]
+            parent[conv, k], wrote[conv, k] = up, own
+            rows.append((conv, k, "u", "\n".join([*lines, *own])))
+    want = {}
+    for conv in range(30):
+        children, turns = defaultdict(list), sorted(k for c, k in parent if c == conv)
+        for k in turns:
+            children[parent[conv, k]].append(k)
+        for top in children[None]:
+            stack, order = [(top, 0)], 0
+            while stack:
+                k, depth = stack.pop()
+                want[conv, k] = (parent[conv, k], top, order, depth)
+                order += 1
+                stack += [(c, depth + 1) for c in reversed(children[k])]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["thread_turn"], r["reply_order"], r["depth"]) for r in quotes.link_quotes(df).collect()}
+    assert got == want
+
+
 # ---- op8
 
 
@@ -372,11 +481,31 @@ def test_packing(spark, weird):
         for b in batches.values():
             assert sorted(r["slot"] for r in b) == list(range(len(b))) and {r["batch_docs"] for r in b} == {len(b)} and len({r["bucket_len"] for r in b}) == 1
             assert len(b) == 1 or len(b) * b[0]["bucket_len"] <= 2000
-            assert all(r["n_tokens"] <= r["bucket_len"] or r["bucket_len"] > packing.HISTOGRAM for r in b)
+            assert all(r["n_tokens"] <= r["bucket_len"] for r in b)
+        tops = defaultdict(int)
+        for r in rows:
+            tops[r["bucket_len"]] = max(tops[r["bucket_len"]], r["n_tokens"])
+        assert all(k == v for k, v in tops.items())
     words = {(r["doc_id"], r["n_tokens"]) for r in packing.pack(weird).collect()}
     assert {(1, 0), (2, 0), (3, 0), (4, 8), (8, 2)} <= words and packing.pack(weird.limit(0)).count() == 0
 
 
+def test_packing_against_all_boundaries(spark, monkeypatch):
+    """Long texts, and many rows of one id and one length, which are dealt into shards."""
+    import itertools
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 50)
+    lengths = [3, 40, 1100, 1111, 2050, 5003]
+    rows = [(k, " ".join(["w"] * n)) for n in lengths for k in range(n % 7 + 1)] + [(None, "a b")] * 400 + [(5, "a")] * 300
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).collect()
+    sizes = sorted(len(t.split()) for _, t in rows)
+    best = min(sum(next(b for b in (*c, 5003) if b >= n) - n for n in sizes) for c in itertools.combinations([1, 2, 3, 40, 1100, 1111, 2050], 2))
+    assert sum(r["bucket_len"] - r["n_tokens"] for r in packed) == best and len(packed) == len(rows)
+    assert max(len(list(g)) for _, g in itertools.groupby(sorted(r["batch_id"].rsplit("-", 1)[0] for r in packed))) <= 2 * 50 + 50
+    counted = packing.pack(spark.createDataFrame([(1, "a b", 7), (2, "a", None)], "doc_id long, text string, n int"), tokens_col="n").collect()
+    assert {(r["doc_id"], r["n_tokens"]) for r in counted} == {(1, 7), (2, 0)}
+
+
 # ---- op9
 
 
@@ -393,6 +522,31 @@ def test_html_cases(spark):
     assert sorted((r["page_id"], r["n_chars"]) for r in html_extract.extract_pages(df).collect()) == [(1, 0), (2, 58), (2, 58)]
 
 
+def test_html_ratios_decide(spark, monkeypatch):
+    """Without what the markup says nothing changes on the tables; without the densities pages change."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"].tolist()
+    full = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "MARKED", 1.0)
+    assert [html_extract.main_text(p) for p in pages] == full
+    monkeypatch.setattr(html_extract, "TITLE", 0)
+    same = sum(html_extract.main_text(p) == f for p, f in zip(pages, full, strict=True))
+    monkeypatch.setattr(html_extract, "density", lambda *_: 1.0)
+    constant = sum(html_extract.main_text(p) == f for p, f in zip(pages, full, strict=True))
+    assert same > 0.9 * len(pages) > constant
+
+
+def test_html_long_and_broken_pages():
+    assert html_extract.main_text('<a href="x>foo</a>') == "foo" and html_extract.main_text('<p title="a>b">one</p>') == "one"
+    deep = "<div>" * 20_000 + "deep words." + "</div>" * 20_000
+    assert html_extract.main_text(deep) == "deep words."
+    page = "<body>" + "".join(f"<p>paragraph {i}, with words.</p>" for i in range(40_000)) + "</body>"
+    assert html_extract.main_text(page).count("\n") == 39_999
+    assert "x" in html_extract.main_text("<p>" * 30_000 + "x y, z.") and html_extract.main_text("<b" * 50_000) == ""
+    wrapped = '<body class="page-with-sidebar"><div class="layout-sidebar"><form id="f"><article><h1>T</h1><p>Some long text here, with words. And more of it.</p><ul><li><a>Reference one</a><li><a>Reference two</a></ul><div class="comments"><p>I think, this is good.</p></div><aside>Side, note.</aside></article></form></div><footer>Foot, note. Now.</footer></body>'
+    assert html_extract.main_text(wrapped) == "T\nSome long text here, with words. And more of it.\nReference one\nReference two"
+    assert html_extract.main_text("<article><p>See <math><mi>x</mi></math> here, please.</p></article>") == "See x here, please."
+
+
 def test_html_whole_table(spark):
     import html
     import re
@@ -506,6 +660,12 @@ def test_pipeline(spark, weird):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.count() == docs.count()
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {r["doc_id"] for r in docs.collect()}
+    odd = weird.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), "id", "key")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and out.count() <= odd.count()
+        odd = save(out)
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
     again = ngram_join.join_documents(docs, 5, 80).where("component_id <> doc_id").count()
     assert again == 0
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)

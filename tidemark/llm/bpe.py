@@ -4,18 +4,22 @@ Each match of the split pattern is a small byte string. The distinct strings of
 bucketed by length into padded numpy matrices (one row per string). In every round each row
 merges its leftmost pair of minimum rank: all neighbouring pairs are looked up at once in an
 open-addressing hash table of pairs, the row-wise first minimum is merged, and the row is
-compacted to the left. Rows with no mergeable pair leave the matrix. Decoding joins the byte
+compacted to the left. Rows with no mergeable pair leave the matrix. A row costs the square of its
+length there, so strings of more than ``LONG`` bytes, which prose does not have, keep their pairs in
+a heap by (rank, place) instead: the same merges in the same order, in n log n. Decoding joins the byte
 strings of the ids. The vocabulary (a fixed number of entries, checked) is read by the driver
 from a path that is a parameter, and broadcast.
 
 Defined results: a null text counts as empty; an empty text has no ids and the digests of the
-empty string; every row is kept, repeated ids too; an empty table gives an empty result.
+empty string; every row is kept, repeated ids too; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from itertools import islice
 
 import numpy as np
@@ -30,6 +34,8 @@ MAX_VOCABULARY = 1_000_000
 #: Strings remembered by a worker between batches; a memory bound, not a limit on the text.
 CACHE_STRINGS = 400_000
 NONE = np.int64(1) << 40
+#: Bytes of a string from which its pairs are kept in a heap.
+LONG = 2048
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,6 +89,22 @@ class PairTable:
         return out
 
 
+class _Merges:
+    """One pair at a time from a pair table."""
+
+    def __init__(self, pairs: PairTable):
+        self.pairs = pairs
+
+    def get(self, key: int) -> int | None:
+        p = self.pairs
+        at = ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> int(p.shift)
+        while (there := int(p.slots[at])) >= 0:
+            if there == key:
+                return int(p.values[at])
+            at = (at + 1) & int(p.mask)
+        return None
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary."""
 
@@ -91,6 +113,7 @@ class ByteBpe:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs = PairTable(ranks)
+        self.merges = _Merges(self.pairs)
         self.known: dict[str, tuple[int, str, bytes]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
@@ -100,6 +123,8 @@ class ByteBpe:
         for i, p in enumerate(pieces):
             if p in self.ranks:
                 out[i] = [self.ranks[p]]
+            elif len(p) > LONG:
+                out[i] = self._merge_long(p)
             elif p:
                 buckets.setdefault(max(4, 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, members in buckets.items():
@@ -108,6 +133,42 @@ class ByteBpe:
                 self._merge_bucket(pieces, members[s : s + step], width, out)
         return out
 
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """Leftmost pair of minimum rank first, by a heap over a linked list of the ids."""
+        n = len(piece)
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.get(ids[:-1], ids[1:])
+        at = np.flatnonzero(ranks < NONE)
+        heap = (ranks[at] * n + at).tolist()  # rank first, then place
+        heapq.heapify(heap)
+        ids, after, before = ids.tolist(), [*range(1, n), -1], [-1, *range(n - 1)]
+        pair: dict[int, int] = dict(zip(at.tolist(), ranks[at].tolist(), strict=True))  # place: rank of the pair that starts there
+
+        def renew(i: int) -> None:
+            pair.pop(i, None)
+            if i >= 0 and after[i] >= 0:
+                rank = self.merges.get(ids[i] << 32 | ids[after[i]])
+                if rank is not None:
+                    pair[i] = rank
+                    heapq.heappush(heap, rank * n + i)
+
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), n)
+            if pair.get(i) != rank:  # merged or changed since
+                continue
+            j = after[i]
+            ids[i], after[i] = rank, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            pair.pop(j, None)
+            renew(i)
+            renew(before[i])
+        out, i = [], 0
+        while i >= 0:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
     def _merge_bucket(self, pieces, rows, width, out) -> None:
         lengths = np.array([len(pieces[i]) for i in rows])
         ids = np.full((len(rows), width), -1, np.int64)

@@ -11,6 +11,11 @@ The likeness of two fingerprints is 1 when the whole-text hashes are equal and o
 share of common span hashes among the smallest of their union: an unbiased estimate of the
 Jaccard similarity of the span sets.
 
+Two texts at hand are compared by spans: ``shared_prefix`` is the longest common extension of
+the text and its edited text from their beginnings, ``shared_next`` the longest passage common
+with the next document that holds a span of both sketches; such spans count only if both hashes
+agree, and are extended both ways by binary search.
+
 The next document of each document is needed without moving a text twice: documents are
 dealt by a block of neighbouring ids (one shuffle of the texts), sorted, and read as a
 stream. Only the first and last text of a block go through a second, small exchange; which
@@ -19,7 +24,7 @@ more than 65,536 groups.
 
 Defined results: a null text counts as empty; the fingerprint of an empty text has no span
 hashes, two empty texts have likeness 1, an empty and another 0. Rows with a null id come
-last. Rows with equal ids follow each other in order of their text. One row alone is its own next document. Empty table: empty result.
+last. Rows with equal ids follow each other in order of their text. One row alone is its own next document. Empty table: empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -136,6 +141,52 @@ def sketch(text: np.ndarray) -> np.ndarray:
     return best
 
 
+def extension(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common prefix of two texts: by prefix hashes, in growing chunks."""
+    at, size = 0, 4096
+    while True:
+        n = PrefixHash(a[at : at + size]).common_extension(0, PrefixHash(b[at : at + size]), 0)
+        at += n
+        if n < size:
+            return at
+        size = min(2 * size, CHUNK)
+
+
+def _places(text: np.ndarray, wanted: np.ndarray) -> dict[int, int]:
+    """The first place of each wanted span hash."""
+    found: dict[int, int] = {}
+    for s in range(0, max(1, len(text) - SPAN + 1), CHUNK):
+        part = text[s : s + CHUNK + SPAN - 1]
+        length = min(SPAN, len(part))
+        h = mix(PrefixHash(part, 1).spans(np.arange(len(part) - length + 1), length))
+        at = np.flatnonzero(np.isin(h, wanted))
+        for v, i in zip(h[at].tolist(), at.tolist(), strict=True):
+            found.setdefault(v, s + i)
+    return found
+
+
+def shared_passage(a: np.ndarray, b: np.ndarray, own: str, other: str) -> int:
+    """Length of the longest common passage that holds a span of both fingerprints' sketches."""
+    if own == other:
+        return len(a)
+    x, y = ({int(s[i : i + 8], 16) for i in range(16, len(s), 8)} for s in (own, other))
+    if not x & y:
+        return 0
+    wanted = np.array(sorted(x & y), np.uint64)
+    here, there = _places(a, wanted), _places(b, wanted)
+    best, known = 0, []  # first place, end and shift of the passages found
+    for v, i in sorted(here.items(), key=lambda p: p[1]):
+        j, k = there[v], SPAN
+        if any(low <= i < high and j - i == shift for low, high, shift in known):
+            continue
+        if not PrefixHash(a[i : i + k]).equal(0, PrefixHash(b[j : j + k]), 0, min(k, len(a) - i, len(b) - j)):
+            continue
+        before, after = extension(a[:i][::-1], b[:j][::-1]), extension(a[i:], b[j:])
+        known.append((i - before, i + after, j - i))
+        best = max(best, before + after)
+    return best
+
+
 def fingerprint(text: np.ndarray) -> str:
     return whole_hash(text) + "".join(f"{h:08x}" for h in sketch(text).tolist())
 
@@ -155,13 +206,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-RESULT = ("n_chars long", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double")
+RESULT = ("n_chars long", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double", "shared_prefix long", "shared_next long")
 
 
 def judge(text: str, following: str, own: str, after: str) -> tuple:
     changed = edited(text, following)
-    other = fingerprint(codes(changed))
-    return len(text), hashlib.sha256(changed.encode()).hexdigest(), own, other, likeness(own, other), likeness(own, after)
+    a, b, c = codes(text), codes(changed), codes(following)
+    other = fingerprint(b)
+    sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+    return len(text), sha, own, other, likeness(own, other), likeness(own, after), extension(a, b), shared_passage(a, c, own, after)
 
 
 def _following_block(ends: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 #: An element beyond one of these is not ended by what opens inside.
 SCOPES = ("table", "ul", "ol", "dl", "div", "section", "article", "main", "body")
 # What the markup names as furniture: elements, and words in class, id or role.
-FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog button select head".split())
+FURNITURE_TAGS = frozenset("header footer aside form".split())
+NEVER_CONTENT_TAGS = frozenset("nav menu dialog button select head".split())
 FURNITURE_WORDS = frozenset(
     "banner promo menu menubar nav navbar navigation breadcrumb breadcrumbs header footer "
     "sidebar aside widget cookie cookies consent notice notices alert popup modal newsletter subscribe signup login form search share sharing "
@@ -195,10 +196,10 @@ class Page:
 
     @staticmethod
     def _named(tag: str, rest: str, in_content: bool) -> tuple[str, int]:
-        """Label of an element and what the markup says: 1 furniture, 2 comments or adverts, -1 content."""
+        """Label of an element and what the markup says: 1 furniture, 2 menus, comments or adverts, -1 content."""
         names = [WORD.findall(name) for _, v in ATTRIBUTE.findall(rest) for name in v.strip("\"'").lower().split()] if rest else []
         words = [w for name in names if name and name[0] not in HAS for w in name]
-        if not NOT_CONTENT.isdisjoint(words):
+        if tag in NEVER_CONTENT_TAGS or not NOT_CONTENT.isdisjoint(words):
             mark = 2
         elif tag in CONTENT_TAGS:
             mark = -1
@@ -238,7 +239,11 @@ def main_text(page: str | None) -> str:
     for i in range(n - 1, 0, -1):  # containers collect, children before parents
         for held in (plain, whole, total_blocks):
             held[parent[i]] += held[i]
-    factor = weights(found, whole)
+    # a mark is cleared where it lies around most of the page
+    said = [0 if m == 1 and w > SHARE * whole[0] else m for m, w in zip(found.mark, whole, strict=True)]
+    factor = [1.0] * n
+    for i in range(1, n):
+        factor[i] = marked(said[i], factor[parent[i]])
     held = [w * f for w, f in zip(own, factor, strict=True)]
     for i in range(n - 1, 0, -1):
         held[parent[i]] += held[i]
@@ -261,9 +266,10 @@ def main_text(page: str | None) -> str:
         up = 0 if i == top else depth[parent[i]]
         inside[i], depth[i] = True, up + 1
         mean[i] = (level + (mean[parent[i]] * up if up else 0.0)) / (up + 1)
-        below[i] = 1.0 if i == top else factor_inside(found.mark[i], below[parent[i]])
+        below[i] = 1.0 if i == top and said[i] < 2 else marked(said[i], below[parent[i]])
     best = max((mean[i] for i in range(top, n) if inside[i] and count[i] and below[i] == 1.0), default=0.0)
-    kept = [inside[i] and mean[i] * below[i] >= KEEP * best for i in range(n)]
+    # nothing but links and menus: what the markup doesn't name stays
+    kept = [inside[i] and (mean[i] * below[i] >= KEEP * best if best else below[i] == 1.0) for i in range(n)]
     return "\n".join(text for at, text, _ in found.blocks if kept[at])
 
 
@@ -273,22 +279,11 @@ def density(chars: int, marks: int, links: int, blocks: int) -> float:
     return (chars - links) / blocks * (1 + a_block / (1 + a_block)) * (1 - links / chars)
 
 
-def factor_inside(mark: int, above: float) -> float:
+def marked(mark: int, above: float) -> float:
+    """The markup's factor of a path, from that of the path above it."""
     return 1.0 if mark < 0 else MARKED if mark > 0 else above
 
 
-def weights(found: Page, whole: list[float]) -> list[float]:
-    """The markup's factor of each path, for the choice of the container."""
-    out = [1.0] * len(whole)
-    for i in range(1, len(whole)):
-        above = out[found.parent[i]]
-        mark = found.mark[i]
-        if mark == 1 and whole[i] > SHARE * whole[0]:  # it holds most of the page
-            mark = 0
-        out[i] = factor_inside(mark, above)
-    return out
-
-
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, text, n_chars."""
 

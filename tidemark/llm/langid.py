@@ -13,7 +13,8 @@ more frequent elsewhere. Prediction uses every n-gram of the whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every
 text if there is no learning row. Null ids are neither held out nor learnt from. Every row
-is kept, repeated ids too; an empty table gives an empty result. Score is the winner's
+is kept, repeated ids too; an empty table gives an empty result; other columns are passed through
+by ``keep_identified``, where none may be named as its two own, and ignored else. Score is the winner's
 corrected count over the number of n-grams, between 0 and 1.
 """
 
@@ -178,7 +179,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows whose language is recognised; columns as they came."""
-    model = fit(docs.where(~held_out()) if "doc_id" in docs.columns else docs)
+    model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()) if "doc_id" in docs.columns else docs)
     names = ("__lang_pred", "__score")
     found = predict(docs, model, docs.columns, names=names)
     return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= REJECT_BELOW)).select(*docs.columns)

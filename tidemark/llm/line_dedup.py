@@ -17,7 +17,9 @@ distributed union-find gives the components; the line first in (doc_id, line num
 Defined results: blank lines, and lines of rows with a null id, take no part and stay; a null
 text has no lines; rows that share a doc_id count as one document and are treated alike;
 empty table, empty result; other columns are passed through. ``dedup_documents`` drops a
-document only if it had text and no line of it stays.
+document if lines of it were removed and less than a fifth of its characters outside blank lines
+stays: such a rest, the edited parts of a near copy, is a fragment, and the whole document is
+similar to others by ``PERCENT``.
 """
 
 from __future__ import annotations
@@ -244,18 +246,18 @@ def dedup_documents(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = []
+            texts, lost = [], []
             for text, removed in zip(b["text"], b["__removed"].to_pylist(), strict=True):
-                if removed:
-                    out = set(removed)
-                    lines = text.as_py().split("\n") if text.is_valid else []
+                text, gone = text.as_py(), False
+                if removed and text is not None:
+                    out, lines = set(removed), text.split("\n")
+                    sizes = [len(line.strip()) for line in lines]
+                    gone = 100 * sum(s for n, s in enumerate(sizes) if n in out) >= PERCENT * sum(sizes)
                     text = "\n".join(line for n, line in enumerate(lines) if n not in out)
-                    texts.append(text if text.strip() else None)
-                else:
-                    texts.append(text.as_py())
+                texts.append(text)
+                lost.append(gone)
             columns = [b[c] for c in names]
             columns[at] = pa.array(texts, pa.string())
-            lost = [bool(r) and t is None for r, t in zip(b["__removed"].to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.bool_())], [*names, "__lost"])
 
     types = dict(docs.dtypes)

@@ -2,10 +2,11 @@
 
 The rule strings (host + path prefix) are hashed to 64-bit xxhash keys, sorted, and kept
 with the strings in flat files that Spark ships to each executor (``addFile``), where every
-worker memory-maps them. A batch of urls is expanded to the rule strings that could fit it
-(host suffixes x the prefix lengths that occur in the rules), all their digests are looked
-up with one vectorised binary search, and a hit counts only if the stored string equals the
-candidate, so digest collisions cannot produce a verdict.
+worker memory-maps them. The array also holds the rules' hosts, each with the lengths of its path
+prefixes. A batch of urls is probed twice, each time with one vectorised binary search of all
+digests: the host suffixes of a length that some rule's host has, and then, for the hosts found,
+the path prefixes of their lengths. A hit counts only if the stored string equals the candidate,
+so digest collisions cannot produce a verdict. Memory is linear in the urls, however long.
 
 Defined results: a null url, or one without ``://``, has empty host and path and matches
 nothing; an empty rule list gives every url the default verdict; repeated urls and repeated
@@ -15,10 +16,13 @@ ignored, whatever their names. Two rules of equal length that both fit: the long
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,16 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 
 def write_index(rules: Iterable[tuple[str, str]], folder: str) -> dict[str, str]:
-    """Writes keys, string ends, strings and verdicts of the rules, sorted by digest."""
-    rows = sorted({(xxhash.xxh64_intdigest(r), r.encode(), v.encode()) for r, v in rules})
+    """Writes keys, string ends, strings and values, sorted by digest: of the rules their verdicts,
+    of their hosts (strings without a slash) the lengths of their paths."""
+    entries, paths = dict(rules), defaultdict(set)
+    for rule in entries:
+        if "/" not in rule:
+            raise ValueError(f"rule without a path: {rule}")
+        host, _, path = rule.partition("/")
+        paths[host].add(len(path) + 1)
+    entries |= {host: ",".join(map(str, sorted(n, reverse=True))) for host, n in paths.items()}
+    rows = sorted((xxhash.xxh64_intdigest(r), r.encode(), v.encode()) for r, v in entries.items())
     if sum(16 + len(r) + len(v) for _, r, v in rows) > MAX_INDEX_BYTES:
         raise ValueError(f"the rules exceed {MAX_INDEX_BYTES} bytes")
     tag = uuid.uuid4().hex
@@ -52,7 +64,7 @@ def write_index(rules: Iterable[tuple[str, str]], folder: str) -> dict[str, str]
         names[part] = f"{tag}-{part}.bin"
         with open(os.path.join(folder, names[part]), "wb") as f:
             f.write(values.tobytes() or b"\0" * 8)
-    return names | {"rules": str(len(rows))}
+    return names | {"rules": str(len(rows)), "hosts": ",".join(map(str, sorted({len(h) for h in paths})))}
 
 
 class DigestArray:
@@ -63,8 +75,7 @@ class DigestArray:
         self.keys = np.memmap(find(names["keys"]), "<u8", "r")[:n]
         self.ends = np.memmap(find(names["ends"]), "<u8", "r")[: 2 * n + 1]
         self.text = np.memmap(find(names["text"]), "u1", "r")
-        rules = [self.rule(i) for i in range(n)] if n else []
-        self.lengths = sorted({len(r) - len(r.partition("/")[0]) for r in rules}, reverse=True)
+        self.host_lengths = [int(x) for x in names["hosts"].split(",") if x][::-1]  # longest first
 
     def _string(self, k: int) -> str:
         return self.text[int(self.ends[k]) : int(self.ends[k + 1])].tobytes().decode()
@@ -75,31 +86,40 @@ class DigestArray:
     def verdict(self, i: int) -> str:
         return self._string(2 * i + 1)
 
-    def candidates(self, host: str, path: str) -> Iterator[str]:
-        """The rule strings that could fit, longest first; host suffixes at label borders."""
-        suffixes, at = [host], host.find(".")
-        while at >= 0:
-            suffixes.append(host[at + 1 :])
-            at = host.find(".", at + 1)
-        found = [s + path[:n] for s in suffixes for n in self.lengths if n <= len(path)]
-        return sorted(found, key=len, reverse=True)  # stable: of equal length, the longer host first
+    def hosts(self, host: str) -> list[str]:
+        """The host and its suffixes at label borders that have the length of a rule's host, longest first."""
+        n = len(host)
+        return [host[n - k :] for k in self.host_lengths if k == n or k < n and host[n - k - 1] == "."]
 
-    def probe(self, hosts: list[str], paths: list[str]) -> list[int]:
-        """For each url the index of the rule that decides, or -1."""
-        rows, texts = [], []
-        for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            if host:
-                more = self.candidates(host, path)
-                texts += more
-                rows += [i] * len(more)
-        best = [-1] * len(hosts)
+    def find(self, texts: list[str]) -> list[int]:
+        """The entry of each string, or -1: one binary search, then the stored strings are compared."""
         if not texts or not len(self.keys):
-            return best
+            return [-1] * len(texts)
         digests = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts))
         low, high = (np.searchsorted(self.keys, digests, side) for side in ("left", "right"))
+        out = [-1] * len(texts)
         for k in np.flatnonzero(low < high):
-            if best[rows[k]] < 0:
-                best[rows[k]] = next((i for i in range(low[k], high[k]) if self.rule(i) == texts[k]), -1)
+            out[k] = next((i for i in range(low[k], high[k]) if self.rule(i) == texts[k]), -1)
+        return out
+
+    def probe(self, hosts: list[str], paths: list[str]) -> list[int]:
+        """For each url the index of the rule that decides, or -1."""
+        rows, names = [], []
+        for i, host in enumerate(hosts):
+            if host:
+                more = self.hosts(host)
+                names += more
+                rows += [i] * len(more)
+        urls, texts = [], []
+        for i, name, entry in zip(rows, names, self.find(names), strict=True):
+            if entry >= 0:
+                more = [name + paths[i][:n] for n in map(int, self.verdict(entry).split(",")) if n <= len(paths[i])]
+                urls += [i] * len(more)
+                texts += more
+        best, size = [-1] * len(hosts), [0] * len(hosts)
+        for i, text, entry in zip(urls, texts, self.find(texts), strict=True):
+            if entry >= 0 and len(text) > size[i]:  # of equal length, the longer host comes first
+                best[i], size[i] = entry, len(text)
         return best
 
 
@@ -117,6 +137,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defau
     """One row per input row: id, host, path, rule (or null) and verdict."""
     spark = pages.sparkSession
     folder = tempfile.mkdtemp(prefix="url-rules-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     names = write_index(rules, folder)
     for part in ("keys", "ends", "text"):
         spark.sparkContext.addFile(os.path.join(folder, names[part]))
