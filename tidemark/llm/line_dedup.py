@@ -3,12 +3,14 @@
 A line's set are the hashed spans of ``span`` characters of its normalised text (lower case,
 white space as one blank; a shorter line is one span). The query and the pipeline use
 ``SHORT_SPAN``: one replaced character changes at most 5 spans, so lines from 49 characters on
-still link; with ``SPAN``, the default of the functions, only lines from 89 on. Equal normalised lines are one item.
-Signatures have ``BANDS * ROWS`` minima: from as many hash functions for short lines, from one
-hash dealt into bins for long ones, where bins are well filled; lines of middle length get
-both, so that any two lines of Jaccard similarity 0.8 have one kind in common (length is the
-number of distinct spans, as in the similarity). With 12 bands
-of 5 rows a pair at the threshold is a candidate with probability 0.99, at 0.9 with 0.99998.
+still link; with ``SPAN``, the default of the functions, only lines from 89 on. Equal normalised
+lines are one item. Signatures are 60 minima in ``BANDS`` bands. Short lines have as many hash
+functions and bands of ``ROWS``. Long lines have minima of one hash dealt into bins, of spans of
+``SPAN`` characters (short spans are so common in long lines that most would be candidates), and
+bands of ``LONG_ROWS`` to make up for it. Lines of middle length get both, so that any two lines
+of Jaccard similarity 0.8 have one kind in common (length is the number of distinct spans, as in
+the similarity). A short pair at the threshold is a candidate with probability 0.99, at 0.9 with
+0.99998; a long one, if single characters all over the line differ, with 0.93 and 0.998.
 Candidates whose sketches, one bit
 of each minimum, are too far apart are dropped before any line is fetched: of lines with little in
 common these are all but a hundredth. The others are tied through ``linking``, verified by exact Jaccard on the whole lines, and
@@ -37,7 +39,7 @@ from .linking import FILTER_BITS, distinct, link_components, sifted
 
 #: Characters of a span: of the functions' default, and of the query and the pipeline.
 SPAN, SHORT_SPAN = 9, 5
-BANDS, ROWS, PERCENT = 12, 5, 80
+BANDS, ROWS, LONG_ROWS, PERCENT = 12, 5, 4, 80
 #: Of the 60 bits of two lines' sketches at the threshold 6 differ on average; more than 18 do in one pair of a million.
 AWAY = 18
 #: Distinct spans of a line up to which minima come from many functions, and from which from one.
@@ -98,10 +100,10 @@ def tokens(texts: list[str], span: int = SPAN) -> list[np.ndarray]:
 
 def _bands(minima: np.ndarray, salt: int) -> np.ndarray:
     """Keys of the bands: one hash of ROWS minima and the band's number."""
-    m = minima.reshape(len(minima), BANDS, ROWS).astype(np.uint64)
+    m = minima.reshape(len(minima), BANDS, -1).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1 + salt * BANDS)
     out = np.broadcast_to(key * BASE, m.shape[:2]).copy()
-    for r in range(ROWS):
+    for r in range(m.shape[2]):
         out = (out ^ m[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(32)
     return out
@@ -128,15 +130,12 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
     for i in np.flatnonzero(counts >= ONE):
         sizes[i] = len(distinct(h[first[i] : first[i] + counts[i]]))
 
-    def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = counts[rows]
-        starts = np.cumsum(n) - n
-        return h[np.repeat(first[rows] - starts, n) + np.arange(n.sum())], starts
-
     few, long = np.flatnonzero(sizes < MANY), np.flatnonzero(sizes >= ONE)
     rows, keys, sketches = [], [], []
     if len(few):
-        x, starts = part(few)
+        n = counts[few]
+        starts = np.cumsum(n) - n
+        x = h[np.repeat(first[few] - starts, n) + np.arange(n.sum())]
         minima = np.empty((len(few), width), np.uint64)
         for i, f in enumerate(_factors):
             minima[:, i] = np.minimum.reduceat(x * f, starts)
@@ -144,8 +143,8 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
         keys.append(_bands(minima, 0).ravel())
         sketches.append(np.repeat(_sketch(minima), BANDS))
     if len(long):
-        x, _ = part(long)
-        cells = np.repeat(np.arange(len(long)) * width, counts[long]) + ((x >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
+        x, starts = span_hashes([lines[i] for i in long], max(span, SPAN))
+        cells = np.repeat(np.arange(len(long)) * width, np.diff(np.append(starts, len(x)))) + ((x >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
         empty = np.uint64(2**64 - 1)
         minima = np.full(len(long) * width, empty, np.uint64)
         np.minimum.at(minima, cells, x & np.uint64(0xFFFFFFFF))
@@ -155,7 +154,7 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
             minima = np.where(minima == empty, np.roll(minima, -shift, axis=1), minima)
             shift *= 2
         rows.append(np.repeat(long, BANDS))
-        keys.append(_bands(minima, 1).ravel())
+        keys.append(_bands(minima[:, : BANDS * LONG_ROWS], 1).ravel())
         sketches.append(np.repeat(_sketch(minima), BANDS))
     rows, keys, sketches = (np.concatenate(x) for x in (rows, keys, sketches))
     order = np.argsort(rows, kind="stable")
