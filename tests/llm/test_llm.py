@@ -612,7 +612,10 @@ def test_line_dedup_against_brute_force(spark, docs):
     for i, text in rows:
         lines = text.split("\n")
         left = "\n".join(x for k, x in enumerate(lines) if k not in set(got.get(i, [])))
-        assert kept.get(i, "").strip() == left.strip() if got.get(i) else kept[i] == text
+        if i in kept:
+            assert kept[i] == left
+        else:  # a fragment, or nothing, was left
+            assert 5 * sum(len(x.strip()) for x in left.split("\n")) <= sum(len(x.strip()) for x in lines)
 
 
 def test_line_dedup_finds_edited_lines(spark, docs, tmp_path):
