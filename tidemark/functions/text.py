@@ -40,7 +40,7 @@ def slug(x, fallback: str = "item") -> Column:
 def join_reasons(*parts) -> Column:
     """Distinct parts in order, split at the separator first, nulls and blanks dropped."""
     flat = F.flatten(F.array(*[F.split(F.coalesce(p, F.lit("")), " · ") for p in parts]))
-    return F.array_join(F.array_distinct(F.filter(F.transform(flat, F.trim), lambda x: x != "")), " · ")
+    return F.array_join(F.array_distinct(F.filter(F.transform(flat, lambda x: F.trim(x)), lambda x: x != "")), " · ")
 
 
 def clean_model_text(x) -> Column:

@@ -7,6 +7,7 @@ a fold per timeline in ``applyInPandas``.
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pandas as pd
@@ -57,9 +58,9 @@ def snap(targets: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], id
     return best.select(*by, id_col, "target", F.col("c").alias("snapped"), "n_hard", "n_soft")
 
 
-def chunk_plan(scored: DataFrame, by: list[str], t: str, score: str, bounds: DataFrame, target, longest, shortest) -> DataFrame:
-    """Tiles each timeline: as many chunks as ``target`` asks for, every inner boundary the best
-    scored time near its ideal place that keeps all chunks within limits."""
+def chunk_plan(scored: DataFrame, by: list[str], t: str, score: str, bounds: DataFrame, target, longest, shortest, nearby=300_000) -> DataFrame:
+    """Tiles each timeline: no fewer chunks than its length over ``target`` and over ``longest``, every inner boundary the best
+    scored time near its ideal place (0.28 of a chunk, ``nearby`` at least) that keeps all chunks within limits."""
     rows = bounds.select(*by, "lo", "hi").join(scored.select(*by, F.col(t).alias("t"), F.col(score).alias("score")), by, "left")
     types = dict(rows.dtypes)
     keys = ", ".join(f"`{c}` {types[c]}" for c in by)
@@ -68,7 +69,7 @@ def chunk_plan(scored: DataFrame, by: list[str], t: str, score: str, bounds: Dat
         lo, hi = float(pdf["lo"].iloc[0]), float(pdf["hi"].iloc[0])
         pdf = pdf.dropna(subset=["t"]).sort_values("t")
         ts, sc = pdf["t"].tolist(), pdf["score"].fillna(0).tolist()
-        n = max(1, round((hi - lo) / target), -int(-(hi - lo) // longest) if (hi - lo) % longest == 0 else int((hi - lo) // longest) + 1)
+        n = max(1, math.ceil((hi - lo) / target), math.ceil((hi - lo) / longest))
         ideal, edges = (hi - lo) / n, [lo]
         least = min(shortest, 0.2 * ideal)
         for k in range(1, n):
@@ -76,7 +77,7 @@ def chunk_plan(scored: DataFrame, by: list[str], t: str, score: str, bounds: Dat
             low = max(edges[-1] + least, hi - (n - k) * longest)
             high = min(edges[-1] + longest, hi - (n - k) * least)
             inside = range(bisect.bisect_right(ts, low), bisect.bisect_left(ts, high))
-            near = [i for i in inside if abs(ts[i] - goal) <= 0.28 * ideal] or list(inside)
+            near = [i for i in inside if abs(ts[i] - goal) <= max(nearby, 0.28 * ideal)] or list(inside)
             pick = max(near, key=lambda i: (sc[i] - 0.35 * abs(ts[i] - goal) / max(1.0, ideal), -ts[i]), default=None)
             edges.append(ts[pick] if pick is not None else max(low, min(high, goal)))
         edges.append(hi)

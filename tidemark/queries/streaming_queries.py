@@ -11,21 +11,27 @@ from ..streaming import events as st
 from .registry import query
 
 
-def drained(out: DataFrame, name: str, mode: str) -> DataFrame:
-    """All results of a stream over the input there is, through a Parquet sink."""
+def drained(out: DataFrame, name: str) -> DataFrame:
+    """All results of a stream in append mode over the input there is. Each batch has a folder of its
+    own, written over when the batch is retried, so nothing is written twice."""
     spark, path = out.sparkSession, scratch_path(out.sparkSession, name)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    spark.createDataFrame([], out.schema).write.parquet(path)
-    out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+    spark.createDataFrame([], out.schema).write.parquet(f"{path}/batch=-1")
+    out.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path).select(*out.columns)
 
 
 def stream(spark, d) -> DataFrame:
+    """The events, then one late marker without a user that lets the watermark pass all of them."""
     schema = read(spark, d, "events").schema
+    path = scratch_path(spark, "stream-end")
+    end = read(spark, d, "events").agg(F.max("ts").alias("ts")).where("ts is not null")
+    end.select(*[(F.col("ts") + F.expr("interval 30 days") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(path)
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = rows.unionByName(spark.readStream.schema(schema).parquet(path))
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -41,7 +47,7 @@ def micros(c: str):
 )
 def streaming_sessions(spark, d):
     out = st.sessions(stream(spark, d), "user_id", "ts", "6 hours", "1 day")
-    return drained(out, "sessions", "complete").select("user_id", micros("t_ini").alias("t_ini"), micros("t_fin").alias("t_fin"), "n", "peak")
+    return drained(out, "sessions").select("user_id", micros("t_ini").alias("t_ini"), micros("t_fin").alias("t_fin"), "n", "peak")
 
 
 @query(
@@ -51,12 +57,12 @@ def streaming_sessions(spark, d):
 )
 def streaming_hopping_stats(spark, d):
     out = st.hopping_stats(stream(spark, d), "event_type", "ts", "24 hours", "6 hours", "1 day")
-    rows = drained(out, "hopping", "complete")
+    rows = drained(out, "hopping")
     return rows.select("event_type", micros("t_ini").alias("t_ini"), "n", F.round("mean", 6).alias("mean"), "peak")
 
 
 @query("streaming_wake_spans")
 def streaming_wake_spans(spark, d):
     out = st.wake_spans(stream(spark, d), "user_id", "ts", "event_type", "signup", 12 * 3_600_000, 72 * 3_600_000, "1 day")
-    rows = drained(out, "wake", "append")
+    rows = drained(out, "wake")
     return rows.select("user_id", micros("t_ini").alias("t_ini"), micros("t_fin").alias("t_fin"), "n", "cause")

@@ -40,6 +40,15 @@ def fingerprint(media: DataFrame) -> DataFrame:
     return media.withColumn("identity", F.sha2(F.concat_ws("|", F.col("size").cast("string"), F.col("sampled_hash"), inventory), 256))
 
 
+def sampled_hash(content, size, block: int = 8 << 20):
+    """Digest of the first, middle and last block of a binary column and its size: the identity of
+    large files without reading all of them into a hash."""
+    middle = F.greatest(F.lit(1), F.floor((size - block) / 2) + 1).cast("int")
+    last = F.greatest(F.lit(1), size - block + 1).cast("int")
+    parts = [F.substring(content, F.lit(1), F.lit(block)), F.substring(content, middle, F.lit(block)), F.substring(content, last, F.lit(block))]
+    return F.sha2(F.concat(*parts, F.encode(size.cast("string"), "utf-8")), 256)
+
+
 def scan(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """Files below a root with their stamp and content hash (path, size, modified, digest)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
