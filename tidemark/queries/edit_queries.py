@@ -214,8 +214,8 @@ def json_words(spark, d):
     return sd.read_words(spark, f"{path}-lists").groupBy("text", "t_ini", "t_fin", "valid").agg(F.count("*").alias("n"))
 
 
-@query("optional_stream", f"WITH {EV_SQL} SELECT event_id, CAST(NULL AS DOUBLE) AS breath FROM ev")
-def optional_stream(spark, d):
+@query("missing_stream", f"WITH {EV_SQL} SELECT event_id, CAST(NULL AS DOUBLE) AS breath FROM ev")
+def missing_stream(spark, d):
     none = sd.optional(spark, None, sd.BREATH)
     return timeline(spark, d).join(none, (F.col("t_ini") / 1000 >= none["start"]) & (F.col("t_ini") / 1000 < none["end"]), "left").select("event_id", (none["end"] - none["start"]).alias("breath"))
 
