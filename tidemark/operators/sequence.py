@@ -1,12 +1,14 @@
 """Sequence operators: pauses, sessions, runs, hysteresis, smoothing, peaks, spans.
 
 What a window can say is a window. The few operators whose next step depends on the step
-before (absorbing runs, greedy separation, wake spans, pairwise merges) run per timeline in
+before (greedy separation, prominence, wake spans) run per timeline in
 ``applyInPandas``: a timeline is one recording, which fits a task.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -220,8 +222,9 @@ def separated_peaks(df: DataFrame, by: list[str], t: str, value: str, min_gap, l
         taken: list[float] = []
         out = []
         for row_t, v in sorted(zip(pdf[t].tolist(), pdf[value].tolist(), strict=True), key=lambda r: (-r[1], r[0])):
-            if all(abs(row_t - x) >= min_gap for x in taken):
-                taken.append(row_t)
+            i = bisect.bisect_left(taken, row_t)
+            if all(abs(row_t - x) >= min_gap for x in taken[max(0, i - 1) : i + 1]):
+                taken.insert(i, row_t)
                 out.append((row_t, v))
         return sorted(out)
 
@@ -229,57 +232,52 @@ def separated_peaks(df: DataFrame, by: list[str], t: str, value: str, min_gap, l
 
 
 def prominent_peaks(df: DataFrame, by: list[str], t: str, value: str, prominence: float) -> DataFrame:
-    """Local maxima that rise at least ``prominence`` above the higher of the two valleys next to them."""
+    """Local maxima that rise at least ``prominence`` above the higher of the two valleys next to them.
+
+    A valley is the lowest value between the peak and the nearest higher row (or the end of the timeline)."""
+
+    def valleys(x: list[float]) -> list[float]:
+        out, higher = [], []  # higher: rows that nothing since has passed, each with the lowest value down to the one below
+        for v in x:
+            low = v
+            while higher and higher[-1][0] <= v:
+                low = min(low, higher.pop()[1])
+            higher.append((v, low))
+            out.append(low)
+        return out
 
     def run(pdf):
-        x, ts, out = pdf[value].to_numpy(float), pdf[t].tolist(), []
-        for i in range(1, len(x) - 1):
-            if not (x[i] > x[i - 1] and x[i] >= x[i + 1]):
-                continue
-            left = np.flatnonzero(x[:i] > x[i])
-            right = np.flatnonzero(x[i + 1 :] > x[i])
-            low_l = x[(left[-1] if len(left) else 0) : i + 1].min()
-            low_r = x[i : (i + 1 + right[0] if len(right) else len(x) - 1) + 1].min()
-            rise = x[i] - max(low_l, low_r)
-            if rise >= prominence:
-                out.append((ts[i], float(x[i]), float(rise)))
-        return out
+        x, ts = pdf[value].astype(float).tolist(), pdf[t].tolist()
+        left, right = valleys(x), valleys(x[::-1])[::-1]
+        tops = (i for i in range(1, len(x) - 1) if x[i] > x[i - 1] and x[i] >= x[i + 1])
+        return [(ts[i], x[i], x[i] - max(left[i], right[i])) for i in tops if x[i] - max(left[i], right[i]) >= prominence]
 
     return _per_timeline(df.where(F.col(value).isNotNull()).select(*by, t, value), by, [t], run, f"peak_t {dict(df.dtypes)[t]}, peak double, prominence double")
 
 
 def absences(df: DataFrame, by: list[str], t: str, present: str, debounce) -> DataFrame:
     """Absences after short runs are absorbed by the state before: (by, t_ini, t_fin, at_end)."""
-    single = runs(df, by, t, present)
-
-    def run(pdf):
-        out: list[list] = []
-        for state, a, b in zip(pdf[present], pdf["t_ini"], pdf["t_fin"], strict=True):
-            if out and (b - a < debounce or state == out[-1][0]):
-                out[-1][2] = b
-            else:
-                out.append([state, a, b])
-        return [(a, b, k == len(out) - 1) for k, (state, a, b) in enumerate(out) if not state]
-
-    kind = dict(df.dtypes)[t]
-    return _per_timeline(single, by, ["run"], run, f"t_ini {kind}, t_fin {kind}, at_end boolean")
+    line = Window.partitionBy(*by).orderBy("run")
+    stays = (F.col("run") == 1) | (F.col("t_fin") - F.col("t_ini") >= F.lit(debounce))
+    held = runs(df, by, t, present).withColumn("__state", F.last(F.when(stays, F.struct(present)), True).over(line)[present])
+    new = ~F.col("__state").eqNullSafe(F.lag("__state").over(line)) | (F.row_number().over(line) == 1)
+    spans = held.withColumn("__new", new.cast("int")).withColumn("__span", F.sum("__new").over(line)).groupBy(*by, "__span")
+    out = spans.agg(F.first("__state").alias("__state"), F.min("t_ini").alias("t_ini"), F.max("t_fin").alias("t_fin"))
+    out = out.withColumn("at_end", F.col("__span") == F.max("__span").over(Window.partitionBy(*by)))
+    return out.where(~F.coalesce("__state", F.lit(False))).select(*by, "t_ini", "t_fin", "at_end")
 
 
 def merge_pairwise(df: DataFrame, by: list[str], max_gap, min_dur, peak: str, mean: str) -> DataFrame:
-    """Joins events closer than ``max_gap``, with pairwise means, then drops short ones. The mean
-    depends on the order of joining, so a timeline is folded in order."""
-
-    def run(pdf):
-        out: list[list] = []
-        for a, b, hi, mu in zip(pdf["t_ini"], pdf["t_fin"], pdf[peak], pdf[mean], strict=True):
-            if out and a - out[-1][1] < max_gap:
-                out[-1][1:] = [b, max(out[-1][2], hi), (out[-1][3] + mu) / 2]
-            else:
-                out.append([a, b, hi, mu])
-        return [r for r in out if r[1] - r[0] >= min_dur]
-
-    kind = dict(df.dtypes)["t_ini"]
-    return _per_timeline(df.select(*by, "t_ini", "t_fin", peak, mean), by, ["t_ini", "t_fin", peak, mean], run, f"t_ini {kind}, t_fin {kind}, peak double, mean double")
+    """Joins events closer than ``max_gap`` to the one before, then drops short ones. A mean is
+    halved with that of the next event each time: the first two weigh 2^(1-n), the last a half."""
+    w = Window.partitionBy(*by).orderBy("t_ini", "t_fin", peak, mean)
+    apart = F.coalesce(F.col("t_ini") - F.lag("t_fin").over(w) >= F.lit(max_gap), F.lit(True))
+    rows = df.withColumn("__n", F.row_number().over(w)).withColumn("__new", apart.cast("int")).withColumn("__g", F.sum("__new").over(w))
+    group = Window.partitionBy(*by, "__g")
+    rows = rows.withColumn("__first", F.min("__n").over(group)).withColumn("__later", F.max("__n").over(group) - F.col("__n"))
+    weight = F.pow(F.lit(0.5), F.col("__later") + F.when(F.col("__n") == F.col("__first"), 0).otherwise(1))
+    out = rows.groupBy(*by, "__g").agg(F.min("t_ini").alias("t_ini"), F.max_by("t_fin", "__n").alias("t_fin"), F.max(peak).cast("double").alias("peak"), F.sum(F.col(mean) * weight).alias("mean"))
+    return out.where(F.col("t_fin") - F.col("t_ini") >= F.lit(min_dur)).drop("__g")
 
 
 def wake_spans(words: DataFrame, by: list[str], text: str, variants: set[str], end_gap, max_dur, repeat, context: int = 5) -> DataFrame:

@@ -17,8 +17,9 @@ from ..operators import stats as st
 from ..plans import master as ms
 from ..plans.silence import bounds_of
 from ..sources.timeline import EV_SQL, UT_SQL, read, timeline, utterances
+from . import fold_sql
 from .interval_queries import BIN, ERR_SQL, HOUR, clips
-from .registry import query
+from .registry import ORACLE, query
 
 BY = ["media_id"]
 MAP_SQL = """sg AS (SELECT media_id, event_id, t_ini AS source_ini, t_ini + 3600000 AS source_fin FROM ev WHERE track_id = 'signup'),
@@ -338,14 +339,14 @@ def readable_blocks(spark, d):
     return cv.readable_blocks(u, ["conv_id"], "track", "role", "turn", "text", "blocked", 2500, 60_000, 120)
 
 
-@query("boundary_snap")
+@query("boundary_snap", fold_sql.BOUNDARY_SNAP)
 def boundary_snap(spark, d):
     ev = timeline(spark, d)
     targets = ev.select("media_id").distinct().withColumn("chunk_no", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn("target", F.col("chunk_no").cast("long") * 72 * HOUR)
     return pl.snap(targets, ev.where("track_id = 'view'"), ev.where("track_id = 'click'"), BY, "chunk_no", 6 * HOUR, 1, HOUR, 6 * HOUR)
 
 
-@query("chunk_plan")
+@query("chunk_plan", fold_sql.CHUNK_PLAN)
 def chunk_plan(spark, d):
     ev = timeline(spark, d)
     return pl.chunk_plan(ev, BY, "t_ini", "value", bounds_of(ev), 72 * HOUR, 96 * HOUR, 6 * HOUR)
@@ -479,7 +480,7 @@ def subtitle_entries(spark, d):
     return out.select("conv_id", "turn", "no", F.length("body").cast("long").alias("chars"))
 
 
-@query("edit_list")
+@query("edit_list", fold_sql.edit_list_sql(ORACLE["flatten_top_track"]))
 def edit_list(spark, d):
     return ms.edit_list(iv.flatten(clips(timeline(spark, d)), BY, "rank", bin_width=BIN), BY, 25)
 

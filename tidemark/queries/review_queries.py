@@ -11,6 +11,7 @@ from ..operators import stats as st
 from ..plans import review as rv
 from ..plans.silence import analyse_silence, bounds_of, gate
 from ..sources.timeline import EV_SQL, read, timeline
+from . import fold_sql
 from .document_queries import MAP_SQL, TREE_SQL, mapping, tree
 from .interval_queries import BIN, BOUNDS_SQL, HOUR, UNION_SQL, clips
 from .registry import query
@@ -158,7 +159,7 @@ def timeline_xml(spark, d):
     return rv.timeline_xml(c, BY, 25).withColumnRenamed("pos", "event_id")
 
 
-@query("snapped_proposal")
+@query("snapped_proposal", fold_sql.SNAPPED_PROPOSAL)
 def snapped_proposal(spark, d):
     ev = timeline(spark, d)
     proposal = ev.where("track_id = 'purchase'").select("media_id", "event_id", "t_ini", "t_fin")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sequence as sq
 from ..operators import stats as st
 from ..sources.timeline import EV_SQL, timeline
+from . import fold_sql
 from .registry import query
 
 HOUR = 3_600_000
@@ -179,29 +180,29 @@ def novelty_peaks(spark, d):
     return sq.local_peaks(curve, BY, "t", "novelty", 20).select("media_id", "t", F.round("novelty", 6).alias("novelty"))
 
 
-@query("separated_peaks")
+@query("separated_peaks", fold_sql.SEPARATED_PEAKS)
 def separated_peaks(spark, d):
     return sq.separated_peaks(samples(timeline(spark, d)), BY, "t", "value", 12 * HOUR, 30.0)
 
 
-@query("prominent_peaks")
+@query("prominent_peaks", fold_sql.PROMINENT_PEAKS)
 def prominent_peaks(spark, d):
-    return sq.prominent_peaks(samples(timeline(spark, d)), BY, "t", "value", 50.0)
+    return sq.prominent_peaks(samples(timeline(spark, d)), BY, "t", "value", 50.0).withColumn("prominence", F.round("prominence", 6))
 
 
-@query("presence_absences")
+@query("presence_absences", fold_sql.PRESENCE_ABSENCES)
 def presence_absences(spark, d):
     ev = timeline(spark, d).withColumn("present", F.col("track_id") != "error")
     return sq.absences(ev.select("media_id", F.col("t_ini").alias("t"), "present"), BY, "t", "present", 2 * HOUR)
 
 
-@query("pairwise_merge")
+@query("pairwise_merge", fold_sql.PAIRWISE_MERGE)
 def pairwise_merge(spark, d):
     ev = timeline(spark, d).withColumn("mean", F.col("value") / 2)
-    return sq.merge_pairwise(ev, BY, HOUR, HOUR // 2, "value", "mean")
+    return sq.merge_pairwise(ev, BY, HOUR, HOUR // 2, "value", "mean").withColumn("mean", F.round(F.col("mean") + 1e-9, 6))  # ties of the last digit go up in both engines
 
 
-@query("wake_spans")
+@query("wake_spans", fold_sql.WAKE_SPANS)
 def wake_spans(spark, d):
     return sq.wake_spans(timeline(spark, d), BY, "track_id", {"signup"}, 12 * HOUR, 72 * HOUR, 2 * HOUR)
 
