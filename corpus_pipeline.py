@@ -1,7 +1,16 @@
-"""Corpus cleaning: four text operators one after the other, each on all that the last kept."""
+"""Corpus cleaning: four text operators one after the other, each on all that the last kept.
+
+Defined results, stage by stage: rows with a null or empty text, or without a letter, go with the
+language stage. Rows with a null id keep all their lines, are no near copies and are packed. Of
+equal or nearly equal texts under different ids that of the smallest id stays whole; rows that
+share an id are one document to the middle stages, so they stay or go together. Ties are decided
+by id and line number. An empty table gives an empty table. Other columns are passed through;
+their names may be anything but those that packing adds.
+"""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,19 +23,23 @@ from tidemark.llm.ngram_join import keep_one
 from tidemark.llm.packing import pack
 
 
-_done: list[str] = []
+#: Scratch tables behind the last stage that this thread ran; pipelines in other threads have their own.
+_held = threading.local()
 
 
 def stage(f: Callable) -> Callable:
     """A stage's input has been written, so the scratch tables behind it are dropped first: the
-    disk holds those of one stage at a time."""
+    disk holds those of one stage at a time. An input that still reads them keeps them."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _done)
+        done = _held.__dict__.setdefault("done", [])
+        read = docs.inputFiles()
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in file for path in done for file in read):
+            drop_tables(spark, done)
         with scratch_scope() as paths:
             out = f(spark, docs, sf_dir)
-        _done.extend(paths)
+        done.extend(paths)
         return out
 
     return run_stage

@@ -4,6 +4,7 @@ distributed union-find."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -22,26 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where the session has none (tests, a laptop) is one made."""
+    session. Only a local session without one (tests, a laptop) gets one; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-_scopes: list[list[str]] = []
+#: Open scopes of each thread.
+_local = threading.local()
 
 
 @contextmanager
 def scratch_scope():
     """Collects the paths of the tables that ``save`` writes inside the scope, so that they can
     be dropped once what was derived from them is written."""
-    _scopes.append([])
+    scopes = _local.__dict__.setdefault("scopes", [])
+    scopes.append([])
     try:
-        yield _scopes[-1]
+        yield scopes[-1]
     finally:
-        _scopes.pop()
+        scopes.pop()
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -66,7 +71,7 @@ def save(df: DataFrame, dictionary: bool = True) -> DataFrame:
     spares the attempt to encode columns of distinct values."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    for held in _scopes[-1:]:
+    for held in _local.__dict__.get("scopes", [])[-1:]:
         held.append(path)
     df.write.option("parquet.enable.dictionary", str(dictionary).lower()).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
