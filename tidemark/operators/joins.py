@@ -26,14 +26,13 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], l_cols: tuple
         out = left.join(right, on, how)
         return out.drop(*(f"__r_{c}" for c in by)) if how in ("inner", "left") else out
     if how != "inner":
-        marked = left.withColumn("__row", F.monotonically_increasing_id()) if how != "left" else left
         if how == "left":
             hit = overlap_join(left, right, by, l_cols, r_cols, convention, bin_width)
             missing = overlap_join(left, right, by, l_cols, r_cols, convention, bin_width, "left_anti")
             return hit.unionByName(missing, allowMissingColumns=True)
         keys = [*by, ls, le]
         hits = overlap_join(left.select(*keys).distinct(), right.select(*by, rs, re), by, l_cols, r_cols, convention, bin_width).select(*keys).distinct()
-        return marked.join(hits, keys, how).drop("__row")
+        return left.join(hits, keys, how)
     width = F.lit(bin_width)
     l = left.withColumn("__l0", F.floor(F.col(ls) / width)).withColumn("__bin", F.explode(F.sequence("__l0", F.floor(F.col(le) / width))))
     r = right.withColumn("__r0", F.floor(F.col(rs) / width)).withColumn("__bin", F.explode(F.sequence("__r0", F.floor(F.col(re) / width))))

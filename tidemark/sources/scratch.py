@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's ``spark.checkpoint.dir``; only a session without one (a laptop)
-    gets a temporary folder of its own."""
+    """A new path in the session's ``spark.checkpoint.dir``; only a local session without one (a
+    laptop) gets a temporary folder of its own; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/tidemark/{name}-{uuid.uuid4().hex}"
