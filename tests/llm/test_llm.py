@@ -648,7 +648,7 @@ def test_line_dedup_edges(spark, weird):
 
 
 def test_registered_queries():
-    assert [k.split("_")[0] for k in llm.queries()] == [f"op{i}" for i in range(1, 11)] and set(llm.oracle_sql()) <= set(llm.queries())
+    assert [k.split("_")[0] for k in llm.queries()] == [f"op{i}" for i in range(1, 14)] and set(llm.oracle_sql()) <= set(llm.queries())
 
 
 def test_pipeline(spark, weird):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, html_extract, knn, langid, line_dedup, ngram_join, packing, quotes, url_filter
+from . import bpe, exact_dedup, fingerprint, html_extract, knn, langid, line_dedup, negatives, ngram_join, packing, quotes, url_filter, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_tag_path_extraction": html_extract.op9_tag_path_extraction,
         "op10_fuzzy_line_dedup": line_dedup.op10_fuzzy_line_dedup,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL, "op6_voronoi_knn": knn.OP6_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op6_voronoi_knn": knn.OP6_SQL, "op11_hard_negatives": negatives.OP11_SQL, "op12_exact_dedup": exact_dedup.OP12_SQL}
