@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .intervals import islands
-from .joins import overlap_join
+from ..sources.scratch import stored
+from .joins import asof, overlap_join
+from .scan import follow, running
 
 
 def overlap_groups(utterances: DataFrame, by: list[str], track: str, id_col: str) -> DataFrame:
@@ -67,26 +69,37 @@ def bleed_duplicates(utterances: DataFrame, by: list[str], track: str, id_col: s
     return pairs.groupBy(*by).applyInPandas(claim, f"{keys}, primary_id {types['id']}, secondary_id {types['id']}, similarity double")
 
 
-def readable_blocks(utterances: DataFrame, by: list[str], track: str, speaker: str, id_col: str, text: str, blocked: str, max_gap, max_span, max_words: int) -> DataFrame:
-    """Folds consecutive utterances of one speaker and track; a block is bounded in time and
-    words, and utterances marked ``blocked`` stay alone. The bounds depend on the block's start,
-    so each timeline is folded in order."""
-    types = dict(utterances.dtypes)
-    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[dict] = []
-        for r in pdf.sort_values(["t_ini", "t_fin", id_col]).to_dict("records"):
-            words = len((r[text] or "").split())
-            last = blocks[-1] if blocks else None
-            if last and not r[blocked] and not last["blocked"] and (last["speaker"], last["track"]) == (r[speaker], r[track]) and 0 <= r["t_ini"] - last["t_fin"] <= max_gap and r["t_fin"] - last["t_ini"] <= max_span and last["words"] + words <= max_words:
-                last["t_fin"] = max(last["t_fin"], r["t_fin"])
-                last["n"] += 1
-                last["words"] += words
-                last["text"] = " ".join(x for x in (last["text"], (r[text] or "").strip()) if x)
-            else:
-                blocks.append({"speaker": r[speaker], "track": r[track], "blocked": r[blocked], "t_ini": r["t_ini"], "t_fin": r["t_fin"], "n": 1, "words": words, "text": (r[text] or "").strip()})
-        return pd.DataFrame([(*key, i + 1, b["track"], b["speaker"], b["t_ini"], b["t_fin"], b["n"], b["words"], b["text"]) for i, b in enumerate(blocks)], columns=[*by, "block_no", "track", "speaker", "t_ini", "t_fin", "n", "words", "text"])
-
-    t = types["t_ini"]
-    return utterances.groupBy(*by).applyInPandas(fold, f"{keys}, block_no int, track {types[track]}, speaker {types[speaker]}, t_ini {t}, t_fin {t}, n int, words int, text string")
+def readable_blocks(utterances: DataFrame, by: list[str], track: str, speaker: str, id_col: str, text: str, blocked: str, max_gap, max_span, max_words: int, slice_width=None) -> DataFrame:
+    """Blocks of consecutive utterances of one speaker and track with gaps of 0 to ``max_gap``, bounded in
+    time and words; utterances marked ``blocked`` stay alone: (by, block_no, track, speaker, t_ini, t_fin, n, words, text).
+
+    Where a block from any utterance would end follows from the next break between neighbours and from two
+    searches, for the last end inside the span and the last word inside the count; the blocks that
+    exist are found by following these steps. An utterance beyond a bound is a block of its own. A null text has no words, a null
+    ``blocked`` is false, an end before its start counts as the start; utterances without a time take no part."""
+    end = F.greatest("t_ini", "t_fin")
+    said = F.trim(F.coalesce(F.col(text), F.lit("")))
+    rows = utterances.where("t_ini IS NOT NULL").select(*by, F.col(id_col).alias("id"), F.col(track).alias("track"), F.col(speaker).alias("speaker"), "t_ini", end.alias("t_fin"), said.alias("said"), F.coalesce(F.col(blocked), F.lit(False)).alias("blocked"))
+    rows = rows.withColumn("words", F.when(F.col("said") == "", 0).otherwise(F.size(F.split("said", r"\s+"))))
+    order = ["t_ini", "t_fin", "id"]
+    whole = F.struct("t_fin", "track", "speaker", "blocked")
+    rows = running(rows, by, order, {"n": ("count", F.lit(1)), "upto": ("sum", F.col("words"))}, slice_width)
+    rows = running(rows, by, order, {"prev": ("last", whole)}, slice_width, before=True)
+    near = (F.col("t_ini") - F.col("prev.t_fin")).between(F.lit(0), F.lit(max_gap))
+    alike = F.col("prev.speaker").eqNullSafe(F.col("speaker")) & F.col("prev.track").eqNullSafe(F.col("track"))
+    linked = F.col("prev").isNotNull() & near & alike & ~F.col("blocked") & ~F.col("prev.blocked")
+    rows = running(rows.withColumn("fresh", (~linked).cast("int")), by, order, {"strand": ("sum", F.col("fresh"))}, slice_width)
+    rows = stored(rows.drop("prev", "fresh").withColumn("latest", F.col("t_ini") + F.lit(max_span)).withColumn("most", F.col("upto") - F.col("words") + F.lit(max_words)), "blocks")
+    strand = [*by, "strand"]
+    steps = asof(rows.select(*strand, "n", "latest", "most"), rows.select(*strand, "t_fin", "n"), strand, "latest", "t_fin", ["n"], prefix="time_", slice_width=slice_width)
+    steps = asof(steps, rows.select(*strand, "upto", "n"), strand, "most", "upto", ["n"], prefix="word_", slice_width=None if slice_width is None else 64 * max_words)
+    last = F.least(F.coalesce("time_n", F.lit(0)), F.coalesce("word_n", F.lit(0)))
+    steps = steps.select(*by, F.col("n").alias("at"), (F.greatest(F.col("n"), last) + 1).alias("to"))
+    starts = follow(steps, rows.where("n = 1").select(*by, F.col("n").alias("at")), by)
+    begun = rows.join(starts.withColumn("begins", F.lit(1)), [F.col("n") == F.col("at"), *(rows[c] == starts[c] for c in by)], "left").select(*(rows[c] for c in rows.columns), "begins")
+    placed = running(begun, by, order, {"block_no": ("sum", F.col("begins"))}, slice_width)
+    lines = F.array_sort(F.collect_list(F.when(F.col("said") != "", F.struct("n", "said"))))
+    out = placed.groupBy(*by, F.col("block_no").cast("int").alias("block_no")).agg(
+        F.min_by("track", "n").alias("track"), F.min_by("speaker", "n").alias("speaker"), F.min("t_ini").alias("t_ini"), F.max("t_fin").alias("t_fin"), F.count("*").cast("int").alias("n"), F.sum("words").cast("int").alias("words"), F.array_join(F.transform(lines, lambda x: x["said"]), " ").alias("text")
+    )
+    return out.select(*by, "block_no", "track", "speaker", "t_ini", "t_fin", "n", "words", "text")

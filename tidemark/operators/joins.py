@@ -53,21 +53,32 @@ def conflicts(points: DataFrame, spans: DataFrame, by: list[str], track: str, bi
     return out.select(*by, "t", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("tracks", F.lit("")).alias("tracks"))
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], l_t: str, r_t: str, values: list[str], backward: bool = True, exact: bool = True, tolerance=None, prefix: str = "") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], l_t: str, r_t: str, values: list[str], backward: bool = True, exact: bool = True, tolerance=None, prefix: str = "", slice_width=None) -> DataFrame:
     """The last row of ``right`` not after each row of ``left`` (forward: the first not before).
 
     One union and one window, no pairs: a timeline of any density costs a sort. Among equal
-    times of ``right`` the row with the largest values wins backward, the smallest forward."""
+    times of ``right`` the row with the largest values wins backward, the smallest forward.
+    With ``slice_width`` the window runs inside slices of time, and what an earlier (later) slice has last
+    (first) is carried over, so a timeline that holds a third of all rows is many tasks."""
     kept = F.struct(F.col(r_t).alias("t"), *(F.col(v) for v in values))
     rows = left.withColumn("__t", F.col(l_t)).withColumn("__side", F.lit(1 if exact == backward else 0)).withColumn("__v", F.lit(None).cast(right.select(kept.alias("k")).schema[0].dataType))
     more = right.select(*by, F.col(r_t).alias("__t"), F.lit(0 if exact == backward else 1).alias("__side"), kept.alias("__v"))
     both = rows.unionByName(more, allowMissingColumns=True).withColumn("__left", F.col("__v").isNull())
-    w = Window.partitionBy(*by).orderBy("__t", "__side", "__v")
-    if backward:
-        found = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        found = F.first("__v", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    out = both.withColumn("__f", found).where("__left")
+    keys = list(by)
+    if slice_width is not None:
+        keys, both = [*by, "__slice"], both.withColumn("__slice", F.floor(F.col("__t") / F.lit(slice_width)))
+    w = Window.partitionBy(*keys).orderBy("__t", "__side", "__v")
+    # a forward search is a backward one in the reverse order, which keeps the frame growing
+    if not backward:
+        w = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__side"), F.desc("__v"))
+    out = both.withColumn("__f", F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("__left")
+    if slice_width is not None:
+        edge = F.max("__r") if backward else F.min("__r")
+        ends = both.where(~F.col("__left")).withColumn("__r", F.struct("__t", "__v")).groupBy(*keys).agg(edge["__v"].alias("__e"))
+        places = both.select(*keys).distinct().join(ends, keys, "left")
+        line = Window.partitionBy(*by).orderBy("__slice" if backward else F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+        carry = places.select(*keys, F.last("__e", ignorenulls=True).over(line).alias("__carry"))
+        out = out.join(carry, keys, "left").withColumn("__f", F.coalesce("__f", "__carry"))
     near = F.lit(True) if tolerance is None else F.abs(F.col("__f.t") - F.col("__t")) <= F.lit(tolerance)
     fields = [F.when(near, F.col(f"__f.{c}")).alias(f"{prefix}{c}") for c in ("t", *values)]
     return out.select(*left.columns, *fields)

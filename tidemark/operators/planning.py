@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .intervals import Convention, complement, union
-from .joins import overlap_join, stabbing_join
+from .joins import asof, overlap_join, stabbing_join
+from .scan import follow, numbered, running
 
 
 def boundary_candidates(targets: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], id_col: str, radius, eps, bin_width=None) -> DataFrame:
@@ -60,67 +62,111 @@ def snap(targets: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], id
 
 def chunk_plan(scored: DataFrame, by: list[str], t: str, score: str, bounds: DataFrame, target, longest, shortest, nearby=300_000) -> DataFrame:
     """Tiles each timeline: no fewer chunks than its length over ``target`` and over ``longest``, every inner boundary the best
-    scored time near its ideal place (0.28 of a chunk, ``nearby`` at least) that keeps all chunks within limits."""
-    rows = bounds.select(*by, "lo", "hi").join(scored.select(*by, F.col(t).alias("t"), F.col(score).alias("score")), by, "left")
-    types = dict(rows.dtypes)
-    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = float(pdf["lo"].iloc[0]), float(pdf["hi"].iloc[0])
-        pdf = pdf.dropna(subset=["t"]).sort_values("t")
-        ts, sc = pdf["t"].tolist(), pdf["score"].fillna(0).tolist()
-        n = max(1, math.ceil((hi - lo) / target), math.ceil((hi - lo) / longest))
-        ideal, edges = (hi - lo) / n, [lo]
-        least = min(shortest, 0.2 * ideal)
-        for k in range(1, n):
-            goal = lo + ideal * k
-            low = max(edges[-1] + least, hi - (n - k) * longest)
-            high = min(edges[-1] + longest, hi - (n - k) * least)
-            inside = range(bisect.bisect_right(ts, low), bisect.bisect_left(ts, high))
-            near = [i for i in inside if abs(ts[i] - goal) <= max(nearby, 0.28 * ideal)] or list(inside)
-            pick = max(near, key=lambda i: (sc[i] - 0.35 * abs(ts[i] - goal) / max(1.0, ideal), -ts[i]), default=None)
-            edges.append(ts[pick] if pick is not None else max(low, min(high, goal)))
-        edges.append(hi)
-        return pd.DataFrame([(*key, i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:]))], columns=[*by, "chunk_no", "t_ini", "t_fin"])
-
-    return rows.groupBy(*by).applyInPandas(run, f"{keys}, chunk_no int, t_ini double, t_fin double")
-
-
-def activity_chunks(samples: DataFrame, by: list[str], pos: str, value: str, budget: float, shortest: int, longest: int, back: int) -> DataFrame:
-    """Greedy chunks of an activity curve: one closes at its budget (after ``shortest`` samples) or
-    at ``longest``, then steps back at most ``back`` samples to the lowest value.
-
-    Activity is relative to the curve (tenth percentile, upper median of what is above) or
-    absolute, whichever is more, at most 3: (by, chunk_no, first, last, activity)."""
-    types = dict(samples.dtypes)
-    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.sort_values(pos)[value].to_numpy(float)
-        n, line = len(m), np.sort(m)
-        noise = line[int(0.1 * (n - 1))]
-        above = np.sort((m - noise)[m > noise])
-        scale = max(above[len(above) // 2] if len(above) else 1e-6, 1e-6)
-        a = np.clip(np.maximum((m - noise) / scale, (m - 0.02) / 0.10), 0, 3)
-        out, i = [], 0
-        while i < n:
-            total, j = 0.0, i
-            while j < n:
-                total += a[j]
-                if (total >= budget and j - i + 1 >= shortest) or j - i + 1 >= longest:
-                    break
-                j += 1
-            j = min(j, n - 1)
-            if j < n - 1 and (v := max(i + shortest, j - back)) < j:
-                j = v + int(np.argmin(m[v : j + 1]))
-            out.append([i, j, float(a[i : j + 1].sum())])
-            i = j + 1
-        if len(out) > 1 and out[-1][1] - out[-1][0] + 1 < shortest:
-            last = out.pop()
-            out[-1] = [out[-1][0], last[1], out[-1][2] + last[2]]
-        return pd.DataFrame([(*key, k + 1, *c) for k, c in enumerate(out)], columns=[*by, "chunk_no", "first", "last", "activity"])
-
-    return samples.groupBy(*by).applyInPandas(run, f"{keys}, chunk_no int, first int, last int, activity double")
+    scored time near its ideal place (0.28 of a chunk, ``nearby`` at least) that keeps all chunks within limits: (by, chunk_no, t_ini, t_fin).
+
+    A scored time is a candidate for the boundaries near it only. One round sets the boundary of the
+    same number on all timelines at once, by a join and a maximum, which combine before the shuffle; a timeline
+    without a candidate inside its limits is looked up among all its scored times. A null score counts as 0;
+    null times and timelines without bounds take no part; a timeline without scored times is tiled evenly."""
+    size = F.col("hi") - F.col("lo")
+    line = bounds.select(*by, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")).where(size.isNotNull())
+    line = line.withColumn("n", F.greatest(F.lit(1), F.ceil(size / F.lit(target)), F.ceil(size / F.lit(longest))).cast("int")).withColumn("ideal", size / F.col("n"))
+    line = stored(line.withColumn("least_len", F.least(F.lit(float(shortest)), 0.2 * F.col("ideal"))), "plan")
+    points = stored(scored.select(*by, F.col(t).cast("double").alias("t"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s")).where("t IS NOT NULL"), "plan")
+    reach = F.greatest(F.lit(float(nearby)), 0.28 * F.col("ideal"))
+    first, last = F.ceil((F.col("t") - F.col("lo") - reach) / F.col("ideal")), F.floor((F.col("t") - F.col("lo") + reach) / F.col("ideal"))
+    near = points.join(line, by).withColumn("k1", F.greatest(F.lit(1), first).cast("int")).withColumn("k2", F.least(F.col("n") - 1, last).cast("int"))
+    near = stored(near.where("k1 <= k2").select(*by, F.explode(F.sequence("k1", "k2")).alias("k"), "t", "s"), "plan")
+    rounds = line.agg(F.max("n")).first()[0] or 1
+    state, edges = line.select(*by, F.lit(0).alias("k"), F.col("lo").alias("edge")), []
+    for k in range(1, rounds):
+        left = F.col("n") - k
+        live = state.join(line.where(F.col("n") > k), by).withColumn("goal", F.col("lo") + F.col("ideal") * k)
+        live = live.withColumn("low", F.greatest(F.col("edge") + F.col("least_len"), F.col("hi") - left * float(longest))).withColumn("high", F.least(F.col("edge") + float(longest), F.col("hi") - left * F.col("least_len")))
+        live = live.select(*by, "goal", "low", "high", "ideal")
+
+        def best(candidates: DataFrame, live: DataFrame = live) -> DataFrame:
+            fits = candidates.join(live, by).where((F.col("t") > F.col("low")) & (F.col("t") < F.col("high")))
+            worth = F.col("s") - 0.35 * F.abs(F.col("t") - F.col("goal")) / F.greatest(F.lit(1.0), F.col("ideal"))
+            return fits.groupBy(*by).agg(F.max(F.struct(worth.alias("worth"), (-F.col("t")).alias("t"))).alias("best")).select(*by, (-F.col("best.t")).alias("chosen"))
+
+        close = live.join(best(near.where(F.col("k") == k).drop("k")), by, "left")
+        close = stored(close, "plan")
+        lost = close.where("chosen IS NULL").select(*live.columns)
+        if not lost.isEmpty():
+            close = close.join(best(points, lost).withColumnRenamed("chosen", "other"), by, "left").withColumn("chosen", F.coalesce("chosen", "other"))
+        state = close.select(*by, F.lit(k).alias("k"), F.coalesce("chosen", F.greatest("low", F.least("high", "goal"))).alias("edge"))
+        edges.append(state)
+    places = line.select(*by, F.lit(0).alias("k"), F.col("lo").alias("edge")).unionByName(line.select(*by, F.col("n").alias("k"), F.col("hi").alias("edge")))
+    for e in edges:
+        places = places.unionByName(e)
+    places = stored(places, "plan")
+    begin = places.select(*by, (F.col("k") + 1).alias("k"), F.col("edge").alias("t_ini"))
+    return places.join(begin, [*by, "k"]).select(*by, F.col("k").alias("chunk_no"), "t_ini", F.col("edge").alias("t_fin"))
+
+
+#: Whole units that an activity of 1 counts, so that sums are exact.
+ACTIVITY = 1_000_000
+
+
+def activity_chunks(samples: DataFrame, by: list[str], pos: str, value: str, budget: float, shortest: int, longest: int, back: int, cut: str | None = None, order: list[str] | None = None, slice_width=None, value_width=None) -> DataFrame:
+    """Chunks of an activity curve: one closes at its budget (after ``shortest`` samples) or at ``longest``,
+    stepping back at most ``back`` samples to the lowest value, and at a hard cut: (by, chunk_no, first, last, activity).
+
+    Activity is relative to the curve (tenth percentile, upper median of what is above) or absolute,
+    whichever is more, at most 3, in millionths. Samples marked ``cut`` are walls if they are ``shortest`` samples from the wall before and from the end.
+    A chunk shorter than ``shortest`` that doesn't begin at a cut joins the one before.
+
+    Where a chunk from any sample would end shows within the next ``longest`` samples; walls and chunks that exist
+    are found by following these steps. A null value counts as 0, a null ``cut`` as false; samples without a position
+    take no part. ``slice_width`` and ``value_width`` are the widths of slices of position and value that
+    split long curves (none: one window a curve)."""
+    rows = samples.where(F.col(pos).isNotNull()).select(*by, F.col(pos).alias("pos"), *(order or []), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("m"), F.coalesce(F.col(cut) if cut else F.lit(False), F.lit(False)).alias("cut"))
+    rows = stored(numbered(rows, by, ["pos", *(order or [])], "i", slice_width).drop("pos", *(order or [])), "activity")
+    size = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    ranked = stored(numbered(rows.select(*by, "m", "i"), by, ["m", "i"], "rank", value_width).join(size, by).select(*by, "m", "rank", "n"), "activity")
+    floor = ranked.where(F.col("rank") == F.floor(0.1 * (F.col("n") - 1))).select(*by, F.col("m").alias("noise"))
+    above = ranked.join(floor, by).groupBy(*by, "noise", "n").agg(F.count_if(F.col("m") > F.col("noise")).alias("above"))
+    middle = above.withColumn("rank", F.col("n") - F.col("above") + F.expr("above div 2"))
+    scale = middle.join(ranked.select(*by, "rank", "m"), [*by, "rank"], "left").select(*by, "n", "noise", F.greatest(F.when(F.col("above") > 0, F.col("m") - F.col("noise")).otherwise(1e-6), F.lit(1e-6)).alias("scale"))
+    m = F.col("m")
+    activity = F.least(F.greatest((m - F.col("noise")) / F.col("scale"), (m - 0.02) / 0.10, F.lit(0.0)), F.lit(3.0))
+    rows = rows.join(scale, by).select(*by, "i", "m", "cut", "n", F.floor(activity * ACTIVITY + 0.5).cast("long").alias("a"))
+    wide = None if slice_width is None else 4096
+
+    zero = size.select(*by, F.lit(0).cast("long").alias("at"))
+    cuts = rows.where((F.col("cut")) & (F.col("i") >= shortest) & (F.col("n") - F.col("i") >= shortest)).select(*by, "i", (F.col("i") + shortest).alias("reach"))
+    walls = zero
+    if cut:
+        ahead = asof(cuts.unionByName(zero.select(*by, F.col("at").alias("i"), F.lit(shortest).cast("long").alias("reach"))), cuts.select(*by, F.col("i").alias("w")), by, "reach", "w", [], False, prefix="next_", slice_width=wide)
+        walls = follow(ahead.select(*by, F.col("i").alias("at"), F.col("next_t").alias("to")), zero, by)
+    walled = rows.join(walls.select(*by, F.col("at").alias("i"), F.lit(1).alias("wall")), [*by, "i"], "left")
+    walled = stored(running(walled, by, ["i"], {"segment": ("sum", F.col("wall"))}, wide), "activity")
+
+    # each stretch of ``deal`` samples with the ``longest`` samples after it, which is as far as a chunk looks
+    deal = max(1024, longest)
+    own = F.expr(f"i div {deal}")
+    halo = F.when((F.col("i") % deal < longest) & (F.col("i") >= deal), F.array(own, own - 1)).otherwise(F.array(own))
+    near = Window.partitionBy(*by, "segment", "part").orderBy("i").rowsBetween(0, longest - 1)
+    seen = walled.withColumn("part", F.explode(halo)).withColumn("ahead", F.collect_list(F.struct("a", "m")).over(near)).where(F.col("part") == own)
+    full = F.aggregate(
+        "ahead", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("o"), F.lit(-1).alias("stop")),
+        lambda s, x: F.struct((s["sum"] + x["a"]).alias("sum"), (s["o"] + 1).alias("o"), F.when((s["stop"] < 0) & (s["sum"] + x["a"] >= F.lit(int(round(budget * ACTIVITY)))) & (s["o"] + 1 >= shortest), s["o"]).otherwise(s["stop"]).alias("stop")),
+    )
+    seen = seen.withColumn("stop", full["stop"]).withColumn("o", F.when(F.col("stop") >= 0, F.col("stop")).otherwise(F.size("ahead") - 1))
+    # a chunk that reaches the end of its segment doesn't step back
+    seen = seen.join(walled.groupBy(*by, "segment").agg(F.max("i").alias("end")), [*by, "segment"])
+    low = F.greatest(F.lit(shortest), F.col("o") - back)
+    values = F.transform(F.slice("ahead", low + 1, F.greatest(F.lit(0), F.col("o") - low + 1)), lambda x: x["m"])
+    seen = seen.withColumn("o", F.when((F.col("i") + F.col("o") < F.col("end")) & (low < F.col("o")), low + F.array_position(values, F.array_min(values)) - 1).otherwise(F.col("o")).cast("int"))
+    total = F.aggregate(F.slice("ahead", 1, F.col("o") + 1), F.lit(0).cast("long"), lambda s, x: s + x["a"])
+    seen = stored(seen.select(*by, F.col("i").alias("first"), (F.col("i") + F.col("o")).alias("last"), total.alias("a"), (F.col("cut") | (F.col("wall") == 1)).alias("held")), "activity")
+    starts = follow(seen.select(*by, F.col("first").alias("at"), (F.col("last") + 1).alias("to")), zero, by)
+    chunks = seen.join(starts.withColumnRenamed("at", "first"), [*by, "first"])
+    joins = (F.col("last") - F.col("first") + 1 < shortest) & ~F.coalesce("held", F.lit(False)) & (F.col("first") > 0)
+    chunks = running(chunks.withColumn("fresh", (~joins).cast("int")), by, ["first"], {"chunk_no": ("sum", F.col("fresh"))}, wide)
+    out = chunks.groupBy(*by, F.col("chunk_no").cast("int").alias("chunk_no")).agg(F.min("first").cast("int").alias("first"), F.max("last").cast("int").alias("last"), (F.sum("a") / ACTIVITY).alias("activity"))
+    return out.select(*by, "chunk_no", "first", "last", "activity")
 
 
 def quota_select(pool: DataFrame, by: list[str], lane: str, rank: str, lane_order: list[str], quotas: dict[str, int], spacing, always: str | None = None) -> DataFrame:

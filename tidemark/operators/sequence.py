@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .intervals import complement, islands, union
+from ..sources.scratch import stored
+from .intervals import Convention, complement, islands, union
 from .stats import zscore
 
 CLOSERS = "\"')]»”’"
@@ -280,42 +281,55 @@ def merge_pairwise(df: DataFrame, by: list[str], max_gap, min_dur, peak: str, me
     return out.where(F.col("t_fin") - F.col("t_ini") >= F.lit(min_dur)).drop("__g")
 
 
-def wake_spans(words: DataFrame, by: list[str], text: str, variants: set[str], end_gap, max_dur, repeat, context: int = 5) -> DataFrame:
+def wake_spans(words: DataFrame, by: list[str], text: str, variants: set[str], end_gap, max_dur, repeat, context: int = 5, slice_width=None) -> DataFrame:
     """Spans opened by a wake word: they end at a gap of ``end_gap``, at ``max_dur``, at a new
-    invocation later than ``repeat``, or with the words; invocations inside a span are absorbed."""
+    invocation later than ``repeat``, or with the words; invocations inside a span are absorbed:
+    (by, t_ini, t_fin, cause, pause, before, heard).
 
-    def run(pdf):
-        starts = pdf["t_ini"].tolist()
-        ends = [max(a, b) for a, b in zip(starts, pdf["t_fin"].tolist(), strict=True)]
-        said = pdf[text].tolist()
-        wake = [s is not None and s.strip().lower() in variants for s in said]
-        out, until = [], None
-        for i in np.flatnonzero(wake):
-            if until is not None and starts[i] < until:
-                continue
-            fin, why, reach, heard = ends[i], "end", ends[i], []
-            for k in range(i + 1, len(starts)):
-                if starts[k] - reach >= end_gap:
-                    why = "silence"
-                elif wake[k] and starts[k] - starts[i] > repeat:
-                    why, fin = "invocation", min(fin, starts[k])
-                elif ends[k] - starts[i] > max_dur:
-                    why = "limit"
-                else:
-                    heard.append(said[k])
-                    reach = fin = max(reach, ends[k])
-                    continue
-                break
-            if fin - starts[i] > max_dur:
-                fin, why = starts[i] + max_dur, "limit"
-            before = " ".join(str(x) for x in said[max(0, i - context) : i])
-            pause = max(0, starts[i] - (ends[i - 1] if i else 0))
-            out.append((starts[i], fin, why, pause, before, " ".join(str(x) for x in heard)))
-            until = fin
-        return out
+    The span that each wake word would open lies within the words of the next ``max_dur`` and the
+    one after; the spans that exist are found by following each to the first wake word after it. The end of a word before its
+    start counts as the start; a null word is no wake word and is heard as nothing; words without a time take no part."""
+    from .joins import asof, overlap_join
+    from .scan import follow, running
 
     kind = dict(words.dtypes)["t_ini"]
-    return _per_timeline(words.select(*by, "t_ini", "t_fin", text), by, ["t_ini", "t_fin", text], run, f"t_ini {kind}, t_fin {kind}, cause string, pause {kind}, before string, heard string")
+    said = F.trim(F.lower(F.col(text))).isin(*sorted(variants))
+    rows = words.where("t_ini IS NOT NULL").select(*by, F.col("t_ini").alias("a"), F.greatest("t_ini", "t_fin").alias("b"), F.col(text).alias("word"), F.coalesce(said, F.lit(False)).alias("wake"))
+    order = ["a", "b", "word"]
+    rows = running(rows, by, order, {"n": ("count", F.lit(1))}, slice_width)
+    rows = stored(rows, "wake")
+    opened = rows.where("wake").select(*by, F.col("n").alias("i"), F.col("a").alias("a0"), F.col("b").alias("b0"), (F.col("a") + F.lit(max_dur)).alias("a1"))
+    inside = overlap_join(opened, rows.select(*by, F.col("n").alias("k"), F.col("a").alias("r_ini"), F.col("a").alias("r_fin"), F.col("b").alias("r_b"), "word", F.col("wake").alias("again")), by, ("a0", "a1"), convention=Convention.CLOSED, bin_width=slice_width).where("k > i")
+    after = asof(opened, rows.select(*by, "a", F.col("n").alias("k"), F.col("b").alias("r_b"), "word", F.col("wake").alias("again")), by, "a1", "a", ["k", "r_b", "word", "again"], False, False, prefix="x_", slice_width=slice_width)
+    after = after.where("x_k IS NOT NULL").select(*opened.columns, F.col("x_k").alias("k"), F.col("x_t").alias("r_ini"), F.col("x_r_b").alias("r_b"), F.col("x_word").alias("word"), F.col("x_again").alias("again"))
+    pairs = inside.drop("r_fin").unionByName(after)
+
+    span = Window.partitionBy(*by, "i").orderBy("k")
+    pairs = pairs.withColumn("reach", F.greatest("b0", F.max("r_b").over(span.rowsBetween(Window.unboundedPreceding, -1))))
+    cause = F.when(F.col("r_ini") - F.col("reach") >= F.lit(end_gap), "silence").when(F.col("again") & (F.col("r_ini") - F.col("a0") > F.lit(repeat)), "invocation").when(F.col("r_b") - F.col("a0") > F.lit(max_dur), "limit")
+    pairs = pairs.withColumn("cause", cause).withColumn("over", F.count("cause").over(span))
+    ended = F.struct("reach", "cause", F.col("r_ini").alias("at"))
+    held = F.array_sort(F.collect_list(F.when((F.col("over") == 0) & F.col("word").isNotNull(), F.struct("k", "word"))))
+    spans = pairs.where("over = 0 OR (over = 1 AND cause IS NOT NULL)").groupBy(*by, "i").agg(F.max(F.when(F.col("over") == 0, F.col("r_b"))).alias("far"), F.max(F.when(F.col("over") == 1, ended)).alias("ended"), F.array_join(F.transform(held, lambda x: x["word"]), " ").alias("heard"))
+    spans = opened.join(spans, [*by, "i"], "left")
+    reach = F.coalesce(F.greatest("b0", "far"), F.col("b0"))
+    fin = F.when(F.col("ended.cause") == "invocation", F.least(reach, F.col("ended.at"))).otherwise(reach)
+    limit = F.col("a0") + F.lit(max_dur)
+    spans = spans.select(*by, "i", "a0", F.least(fin, limit).cast(kind).alias("t_fin"), F.when(fin > limit, "limit").otherwise(F.coalesce("ended.cause", F.lit("end"))).alias("cause"), F.coalesce("heard", F.lit("")).alias("heard"))
+    spans = stored(spans, "wake")
+
+    # the first wake word at or after the end; an empty span is followed by the next wake word
+    further = asof(spans.withColumn("least", F.col("i") + 1), opened.select(*by, "i"), by, "least", "i", [], False, prefix="next_", slice_width=None if slice_width is None else 65_536)
+    further = asof(further, opened.select(*by, "a0", F.col("i").alias("w")), by, "t_fin", "a0", ["w"], False, prefix="at_", slice_width=slice_width)
+    steps = further.select(*by, F.col("i").alias("at"), F.greatest("next_t", "at_w").alias("to")).where("next_t IS NOT NULL AND at_w IS NOT NULL")
+    first = opened.groupBy(*by).agg(F.min("i").alias("at"))
+    used = follow(steps, first, by).withColumnRenamed("at", "i")
+
+    around = rows.select(*by, "n", "b", "word", F.explode(F.sequence(F.lit(1), F.lit(context))).alias("back")).select(*by, (F.col("n") + F.col("back")).alias("i"), "n", "b", "word")
+    around = around.join(used, [*by, "i"]).groupBy(*by, "i").agg(F.max_by("b", "n").alias("p"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("n", "word")))), lambda x: x["word"]), " ").alias("before"))
+    out = spans.join(used, [*by, "i"]).join(around, [*by, "i"], "left")
+    pause = F.greatest(F.lit(0), F.col("a0") - F.coalesce("p", F.lit(0)))
+    return out.select(*by, F.col("a0").alias("t_ini"), "t_fin", "cause", pause.cast(kind).alias("pause"), F.coalesce("before", F.lit("")).alias("before"), "heard")
 
 
 def gaps_between(words: DataFrame, by: list[str], bounds: DataFrame, pre, post, min_gap) -> DataFrame:

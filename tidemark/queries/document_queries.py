@@ -14,6 +14,7 @@ from ..operators import intervals as iv
 from ..operators import planning as pl
 from ..operators import remap as rm
 from ..operators import stats as st
+from ..operators import topics as tp
 from ..plans import master as ms
 from ..plans.silence import bounds_of
 from ..sources.timeline import EV_SQL, UT_SQL, read, timeline, utterances
@@ -333,10 +334,11 @@ def bleed_duplicates(spark, d):
     return cv.bleed_duplicates(both, ["conv_id"], "role", "id", "body", ["size", "id"], bin_width=60_000)
 
 
-@query("readable_blocks")  # folds by limits of the block: no SQL
+@query("readable_blocks", fold_sql.READABLE_BLOCKS)
 def readable_blocks(spark, d):
-    u = utterances(spark, d).withColumn("track", F.lit("A")).withColumn("blocked", F.lit(False))
-    return cv.readable_blocks(u, ["conv_id"], "track", "role", "turn", "text", "blocked", 2500, 60_000, 120)
+    u = utterances(spark, d).withColumn("track", F.lit("A")).withColumn("blocked", F.col("turn") % 11 == 10)
+    u = u.withColumns({c: F.col(c) + F.col("turn") * 600 for c in ("t_ini", "t_fin")}).withColumn("role", F.when(F.col("turn") % 7 < 5, "a").otherwise(F.col("role")))
+    return cv.readable_blocks(u, ["conv_id"], "track", "role", "turn", "text", "blocked", 2500, 60_000, 120, 3_600_000)
 
 
 @query("boundary_snap", fold_sql.BOUNDARY_SNAP)
@@ -346,15 +348,53 @@ def boundary_snap(spark, d):
     return pl.snap(targets, ev.where("track_id = 'view'"), ev.where("track_id = 'click'"), BY, "chunk_no", 6 * HOUR, 1, HOUR, 6 * HOUR)
 
 
+STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+TOK_SQL = f"regexp_extract_all(translate(lower(text), '{tx.ACCENTED}', '{tx.PLAIN}'), '[a-z0-9]{{2,}}')"
+
+#: Turns on a clock with pauses that vary; a turn of more than 400 characters is exciting.
+TALK_SQL = f"""{UT_SQL}, r AS (SELECT conv_id, turn, t_ini + turn * 500 + turn % 3 * 100 AS a, t_fin + turn * 500 + turn % 3 * 100 AS b, text, row_number() OVER (PARTITION BY conv_id ORDER BY t_ini, t_fin, turn) AS n FROM ut),
+ tk AS (SELECT conv_id, n, a, b, unnest({TOK_SQL}) AS token FROM r), tf AS (SELECT * FROM tk WHERE token NOT IN ({STOP_SQL})),
+ lb AS (SELECT r.conv_id, r.n, token, count(*) AS c FROM r JOIN tf ON tf.conv_id = r.conv_id AND tf.n < r.n AND tf.b >= r.a - 20000 GROUP BY 1, 2, 3),
+ rb AS (SELECT r.conv_id, r.n, token, count(*) AS c FROM r JOIN tf ON tf.conv_id = r.conv_id AND tf.n >= r.n AND tf.a <= r.a + 20000 GROUP BY 1, 2, 3),
+ dt AS (SELECT conv_id, n, sum(lb.c * rb.c) AS dot FROM lb JOIN rb USING (conv_id, n, token) GROUP BY 1, 2),
+ lq AS (SELECT conv_id, n, sum(c * c) AS ll FROM lb GROUP BY 1, 2), rq AS (SELECT conv_id, n, sum(c * c) AS rr FROM rb GROUP BY 1, 2),
+ sv AS (SELECT r.*, CASE WHEN n = 1 THEN 0 ELSE greatest(0, a - lag(b) OVER (PARTITION BY conv_id ORDER BY n)) END AS silence FROM r),
+ sc AS (SELECT conv_id, turn, n, a AS t, silence, 1 - coalesce(dot / (sqrt(ll) * sqrt(rr)), 0) AS dis, length(text) > 400 AS loud FROM sv LEFT JOIN dt USING (conv_id, n) LEFT JOIN lq USING (conv_id, n) LEFT JOIN rq USING (conv_id, n)),
+ bs AS (SELECT conv_id, turn, t, round(0.72 * dis + 0.20 * least(1.0, silence / 400.0) - CASE WHEN loud THEN 0.05 ELSE 0 END, 6) AS score, round(dis, 6) AS dissimilarity, silence FROM sc WHERE n > 1)"""
+
+
+def talk(spark, d):
+    return utterances(spark, d).withColumns({c: F.col(c) + F.col("turn") * 500 + F.col("turn") % 3 * 100 for c in ("t_ini", "t_fin")})
+
+
+def talk_scores(spark, d):
+    loud = F.when(F.length("text") > 400, 0.05).otherwise(0.0)
+    out = tp.boundary_scores(talk(spark, d), ["conv_id"], "turn", "text", 20_000, 400, loud, slice_width=60_000)
+    return out.select("conv_id", F.col("id").alias("turn"), "t", F.round("score", 6).alias("score"), F.round("dissimilarity", 6).alias("dissimilarity"), "silence")
+
+
+@query("boundary_scores", f"WITH {TALK_SQL} SELECT * FROM bs")
+def boundary_scores(spark, d):
+    return talk_scores(spark, d)
+
+
+@query("topic_chunks", fold_sql.plan_sql(TALK_SQL, "bs", "conv_id", "t", "score", "SELECT conv_id, 0 AS lo, max(b) AS hi FROM r GROUP BY 1", 45_000, 60_000, 5_000, 3_000))
+def topic_chunks(spark, d):
+    t = talk(spark, d)
+    bounds = t.groupBy("conv_id").agg(F.lit(0).alias("lo"), F.max("t_fin").alias("hi"))
+    return pl.chunk_plan(talk_scores(spark, d), ["conv_id"], "t", "score", bounds, 45_000, 60_000, 5_000, 3_000)
+
+
 @query("chunk_plan", fold_sql.CHUNK_PLAN)
 def chunk_plan(spark, d):
     ev = timeline(spark, d)
     return pl.chunk_plan(ev, BY, "t_ini", "value", bounds_of(ev), 72 * HOUR, 96 * HOUR, 6 * HOUR)
 
 
-@query("activity_chunks")
+@query("activity_chunks", fold_sql.ACTIVITY_CHUNKS)
 def activity_chunks(spark, d):
-    return pl.activity_chunks(timeline(spark, d).withColumn("m", F.col("value") / 100), BY, "t_ini", "m", 15.0, 4, 45, 3)
+    motion = timeline(spark, d).withColumn("m", F.when(F.col("k") % 10 != 7, F.col("value") / 100)).withColumn("cut", F.col("k") % 10 == 3)
+    return pl.activity_chunks(motion, BY, "t_ini", "m", 15.0, 4, 45, 3, "cut", ["event_id"], 240 * HOUR, 0.25)
 
 
 @query("quota_index")
@@ -371,10 +411,6 @@ def first_fit_packing(spark, d):
     return pl.pack_first_fit(protected, new, BY, "o")
 
 
-STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-TOK_SQL = f"regexp_extract_all(translate(lower(text), '{tx.ACCENTED}', '{tx.PLAIN}'), '[a-z0-9]{{2,}}')"
-
-
 @query("token_bag_topk", f"WITH t AS (SELECT doc_id, unnest({TOK_SQL}) AS token, generate_subscripts({TOK_SQL}, 1) AS pos FROM documents), n AS (SELECT doc_id, token, count(*) AS n, min(pos) AS f FROM t WHERE token NOT IN ({STOP_SQL}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS r FROM n) SELECT doc_id, string_agg(token, ' ' ORDER BY r) AS title FROM r WHERE r <= 3 GROUP BY 1")
 def token_bag_topk(spark, d):
     return tx.top_tokens(read(spark, d, "documents"), ["doc_id"], "text", 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.timeline import EV_SQL
+from ..sources.timeline import EV_SQL, UT_SQL
 
 
 def snap_sql(radius: int, reach: int) -> str:
@@ -32,14 +32,19 @@ SNAPPED_PROPOSAL = f"""WITH {SAFE_SQL}, pr AS (SELECT media_id, event_id, t_ini,
  SELECT pr.*, x.snapped AS s_ini, y.snapped AS s_fin, concat_ws(',', CASE WHEN y.snapped - x.snapped < 3600000 THEN 'too_short' END, CASE WHEN x.n_hard + y.n_hard > 0 THEN 'crosses' END, CASE WHEN x.snapped <> t_ini OR y.snapped <> t_fin THEN 'moved' END) AS warnings
  FROM pr JOIN sn x ON x.media_id = pr.media_id AND x.id = event_id || '/a' JOIN sn y ON y.media_id = pr.media_id AND y.id = event_id || '/b'"""
 
-CHUNK_PLAN = f"""WITH RECURSIVE {EV_SQL}, bo AS (SELECT media_id, 0 AS lo, max(t_fin) + 3600000 AS hi FROM ev GROUP BY 1),
- ba AS (SELECT media_id, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, CAST(greatest(1, ceil((hi - lo) / 259200000.0), ceil((hi - lo) / 345600000.0)) AS INTEGER) AS n FROM bo),
- le AS (SELECT media_id, lo, hi, n, (hi - lo) / n AS ideal, least(21600000.0, 0.2 * ((hi - lo) / n)) AS least_len, (SELECT list({{'t': CAST(t_ini AS DOUBLE), 's': value}}) FROM ev WHERE ev.media_id = ba.media_id) AS es FROM ba),
- st AS (SELECT media_id, 0 AS k, lo AS edge FROM le UNION ALL
-  SELECT media_id, CAST(k AS INTEGER), coalesce(list_sort(list_transform(list_filter(es, lambda x: x.t > low AND x.t < high), lambda x: {{'far': abs(x.t - goal) > greatest(300000, 0.28 * ideal), 's': -(x.s - 0.35 * abs(x.t - goal) / greatest(1.0, ideal)), 't': x.t}}))[1].t, greatest(low, least(high, goal)))
-  FROM (SELECT le.*, st.k + 1 AS k, lo + ideal * (st.k + 1) AS goal, greatest(edge + least_len, hi - (n - st.k - 1) * 345600000.0) AS low, least(edge + 345600000.0, hi - (n - st.k - 1) * least_len) AS high FROM st JOIN le USING (media_id) WHERE st.k + 1 < n)),
- al AS (SELECT * FROM st UNION ALL SELECT media_id, n, hi FROM le)
- SELECT media_id, k AS chunk_no, lag_edge AS t_ini, edge AS t_fin FROM (SELECT *, lag(edge) OVER (PARTITION BY media_id ORDER BY k) AS lag_edge FROM al) WHERE k > 0"""
+def plan_sql(ctes: str, scored: str, key: str, t: str, score: str, bounds: str, target: int, longest: int, shortest: int, nearby: int) -> str:
+    """Chunk plan of the table ``scored`` of the given CTEs, boundary by boundary."""
+    return f"""WITH RECURSIVE {ctes}, bo AS ({bounds}),
+ ba AS (SELECT {key}, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, CAST(greatest(1, ceil((hi - lo) / {target}.0), ceil((hi - lo) / {longest}.0)) AS INTEGER) AS n FROM bo),
+ le AS (SELECT {key}, lo, hi, n, (hi - lo) / n AS ideal, least({shortest}.0, 0.2 * ((hi - lo) / n)) AS least_len, (SELECT list({{'t': CAST({t} AS DOUBLE), 's': {score}}}) FROM {scored} WHERE {scored}.{key} = ba.{key}) AS es FROM ba),
+ st AS (SELECT {key}, 0 AS k, lo AS edge FROM le UNION ALL
+  SELECT {key}, CAST(k AS INTEGER), coalesce(list_sort(list_transform(list_filter(es, lambda x: x.t > low AND x.t < high), lambda x: {{'far': abs(x.t - goal) > greatest({nearby}, 0.28 * ideal), 's': -(x.s - 0.35 * abs(x.t - goal) / greatest(1.0, ideal)), 't': x.t}}))[1].t, greatest(low, least(high, goal)))
+  FROM (SELECT le.*, st.k + 1 AS k, lo + ideal * (st.k + 1) AS goal, greatest(edge + least_len, hi - (n - st.k - 1) * {longest}.0) AS low, least(edge + {longest}.0, hi - (n - st.k - 1) * least_len) AS high FROM st JOIN le USING ({key}) WHERE st.k + 1 < n)),
+ al AS (SELECT * FROM st UNION ALL SELECT {key}, n, hi FROM le)
+ SELECT {key}, k AS chunk_no, lag_edge AS t_ini, edge AS t_fin FROM (SELECT *, lag(edge) OVER (PARTITION BY {key} ORDER BY k) AS lag_edge FROM al) WHERE k > 0"""
+
+
+CHUNK_PLAN = plan_sql(EV_SQL, "ev", "media_id", "t_ini", "value", "SELECT media_id, 0 AS lo, max(t_fin) + 3600000 AS hi FROM ev GROUP BY 1", 259_200_000, 345_600_000, 21_600_000, 300_000)
 
 PEAK_SQL = f"{EV_SQL}, o AS (SELECT media_id, t_ini AS t, value AS v, row_number() OVER w AS n, lag(value) OVER w AS p, lead(value) OVER w AS q FROM ev WINDOW w AS (PARTITION BY media_id ORDER BY t_ini))"
 
@@ -80,6 +85,33 @@ WAKE_SPANS = f"""WITH RECURSIVE {EV_SQL}, o AS (SELECT media_id, t_ini AS a, gre
  SELECT media_id, a0 AS t_ini, fin AS t_fin, why AS cause, greatest(0, a0 - coalesce(prev, 0)) AS pause, coalesce(before, '') AS before, coalesce(heard, '') AS heard FROM ch JOIN sq USING (media_id, i) JOIN h USING (media_id, i)"""
 
 
+#: Utterances on a clock with pauses; some are marked, and most neighbours share a speaker.
+READABLE_BLOCKS = f"""WITH RECURSIVE {UT_SQL}, r AS (SELECT conv_id, CASE WHEN turn % 7 < 5 THEN 'a' ELSE role END AS speaker, turn % 11 = 10 AS blocked, t_ini + turn * 600 AS a, t_fin + turn * 600 AS b, trim(text) AS said,
+  CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), '\\s+')) END AS words, row_number() OVER (PARTITION BY conv_id ORDER BY t_ini, t_fin, turn) AS n FROM ut),
+ l AS (SELECT *, coalesce(speaker = lag(speaker) OVER w AND NOT blocked AND NOT lag(blocked) OVER w AND a - lag(b) OVER w BETWEEN 0 AND 2500, FALSE) AS linked, sum(words) OVER w AS upto FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+ nx AS (SELECT i.conv_id, i.n, min(k.n) AS nxt FROM l i JOIN l k ON k.conv_id = i.conv_id AND k.n > i.n AND (NOT k.linked OR k.b - i.a > 60000 OR k.upto - i.upto + i.words > 120) GROUP BY 1, 2),
+ ch AS (SELECT conv_id, n FROM l WHERE n = 1 UNION ALL SELECT ch.conv_id, nxt FROM ch JOIN nx USING (conv_id, n)),
+ bl AS (SELECT l.*, sum(CASE WHEN ch.n IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.conv_id ORDER BY l.n) AS block_no FROM l LEFT JOIN ch ON ch.conv_id = l.conv_id AND ch.n = l.n)
+ SELECT conv_id, CAST(block_no AS INTEGER) AS block_no, 'A' AS track, arg_min(speaker, n) AS speaker, min(a) AS t_ini, max(b) AS t_fin, CAST(count(*) AS INTEGER) AS n, CAST(sum(words) AS INTEGER) AS words, coalesce(string_agg(said, ' ' ORDER BY n) FILTER (said <> ''), '') AS text FROM bl GROUP BY conv_id, block_no"""
+
+ACTIVITY_CHUNKS = f"""WITH RECURSIVE {EV_SQL}, o AS (SELECT media_id, CASE WHEN k % 10 = 7 THEN 0 ELSE value / 100 END AS m, k % 10 = 3 AS cut, row_number() OVER (PARTITION BY media_id ORDER BY t_ini, event_id) - 1 AS i FROM ev),
+ s1 AS (SELECT media_id, count(*) AS n, list(m ORDER BY i) AS ms, list(cut ORDER BY i) AS cs, list_sort(list(m)) AS so FROM o GROUP BY 1),
+ s2 AS (SELECT *, so[1 + CAST(floor(0.1 * (n - 1)) AS BIGINT)] AS noise FROM s1),
+ s3 AS (SELECT *, len(list_filter(so, lambda x: x > noise)) AS above FROM s2),
+ s4 AS (SELECT *, greatest(CASE WHEN above > 0 THEN so[1 + n - above + above // 2] - noise ELSE 1e-6 END, 1e-6) AS scale FROM s3),
+ s5 AS (SELECT media_id, n, ms, cs, list_transform(ms, lambda x: CAST(floor(least(greatest((x - noise) / scale, (x - 0.02) / 0.10, 0), 3) * 1000000 + 0.5) AS BIGINT)) AS acts FROM s4),
+ sm AS (SELECT *, list_transform(range(0, n + 1), lambda x: CAST(coalesce(list_sum(acts[1:x]), 0) AS BIGINT)) AS upto FROM s5),
+ wl AS (SELECT media_id, CAST(0 AS BIGINT) AS w FROM sm UNION ALL SELECT media_id, nw FROM (SELECT sm.media_id, list_min(list_filter(range(w + 4, n - 3), lambda x: cs[x + 1])) AS nw FROM wl JOIN sm USING (media_id)) WHERE nw IS NOT NULL),
+ ww AS (SELECT media_id, list(w) AS ws FROM wl GROUP BY 1),
+ ck AS (SELECT media_id, CAST(-1 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b FROM sm UNION ALL
+  SELECT media_id, i, CASE WHEN j < e AND greatest(i + 4, j - 3) < j THEN greatest(i + 4, j - 3) - 1 + list_position(ms[greatest(i + 4, j - 3) + 1:j + 1], list_min(ms[greatest(i + 4, j - 3) + 1:j + 1])) ELSE j END
+  FROM (SELECT *, least(i + 44, e, coalesce(list_min(list_filter(range(i + 3, n), lambda x: upto[x + 2] - upto[i + 1] >= 15000000)), n)) AS j
+   FROM (SELECT sm.*, ck.b + 1 AS i, coalesce(list_min(list_filter(ws, lambda x: x > ck.b + 1)), n) - 1 AS e FROM ck JOIN sm USING (media_id) JOIN ww USING (media_id) WHERE ck.b + 1 < n))),
+ fr AS (SELECT ck.*, CASE WHEN b - a + 1 < 4 AND NOT cs[a + 1] AND NOT list_contains(ws, a) THEN 0 ELSE 1 END AS fresh, upto[b + 2] - upto[a + 1] AS act FROM ck JOIN sm USING (media_id) JOIN ww USING (media_id) WHERE a >= 0),
+ gr AS (SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY a) AS chunk_no FROM fr)
+ SELECT media_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(min(a) AS INTEGER) AS first, CAST(max(b) AS INTEGER) AS last, sum(act) / 1000000.0 AS activity FROM gr GROUP BY media_id, chunk_no"""
+
+
 def edit_list_sql(flatten: str) -> str:
     n = {c: f"(({c} * 25 + 500) // 1000)" for c in ("source_ini", "source_fin", "seq_ini", "seq_fin")}
     codes = " || ' ' || ".join(f"printf('%02d:%02d:%02d:%02d', {x} // 90000, {x} // 1500 % 60, {x} // 25 % 60, {x} % 25)" for x in n.values())

@@ -204,7 +204,7 @@ def pairwise_merge(spark, d):
 
 @query("wake_spans", fold_sql.WAKE_SPANS)
 def wake_spans(spark, d):
-    return sq.wake_spans(timeline(spark, d), BY, "track_id", {"signup"}, 12 * HOUR, 72 * HOUR, 2 * HOUR)
+    return sq.wake_spans(timeline(spark, d), BY, "track_id", {"signup"}, 12 * HOUR, 72 * HOUR, 2 * HOUR, slice_width=72 * HOUR)
 
 
 @query(
