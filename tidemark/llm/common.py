@@ -58,6 +58,14 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, made longer until no column has it, in whatever case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches in parts of at most ``rows`` rows, so that a task holds few texts at a time."""
     for b in batches:

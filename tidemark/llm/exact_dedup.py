@@ -179,7 +179,9 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = found.where("NOT more").select(*named, F.col("chain").alias("whole")).unionByName(found.where("more").join(whole, ["key", "page", "chain"]).select(*named, "whole"))
     groups = classes.groupBy("key", "whole").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "page", "place")).alias("stays"))
     kept = (F.col("page") == F.col("stays.page")) & (F.col("place") == F.col("stays.place"))
-    copies = classes.join(groups, ["key", "whole"]).select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    # by page, so that the rows of a frequent text are not joined in one task
+    groups = classes.select("key", "whole", "page").distinct().join(groups, ["key", "whole"])
+    copies = classes.join(groups, ["key", "whole", "page"]).select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(copies)
 
 

@@ -73,6 +73,8 @@ CONTENT_TAGS = frozenset(("article", "main"))
 HAS = frozenset("with has no without".split())
 #: Words whose mark stays, whatever the element holds: reader comments, teasers and adverts.
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement sponsor sponsored comment comments disqus reply replies respond related recommended teaser".split())
+#: Words that name a part of such an element and say nothing of what it holds.
+PARTS = frozenset("list section area box item items block container wrapper wrap inner outer body content text title heading meta author avatar date post posts article articles story stories news link links slot unit zone space count form thread tree card cards grid row top bottom left right main more block the".split())
 
 
 class Page:
@@ -199,7 +201,9 @@ class Page:
         """Label of an element and what the markup says: 1 furniture, 2 menus, comments or adverts, -1 content."""
         names = [WORD.findall(name) for _, v in ATTRIBUTE.findall(rest) for name in v.strip("\"'").lower().split()] if rest else []
         words = [w for name in names if name and name[0] not in HAS for w in name]
-        if tag in NEVER_CONTENT_TAGS or not NOT_CONTENT.isdisjoint(words):
+        # inside named content a name that says more, such as related-work, is no mark
+        outside = any(NOT_CONTENT.intersection(name) and (not in_content or all(w in NOT_CONTENT or w in FURNITURE_WORDS or w in PARTS for w in name)) for name in names if name and name[0] not in HAS)
+        if tag in NEVER_CONTENT_TAGS or outside:
             mark = 2
         elif tag in CONTENT_TAGS:
             mark = -1

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import free_name, save, table
 
 #: Documented bound of the fitting sample: distinct learning texts per language.
 SAMPLE_DOCS = 1500
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows whose language is recognised; columns as they came."""
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()) if "doc_id" in docs.columns else docs)
-    names = ("__lang_pred", "__score")
+    names = (free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score"))
     found = predict(docs, model, docs.columns, names=names)
     return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= REJECT_BELOW)).select(*docs.columns)
 

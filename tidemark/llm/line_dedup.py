@@ -17,15 +17,16 @@ common these are all but a hundredth. The others are tied through ``linking``, v
 distributed union-find gives the components; the line first in (doc_id, line number) stays.
 
 Defined results: blank lines, and lines of rows with a null id, take no part and stay; a null
-text has no lines; rows that share a doc_id count as one document and are treated alike;
-empty table, empty result; other columns are passed through. ``dedup_documents`` drops a
-document if lines of it were removed and less than a fifth of its characters outside blank lines
-stays: such a rest, the edited parts of a near copy, is a fragment, and the whole document is
-similar to others by ``PERCENT``.
+text has no lines; rows that share a doc_id count as one document;
+empty table, empty result; other columns are passed through, whatever their names; doc_id is a whole number. ``dedup_documents``
+drops a document of which no line stays, and a near copy of one other document: one whose lines are to
+``PERCENT`` of the characters lines that stay in that document, if no line of it stays for a third. All other
+documents keep the lines that stay, however few: what no other document holds is never lost with lines that came from several.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import free_name, save, table
 from .linking import FILTER_BITS, distinct, link_components, sifted
 
 #: Characters of a span: of the functions' default, and of the query and the pipeline.
@@ -47,7 +48,8 @@ MANY, ONE = 160, 128
 #: Characters hashed at a time, ids a task remembers.
 SLICE, REMEMBER = 1 << 19, 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_factors = np.random.default_rng(10).integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Products of 32 bits are computed several at a time; equal minima of different spans are one in 2**32.
+_factors = np.random.default_rng(10).integers(1, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _powers: list[np.ndarray] = []
 
 
@@ -135,10 +137,11 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
     if len(few):
         n = counts[few]
         starts = np.cumsum(n) - n
-        x = h[np.repeat(first[few] - starts, n) + np.arange(n.sum())]
-        minima = np.empty((len(few), width), np.uint64)
+        x = (h[np.repeat(first[few] - starts, n) + np.arange(n.sum())] >> np.uint64(32)).astype(np.uint32)
+        minima = np.empty((width, len(few)), np.uint64)
         for i, f in enumerate(_factors):
-            minima[:, i] = np.minimum.reduceat(x * f, starts)
+            minima[i] = np.minimum.reduceat(x * f, starts)
+        minima = np.ascontiguousarray(minima.T)
         rows.append(np.repeat(few, BANDS))
         keys.append(_bands(minima, 0).ravel())
         sketches.append(np.repeat(_sketch(minima), BANDS))
@@ -220,8 +223,8 @@ def line_keys(lines: DataFrame, span: int = SPAN) -> DataFrame:
     return lines.where("line is not null").select("id", "line").mapInArrow(run, "id long, key long, sketch long")
 
 
-def removed_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, removed): the line numbers, from 0, that do not stay, of documents with any."""
+def line_owners(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, line_no, id, owner) of the lines that do not stay, with the document whose line stays for them."""
     lines = line_items(docs)
 
     def texts_of(need: DataFrame) -> DataFrame:
@@ -234,33 +237,51 @@ def removed_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
     keeper = first.groupBy("component").agg(F.min("first").alias("keep"))
     keeper = first.join(keeper, "component").select("id", "keep")
     gone = lines.select("id", "doc_id", "line_no").join(keeper, "id").where((F.col("keep.doc_id") != F.col("doc_id")) | (F.col("keep.line_no") != F.col("line_no")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    return gone.select("doc_id", "line_no", "id", F.col("keep.doc_id").alias("owner"))
+
+
+def removed_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, removed): the line numbers, from 0, that do not stay, of documents with any."""
+    return line_owners(docs, span).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_documents(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents without the lines that do not stay; columns as they came."""
-    gone = removed_lines(docs, span).withColumnsRenamed({"doc_id": "__doc_id", "removed": "__removed"})
-    both = docs.join(gone, docs["doc_id"] == gone["__doc_id"], "left").drop("__doc_id")
-    names, at = docs.columns, docs.columns.index("text")
+    gone = save(line_owners(docs, span))
+    mine, lines, free = (free_name(docs.columns, c) for c in ("own_id", "removed", "owns_none"))
+    owners = gone.where("owner <> doc_id").select(F.col("owner").alias("doc_id"), F.lit(False).alias(free)).distinct()
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id", "owner")).alias(lines)).join(owners, "doc_id", "left")
+    gone = gone.select(F.col("doc_id").alias(mine), lines, F.coalesce(free, F.lit(True)).alias(free))
+    both = docs.join(gone, docs["doc_id"] == gone[mine], "left")
+    names, at, lost = docs.columns, docs.columns.index("text"), free_name(docs.columns, "lost")
 
     def run(batches):
         for b in batches:
-            texts, lost = [], []
-            for text, removed in zip(b["text"], b["__removed"].to_pylist(), strict=True):
-                text, gone = text.as_py(), False
+            texts, drops = [], []
+            for text, doc, removed, owns_none in zip(b["text"], b[mine].to_pylist(), b[lines].to_pylist(), b[free].to_pylist(), strict=True):
+                text, drop = text.as_py(), False
                 if removed and text is not None:
-                    out, lines = set(removed), text.split("\n")
-                    sizes = [len(line.strip()) for line in lines]
-                    gone = 100 * sum(s for n, s in enumerate(sizes) if n in out) >= PERCENT * sum(sizes)
-                    text = "\n".join(line for n, line in enumerate(lines) if n not in out)
+                    out, stay, total, held = {(x["line_no"], x["id"]): x["owner"] for x in removed}, [], 0, Counter()
+                    for n, line in enumerate(text.split("\n")):
+                        norm = normalised(line)
+                        total += len(norm)
+                        owner = out.get((n, line_id(norm))) if norm else None
+                        if owner is None:
+                            stay.append(line)
+                        else:
+                            held[owner] += len(norm)
+                    held.pop(doc, None)
+                    near = owns_none and held and 100 * max(held.values()) >= PERCENT * total
+                    drop = near or total > 0 and not any(map(str.strip, stay))
+                    text = "\n".join(stay)
                 texts.append(text)
-                lost.append(gone)
+                drops.append(bool(drop))
             columns = [b[c] for c in names]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.bool_())], [*names, "__lost"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(drops, pa.bool_())], [*names, lost])
 
     types = dict(docs.dtypes)
-    kept = both.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", __lost boolean").where("not __lost")
+    kept = both.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + f", `{lost}` boolean").where(~F.col(lost))
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(types["n_chars"]))
     return kept.select(*names)
