@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .intervals import islands
 from ..sources.scratch import stored
+from .greedy import matching, ranked
+from .intervals import islands
 from .joins import asof, overlap_join
 from .scan import follow, running
 
@@ -38,35 +39,38 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(text):
+    """How often each letter, digit and the blank occur, and all other characters together."""
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c))) for c in LETTERS]
+    return F.array(*counts, F.length(F.translate(text, LETTERS, "")))
+
+
 def bleed_duplicates(utterances: DataFrame, by: list[str], track: str, id_col: str, text: str, quality: list[str], least_overlap=0.8, least_similarity=0.92, least_chars=8, bin_width=None) -> DataFrame:
-    """Near-equal utterances heard on two tracks at once. Candidates come from the overlap join;
-    pairs are claimed greedily in time, each utterance once; the better quality is primary."""
-    rows = utterances.select(*by, F.col(track).alias("track"), F.col(id_col).alias("id"), "t_ini", "t_fin", F.col(text).alias("text"), F.struct(*quality).alias("q"))
-    left = rows.select(*by, *(F.col(c).alias(f"o_{c}") for c in ("track", "id", "t_ini", "t_fin", "text", "q")))
+    """Near-equal utterances heard on two tracks at once: (by, primary_id, secondary_id, similarity).
+
+    Candidates come from the overlap join. Lengths, then the letters that both texts have, bound the similarity from above before
+    texts are compared. Of all pairs in time order each utterance is claimed once, by rounds on all timelines
+    at once; the better quality is primary. A null text is similar to nothing; ids are distinct within a timeline."""
+    rows = utterances.select(*by, F.col(track).alias("track"), F.col(id_col).alias("id"), "t_ini", "t_fin", F.col(text).alias("text"), F.struct(*quality).alias("q")).where(F.length("text") >= least_chars * least_similarity / (2 - least_similarity))
+    rows = rows.withColumn("letters", letter_counts(F.col("text")))
+    left = rows.select(*by, *(F.col(c).alias(f"o_{c}") for c in ("track", "id", "t_ini", "t_fin", "text", "q", "letters")))
     pairs = overlap_join(rows, left, by, ("t_ini", "t_fin"), ("o_t_ini", "o_t_fin"), bin_width=bin_width)
     earlier = F.struct(F.col("o_t_ini"), F.col("o_track"), F.col("o_t_fin"), F.col("o_id")) < F.struct(F.col("t_ini"), F.col("track"), F.col("t_fin"), F.col("id"))
     shared = F.least("t_fin", "o_t_fin") - F.greatest("t_ini", "o_t_ini")
     shorter = F.least(F.col("t_fin") - F.col("t_ini"), F.col("o_t_fin") - F.col("o_t_ini"))
     pairs = pairs.where((F.col("track") != F.col("o_track")) & earlier & (F.length("text") >= least_chars) & (shared >= F.lit(least_overlap) * shorter) & (shorter > 0))
-    # equal lengths bound the similarity: 2 min / (a + b)
-    bound = 2 * F.least(F.length("text"), F.length("o_text")) / (F.length("text") + F.length("o_text"))
-    pairs = pairs.where(bound >= least_similarity).withColumn("similarity", similarity("text", "o_text")).where(F.col("similarity") >= least_similarity)
-    pairs = pairs.withColumn("first_better", F.col("q") > F.col("o_q"))
-    types = dict(rows.dtypes)
-
-    def claim(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_ini", "track", "t_fin", "id", "o_t_ini", "o_track", "o_t_fin", "o_id"])
-        taken, out = set(), []
-        for r in pdf.itertuples():
-            if r.id in taken or r.o_id in taken:
-                continue
-            taken |= {r.id, r.o_id}
-            one, two = (r.id, r.o_id) if r.first_better else (r.o_id, r.id)
-            out.append((*key, one, two, r.similarity))
-        return pd.DataFrame(out, columns=[*by, "primary_id", "secondary_id", "similarity"])
-
-    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-    return pairs.groupBy(*by).applyInPandas(claim, f"{keys}, primary_id {types['id']}, secondary_id {types['id']}, similarity double")
+    both = F.length("text") + F.length("o_text")
+    common = F.aggregate(F.zip_with("letters", "o_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.where((2 * F.least(F.length("text"), F.length("o_text")) >= least_similarity * both) & (2 * common >= least_similarity * both))
+    pairs = pairs.withColumn("similarity", similarity("text", "o_text")).where(F.col("similarity") >= least_similarity)
+    pairs = pairs.select(*by, "t_ini", "track", "t_fin", "id", "o_t_ini", "o_track", "o_t_fin", "o_id", "similarity", (F.col("q") > F.col("o_q")).alias("first_better"))
+    order = ["t_ini", "track", "t_fin", "id", "o_t_ini", "o_track", "o_t_fin", "o_id"]
+    taken = matching(ranked(pairs, by, order).select(*by, "id", "o_id", "similarity", "first_better", "rank_no"), by, "id", "o_id", "rank_no")
+    one, two = F.when(F.col("first_better"), F.col("id")).otherwise(F.col("o_id")), F.when(F.col("first_better"), F.col("o_id")).otherwise(F.col("id"))
+    return taken.select(*by, one.alias("primary_id"), two.alias("secondary_id"), "similarity")
 
 
 def readable_blocks(utterances: DataFrame, by: list[str], track: str, speaker: str, id_col: str, text: str, blocked: str, max_gap, max_span, max_words: int, slice_width=None) -> DataFrame:

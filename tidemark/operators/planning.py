@@ -6,10 +6,6 @@ a fold per timeline in ``applyInPandas``.
 
 from __future__ import annotations
 
-import bisect
-import math
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,34 +165,52 @@ def activity_chunks(samples: DataFrame, by: list[str], pos: str, value: str, bud
     return out.select(*by, "chunk_no", "first", "last", "activity")
 
 
-def quota_select(pool: DataFrame, by: list[str], lane: str, rank: str, lane_order: list[str], quotas: dict[str, int], spacing, always: str | None = None) -> DataFrame:
-    """Greedy selection: lanes in order, the best first; a row is refused if it is within
-    ``spacing`` of an accepted one or its lane's quota is full; rows with ``always`` enter first.
-    (by, id, lane, t_ini, t_fin, rank, accepted, why)."""
-    rows = pool.select(*by, "id", F.col(lane).alias("lane"), "t_ini", "t_fin", F.col(rank).cast("double").alias("rank"), F.coalesce(F.col(always) if always else F.lit(False), F.lit(False)).alias("always"))
-    types = dict(rows.dtypes)
-    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
+def clashes(rows: DataFrame, others: DataFrame, by: list[str], spacing, bin_width=None) -> DataFrame:
+    """(by, a, b): ranks of rows and of others that lie less than ``spacing`` apart or share an entry of ``shared``."""
+    left = rows.select(*by, F.col("rank_no").alias("a"), (F.col("t_ini") - F.lit(spacing)).alias("l_ini"), (F.col("t_fin") + F.lit(spacing)).alias("l_fin"))
+    right = others.select(*by, F.col("rank_no").alias("b"), F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin"))
+    near = overlap_join(left, right, by, ("l_ini", "l_fin"), convention=Convention.OPEN, bin_width=bin_width).select(*by, "a", "b")
+    mine = rows.select(*by, F.col("rank_no").alias("a"), F.explode("shared").alias("x"))
+    theirs = others.select(*by, F.col("rank_no").alias("b"), F.explode("shared").alias("x"))
+    return near.unionByName(mine.join(theirs, [*by, "x"]).select(*by, "a", "b")).where("a <> b").distinct()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        order = {x: i for i, x in enumerate(lane_order)}
-        pdf = pdf.assign(o=pdf["lane"].map(order).fillna(len(order))).sort_values(["always", "o", "rank", "t_ini", "id"], ascending=[False, True, False, True, True])
-        starts, spans, full, out = [], {}, {}, []
-        longest = 0
-        for r in pdf.itertuples():
-            k = bisect.bisect_left(starts, r.t_ini - spacing - longest)
-            clash = any(r.t_ini < spans[s] + spacing and s - spacing < r.t_fin for s in starts[k : bisect.bisect_right(starts, r.t_fin + spacing)])
-            why = None if r.always else "duplicate" if clash else "quota" if full.get(r.lane, 0) >= quotas.get(r.lane, 99) else None
-            if why is None:
-                if r.t_ini not in spans:
-                    bisect.insort(starts, r.t_ini)
-                spans[r.t_ini] = max(r.t_fin, spans.get(r.t_ini, r.t_fin))
-                longest = max(longest, r.t_fin - r.t_ini)
-                full[r.lane] = full.get(r.lane, 0) + (not r.always)
-            out.append((*key, r.id, r.lane, r.t_ini, r.t_fin, r.rank, why is None, why))
-        return pd.DataFrame(out, columns=[*by, "id", "lane", "t_ini", "t_fin", "rank", "accepted", "why"])
-
-    t = types["t_ini"]
-    return rows.groupBy(*by).applyInPandas(run, f"{keys}, id {types['id']}, lane {types['lane']}, t_ini {t}, t_fin {t}, rank double, accepted boolean, why string")
+
+def quota_select(pool: DataFrame, by: list[str], lane: str, rank: str, lane_order: list[str], quotas: dict[str, int], spacing, always: str | None = None, shared: str | None = None, scale: DataFrame | None = None, bin_width=None) -> DataFrame:
+    """Selection by quotas: lanes in order, the best first; a row is refused as duplicate if it is within ``spacing`` of an
+    accepted one or has an entry of ``shared`` in common with it, and for the quota if its lane's is full; rows with ``always`` enter first, without quota.
+    (by, id, lane, t_ini, t_fin, rank, accepted, why).
+
+    Each lane is chosen by rounds, on all timelines at once, among what doesn't clash with the lanes before; its quota then
+    takes the first of the chosen. ``scale`` (by, scale) multiplies the quotas (rounded, 1 at least). Lanes without a quota have 99; those
+    outside ``lane_order`` come last, together, and have none. Rows without a time or an id take no part."""
+    from .greedy import ranked, refused
+
+    empty = F.array().cast("array<string>")
+    rows = pool.where("id IS NOT NULL AND t_ini IS NOT NULL AND t_fin IS NOT NULL").select(
+        *by, "id", F.col(lane).alias("lane"), "t_ini", "t_fin", F.col(rank).cast("double").alias("rank"), F.coalesce(F.col(always) if always else F.lit(False), F.lit(False)).alias("always"),
+        F.coalesce(F.transform(F.col(shared), lambda x: x.cast("string")), empty).alias("shared") if shared else empty.alias("shared"),
+    )
+    place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(lane_order) for x in (n, i)]), F.col("lane")), F.lit(len(lane_order))) if lane_order else F.lit(0)
+    rows = rows.withColumn("lane_no", F.when(F.col("always"), -1).otherwise(place))
+    full = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, q in quotas.items() for x in (n, q)]), F.col("lane")), F.lit(99)) if quotas else F.lit(99)
+    rows = ranked(rows, by, ["lane_no", F.desc("rank"), "t_ini", "id"]).withColumn("quota", F.when(F.col("lane_no") < len(lane_order), full).otherwise(2**31 - 1))
+    if scale is not None:
+        rows = rows.join(scale.select(*by, "scale"), by, "left").withColumn("quota", F.greatest(F.lit(1), F.rint(F.col("quota") * F.coalesce("scale", F.lit(1.0))).cast("int"))).drop("scale")
+    rows = stored(rows, "quota")
+    taken = rows.where("always")
+    for k in [r["lane_no"] for r in rows.where("NOT always").select("lane_no").distinct().orderBy("lane_no").collect()]:  # the lanes named, and one more
+        own = rows.where((F.col("lane_no") == k) & ~F.col("always"))
+        blocked = clashes(own, taken, by, spacing, bin_width).select(*by, F.col("a").alias("rank_no")).distinct()
+        free = stored(own.join(blocked, [*by, "rank_no"], "left_anti"), "quota")
+        left = free.join(refused(clashes(free, free, by, spacing, bin_width), by, "a", "b"), [*by, "rank_no"], "left_anti")
+        first = left.withColumn("place", F.row_number().over(Window.partitionBy(*by, "lane").orderBy("rank_no"))).where("place <= quota").drop("place")
+        taken = stored(taken.unionByName(first.select(*taken.columns)), "quota")
+    # refused rows: near an accepted one that came before them, or else over the quota
+    refusals = rows.join(taken.select(*by, "rank_no"), [*by, "rank_no"], "left_anti")
+    near = clashes(refusals, taken, by, spacing, bin_width).where("b < a").select(*by, F.col("a").alias("rank_no")).distinct().withColumn("why", F.lit("duplicate"))
+    refusals = refusals.join(near, [*by, "rank_no"], "left").withColumn("why", F.coalesce("why", F.lit("quota"))).withColumn("accepted", F.lit(False))
+    out = taken.withColumn("why", F.lit(None).cast("string")).withColumn("accepted", F.lit(True)).unionByName(refusals, allowMissingColumns=True)
+    return out.select(*by, "id", "lane", "t_ini", "t_fin", "rank", "accepted", "why")
 
 
 def pack_first_fit(protected: DataFrame, new: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -207,11 +221,11 @@ def pack_first_fit(protected: DataFrame, new: DataFrame, by: list[str], order: s
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         held = sorted(zip(pdf["seq_ini"][pdf["id"].isna()], pdf["seq_fin"][pdf["id"].isna()], strict=True))
-        cursor, out = 0, []
+        cursor, at, out = 0, 0, []
         for r in pdf[pdf["id"].notna()].sort_values(["o", "id"]).itertuples():
-            for a, b in held:
-                if cursor < b and cursor + r.seq_fin > a:
-                    cursor = b
+            while at < len(held) and cursor + r.seq_fin > held[at][0]:  # what lies before the cursor is behind for good
+                cursor = max(cursor, held[at][1])
+                at += 1
             out.append((*key, int(r.id), int(cursor), int(cursor + r.seq_fin)))
             cursor += r.seq_fin
         return pd.DataFrame(out, columns=[*by, "id", "seq_ini", "seq_fin"])

@@ -7,9 +7,6 @@ before (greedy separation, prominence, wake spans) run per timeline in
 
 from __future__ import annotations
 
-import bisect
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,20 +213,17 @@ def _per_timeline(df: DataFrame, by: list[str], columns: list[str], run, schema:
 
 
 def separated_peaks(df: DataFrame, by: list[str], t: str, value: str, min_gap, least: float) -> DataFrame:
-    """Greedy: the highest peaks first, each at least ``min_gap`` from those taken."""
-    peaks = local_peaks(df, by, t, value, least).select(*by, t, value)
-
-    def run(pdf):
-        taken: list[float] = []
-        out = []
-        for row_t, v in sorted(zip(pdf[t].tolist(), pdf[value].tolist(), strict=True), key=lambda r: (-r[1], r[0])):
-            i = bisect.bisect_left(taken, row_t)
-            if all(abs(row_t - x) >= min_gap for x in taken[max(0, i - 1) : i + 1]):
-                taken.insert(i, row_t)
-                out.append((row_t, v))
-        return sorted(out)
-
-    return _per_timeline(peaks, by, [t], run, f"peak_t {dict(df.dtypes)[t]}, peak double")
+    """Greedy: the highest peaks first, each at least ``min_gap`` from those taken: (by, peak_t, peak).
+    Chosen by rounds, on all timelines at once; peaks within the gap of each other meet in bins of its width."""
+    from .greedy import ranked, refused
+    from .joins import overlap_join
+
+    peaks = local_peaks(df, by, t, value, least).select(*by, F.col(t).alias("peak_t"), F.col(value).cast("double").alias("peak"))
+    peaks = stored(ranked(peaks, by, [F.desc("peak"), "peak_t"]), "peaks")
+    near = peaks.select(*by, F.col("rank_no").alias("a"), F.col("peak_t").alias("l_ini"), (F.col("peak_t") + F.lit(min_gap)).alias("l_fin"))
+    others = peaks.select(*by, F.col("rank_no").alias("b"), F.col("peak_t").alias("r_ini"), F.col("peak_t").alias("r_fin"))
+    close = overlap_join(near, others, by, ("l_ini", "l_fin"), convention=Convention.CLOSED, bin_width=min_gap).where((F.col("r_ini") < F.col("l_fin")) & (F.col("a") != F.col("b")))
+    return peaks.join(refused(close, by, "a", "b"), [*by, "rank_no"], "left_anti").select(*by, "peak_t", "peak")
 
 
 def prominent_peaks(df: DataFrame, by: list[str], t: str, value: str, prominence: float) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import planning as pl
 from ..operators import remap as rm
 from ..operators import stats as st
 from ..operators import topics as tp
+from ..plans import index as ix
 from ..plans import master as ms
 from ..plans.silence import bounds_of
 from ..sources.timeline import EV_SQL, UT_SQL, read, timeline, utterances
@@ -326,12 +327,13 @@ def conversation_transcript(spark, d):
     return ms.transcript(utterances(spark, d), ["conv_id"], "role", "text", "turn")
 
 
-@query("bleed_duplicates")
+@query("bleed_duplicates", fold_sql.BLEED_DUPLICATES.replace("{accented}", tx.ACCENTED).replace("{plain}", tx.PLAIN).replace("{{2,}}", "{2,}"))
 def bleed_duplicates(spark, d):
-    u = utterances(spark, d)
-    echo = u.withColumn("role", F.concat("role", F.lit("-echo"))).withColumn("turn", F.col("turn") + 1000).withColumn("t_ini", F.col("t_ini") + 20)
-    both = u.unionByName(echo).withColumn("id", F.col("conv_id") * 10_000 + F.col("turn")).withColumn("body", tx.normalized(F.col("text"))).withColumn("size", F.length("text"))
-    return cv.bleed_duplicates(both, ["conv_id"], "role", "id", "body", ["size", "id"], bin_width=60_000)
+    u = utterances(spark, d).withColumn("size", F.length("text")).withColumn("text", tx.normalized(F.col("text")))
+    later = lambda name, turns, ms, cut, n: u.withColumns({"role": name, "turn": F.col("turn") + turns, "t_ini": F.col("t_ini") + ms, "t_fin": F.col("t_fin") + ms, "text": F.when(cut, F.expr(f"substr(text, 1, length(text) - {n})")).otherwise(F.col("text"))})
+    every = u.unionByName(later(F.concat("role", F.lit("-echo")), 1000, 20, F.col("turn") % 3 == 0, 1)).unionByName(later(F.lit("far"), 2000, 35, F.col("turn") % 2 == 0, 2))
+    out = cv.bleed_duplicates(every.withColumn("id", F.col("conv_id") * 10_000 + F.col("turn")), ["conv_id"], "role", "id", "text", ["size", "id"], bin_width=60_000)
+    return out.withColumn("similarity", F.round("similarity", 9))
 
 
 @query("readable_blocks", fold_sql.READABLE_BLOCKS)
@@ -397,13 +399,38 @@ def activity_chunks(spark, d):
     return pl.activity_chunks(motion, BY, "t_ini", "m", 15.0, 4, 45, 3, "cut", ["event_id"], 240 * HOUR, 0.25)
 
 
-@query("quota_index")
+@query("quota_index", fold_sql.QUOTA_INDEX)
 def quota_index(spark, d):
     pool = st.ranked_pool(timeline(spark, d), ["track_id"], "value", 20).withColumn("id", F.col("event_id")).withColumn("always", F.col("k") == 7)
-    return pl.quota_select(pool, BY, "track_id", "rank", ["purchase", "signup", "click", "view", "error"], {"purchase": 3, "signup": 2, "click": 2, "view": 4}, 2 * HOUR, "always")
+    return pl.quota_select(pool, BY, "track_id", "rank", ["purchase", "signup", "click", "view", "error"], {"purchase": 3, "signup": 2, "click": 2, "view": 4}, 2 * HOUR, "always", bin_width=BIN)
 
 
-@query("first_fit_packing")
+def index_parts(spark, d):
+    ev = timeline(spark, d).withColumn("id", F.col("event_id").cast("string"))
+    peak = F.col("t_ini") + F.expr("(t_fin - t_ini) div 2")
+    peaks = st.ranked_pool(ev.where("track_id IN ('purchase', 'signup', 'view')"), ["track_id"], "value", -1).select("media_id", "id", F.col("track_id").alias("modality"), "t_ini", "t_fin", peak.alias("t_peak"), "rank", "value", "k")
+    orders = peaks.where("k = 7").withColumn("modality", F.lit("order")).withColumn("rank", F.lit(1.0)).drop("k")
+    span = lambda track, test: ev.where((F.col("track_id") == track) & test).select("media_id", "id", "t_ini", "t_fin")
+    lengths = ev.groupBy("media_id").agg(F.max("t_fin").alias("length"))
+    return ix.signal_index(
+        peaks.where("value >= 40").drop("k"), BY, span("click", F.col("value") < 10), span("error", F.col("value") < 50), lengths, orders,
+        ["purchase", "signup", "view"], {"multimodal": 2, "purchase": 1, "signup": 2, "view": 3}, 240 * HOUR, HOUR, HOUR // 2, 2 * HOUR, HOUR // 6, BIN,
+    )
+
+
+@query("signal_index", fold_sql.SIGNAL_INDEX)
+def signal_index(spark, d):
+    seeds, _ = index_parts(spark, d)
+    named = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",")
+    return seeds.select("media_id", "seed_no", "lane", "strength", "t_ini", "t_fin", F.array_join("phrases", ",").alias("phrases"), named(F.col("members")).alias("members"), F.array_join(F.transform("build_up", lambda x: x["id"]), ",").alias("build_up"))
+
+
+@query("refused_signals", fold_sql.REFUSED_SIGNALS)
+def refused_signals(spark, d):
+    return index_parts(spark, d)[1].withColumn("rank", F.round("rank", 9))
+
+
+@query("first_fit_packing", fold_sql.FIRST_FIT_PACKING)
 def first_fit_packing(spark, d):
     ev = timeline(spark, d)
     protected = ev.where("track_id = 'view'").select("media_id", F.col("t_ini").alias("seq_ini"), F.col("t_fin").alias("seq_fin"))

@@ -112,6 +112,61 @@ ACTIVITY_CHUNKS = f"""WITH RECURSIVE {EV_SQL}, o AS (SELECT media_id, CASE WHEN
  SELECT media_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(min(a) AS INTEGER) AS first, CAST(max(b) AS INTEGER) AS last, sum(act) / 1000000.0 AS activity FROM gr GROUP BY media_id, chunk_no"""
 
 
+def quota_sql(ctes: str, spacing: int) -> str:
+    """se (media_id, n, ok, why) of the table cd (media_id, n in serial order, lane, a, b, ids, always, quota), one after the other."""
+    return f"""{ctes},
+ ta AS (SELECT media_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(a BIGINT, b BIGINT, ids VARCHAR[])[]) AS used, CAST([] AS VARCHAR[]) AS lanes, FALSE AS ok, CAST(NULL AS VARCHAR) AS why FROM (SELECT DISTINCT media_id FROM cd) UNION ALL
+  SELECT media_id, n, CASE WHEN w IS NULL THEN list_append(used, {{'a': a, 'b': b, 'ids': ids}}) ELSE used END, CASE WHEN w IS NULL AND NOT always THEN list_append(lanes, lane) ELSE lanes END, w IS NULL, w
+  FROM (SELECT cd.*, used, lanes, CASE WHEN always THEN NULL WHEN len(list_filter(used, lambda u: (cd.a < u.b + {spacing} AND u.a - {spacing} < cd.b) OR list_has_any(u.ids, cd.ids))) > 0 THEN 'duplicate'
+   WHEN len(list_filter(lanes, lambda l: l = cd.lane)) >= quota THEN 'quota' END AS w FROM ta JOIN cd ON cd.media_id = ta.media_id AND cd.n = ta.n + 1)),
+ se AS (SELECT media_id, n, ok, why FROM ta WHERE n > 0)"""
+
+
+QUOTA_INDEX = f"""WITH RECURSIVE {EV_SQL}, po AS (SELECT *, cume_dist() OVER (PARTITION BY track_id ORDER BY value) AS rank FROM ev),
+ {quota_sql("""cd AS (SELECT media_id, event_id, track_id AS lane, t_ini AS a, t_fin AS b, CAST([] AS VARCHAR[]) AS ids, k = 7 AS always, rank, CASE track_id WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 2 WHEN 'view' THEN 4 ELSE 99 END AS quota,
+  row_number() OVER (PARTITION BY media_id ORDER BY CASE WHEN k = 7 THEN -1 ELSE list_position(['purchase', 'signup', 'click', 'view', 'error'], track_id) END, rank DESC, t_ini, event_id) AS n FROM po WHERE value >= 20)""", 7_200_000)}
+ SELECT media_id, event_id AS id, lane, a AS t_ini, b AS t_fin, rank, ok AS accepted, why FROM se JOIN cd USING (media_id, n)"""
+
+#: Peaks of three tracks, orders (k = 7), phrases and pauses of two other tracks; see the query.
+INDEX_CTES = f"""{EV_SQL}, po AS (SELECT media_id, CAST(event_id AS VARCHAR) AS id, event_id, track_id AS modality, t_ini, t_fin, t_ini + (t_fin - t_ini) // 2 AS t_peak, cume_dist() OVER (PARTITION BY track_id ORDER BY value) AS rank, value, k FROM ev WHERE track_id IN ('purchase', 'signup', 'view')),
+ pl AS (SELECT * FROM po WHERE value >= 40),
+ ss AS (SELECT *, sum(CASE WHEN t_peak - p <= 3600000 THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY t_peak, id) AS g FROM (SELECT *, lag(t_peak) OVER (PARTITION BY media_id ORDER BY t_peak, id) AS p FROM pl)),
+ nu AS (SELECT media_id, 'n:' || arg_min(id, (t_peak, id)) AS id, 'multimodal' AS lane, min(t_ini) AS t_ini, max(t_fin) AS t_fin, min(t_peak) AS t_peak, list_sum(list_sort(list(rank), 'DESC')[1:2]) / 2 AS rank, string_agg(id, ',' ORDER BY t_peak, id) AS members, FALSE AS always FROM ss GROUP BY media_id, g HAVING count(DISTINCT modality) >= 2),
+ al AS (SELECT * FROM nu UNION ALL SELECT media_id, id, modality, t_ini, t_fin, t_peak, rank, id, FALSE FROM pl UNION ALL SELECT media_id, id, 'order', t_ini, t_fin, t_peak, 1.0, id, TRUE FROM po WHERE k = 7),
+ ph AS (SELECT media_id, CAST(event_id AS VARCHAR) AS id, t_ini, t_fin FROM ev WHERE track_id = 'click' AND value < 10),
+ th AS (SELECT al.*, coalesce((SELECT list_sort(list(ph.id)) FROM ph WHERE ph.media_id = al.media_id AND ph.t_ini < al.t_fin + 600000 AND ph.t_fin > al.t_ini - 600000), CAST([] AS VARCHAR[])) AS ids FROM al),
+ le AS (SELECT media_id, greatest(max(t_fin) / 864000000.0, 0.5) AS scale FROM ev GROUP BY 1),
+ cd AS (SELECT th.*, t_ini AS a, t_fin AS b, greatest(1, CAST(round_even(scale * CASE lane WHEN 'multimodal' THEN 2 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 ELSE 99 END, 0) AS INTEGER)) AS quota,
+  row_number() OVER (PARTITION BY media_id ORDER BY CASE WHEN always THEN -1 ELSE list_position(['multimodal', 'purchase', 'signup', 'view'], lane) END, rank DESC, t_ini, id) AS n FROM th JOIN le USING (media_id))"""
+
+SIGNAL_INDEX = f"""WITH RECURSIVE {quota_sql(INDEX_CTES, 1_800_000)},
+ pz AS (SELECT media_id, CAST(event_id AS VARCHAR) AS id, t_ini, t_fin FROM ev WHERE track_id = 'error' AND value < 50),
+ sd AS (SELECT cd.*, (SELECT list(p.id ORDER BY p.t_ini, p.t_fin, p.id) FROM pz p WHERE p.media_id = cd.media_id AND p.t_fin > cd.t_peak - 7200000 AND p.t_fin <= cd.t_peak)[1:3] AS up FROM se JOIN cd USING (media_id, n) WHERE ok)
+ SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY t_ini, id, lane) AS INTEGER) AS seed_no, lane, round(least(rank, 1.0), 2) AS strength, t_ini, t_fin, array_to_string(ids, ',') AS phrases, members, coalesce(array_to_string(up, ','), '') AS build_up FROM sd"""
+
+REFUSED_SIGNALS = f"""WITH RECURSIVE {quota_sql(INDEX_CTES, 1_800_000)}
+ SELECT media_id, id, lane, t_ini, t_fin, round(rank, 9) AS rank, why FROM se JOIN cd USING (media_id, n) WHERE NOT ok"""
+
+#: Each turn is heard on two more tracks; a text without its last letters is a prefix, of which the similarity is known.
+BLEED_DUPLICATES = f"""WITH RECURSIVE {UT_SQL}, nb AS (SELECT conv_id, turn, role, array_to_string(regexp_extract_all(translate(lower(text), '{{accented}}', '{{plain}}'), '[a-z0-9]{{{{2,}}}}'), ' ') AS body, length(text) AS size, t_ini, t_fin FROM ut),
+ b AS (SELECT conv_id, conv_id * 10000 + turn AS id, role AS track, body, size, t_ini, t_fin FROM nb
+  UNION ALL SELECT conv_id, conv_id * 10000 + turn + 1000, role || '-echo', CASE WHEN turn % 3 = 0 THEN substr(body, 1, length(body) - 1) ELSE body END, size, t_ini + 20, t_fin + 20 FROM nb
+  UNION ALL SELECT conv_id, conv_id * 10000 + turn + 2000, 'far', CASE WHEN turn % 2 = 0 THEN substr(body, 1, length(body) - 2) ELSE body END, size, t_ini + 35, t_fin + 35 FROM nb),
+ p AS (SELECT x.conv_id, x.id, o.id AS o_id, (x.size, x.id) > (o.size, o.id) AS better, 2.0 * least(length(x.body), length(o.body)) / (length(x.body) + length(o.body)) AS similarity,
+   row_number() OVER (PARTITION BY x.conv_id ORDER BY x.t_ini, x.track, x.t_fin, x.id, o.t_ini, o.track, o.t_fin, o.id) AS n
+  FROM b x JOIN b o ON o.conv_id = x.conv_id AND o.track <> x.track AND (o.t_ini, o.track, o.t_fin, o.id) < (x.t_ini, x.track, x.t_fin, x.id) AND length(x.body) >= 8
+   AND least(x.t_fin, o.t_fin) - greatest(x.t_ini, o.t_ini) >= 0.8 * least(x.t_fin - x.t_ini, o.t_fin - o.t_ini) AND (starts_with(x.body, o.body) OR starts_with(o.body, x.body)) AND 2.0 * least(length(x.body), length(o.body)) >= 0.92 * (length(x.body) + length(o.body))),
+ t AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS claimed, FALSE AS took FROM (SELECT DISTINCT conv_id FROM p) UNION ALL
+  SELECT conv_id, n, CASE WHEN free THEN list_append(list_append(claimed, id), o_id) ELSE claimed END, free FROM (SELECT p.*, claimed, NOT (list_contains(claimed, p.id) OR list_contains(claimed, p.o_id)) AS free FROM t JOIN p ON p.conv_id = t.conv_id AND p.n = t.n + 1))
+ SELECT conv_id, CASE WHEN better THEN id ELSE o_id END AS primary_id, CASE WHEN better THEN o_id ELSE id END AS secondary_id, round(similarity, 9) AS similarity FROM t JOIN p USING (conv_id, n) WHERE took"""
+
+FIRST_FIT_PACKING = f"""WITH RECURSIVE {EV_SQL}, h AS (SELECT media_id, list({{'a': t_ini, 'b': t_fin}} ORDER BY t_ini, t_fin) AS held FROM ev WHERE track_id = 'view' GROUP BY 1),
+ c AS (SELECT media_id, event_id AS id, t_fin - t_ini AS len, row_number() OVER (PARTITION BY media_id ORDER BY t_ini, event_id) AS n FROM ev WHERE track_id = 'click'),
+ t AS (SELECT media_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS fin FROM (SELECT DISTINCT media_id FROM c) UNION ALL
+  SELECT media_id, n, start, start + len FROM (SELECT c.media_id, c.n, c.len, CASE WHEN held IS NULL THEN fin ELSE list_reduce(list_transform(held, lambda x: [x.a, x.b]), lambda s, x: [0, CASE WHEN s[2] < x[2] AND s[2] + c.len > x[1] THEN x[2] ELSE s[2] END], [CAST(0 AS BIGINT), fin])[2] END AS start FROM t JOIN c ON c.media_id = t.media_id AND c.n = t.n + 1 LEFT JOIN h ON h.media_id = c.media_id))
+ SELECT media_id, id, start AS seq_ini, fin AS seq_fin FROM t JOIN c USING (media_id, n)"""
+
+
 def edit_list_sql(flatten: str) -> str:
     n = {c: f"(({c} * 25 + 500) // 1000)" for c in ("source_ini", "source_fin", "seq_ini", "seq_fin")}
     codes = " || ' ' || ".join(f"printf('%02d:%02d:%02d:%02d', {x} // 90000, {x} // 1500 % 60, {x} // 25 % 60, {x} % 25)" for x in n.values())
