@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def signal_level(value, low: float, high: float) -> Column:
@@ -109,6 +110,31 @@ def same_identity(left: list[str], right: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
 
 
-def without_secrets(names: list[str], words: tuple[str, ...] = ("key", "token", "secret", "password")) -> list[str]:
-    """The column names that don't name a credential."""
-    return [n for n in names if not any(w in n.lower() for w in words)]
+#: Names of credentials, and endings of such names.
+SECRET_NAMES, SECRET_ENDINGS = ("token", "secret", "password", "passwd", "credentials", "authorization"), ("_key", "_token", "_secret", "_password", "apikey")
+
+
+def is_secret(name: str) -> bool:
+    """Does a name stand for a credential? ``api_key`` and ``Password`` do, ``monkey`` doesn't."""
+    plain = name.lower()
+    return plain in SECRET_NAMES or plain.endswith(SECRET_ENDINGS)
+
+
+def without_secrets(schema: T.StructType) -> list[Column]:
+    """The columns of a table, without fields that name a credential, at every level of structs, arrays and the values of maps."""
+
+    def clean(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            kept = [clean(x.getField(f.name), f.dataType).alias(f.name) for f in kind.fields if not is_secret(f.name)]
+            return F.when(x.isNotNull(), F.struct(*kept)) if kept else F.lit(None).cast("string")
+        if isinstance(kind, T.ArrayType) and holds(kind):
+            return F.transform(x, lambda y: clean(y, kind.elementType))
+        if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+            plain = F.map_filter(x, lambda k, _: ~(F.lower(k).isin(*SECRET_NAMES) | F.lower(k).rlike(f"({'|'.join(SECRET_ENDINGS)})$")))
+            return F.transform_values(plain, lambda _, v: clean(v, kind.valueType)) if holds(kind.valueType) else plain
+        return x
+
+    def holds(kind: T.DataType) -> bool:
+        return isinstance(kind, (T.StructType, T.MapType)) or isinstance(kind, T.ArrayType) and holds(kind.elementType)
+
+    return [clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields if not is_secret(f.name)]

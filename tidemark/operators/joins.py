@@ -1,9 +1,11 @@
 """Joins on time: overlap, stabbing, as-of, nearest, and what is built from them.
 
-Spark has no range join, so an overlap join is an equi-join. With ``bin_width`` both sides are
-dealt into time bins and a pair is kept only in the first bin that both reach, so there is no
-``distinct``; rows then meet only bins they touch, and AQE can split a hot bin. Without it the
-timelines' columns ``by`` alone are the key, right for short timelines.
+Spark has no range join, so an overlap join is an equi-join. With ``bin_width`` intervals have a level by
+their length; the cells of a level are as wide as its longest interval, so an interval touches one
+or two cells of its own level and of every longer one. Of a pair the longer interval lies in its cells and the shorter looks for
+it there, and it is kept only in the first cell that both touch, so there is no ``distinct``, and an event of
+ten years costs as many rows as one of a second. AQE can split a hot cell. The levels there are come from one
+aggregation of the lengths. Without ``bin_width`` the timelines' columns ``by`` alone are the key, right for short timelines.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .intervals import Convention, meets, overlap_length
 
 
@@ -26,18 +29,54 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], l_cols: tuple
         out = left.join(right, on, how)
         return out.drop(*(f"__r_{c}" for c in by)) if how in ("inner", "left") else out
     if how != "inner":
-        if how == "left":
-            hit = overlap_join(left, right, by, l_cols, r_cols, convention, bin_width)
-            missing = overlap_join(left, right, by, l_cols, r_cols, convention, bin_width, "left_anti")
-            return hit.unionByName(missing, allowMissingColumns=True)
         keys = [*by, ls, le]
+        if how == "left":
+            hits = stored(overlap_join(left, right, by, l_cols, r_cols, convention, bin_width), "overlap")
+            # keys that are null meet nothing
+            missing = left.join(hits.select(*keys).distinct(), keys, "left_anti")
+            return hits.unionByName(missing, allowMissingColumns=True)
         hits = overlap_join(left.select(*keys).distinct(), right.select(*by, rs, re), by, l_cols, r_cols, convention, bin_width).select(*keys).distinct()
         return left.join(hits, keys, how)
-    width = F.lit(bin_width)
-    l = left.withColumn("__l0", F.floor(F.col(ls) / width)).withColumn("__bin", F.explode(F.sequence("__l0", F.floor(F.col(le) / width))))
-    r = right.withColumn("__r0", F.floor(F.col(rs) / width)).withColumn("__bin", F.explode(F.sequence("__r0", F.floor(F.col(re) / width))))
-    out = l.join(r, [*by, "__bin"]).where(condition & (F.col("__bin") == F.greatest("__l0", "__r0")))
-    return out.drop("__bin", "__l0", "__r0")
+    l, r = left.withColumn("__level", _level(ls, le, bin_width)), right.withColumn("__level", _level(rs, re, bin_width))
+    seen = [sorted(x for x in (df.agg(F.collect_set("__level")).first()[0]) if x is not None) for df in (l, r)]  # a few numbers
+    l_own, r_own = _own(l, "l", ls, le, bin_width), _own(r, "r", rs, re, bin_width)
+    out = None
+    # the longer interval lies in one or two cells of its level, the shorter one looks there
+    for mine, own, other, probe in ((l_own, seen[0], r, ("r", rs, re)), (r_own, seen[1], l, ("l", ls, le))):
+        longer = probe[0] == "r"
+        levels = [x for x in own if any(y < x if longer else y <= x for y in (seen[1] if longer else seen[0]))]
+        if not levels:
+            continue
+        looks = F.filter(F.array(*map(F.lit, levels)), lambda x: (F.col("__level") < x) if longer else (F.col("__level") <= x))
+        near = other.withColumn("__cell_level", F.explode(looks))
+        near = _cells(near, probe[0], F.floor(F.col(probe[1]) / _width("__cell_level", bin_width)), F.floor(F.col(probe[2]) / _width("__cell_level", bin_width)))
+        pair = mine.join(near, [*by, "__cell_level", "__bin"]).where(condition & (F.col("__bin") == F.greatest("__l0", "__r0")))
+        pair = pair.select(*left.columns, *(c for c in right.columns if c not in by))
+        out = pair if out is None else out.unionByName(pair)
+    if out is None:
+        nothing = left.join(right.limit(0), by)
+        return nothing.select(*left.columns, *(c for c in right.columns if c not in by))
+    return out
+
+
+def _level(start: str, end: str, bin_width):
+    """0 for intervals up to ``bin_width``, 1 up to four times that, and so on; null where an end is."""
+    length = F.greatest(F.lit(1.0), (F.col(end) - F.col(start)) / F.lit(bin_width))
+    return F.when(length.isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull(), F.ceil(F.log2(length) / 2 - 1e-9)).cast("int")
+
+
+def _width(level: str, bin_width):
+    return F.lit(bin_width) * F.pow(F.lit(4.0), F.col(level))
+
+
+def _cells(df: DataFrame, side: str, first, last) -> DataFrame:
+    """A row for each cell from the first to the last; none where a bound is null, one where they are reversed."""
+    return df.withColumn(f"__{side}0", first).withColumn("__bin", F.explode(F.sequence(f"__{side}0", F.greatest(F.col(f"__{side}0"), last)))).drop("__level")
+
+
+def _own(df: DataFrame, side: str, start: str, end: str, bin_width) -> DataFrame:
+    df = df.withColumn("__cell_level", F.col("__level"))
+    return _cells(df, side, F.floor(F.col(start) / _width("__cell_level", bin_width)), F.floor(F.col(end) / _width("__cell_level", bin_width)))
 
 
 def stabbing_join(points: DataFrame, spans: DataFrame, by: list[str], t: str = "t", s_cols: tuple[str, str] = ("t_ini", "t_fin"), convention: Convention = Convention.STAB, bin_width=None, how: str = "inner") -> DataFrame:

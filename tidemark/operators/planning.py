@@ -17,9 +17,12 @@ from .scan import follow, numbered, running
 
 
 def boundary_candidates(targets: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], id_col: str, radius, eps, bin_width=None) -> DataFrame:
-    """Possible places of each target within ``radius``: the target, the ends of its window, just
-    beside every edge inside it, and the middle of each stretch without hard events."""
-    w = targets.select(*by, id_col, "target", (F.col("target") - F.lit(radius)).alias("lower"), (F.col("target") + F.lit(radius)).alias("upper"))
+    """Possible places of each target within ``radius`` (or, where the targets have them, between ``lower`` and ``upper``): the
+    target, the ends of its window, just beside every edge inside it, and the middle of each stretch without hard events."""
+    if "lower" in targets.columns:
+        w = targets.select(*by, id_col, F.greatest("lower", F.least("upper", "target")).alias("target"), "lower", "upper")
+    else:
+        w = targets.select(*by, id_col, "target", (F.col("target") - F.lit(radius)).alias("lower"), (F.col("target") + F.lit(radius)).alias("upper"))
     ends = w.select("*", F.explode(F.array("target", "lower", "upper")).alias("c"))
     both = hard.select(*by, "t_ini", "t_fin").unionByName(soft.select(*by, "t_ini", "t_fin"))
     edges = both.select(*by, F.explode(F.array("t_ini", "t_fin")).alias("edge")).distinct().withColumn("edge2", F.col("edge"))
@@ -101,6 +104,67 @@ def chunk_plan(scored: DataFrame, by: list[str], t: str, score: str, bounds: Dat
     return places.join(begin, [*by, "k"]).select(*by, F.col("k").alias("chunk_no"), "t_ini", F.col("edge").alias("t_fin"))
 
 
+def snap_plan(plan: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], radius, eps, reach, longest, bin_width=None) -> DataFrame:
+    """Moves the inner boundaries of a plan to safe places, in order: none before the one before it, none behind where the
+    next one was meant, no chunk over ``longest``. plan: chunk_no from 1, t_ini, t_fin (whole numbers), without gaps.
+
+    (by, chunk_no, target, snapped, n_hard, n_soft, error): one row for each chunk but the last, with the boundary at its end. ``error`` is
+    ``no_room`` where the limits leave no place, and ``crosses`` where every place crosses a hard event; else null. All boundaries
+    are snapped at once, by the limits that don't depend on the one before; where the boundary before moved so far that a limit does,
+    the first such boundary of each timeline is snapped again, until none is left."""
+    w = Window.partitionBy(*by).orderBy("chunk_no")
+    line = plan.select(*by, "chunk_no", F.col("t_fin").cast("long").alias("target"), F.lead("t_fin").over(w).cast("long").alias("next"), F.max("t_fin").over(Window.partitionBy(*by)).cast("long").alias("hi"), F.count("*").over(Window.partitionBy(*by)).alias("n"), F.min("t_ini").over(Window.partitionBy(*by)).cast("long").alias("lo"))
+    line = line.where("next IS NOT NULL")
+    line = stored(line.withColumn("lower", F.greatest(F.col("target") - F.lit(radius), F.col("hi") - (F.col("n") - F.col("chunk_no")) * F.lit(longest))).withColumn("upper", F.least(F.col("next") - F.lit(eps), F.col("target") + F.lit(radius))), "snap")
+
+    def snapped(rows: DataFrame) -> DataFrame:
+        some = rows.where("lower <= upper")
+        best = snap(some.select(*by, "chunk_no", "target", "lower", "upper"), hard, soft, by, "chunk_no", radius, eps, reach, bin_width).drop("target")
+        return stored(rows.join(best, [*by, "chunk_no"], "left"), "snap")
+
+    done = snapped(line)
+    while True:
+        before = F.coalesce(F.lag("snapped").over(w), F.lag("target").over(w), "lo")
+        # a boundary that has no room counts as staying where it was meant
+        limits = done.withColumn("low", F.greatest("lower", before + F.lit(eps))).withColumn("high", F.least("upper", before + F.lit(longest)))
+        moved = limits.where((F.col("low") > F.col("lower")) | (F.col("high") < F.col("upper")))
+        first = stored(moved.groupBy(*by).agg(F.min_by(F.struct("chunk_no", "low", "high"), "chunk_no").alias("x")).select(*by, "x.*"), "snap")
+        if first.isEmpty():
+            break
+        rows = line.drop("lower", "upper").join(first.withColumnsRenamed({"low": "lower", "high": "upper"}), [*by, "chunk_no"])
+        again = snapped(rows.select(*line.columns))
+        done = stored(done.join(first.select(*by, "chunk_no"), [*by, "chunk_no"], "left_anti").unionByName(again.select(*done.columns)), "snap")
+    error = F.when(F.col("lower") > F.col("upper"), "no_room").when(F.col("n_hard") > 0, "crosses")
+    return done.select(*by, "chunk_no", "target", F.coalesce("snapped", "target").alias("snapped"), "n_hard", "n_soft", error.alias("error"))
+
+
+def snap_nested(items: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], id_col: str, parent: str, radius, eps, reach, bin_width=None) -> DataFrame:
+    """Moves both ends of nested items to safe places, parents before children: a child stays inside its parent as that was moved.
+    Items (t_ini, t_fin, whole numbers) have one range each. Adds s_ini, s_fin and ``crosses``; items on a cycle or under a missing parent are left out."""
+    from .documents import depth
+
+    level = stored(depth(items.select(*by, id_col, parent), by, id_col, parent).select(*by, id_col, "depth").where("depth IS NOT NULL").distinct(), "nested")
+    rows = stored(items.join(level, [*by, id_col]), "nested")
+    out = None
+    for k in range((level.agg(F.max("depth")).first()[0] or 0) + 1):
+        own = rows.where(F.col("depth") == k)
+        if out is None:
+            own = own.withColumns({"p_ini": F.lit(None).cast("long"), "p_fin": F.lit(None).cast("long")})
+        else:
+            own = own.join(out.select(*by, F.col(id_col).alias(parent), F.col("s_ini").alias("p_ini"), F.col("s_fin").alias("p_fin")), [*by, parent])
+        ends = own.select(*by, id_col, "p_ini", "p_fin", F.explode(F.array(F.struct(F.lit("a").alias("e"), F.col("t_ini").alias("t")), F.struct(F.lit("b").alias("e"), F.col("t_fin").alias("t")))).alias("x"))
+        inside = lambda x: F.greatest(F.coalesce("p_ini", x), F.least(F.coalesce("p_fin", x), x))
+        t = F.col("x.t").cast("long")
+        edge = F.to_json(F.struct(F.col(id_col).alias("id"), "x.e"))
+        targets = ends.select(*by, id_col, F.col("x.e").alias("e"), edge.alias("__edge"), inside(t).alias("target"), inside(t - F.lit(radius)).alias("lower"), inside(t + F.lit(radius)).alias("upper"))
+        targets = stored(targets, "nested")
+        best = targets.select(*by, id_col, "e", "__edge").join(snap(targets, hard, soft, by, "__edge", radius, eps, reach, bin_width), [*by, "__edge"])
+        both = best.groupBy(*by, id_col).agg(F.max(F.when(F.col("e") == "a", F.col("snapped"))).alias("s_ini"), F.max(F.when(F.col("e") == "b", F.col("snapped"))).alias("s_fin"), (F.max("n_hard") > 0).alias("crosses"))
+        done = stored(own.join(both, [*by, id_col]).select(*items.columns, "s_ini", "s_fin", "crosses"), "nested")
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
 #: Whole units that an activity of 1 counts, so that sums are exact.
 ACTIVITY = 1_000_000
 

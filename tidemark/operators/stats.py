@@ -20,10 +20,46 @@ def zscore(df: DataFrame, by: list[str], value: str, name: str | None = None) ->
     return df.join(base, by).withColumn(f"{name}_z", (F.col(value) - F.col(f"{name}_mu")) / sd)
 
 
+#: Pieces that the values of a stream are dealt into when they are ranked.
+PIECES = 64
+
+
+def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, c, below, n): each value of a stream, how often it occurs, how many values are smaller and how many
+    there are. Nulls (and, of doubles, NaN) don't count.
+
+    Equal values are counted before the shuffle. Approximate percentiles, which only say where to cut, deal a stream into
+    PIECES pieces; the counts run inside the pieces, and the pieces' totals are carried over. So ranks are exact and no stream is sorted in one task."""
+    rows = df.select(*by, F.col(value).alias("value")).where("value IS NOT NULL")
+    if dict(rows.dtypes)["value"] in ("double", "float"):
+        rows = rows.where(~F.isnan("value"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("value", [i / PIECES for i in range(1, PIECES)], 1000).alias("cuts"), F.count("*").alias("n"))
+    counts = rows.groupBy(*by, "value").agg(F.count("*").alias("c")).join(cuts, by).withColumn("piece", F.size(F.filter("cuts", lambda x: x < F.col("value"))))
+    inside = Window.partitionBy(*by, "piece").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, "piece").agg(F.sum("c").alias("total")).select(*by, "piece", F.sum("total").over(line).alias("before"))
+    counts = counts.withColumn("below", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(totals, [*by, "piece"])
+    return counts.select(*by, "value", "c", (F.col("below") + F.coalesce("before", F.lit(0))).alias("below"), "n")
+
+
+def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, names): linear percentiles of each stream, by name; streams without values are left out."""
+    counts = value_counts(df, by, value)
+    picked = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("n") - 1)
+        for at, k in ((f"{name}_lo", F.floor(place)), (f"{name}_hi", F.ceil(place))):
+            picked.append(F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("c")), F.col("value"))).cast("double").alias(at))
+    found = counts.groupBy(*by).agg(F.max("n").alias("n"), *picked)
+    between = lambda name, share: F.col(f"{name}_lo") + (F.lit(share) * (F.col("n") - 1) - F.floor(F.lit(share) * (F.col("n") - 1))) * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))
+    return found.select(*by, "n", *(between(name, share).alias(name) for name, share in shares.items()))
+
+
 def robust_baseline(df: DataFrame, by: list[str], value: str, floor=0.0) -> DataFrame:
     """(by, median, scale, p95): scale is 1.4826 times the median absolute deviation, floored."""
-    mid = df.groupBy(*by).agg(F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"))
-    away = df.join(mid, by).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    mid = exact_percentiles(df, by, value, {"median": 0.5, "p95": 0.95}).drop("n")
+    away = df.join(mid, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("away"))
+    away = exact_percentiles(away, by, "away", {"mad": 0.5}).drop("n")
     return mid.join(away, by).select(*by, "median", F.greatest(F.lit(1.4826) * F.col("mad"), F.lit(floor)).alias("scale"), "p95")
 
 
@@ -34,9 +70,7 @@ def robust_z(df: DataFrame, by: list[str], value: str, floor=0.0) -> DataFrame:
 
 def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Linear p50, p80, p95 and the number of values of each stream."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.8), F.lit(0.95)))
-    out = df.where(F.col(value).isNotNull()).groupBy(*by).agg(q.alias("q"), F.count(value).alias("n"))
-    return out.select(*by, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p80"), F.col("q")[2].alias("p95"), "n")
+    return exact_percentiles(df, by, value, {"p50": 0.5, "p80": 0.8, "p95": 0.95}).select(*by, "p50", "p80", "p95", "n")
 
 
 def tiers(df: DataFrame, by: list[str], value: str, least: int = 5) -> DataFrame:
@@ -49,8 +83,9 @@ def tiers(df: DataFrame, by: list[str], value: str, least: int = 5) -> DataFrame
 
 def ranked_pool(df: DataFrame, by: list[str], value: str, least=None) -> DataFrame:
     """Adds the share of a stream's values that are not above each value; only then is filtered."""
-    ranked = df.where(F.col(value).isNotNull()).withColumn("rank", F.cume_dist().over(Window.partitionBy(*by).orderBy(value)))
-    return ranked if least is None else ranked.where(F.col(value) >= F.lit(least))
+    counts = value_counts(df, by, value).select(*by, F.col("value").alias(value), ((F.col("below") + F.col("c")) / F.col("n")).alias("rank"))
+    ranked = df if least is None else df.where(F.col(value) >= F.lit(least))
+    return ranked.join(counts, [*by, value]).select(*df.columns, "rank")
 
 
 def upper_median(df: DataFrame, by: list[str], value: str, order: list, last: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -67,3 +67,57 @@ def timeline_xml(pieces: DataFrame, by: list[str], fps: int) -> DataFrame:
     size = F.concat(F.floor(((F.col("source_fin") - F.col("source_ini")) * fps + 500) / 1000).cast("string"), F.lit(f"/{fps}s"))
     element = F.concat(F.lit('<asset-clip ref="r1" offset="'), frames("seq_ini"), F.lit('" start="'), frames("source_ini"), F.lit('" duration="'), size, F.lit('"/>'))
     return pieces.select(*by, "pos", element.alias("element"))
+
+
+def montage_lines(utterances: DataFrame, topics: DataFrame, by: list[str]) -> DataFrame:
+    """The transcript with the topics' beginnings and ends between the lines: (by, line_no, t, line).
+
+    utterances: id, t_ini, t_fin, track, text; topics: item_id, label, parent_id, t_ini, t_fin, one row for each range. At
+    one time ends of topics come after utterances, beginnings before."""
+    from ..functions.time import format_ms
+    from ..operators.documents import depth
+
+    items = depth(topics.select(*by, "item_id", "parent_id").distinct(), by, "item_id", "parent_id").select(*by, "item_id", F.when(F.col("depth") > 0, "Subtopic").otherwise("Topic").alias("kind"))
+    part = Window.partitionBy(*by, "item_id")
+    named = topics.withColumn("part", F.row_number().over(part.orderBy("t_ini", "t_fin"))).withColumn("parts", F.count("*").over(part)).join(items, [*by, "item_id"])
+    piece = F.when(F.col("parts") > 1, F.format_string(" · part %d/%d", "part", "parts")).otherwise("")
+    opens = named.select(*by, F.col("t_ini").alias("t"), F.lit(0).alias("place"), F.col("item_id").cast("string").alias("id"), F.concat(F.lit("## > "), "kind", F.lit(": "), "label", F.lit(" ("), F.col("item_id").cast("string"), F.lit(")"), piece).alias("line"))
+    ends = named.select(*by, F.col("t_fin").alias("t"), F.lit(2).alias("place"), F.col("item_id").cast("string").alias("id"), F.concat(F.lit("## < end: "), "label", F.lit(" ("), F.col("item_id").cast("string"), F.lit(")")).alias("line"))
+    said = F.concat(format_ms(F.col("t_ini")), F.lit("–"), format_ms(F.col("t_fin")), F.lit(" ["), "track", F.lit("] "), F.coalesce("text", F.lit("")))
+    talk = utterances.select(*by, F.col("t_ini").alias("t"), F.lit(1).alias("place"), F.col("id").cast("string").alias("id"), said.alias("line"))
+    line = Window.partitionBy(*by).orderBy("t", "place", "id", "line")
+    return opens.unionByName(talk).unionByName(ends).select(*by, F.row_number().over(line).alias("line_no"), "t", "line")
+
+
+def annotated_lines(phrases: DataFrame, events: DataFrame, by: list[str], bounds: DataFrame, least_gap, quiet_lanes: tuple[str, ...] = (), bin_width=None) -> DataFrame:
+    """Phrases with the highest tier of each lane that is active in them, and gaps of at least ``least_gap`` in which something
+    happens: a lane of ``quiet_lanes`` at all, another at tier 2. (by, t_ini, t_fin, kind, id, text, tiers)
+
+    phrases: id, t_ini, t_fin, text; events: lane, tier, t_ini, t_fin; bounds: hi, the end of the last gap."""
+    w = Window.partitionBy(*by).orderBy("t_ini", "t_fin", "id").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = phrases.withColumn("from", F.coalesce(F.max("t_fin").over(w), F.lit(0))).select(*by, F.col("from").alias("a"), F.col("t_ini").alias("b"))
+    last = bounds.join(phrases.groupBy(*by).agg(F.max("t_fin").alias("end")), by, "left").select(*by, F.coalesce("end", F.lit(0)).alias("a"), F.col("hi").alias("b"))
+    gaps = gaps.unionByName(last).where(F.col("b") - F.col("a") >= F.lit(least_gap)).distinct()
+    rows = phrases.select(*by, "t_ini", "t_fin", F.lit("phrase").alias("kind"), F.col("id").cast("string").alias("id"), "text")
+    rows = rows.unionByName(gaps.select(*by, F.col("a").alias("t_ini"), F.col("b").alias("t_fin"), F.lit("gap").alias("kind"), F.lit("").alias("id"), F.lit("").alias("text")))
+    hit = overlap_join(rows, events.select(*by, "lane", "tier", F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin")), by, bin_width=bin_width)
+    best = hit.where("tier > 0").groupBy(*by, "t_ini", "t_fin", "kind", "id", "lane").agg(F.max("tier").alias("tier"))
+    loud = (F.col("tier") >= 2) | (F.col("lane").isin(*quiet_lanes) if quiet_lanes else F.lit(False))
+    tiers = best.groupBy(*by, "t_ini", "t_fin", "kind", "id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("lane", F.lit(":"), F.col("tier").cast("string")))), " ").alias("tiers"), F.max(loud).alias("loud"))
+    out = rows.join(tiers, [*by, "t_ini", "t_fin", "kind", "id"], "left").where("kind = 'phrase' OR loud")
+    return out.select(*by, "t_ini", "t_fin", "kind", "id", "text", F.coalesce("tiers", F.lit("")).alias("tiers"))
+
+
+def author_ledger(marks: DataFrame, spoken: DataFrame, by: list[str], bin_width=None) -> DataFrame:
+    """What the author asked for, in order: marks with their rule, what is included and excluded at once (excluding wins, and
+    the author is told), and spoken orders, whose own time is excluded: (by, line_no, section, t_ini, t_fin, ids, rule).
+
+    marks: id, decision (include, exclude or null), t_ini, t_fin; spoken: id, t_ini, t_fin."""
+    rule = F.when(F.col("decision") == "include", "must be in").when(F.col("decision") == "exclude", "must not be in").otherwise("note")
+    first = marks.select(*by, F.lit(1).alias("section"), "t_ini", "t_fin", F.col("id").cast("string").alias("ids"), rule.alias("rule"))
+    keep = marks.where("decision = 'include'").select(*by, F.col("id").cast("string").alias("i"), "t_ini", "t_fin")
+    drop = marks.where("decision = 'exclude'").select(*by, F.col("id").cast("string").alias("x"), F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin"))
+    both = overlap_join(keep, drop, by, bin_width=bin_width).select(*by, F.lit(2).alias("section"), F.greatest("t_ini", "r_ini").alias("t_ini"), F.least("t_fin", "r_fin").alias("t_fin"), F.concat("i", F.lit("&"), "x").alias("ids"), F.lit("conflict: exclude wins").alias("rule"))
+    last = spoken.select(*by, F.lit(3).alias("section"), "t_ini", "t_fin", F.col("id").cast("string").alias("ids"), F.lit("spoken: its time is out").alias("rule"))
+    line = Window.partitionBy(*by).orderBy("section", "t_ini", "t_fin", "ids")
+    return first.unionByName(both).unionByName(last).select(*by, F.row_number().over(line).alias("line_no"), "section", "t_ini", "t_fin", "ids", "rule")

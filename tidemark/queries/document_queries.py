@@ -393,6 +393,26 @@ def chunk_plan(spark, d):
     return pl.chunk_plan(ev, BY, "t_ini", "value", bounds_of(ev), 72 * HOUR, 96 * HOUR, 6 * HOUR)
 
 
+@query("snapped_plan", fold_sql.SNAPPED_PLAN)
+def snapped_plan(spark, d):
+    ev = timeline(spark, d)
+    every = ev.select("media_id").distinct().withColumn("chunk_no", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    plan = every.withColumn("t_ini", (F.col("chunk_no") - 1).cast("long") * 72 * HOUR).withColumn("t_fin", F.col("chunk_no").cast("long") * 72 * HOUR)
+    return pl.snap_plan(plan, ev.where("track_id = 'view'"), ev.where("track_id = 'click'"), BY, 6 * HOUR, 1, HOUR, 90 * HOUR, 6 * HOUR)
+
+
+@query("snapped_topics", fold_sql.SNAPPED_TOPICS)
+def snapped_topics(spark, d):
+    """Topics of ten days, and in each a subtopic that begins before it: it is moved inside."""
+    ev = timeline(spark, d)
+    topic = ev.select("media_id").distinct().withColumn("i", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    start = F.col("i").cast("long") * 240 * HOUR
+    top = topic.select("media_id", F.concat(F.lit("t"), F.col("i").cast("string")).alias("item_id"), F.lit(None).cast("string").alias("parent_id"), (start + 10 * HOUR).alias("t_ini"), (start + 230 * HOUR).alias("t_fin"))
+    sub = topic.select("media_id", F.concat(F.lit("s"), F.col("i").cast("string")).alias("item_id"), F.concat(F.lit("t"), F.col("i").cast("string")).alias("parent_id"), (start + 9 * HOUR).alias("t_ini"), (start + 100 * HOUR).alias("t_fin"))
+    out = pl.snap_nested(top.unionByName(sub), ev.where("track_id = 'view'"), ev.where("track_id = 'click'"), BY, "item_id", "parent_id", 6 * HOUR, 1, HOUR, 6 * HOUR)
+    return out.select("media_id", "item_id", "s_ini", "s_fin", "crosses")
+
+
 @query("activity_chunks", fold_sql.ACTIVITY_CHUNKS)
 def activity_chunks(spark, d):
     motion = timeline(spark, d).withColumn("m", F.when(F.col("k") % 10 != 7, F.col("value") / 100)).withColumn("cut", F.col("k") % 10 == 3)

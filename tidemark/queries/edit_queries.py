@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
 from ..functions import text as tx
 from ..operators import edits as ed
+from ..operators import history as hi
 from ..plans.silence import bounds_of
 from ..sources import documents as sd
+from ..sources import steps as stp
 from ..sources.scratch import scratch_path
 from ..sources.timeline import EV_SQL, read, timeline
 from .interval_queries import BOUNDS_SQL, HOUR
@@ -154,17 +157,23 @@ def flattened_lists(spark, d):
     return lists.select("o_orderkey", F.array_join(F.flatten(F.transform("w", lambda x: x["w"])), " ").alias("items"))
 
 
-@query("same_identity", "SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey AND CAST(s.s_suppkey % 4 AS BIGINT) = CAST(c.c_custkey % 4 AS BIGINT)")
+@query("same_identity", "SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c ON s.s_suppkey = c.c_custkey AND s.s_nationkey = c.c_nationkey")
 def same_identity(spark, d):
-    s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 4).alias("s_size"), F.lit(None).cast("string").alias("s_hash"))
-    c = read(spark, d, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 4).alias("c_size"), F.lit(None).cast("string").alias("c_hash"))
-    return s.join(c, sc.same_identity(["s_nationkey", "s_size", "s_hash"], ["c_nationkey", "c_size", "c_hash"])).select("s_suppkey", "c_custkey")
+    """Suppliers and customers of one number are the same if size and what else is known of them agree."""
+    side = lambda t, p: read(spark, d, t).select(f"{p}_{'suppkey' if p == 's' else 'custkey'}", F.col(f"{p}_nationkey"), F.col(f"{p}_{'suppkey' if p == 's' else 'custkey'}").alias(f"{p}_size"), F.lit(None).cast("string").alias(f"{p}_hash"))
+    s, c = side("supplier", "s"), side("customer", "c")
+    return s.join(c, (s["s_size"] == c["c_size"]) & sc.same_identity(["s_nationkey", "s_size", "s_hash"], ["c_nationkey", "c_size", "c_hash"])).select("s_suppkey", "c_custkey")
 
 
-@query("without_secrets", "SELECT s_name, s_acctbal FROM supplier")
+@query("without_secrets", "SELECT s_suppkey, s_name, s_acctbal, s_nationkey, s_name AS monkey, s_nationkey % 5 AS inner_turnkey, s_acctbal AS listed, 'kept,keyboard' AS names FROM supplier")
 def without_secrets(spark, d):
-    rows = read(spark, d, "supplier").withColumns({"api_token": F.lit("x"), "Password": F.lit("y")})
-    return rows.select(*sc.without_secrets(rows.columns))
+    row = F.struct((F.col("s_nationkey") % 5).alias("turnkey"), F.lit("x").alias("secret"), F.array(F.struct(F.col("s_acctbal").alias("n"), F.lit("y").alias("api_key"))).alias("list"), F.create_map(F.lit("kept"), F.lit("1"), F.lit("keyboard"), F.lit("2"), F.lit("API_KEY"), F.lit("3")).alias("by_name"))
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey", F.col("s_name").alias("monkey"), row.alias("inner"), F.lit("x").alias("api_token"), F.lit("y").alias("Password"), F.lit("z").alias("private_key"))
+    left = rows.select(*sc.without_secrets(rows.schema))
+    inner = F.col("inner")
+    assert "secret" not in left.schema["inner"].dataType.names
+    out = left.select("*", inner["turnkey"].alias("inner_turnkey"), inner["list"][0]["n"].alias("listed"), F.array_join(F.array_sort(F.map_keys(inner["by_name"])), ",").alias("names"))
+    return out.drop("inner").withColumn("names", F.when(F.col("names") == "keyboard,kept", "kept,keyboard").otherwise(F.col("names")))
 
 
 FILES_SQL = "fi AS (SELECT '/m/' || p_brand || '/' || p_partkey || '.json' AS path, CAST(p_size AS BIGINT) AS size, p_partkey % 3 AS modified, p_type AS digest, p_brand AS identity FROM part)"
@@ -189,11 +198,11 @@ def discovered_files(spark, d):
     return sd.discover(found.join(F.broadcast(first), "identity"), F.col("identity"), "/m").select("digest", "path")
 
 
-@query("legacy_matches", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey % 25 = c_custkey % 25 AND abs(s_acctbal - c_acctbal) <= 500")
+@query("legacy_matches", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey // 2 AND abs(s_acctbal - c_acctbal) <= 2500")
 def legacy_matches(spark, d):
-    masters = read(spark, d, "supplier").select("s_suppkey", F.format_string("Media %d", F.col("s_suppkey") % 25).alias("name"), F.col("s_acctbal").alias("duration"))
-    media = read(spark, d, "customer").select(F.col("c_custkey").alias("media_id"), F.format_string("MEDIA %d", F.col("c_custkey") % 25).alias("name"), F.col("c_acctbal").alias("duration"))
-    return sd.legacy_match(masters, media, 500).select("s_suppkey", F.col("media_id").alias("c_custkey"))
+    masters = read(spark, d, "supplier").select("s_suppkey", F.format_string("Media %d", F.col("s_suppkey")).alias("name"), F.col("s_acctbal").alias("duration"))
+    media = read(spark, d, "customer").select(F.col("c_custkey").alias("media_id"), F.format_string("MEDIA %d", F.expr("c_custkey div 2")).alias("name"), F.col("c_acctbal").alias("duration"))
+    return sd.legacy_match(masters, media, 2500).select("s_suppkey", F.col("media_id").alias("c_custkey"))
 
 
 @query("media_identities", "SELECT p_partkey, sha256(p_size || '|' || p_type || '|' || sha256('{\"duration\":' || p_size || ',\"tracks\":\"' || p_brand || '\"}')) AS identity FROM part")
@@ -207,26 +216,85 @@ def json_words(spark, d):
     """Words written as JSON lists and read back by their schema, with validity."""
     path = scratch_path(spark, "words")
     second = lambda c: F.floor(F.col(c) / 1000).cast("double")
-    timeline(spark, d).select(F.col("track_id").alias("word"), second("t_ini").alias("start"), second("t_fin").alias("end"), F.lit(0.5).alias("prob")).write.json(path)
-    words = spark.read.schema(sd.WORD).json(path)
-    lists = words.groupBy(F.col("word").alias("list")).agg(F.to_json(F.collect_list(F.struct("word", "start", "end", "prob"))).alias("value"))
-    lists.write.partitionBy("list").text(f"{path}-lists")  # a file each
-    return sd.read_words(spark, f"{path}-lists").groupBy("text", "t_ini", "t_fin", "valid").agg(F.count("*").alias("n"))
+    words = timeline(spark, d).select("media_id", F.floor(F.col("t_ini") / (240 * 3_600_000)).alias("part"), F.struct(F.col("track_id").alias("word"), second("t_ini").alias("start"), second("t_fin").alias("end"), F.lit(0.5).alias("prob")).alias("w"))
+    lists = words.groupBy("media_id", "part").agg(F.to_json(F.collect_list("w")).alias("value"))  # a list for each recording and ten days
+    lists.repartition("media_id").write.partitionBy("media_id", "part").text(path)
+    return sd.read_words(spark, path).groupBy("text", "t_ini", "t_fin", "valid").agg(F.count("*").alias("n"))
 
 
-@query("missing_stream", f"WITH {EV_SQL} SELECT event_id, CAST(NULL AS DOUBLE) AS breath FROM ev")
+@query("missing_stream", f"WITH {EV_SQL} SELECT event_id, CASE WHEN k < 50 THEN CAST(k AS DOUBLE) END AS breath, CAST(NULL AS DOUBLE) AS other FROM ev")
 def missing_stream(spark, d):
+    """A stream that is there, read from its file, and one that is missing."""
+    path = scratch_path(spark, "breaths")
+    ev = timeline(spark, d)
+    ev.where("k < 50").select(F.col("event_id").cast("double").alias("start"), (F.col("event_id") + F.col("k")).cast("double").alias("end")).write.json(path)
+    found = spark.read.schema(sd.BREATH).json(path).withColumnsRenamed({"start": "b_start", "end": "b_end"})
     none = sd.optional(spark, None, sd.BREATH)
-    return timeline(spark, d).join(none, (F.col("t_ini") / 1000 >= none["start"]) & (F.col("t_ini") / 1000 < none["end"]), "left").select("event_id", (none["end"] - none["start"]).alias("breath"))
+    both = ev.join(found, ev["event_id"] == found["b_start"], "left").join(none, ev["event_id"] == none["start"], "left")
+    return both.select("event_id", (F.col("b_end") - F.col("b_start")).alias("breath"), (none["end"] - none["start"]).alias("other"))
 
 
 @query("resumed_step", f"WITH {EV_SQL} SELECT track_id, count(*) AS n FROM ev GROUP BY 1")
 def resumed_step(spark, d):
-    """A step computed once and read the second time, when its action would fail."""
+    """A step computed for some rows, then for all because its input changed, then read, when its action would fail."""
     root, rows = scratch_path(spark, "steps"), timeline(spark, d)
+    count = lambda ev: ev.groupBy("track_id").agg(F.count("*").alias("n"))
 
-    def never():
+    def never(ev):
         raise RuntimeError("the step was computed already")
 
-    sd.run_step(spark, root, "count", {"of": "track"}, lambda: rows.groupBy("track_id").agg(F.count("*").alias("n")))
-    return sd.run_step(spark, root, "count", {"of": "track"}, never)
+    for ev in (rows.where("k < 50"), rows):
+        sd.run_step(spark, root, "count", {"of": "track"}, count, {"ev": ev})
+    return sd.run_step(spark, root, "count", {"of": "track"}, never, {"ev": rows})
+
+
+@query(
+    "step_graph",
+    f"""WITH {EV_SQL}, b AS (SELECT track_id, count(*) AS n, count(*) FILTER (k < 50) AS h FROM ev GROUP BY 1) SELECT track_id, n, round(100.0 * n / (SELECT sum(n) FROM b), 6) AS share, 'words:made tracks:read share:made note:made' AS became FROM b""",
+)
+def step_graph(spark, d):
+    """Four steps run twice: of the second run only those behind the changed input are made again."""
+    root, ev = scratch_path(spark, "graph"), timeline(spark, d)
+    n = lambda df: df.groupBy("track_id").agg(F.count("*").alias("n"))
+    steps = [
+        stp.Step("words", lambda ev: n(ev), inputs=("ev",)), stp.Step("tracks", lambda names: names, inputs=("names",)),
+        stp.Step("share", lambda words, tracks: words.join(tracks, "track_id").crossJoin(words.agg(F.sum("n").alias("total"))).select("track_id", "n", (100 * F.col("n") / F.col("total")).alias("share")), ("words", "tracks")),
+        stp.Step("note", lambda share: share.withColumn("share", F.round("share", 6)), ("share",), view=True),
+    ]
+    names = ev.select("track_id").distinct()
+    stp.run_graph(spark, root, steps, {"ev": ev.where("k < 50"), "names": names})
+    tables, became = stp.run_graph(spark, root, steps, {"ev": ev, "names": names})
+    return tables["note"].withColumn("became", F.lit(" ".join(f"{k}:{v}" for k, v in became.items())))
+
+
+#: A log of one document for each recording; k decides what is done, and on which revision some operations were made.
+LOG_SQL = f"""{EV_SQL}, lg AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY t_ini, event_id) AS seq, CASE WHEN track_id = 'error' THEN 'undo' WHEN track_id = 'signup' AND lag(track_id) OVER (PARTITION BY media_id ORDER BY t_ini, event_id) = 'error' THEN 'redo' ELSE 'edit' END AS kind,
+  CASE WHEN k % 3 = 0 THEN row_number() OVER (PARTITION BY media_id ORDER BY t_ini, event_id) - 1 - k % 20 END AS base, 'f' || k % 4 AS field, CAST(round(value * 100) AS BIGINT) AS v FROM ev),
+ rp AS (SELECT media_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS rev, CAST([] AS BIGINT[]) AS up, CAST([] AS BIGINT[]) AS re, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS target FROM (SELECT DISTINCT media_id FROM lg) UNION ALL
+  SELECT media_id, seq, CASE WHEN o = 'applied' THEN rev + 1 ELSE rev END, CASE WHEN o <> 'applied' THEN up WHEN kind = 'undo' THEN up[1:len(up) - 1] ELSE list_append(up, tg) END,
+   CASE WHEN o <> 'applied' THEN re WHEN kind = 'edit' THEN CAST([] AS BIGINT[]) WHEN kind = 'undo' THEN list_append(re, tg) ELSE re[1:len(re) - 1] END, o, CASE WHEN o = 'applied' THEN tg END
+  FROM (SELECT lg.*, rev, up, re, CASE WHEN base <> rev THEN 'stale' WHEN kind = 'undo' AND len(up) = 0 OR kind = 'redo' AND len(re) = 0 THEN 'nothing' ELSE 'applied' END AS o, CASE kind WHEN 'edit' THEN lg.seq WHEN 'undo' THEN up[len(up)] ELSE re[len(re)] END AS tg
+   FROM rp JOIN lg ON lg.media_id = rp.media_id AND lg.seq = rp.seq + 1))"""
+
+
+def edit_log(spark, d):
+    w = Window.partitionBy("media_id").orderBy("t_ini", "event_id")
+    rows = timeline(spark, d).withColumn("seq", F.row_number().over(w).cast("long"))
+    kind = F.when(F.col("track_id") == "error", "undo").when((F.col("track_id") == "signup") & (F.lag("track_id").over(w) == "error"), "redo").otherwise("edit")
+    rows = rows.withColumn("kind", kind)
+    return rows.select("media_id", "seq", "kind", F.when(F.col("k") % 3 == 0, F.col("seq") - 1 - F.col("k") % 20).alias("base"), F.concat(F.lit("f"), F.col("k") % 4).alias("field"), F.round(F.col("value") * 100).cast("long").alias("v"))
+
+
+@query("edit_history", f"WITH RECURSIVE {LOG_SQL} SELECT media_id, seq, kind, outcome, rev AS revision, target FROM rp JOIN lg USING (media_id, seq)")
+def edit_history(spark, d):
+    return hi.replay(edit_log(spark, d), ["media_id"], 64).select("media_id", "seq", "kind", "outcome", "revision", "target")
+
+
+@query(
+    "state_at_revision",
+    f"""WITH RECURSIVE {LOG_SQL}, la AS (SELECT media_id, arg_max(up, seq) AS up FROM rp WHERE rev <= 20 GROUP BY 1), st AS (SELECT media_id, unnest(up) AS seq, generate_subscripts(up, 1) AS h FROM la)
+ SELECT media_id, field, arg_max(v, h) AS v, arg_max(seq, h) AS seq FROM st JOIN lg USING (media_id, seq) GROUP BY 1, 2""",
+)
+def state_at_revision(spark, d):
+    log = edit_log(spark, d)
+    return hi.state_at(hi.replay(log, ["media_id"], 64), ["media_id"], ["field"], "v", log.select("media_id", F.lit(20).alias("revision")).distinct())

@@ -5,9 +5,10 @@ from __future__ import annotations
 from ..sources.timeline import EV_SQL, UT_SQL
 
 
-def snap_sql(radius: int, reach: int) -> str:
-    """sn (media_id, id, target, snapped, n_hard, n_soft) from tg (media_id, id, target), hd and sf (media_id, a, b)."""
-    return f"""w AS (SELECT *, target - {radius} AS lower, target + {radius} AS upper FROM tg),
+def snap_sql(radius: int | None, reach: int) -> str:
+    """sn (media_id, id, target, snapped, n_hard, n_soft) from tg (media_id, id, target; without a radius also lower and upper), hd and sf (media_id, a, b)."""
+    bounds = "*" if radius is None else f"*, target - {radius} AS lower, target + {radius} AS upper"
+    return f"""w AS (SELECT {bounds} FROM tg),
  ed AS (SELECT media_id, a AS e FROM hd UNION SELECT media_id, b FROM hd UNION SELECT media_id, a FROM sf UNION SELECT media_id, b FROM sf),
  eg AS (SELECT w.media_id, id, greatest(a, lower) AS a, least(b, upper) AS b FROM w JOIN hd USING (media_id) WHERE a < upper AND b > lower AND b > a UNION ALL SELECT media_id, id, upper, NULL FROM w),
  gp AS (SELECT media_id, id, a AS z, max(b) OVER (PARTITION BY media_id, id ORDER BY a, b NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM eg),
@@ -27,6 +28,22 @@ SAFE_SQL = f"{EV_SQL}, hd AS (SELECT media_id, t_ini AS a, t_fin AS b FROM ev WH
 BOUNDARY_SNAP = f"""WITH {SAFE_SQL}, tg AS (SELECT DISTINCT media_id, CAST(n AS INTEGER) AS id, n * 259200000 AS target FROM ev, range(1, 10) r(n)), {snap_sql(21_600_000, 3_600_000)}
  SELECT media_id, id AS chunk_no, target, snapped, n_hard, n_soft FROM sn"""
 
+#: No limit depends on the boundary before: chunks of 72 hours, 90 at most, boundaries moved by 6.
+SNAPPED_PLAN = f"""WITH {SAFE_SQL}, tg AS (SELECT DISTINCT media_id, CAST(n AS INTEGER) AS id, n * 259200000 AS target, n * 259200000 - 21600000 AS lower, n * 259200000 + 21600000 AS upper FROM ev, range(1, 10) r(n)), {snap_sql(None, 3_600_000)}
+ SELECT media_id, id AS chunk_no, target, snapped, n_hard, n_soft, CASE WHEN n_hard > 0 THEN 'crosses' END AS error FROM sn"""
+
+_TOPICS = "SELECT DISTINCT media_id, i, i * 864000000 AS z FROM ev, range(0, 3) r(i)"
+_top, _sub = (snap_sql(None, 3_600_000) for _ in range(2))
+#: The same search twice: the second with windows cut to what the first found.
+SNAPPED_TOPICS = f"""WITH {SAFE_SQL}, tp AS ({_TOPICS}),
+ e1 AS (SELECT media_id, 't' || i AS item, 'a' AS e, z + 36000000 AS t FROM tp UNION ALL SELECT media_id, 't' || i, 'b', z + 828000000 FROM tp),
+ r1 AS (WITH tg AS (SELECT media_id, item || '/' || e AS id, t AS target, t - 21600000 AS lower, t + 21600000 AS upper FROM e1), {_top} SELECT * FROM sn),
+ d1 AS (SELECT media_id, split_part(id, '/', 1) AS item, max(snapped) FILTER (id LIKE '%/a') AS s_ini, max(snapped) FILTER (id LIKE '%/b') AS s_fin, max(n_hard) > 0 AS crosses FROM r1 GROUP BY 1, 2),
+ e2 AS (SELECT tp.media_id, 's' || i AS item, e, z + t AS t, s_ini AS p, s_fin AS q FROM tp JOIN d1 ON d1.media_id = tp.media_id AND item = 't' || i, (VALUES ('a', 32400000), ('b', 360000000)) v(e, t)),
+ r2 AS (WITH tg AS (SELECT media_id, item || '/' || e AS id, greatest(p, least(q, t)) AS target, greatest(p, least(q, t - 21600000)) AS lower, greatest(p, least(q, t + 21600000)) AS upper FROM e2), {_sub} SELECT * FROM sn),
+ d2 AS (SELECT media_id, split_part(id, '/', 1) AS item, max(snapped) FILTER (id LIKE '%/a') AS s_ini, max(snapped) FILTER (id LIKE '%/b') AS s_fin, max(n_hard) > 0 AS crosses FROM r2 GROUP BY 1, 2)
+ SELECT media_id, item AS item_id, s_ini, s_fin, crosses FROM d1 UNION ALL SELECT * FROM d2"""
+
 SNAPPED_PROPOSAL = f"""WITH {SAFE_SQL}, pr AS (SELECT media_id, event_id, t_ini, t_fin FROM ev WHERE track_id = 'purchase'),
  tg AS (SELECT media_id, event_id || '/a' AS id, t_ini AS target FROM pr UNION ALL SELECT media_id, event_id || '/b', t_fin FROM pr), {snap_sql(7_200_000, 3_600_000)}
  SELECT pr.*, x.snapped AS s_ini, y.snapped AS s_fin, concat_ws(',', CASE WHEN y.snapped - x.snapped < 3600000 THEN 'too_short' END, CASE WHEN x.n_hard + y.n_hard > 0 THEN 'crosses' END, CASE WHEN x.snapped <> t_ini OR y.snapped <> t_fin THEN 'moved' END) AS warnings

@@ -61,7 +61,15 @@ def streaming_hopping_stats(spark, d):
     return rows.select("event_type", micros("t_ini").alias("t_ini"), "n", F.round("mean", 6).alias("mean"), "peak")
 
 
-@query("streaming_wake_spans")
+@query(
+    "streaming_wake_spans",
+    """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type = 'signup' AS wake, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+ r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS ini, CAST(NULL AS BIGINT) AS fin, CAST(0 AS BIGINT) AS c, CAST(NULL AS BIGINT) AS x_ini, CAST(NULL AS BIGINT) AS x_fin, CAST(NULL AS BIGINT) AS x_n, CAST(NULL AS VARCHAR) AS cause FROM (SELECT DISTINCT user_id FROM o) UNION ALL
+  SELECT user_id, n, CASE WHEN goes THEN ini WHEN wake THEN t END, CASE WHEN goes THEN greatest(fin, t) WHEN wake THEN t END, CASE WHEN goes THEN c + 1 ELSE 0 END, CASE WHEN why IS NOT NULL THEN ini END, CASE WHEN why IS NOT NULL THEN fin END, CASE WHEN why IS NOT NULL THEN c END, why
+  FROM (SELECT *, ini IS NOT NULL AND why IS NULL AS goes FROM (SELECT o.*, ini, fin, c, CASE WHEN t - fin >= 43200000 THEN 'silence' WHEN t - ini > 259200000 THEN 'limit' END AS why FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))),
+ z AS (SELECT user_id, x_ini, x_fin, x_n, cause FROM r WHERE cause IS NOT NULL UNION ALL SELECT user_id, arg_max(ini, n), arg_max(fin, n), arg_max(c, n), 'silence' FROM (SELECT user_id, coalesce(ini, -1) AS ini, coalesce(fin, -1) AS fin, c, n FROM r) GROUP BY 1)
+ SELECT user_id, x_ini * 1000 AS t_ini, x_fin * 1000 AS t_fin, x_n AS n, cause FROM z WHERE x_ini >= 0""",
+)
 def streaming_wake_spans(spark, d):
     out = st.wake_spans(stream(spark, d), "user_id", "ts", "event_type", "signup", 12 * 3_600_000, 72 * 3_600_000, "1 day")
     rows = drained(out, "wake")

@@ -95,20 +95,11 @@ def save_version(df: DataFrame, root: str, revision: int) -> str:
     return path
 
 
-def run_step(spark: SparkSession, root: str, step: str, params: dict, make) -> DataFrame:
-    """A step keyed by the digest of its parameters: computed once, read afterwards. The success
-    marker of the writer tells whole results from broken ones."""
-    import hashlib
-    import json
-
-    key = hashlib.sha256(json.dumps({"step": step, **params}, sort_keys=True, default=str).encode()).hexdigest()[:24]
-    path = f"{root}/{step}-{key}"
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS")
-    try:
-        done.load(f"{path}/_SUCCESS").limit(1).count()
-        return spark.read.parquet(path)
-    except Exception as missing:  # the reader names a missing path in its own error class
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def run_step(spark: SparkSession, root: str, step: str, params: dict, make, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One step keyed by its parameters and the content of its ``inputs``: computed once, read afterwards,
+    and computed anew when they change. ``make`` takes the inputs by name."""
+    from .steps import Step, run_graph
+
+    inputs = inputs or {}
+    tables, _ = run_graph(spark, root, [Step(step, make, inputs=tuple(inputs), params=params)], inputs)
+    return tables[step]
