@@ -66,7 +66,7 @@ def test_asof_in_slices_is_the_same(spark):
     right = spark.createDataFrame([(1, rnd.choice([rnd.randrange(300), rnd.randrange(1500, 1600)]), i) for i in range(60)], "m int, s long, v long")
     for backward in (True, False):
         for exact in (True, False):
-            out = [rows_of(jn.asof(left, right, M, "t", "s", ["v"], backward, exact, slice_width=w), "i", "t", "v") for w in (None, 70)]
+            out = [rows_of(jn.asof(left, right, M, "t", "s", ["v"], backward, exact, prefix="r_", slice_width=w), "i", "r_t", "r_v") for w in (None, 70)]
             assert out[0] == out[1]
 
 

@@ -181,8 +181,11 @@ def activity_chunks(samples: DataFrame, by: list[str], pos: str, value: str, bud
     are found by following these steps. A null value counts as 0, a null ``cut`` as false; samples without a position
     take no part. ``slice_width`` and ``value_width`` are the widths of slices of position and value that
     split long curves (none: one window a curve)."""
-    rows = samples.where(F.col(pos).isNotNull()).select(*by, F.col(pos).alias("pos"), *(order or []), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("m"), F.coalesce(F.col(cut) if cut else F.lit(False), F.lit(False)).alias("cut"))
-    rows = stored(numbered(rows, by, ["pos", *(order or [])], "i", slice_width).drop("pos", *(order or [])), "activity")
+    names, by = by, [f"__by{k}" for k in range(len(by))]
+    ties = [f"__o{k}" for k in range(len(order or []))]
+    line = [*(F.col(c).alias(k) for c, k in zip(names, by, strict=True)), *(F.col(c).alias(k) for c, k in zip(order or [], ties, strict=True))]
+    rows = samples.where(F.col(pos).isNotNull()).select(*line, F.col(pos).alias("pos"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("m"), F.coalesce(F.col(cut) if cut else F.lit(False), F.lit(False)).alias("cut"))
+    rows = stored(numbered(rows, by, ["pos", *ties], "i", slice_width).drop("pos", *ties), "activity")
     size = rows.groupBy(*by).agg(F.count("*").alias("n"))
     ranked = stored(numbered(rows.select(*by, "m", "i"), by, ["m", "i"], "rank", value_width).join(size, by).select(*by, "m", "rank", "n"), "activity")
     floor = ranked.where(F.col("rank") == F.floor(0.1 * (F.col("n") - 1))).select(*by, F.col("m").alias("noise"))
@@ -226,7 +229,7 @@ def activity_chunks(samples: DataFrame, by: list[str], pos: str, value: str, bud
     joins = (F.col("last") - F.col("first") + 1 < shortest) & ~F.coalesce("held", F.lit(False)) & (F.col("first") > 0)
     chunks = running(chunks.withColumn("fresh", (~joins).cast("int")), by, ["first"], {"chunk_no": ("sum", F.col("fresh"))}, wide)
     out = chunks.groupBy(*by, F.col("chunk_no").cast("int").alias("chunk_no")).agg(F.min("first").cast("int").alias("first"), F.max("last").cast("int").alias("last"), (F.sum("a") / ACTIVITY).alias("activity"))
-    return out.select(*by, "chunk_no", "first", "last", "activity")
+    return out.select(*(F.col(k).alias(c) for c, k in zip(names, by, strict=True)), "chunk_no", "first", "last", "activity")
 
 
 def clashes(rows: DataFrame, others: DataFrame, by: list[str], spacing, bin_width=None) -> DataFrame:

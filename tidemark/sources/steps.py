@@ -96,7 +96,8 @@ def run_graph(spark: SparkSession, root: str, steps: Iterable[Step], inputs: dic
         keys[step.name] = _digest(parts)[:24]
         old = views_only and not step.view
         fits = [m for m in done if m["step"] == step.name and (old or m["key"] == keys[step.name])]
-        df = next((df for m in reversed(fits) if (df := intact(spark, m)) is not None), None) if step.name not in again else None
+        df, key = next(((df, m["key"]) for m in reversed(fits) if (df := intact(spark, m)) is not None), (None, keys[step.name])) if step.name not in again else (None, keys[step.name])
+        keys[step.name] = key  # of a result that was read whatever its inputs, its own
         if df is None and old:
             became[step.name] = "absent"
             continue
