@@ -45,8 +45,8 @@ BANDS, ROWS, LONG_ROWS, PERCENT = 12, 5, 4, 80
 AWAY = 18
 #: Distinct spans of a line up to which minima come from many functions, and from which from one.
 MANY, ONE = 160, 128
-#: Characters hashed at a time, ids a task remembers.
-SLICE, REMEMBER = 1 << 19, 200_000
+#: Characters of lines in a batch, characters hashed at a time (what a core's cache holds), ids a task remembers.
+SLICE, HASHED, REMEMBER = 1 << 19, 1 << 16, 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Products of 32 bits are computed several at a time; equal minima of different spans are one in 2**32.
 _factors = np.random.default_rng(10).integers(1, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -76,19 +76,42 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the spans of all lines one after the other, and the first of each line.
 
-    A span's hash comes from prefix sums of code * BASE**i modulo 2**64, and is then mixed."""
+    A span's hash comes from prefix sums of code * BASE**i modulo 2**64, and is then mixed. Lines that are no
+    shorter than a span are hashed at every place of the text they make together, and the places across their borders dropped."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(7)
-    up, down = _power(len(codes) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)])
     spans = np.maximum(sizes - span + 1, 1)
     first = np.cumsum(spans) - spans
-    at = np.repeat(np.cumsum(sizes) - sizes - first, spans) + np.arange(spans.sum())
-    length = np.minimum(span, np.repeat(sizes, spans))
-    h = (sums[at + length] - sums[at]) * down[at]
+    short = sizes < span
+    if not short.any():
+        return _long_hashes("".join(lines), sizes, span), first
+    out = np.empty(spans.sum(), np.uint64)
+    out[np.repeat(~short, spans)] = _long_hashes("".join([x for x in lines if len(x) >= span]), sizes[~short], span)
+    for n in range(span):
+        at = np.flatnonzero(sizes == n)
+        if len(at):
+            out[first[at]] = _long_hashes("".join([lines[i] for i in at]), sizes[at], n) if n else _mix(np.zeros(len(at), np.uint64))
+    return out, first
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
     for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(31)), first
+    return h ^ (h >> np.uint64(31))
+
+
+def _long_hashes(text: str, sizes: np.ndarray, span: int) -> np.ndarray:
+    """Hashes of the spans of lines of at least ``span`` characters that make up ``text``."""
+    if not text:
+        return np.empty(0, np.uint64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(7)
+    up, down = _power(len(codes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)])
+    h = _mix((sums[span:] - sums[:-span]) * down[: len(codes) - span + 1])
+    whole = np.ones(len(h), bool)
+    ends = np.cumsum(sizes)[:-1]
+    for k in range(1, span):
+        whole[ends - k] = False
+    return h[whole]
 
 
 def tokens(texts: list[str], span: int = SPAN) -> list[np.ndarray]:
@@ -137,11 +160,12 @@ def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarra
     if len(few):
         n = counts[few]
         starts = np.cumsum(n) - n
-        x = (h[np.repeat(first[few] - starts, n) + np.arange(n.sum())] >> np.uint64(32)).astype(np.uint32)
-        minima = np.empty((width, len(few)), np.uint64)
+        own = h if len(few) == len(lines) else h[np.repeat(sizes < MANY, counts)]
+        x = (own >> np.uint64(32)).astype(np.uint32)
+        minima, product = np.empty((width, len(few)), np.uint32), np.empty_like(x)
         for i, f in enumerate(_factors):
-            minima[i] = np.minimum.reduceat(x * f, starts)
-        minima = np.ascontiguousarray(minima.T)
+            np.minimum.reduceat(np.multiply(x, f, out=product), starts, out=minima[i])
+        minima = minima.T.astype(np.uint64, order="C")
         rows.append(np.repeat(few, BANDS))
         keys.append(_bands(minima, 0).ravel())
         sketches.append(np.repeat(_sketch(minima), BANDS))
@@ -213,7 +237,7 @@ def line_keys(lines: DataFrame, span: int = SPAN) -> DataFrame:
             ids, texts, at = b["id"].to_numpy(), b["line"].to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+                while end < len(texts) and (end == at or size + len(texts[end]) <= HASHED):
                     size += len(texts[end])
                     end += 1
                 n, keys, sketches = band_keys(texts[at:end], span)
