@@ -281,3 +281,26 @@ def test_secrets_go_at_every_level(spark):
     df = spark.createDataFrame([(1, ("k", "t"), [("x", "y")], {"a": "1", "my_key": "2"}, 5)], "s_suppkey int, inner struct<monkey:string,Token:string>, list array<struct<n:string,api_key:string>>, m map<string,string>, private_key int")
     out = df.select(*sc.without_secrets(df.schema))
     assert out.columns == ["s_suppkey", "inner", "list", "m"] and out.first() == (1, ("k",), [("x",)], {"a": "1"})
+
+
+def test_snapped_plans_keep_order_and_limits(spark):
+    """Boundaries move away from events; limits that depend on the boundary before hold, and what has no room or no safe place says so."""
+    plan = spark.createDataFrame([(1, k, (k - 1) * 100, k * 100) for k in range(1, 6)] + [(2, 1, 0, 50), (2, 2, 50, 100)] + [(3, 1, 0, 100), (3, 2, 100, 190)], "m int, chunk_no int, t_ini long, t_fin long")
+    # the first boundary is pushed back, so the second, kept within 105 of it, can't reach the free place behind its event
+    hard = spark.createDataFrame([(1, 95, 112), (1, 195, 212), (1, 290, 295), (2, 20, 90)], "m int, t_ini long, t_fin long")
+    out = pl.snap_plan(plan, hard, hard.limit(0), M, 20, 1, 10, 105).orderBy("m", "chunk_no").collect()
+    got = {(r["m"], r["chunk_no"]): (r["snapped"], r["error"]) for r in out}
+    assert set(got) == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (3, 1)} and got[2, 1][1] == "crosses" and got[3, 1] == (100, None)
+    edges = [0, *(got[1, k][0] for k in range(1, 5)), 500]
+    assert all(0 < b - a <= 105 for a, b in zip(edges, edges[1:])) and all(got[1, k][1] is None for k in range(1, 5))
+    assert not any(a < got[1, k][0] < b for k in range(1, 5) for a, b in ((95, 112), (195, 212), (290, 295)))
+    tight = pl.snap_plan(plan.where("m = 1"), hard, hard.limit(0), M, 20, 1, 10, 60)
+    assert {r["error"] for r in tight.collect()} <= {"no_room", "crosses", None} and tight.where("error = 'no_room'").count() > 0
+
+
+def test_nested_items_stay_inside_their_parents(spark):
+    items = spark.createDataFrame([(1, "a", None, 100, 300), (1, "b", "a", 95, 200), (1, "c", "b", 90, 310), (1, "x", "gone", 0, 5)], "m int, id string, parent string, t_ini long, t_fin long")
+    hard = spark.createDataFrame([(1, 98, 104), (1, 295, 306)], "m int, t_ini long, t_fin long")
+    got = {r["id"]: (r["s_ini"], r["s_fin"], r["crosses"]) for r in pl.snap_nested(items, hard, hard.limit(0), M, "id", "parent", 15, 1, 5).collect()}
+    assert set(got) == {"a", "b", "c"} and not any(v[2] for v in got.values())
+    assert all(got[p][0] <= got[k][0] <= got[k][1] <= got[p][1] for k, p in (("b", "a"), ("c", "b")))
