@@ -45,6 +45,10 @@ BANDS, ROWS, LONG_ROWS, PERCENT = 12, 5, 4, 80
 AWAY = 18
 #: Distinct spans of a line up to which minima come from many functions, and from which from one.
 MANY, ONE = 160, 128
+#: Spans of a long line that are looked at first to tell its kind.
+HEAD = 256
+#: Keys that a task packs at a time, and keys that it compares at least at a time; buckets of keys for each shuffle partition.
+PACKED, BUCKETS = 1 << 18, 16
 #: Characters of lines in a batch, characters hashed at a time (what a core's cache holds), ids a task remembers.
 SLICE, HASHED, REMEMBER = 1 << 19, 1 << 16, 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -145,23 +149,34 @@ def alike(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= AWAY
 
 
+def _distinct_spans(lines: list[str], span: int) -> np.ndarray:
+    """Distinct spans of each line, as far as the kind of its signature depends on them: below ONE the number
+    of spans, and from MANY on any number of at least MANY. The first HEAD spans mostly tell; where they
+    are too few of a longer line, as in periodic lines, all its spans are counted."""
+    sizes = np.maximum(np.fromiter(map(len, lines), np.int64, len(lines)) - span + 1, 1)
+    at = np.flatnonzero(sizes >= ONE)
+    if not len(at):
+        return sizes
+    counts = np.minimum(sizes[at], HEAD)
+    h, first = span_hashes([lines[i][: HEAD + span - 1] for i in at], span)
+    heads = np.sort(h[first[:, None] + np.minimum(np.arange(HEAD), counts[:, None] - 1)], axis=1)
+    found = 1 + np.count_nonzero(heads[:, 1:] != heads[:, :-1], axis=1)
+    for i in np.flatnonzero((found < MANY) & (sizes[at] > HEAD)):
+        found[i] = len(distinct(span_hashes([lines[at[i]]], span)[0]))
+    sizes[at] = found
+    return sizes
+
+
 def band_keys(lines: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Band keys of lines (not blank): the number of each line's keys, and all keys in line order
     with the sketches of the signatures that they come from."""
-    h, first = span_hashes(lines, span)
-    counts = np.diff(np.append(first, len(h)))
     width = BANDS * ROWS
-    sizes = counts.copy()
-    for i in np.flatnonzero(counts >= ONE):
-        sizes[i] = len(distinct(h[first[i] : first[i] + counts[i]]))
-
+    sizes = _distinct_spans(lines, span)
     few, long = np.flatnonzero(sizes < MANY), np.flatnonzero(sizes >= ONE)
     rows, keys, sketches = [], [], []
     if len(few):
-        n = counts[few]
-        starts = np.cumsum(n) - n
-        own = h if len(few) == len(lines) else h[np.repeat(sizes < MANY, counts)]
-        x = (own >> np.uint64(32)).astype(np.uint32)
+        h, starts = span_hashes([lines[i] for i in few], span)
+        x = (h >> np.uint64(32)).astype(np.uint32)
         minima, product = np.empty((width, len(few)), np.uint32), np.empty_like(x)
         for i, f in enumerate(_factors):
             np.minimum.reduceat(np.multiply(x, f, out=product), starts, out=minima[i])
@@ -229,10 +244,18 @@ def line_items(docs: DataFrame) -> DataFrame:
 
 
 def line_keys(lines: DataFrame, span: int = SPAN) -> DataFrame:
-    """(id, key, sketch) of the lines, BANDS keys for each signature. Signatures are never stored: a task
-    reads lines and writes keys to the shuffle."""
-
-    def run(batches):
+    """(id, key, sketch) of the lines under each band key that lines of different ids have; other keys link nothing.
+
+    Most keys belong to one line, so keys don't travel as rows: a task packs the (key, id, sketch) of many lines by buckets of
+    keys, and a row of the shuffle holds all of a bucket. The task that meets a bucket keeps one line of each key and emits the
+    others as they come: it holds the distinct keys of a bucket, however many lines share one. Buckets grow in number with the
+    shuffle partitions. Signatures are never stored."""
+    spark = lines.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * partitions
+
+    def pack(batches):
+        held, count = [], 0
         for b in batches:
             ids, texts, at = b["id"].to_numpy(), b["line"].to_pylist(), 0
             while at < len(texts):
@@ -241,10 +264,63 @@ def line_keys(lines: DataFrame, span: int = SPAN) -> DataFrame:
                     size += len(texts[end])
                     end += 1
                 n, keys, sketches = band_keys(texts[at:end], span)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at:end], n)), pa.array(keys), pa.array(sketches)], ["id", "key", "sketch"])
+                held.append(np.stack([keys, np.repeat(ids[at:end], n), sketches], axis=1))
+                count += len(keys)
                 at = end
-
-    return lines.where("line is not null").select("id", "line").mapInArrow(run, "id long, key long, sketch long")
+                if count >= PACKED:
+                    yield _packed(np.concatenate(held), buckets)
+                    held, count = [], 0
+        if held:
+            yield _packed(np.concatenate(held), buckets)
+
+    def share(batches):
+        bucket, known, fresh, count = None, _NONE, [], 0
+        for b in batches:
+            for at, rows in zip(b["bucket"].to_pylist(), b["rows"], strict=True):
+                if at != bucket or count >= max(PACKED, len(known[0])):
+                    known, out = _shared(known, fresh)
+                    yield from out
+                    fresh, count = [], 0
+                    if at != bucket:
+                        bucket, known = at, _NONE
+                fresh.append(np.frombuffer(rows.as_buffer(), np.int64).reshape(-1, 3))
+                count += len(fresh[-1])
+        yield from _shared(known, fresh)[1]
+
+    packed = lines.where("line is not null").select("id", "line").mapInArrow(pack, "bucket int, rows binary")
+    placed = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(share, "id long, key long, sketch long")
+
+
+#: One row (key, id, sketch) of each key known so far, and whether it was emitted.
+_NONE = (np.empty((0, 3), np.int64), np.empty(0, bool))
+
+
+def _packed(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row a bucket with the (key, id, sketch) of its keys."""
+    of = ((rows[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    of, rows = of[order], rows[order]
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    return pa.RecordBatch.from_arrays([pa.array(of[starts]), pa.array([x.tobytes() for x in np.split(rows, starts[1:])], pa.binary())], ["bucket", "rows"])
+
+
+def _shared(known: tuple[np.ndarray, np.ndarray], fresh: list[np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], list[pa.RecordBatch]]:
+    """The keys known after the fresh rows, and the rows of keys that have several ids and were not emitted before."""
+    if not fresh:
+        return known, []
+    rows, sent = np.concatenate([known[0], *fresh]), np.zeros(len(known[0]) + sum(map(len, fresh)), bool)
+    sent[: len(known[0])] = known[1]
+    order = np.argsort(rows[:, 0], kind="stable")  # a known row comes first of its key
+    rows, sent = rows[order], sent[order]
+    is_first = np.append(True, rows[1:, 0] != rows[:-1, 0])
+    starts = np.flatnonzero(is_first)
+    group = np.cumsum(is_first) - 1
+    other = rows[:, 1] != rows[starts, 1][group]
+    several = np.logical_or.reduceat(other, starts) | sent[starts]
+    out = rows[(is_first & ~sent & several[group]) | other]
+    emitted = [pa.RecordBatch.from_arrays([pa.array(out[:, c]) for c in (1, 0, 2)], ["id", "key", "sketch"])] if len(out) else []
+    return (rows[starts], several), emitted
 
 
 def line_owners(docs: DataFrame, span: int = SPAN) -> DataFrame:
