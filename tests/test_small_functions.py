@@ -88,3 +88,58 @@ def test_edge_sentences_and_layers(spark):
     items = spark.createDataFrame([(1, 1, None, 0, 5), (1, 2, None, 50, 60), (1, 3, 2, 2, 4), (1, 4, 1, 1, 2)], "m int, id int, parent int, t_ini long, t_fin long")
     assert sorted(r["id"] for r in rm.derive_layer(items, mapping, ["m"], "id", "parent").collect()) == [1, 4]
     assert [r["id"] for r in dc.replace_lane(items, items.limit(0), F.col("parent").isNull()).orderBy("id").collect()] == [3, 4]
+
+
+def test_file_digests_by_ranged_reads(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql.datasource import GreaterThan, LessThan
+
+    from tidemark.sources.files import FileDigests, changed_content, file_digests
+
+    big, block = tmp_path / "media" / "big.bin", 8 << 20
+    big.parent.mkdir()
+    with open(big, "wb") as f:  # a file with holes: 3 GB by its size, some bytes on disk
+        f.write(b"first")
+        f.seek(3 << 30)
+        f.write(b"last")
+    size = big.stat().st_size
+    (big.parent / "small.bin").write_bytes(b"abc")
+    (big.parent / "empty.bin").write_bytes(b"")
+    (big.parent / "note.txt").write_bytes(b"x")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in file_digests(spark, str(tmp_path), "*.bin", whole=1 << 20).collect()}
+    middle, end = b"\0" * block, b"\0" * (block - 4) + b"last"
+    want = hashlib.sha256(str(size).encode() + b"first".ljust(block, b"\0") + middle + end).hexdigest()
+    assert set(rows) == {"big.bin", "small.bin", "empty.bin"}
+    assert (rows["big.bin"]["digest"], rows["big.bin"]["size"], rows["big.bin"]["bytes_read"]) == (want, size, 3 * block)
+    assert rows["small.bin"]["digest"] == hashlib.sha256(b"3abc").hexdigest() and rows["empty.bin"]["digest"] == hashlib.sha256(b"0").hexdigest()
+
+    few = file_digests(spark, str(tmp_path), "*.bin", whole=1 << 20).where("size < 100 and path like '%small%'")
+    assert [r["size"] for r in few.collect()] == [3]
+    reader = FileDigests({"path": str(tmp_path), "pattern": "*.bin"}).reader(None)
+    left = list(reader.pushFilters([LessThan(("size",), 100), GreaterThan(("path",), "a")]))
+    assert left == [GreaterThan(("path",), "a")]  # the listing itself drops the large file
+    assert [x[1] for part in reader.partitions() for x in part.files] == [0, 3]
+    stamped = file_digests(spark, str(tmp_path), "big.bin", stamp=True).first()["digest"]
+    assert stamped != want
+
+    catalog = spark.createDataFrame([r.asDict() for r in rows.values() if r["size"] != 3] + [{**rows["small.bin"].asDict(), "path": "/gone"}])
+    (big.parent / "empty.bin").write_bytes(b"now")
+    found = {r["path"].rsplit("/", 1)[1]: r["change"] for r in changed_content(file_digests(spark, str(tmp_path), "*.bin", whole=1 << 20), catalog).collect()}
+    assert found == {"small.bin": "new", "empty.bin": "changed", "gone": "gone"}
+
+
+def test_stitched_chunks_of_odd_frames(spark):
+    rows = [("a", 0, f, 0.9) for f in (3, 4, 5, 6, 6, 8)] + [("a", 50, f, 0.9) for f in (0, 1, 2)] + [("a", 50, 3, None), ("a", 50, None, 0.9), (None, 0, 1, 0.9), (None, 0, 2, 0.9)]
+    frames = spark.createDataFrame(rows, "rec string, start long, n long, p double")
+    out = sq.stitch_chunks(frames, ["rec"], "start", "n", "p", 0.5, 1, 10)
+    assert sorted(map(str, out.collect())) == sorted(["Row(rec='a', t_ini=30, t_fin=70, n_parts=2)", "Row(rec=None, t_ini=10, t_fin=20, n_parts=1)"])
+    assert sq.stitch_chunks(frames.limit(0), ["rec"], "start", "n", "p", 0.5, 1, 10).count() == 0
+
+
+def test_proposal_findings_of_odd_clips(spark):
+    clips = spark.createDataFrame([("m", 1, 0, 100, "why", None), ("m", 2, 50, 150, "why", True), ("m", 3, 50, 60, None, True), ("m", 4, None, None, "why", True)], "rec string, id long, t_ini long, t_fin long, reason string, repeat boolean")
+    targets = spark.createDataFrame([("m", 500.0), ("z", None)], "rec string, target double")
+    out = dc.proposal_findings(clips, ["rec"], "id", "id", targets, 0.1, 50, 1000)
+    found = {(r["id"], r["level"], r["kind"], r["other"]) for r in out.collect()}
+    assert found == {(2, "warning", "callback", 1), (3, "error", "repeats", 1), (3, "error", "repeats", 2), (3, "warning", "short", None), (3, "warning", "no_reason", None), (None, "warning", "off_target", None)}

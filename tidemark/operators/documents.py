@@ -230,6 +230,29 @@ def partition_errors(whole: DataFrame, parts: DataFrame, keys: list[str]) -> Dat
     return missing.unionByName(extra)
 
 
+def proposal_findings(clips: DataFrame, by: list[str], clip: str, order: str, targets: DataFrame, tolerance: float, min_clip, max_clip, eps=0, bin_width=None) -> DataFrame:
+    """What is to be said of proposed clips (by, clip, order, t_ini, t_fin, reason, repeat): (by, clip, level, kind, other).
+
+    A clip that takes up a range of an earlier one (lower ``order``) again is an error ``repeats``, or a warning ``callback`` if it is
+    marked ``repeat`` and gives a reason; ``other`` is the earlier clip. Warnings are ``short`` and ``long`` (a fifth beyond the
+    limits), ``no_reason``, and for a whole proposal (clip null) ``off_target``: its length differs from its ``target`` by more than
+    that share. A null or zero target, and clips without a time, are said nothing of; a null repeat is no repeat."""
+    from .joins import overlap_join
+
+    said = F.trim(F.coalesce("reason", F.lit(""))) != ""
+    rows = clips.select(*by, clip, F.col(order).alias("__o"), "t_ini", "t_fin", (said & F.coalesce("repeat", F.lit(False))).alias("__meant"), said.alias("__said"))
+    earlier = rows.select(*by, F.col(clip).alias("other"), F.col("__o").alias("__before"), (F.col("t_ini") + F.lit(eps)).alias("r_ini"), (F.col("t_fin") - F.lit(eps)).alias("r_fin"))
+    again = overlap_join(rows, earlier, by, bin_width=bin_width).where("__before < __o")
+    again = again.select(*by, clip, F.when(F.col("__meant"), "warning").otherwise("error").alias("level"), F.when(F.col("__meant"), "callback").otherwise("repeats").alias("kind"), "other")
+    length = F.col("t_fin") - F.col("t_ini")
+    kinds = F.array(F.when(length < F.lit(min_clip) * 0.8, "short"), F.when(length > F.lit(max_clip) * 1.2, "long"), F.when(~F.col("__said"), "no_reason"))
+    nothing = F.lit(None).cast(clips.schema[clip].dataType)
+    alone = rows.select(*by, clip, F.lit("warning").alias("level"), F.explode(F.array_compact(kinds)).alias("kind"), nothing.alias("other"))
+    total = rows.groupBy(*by).agg(F.sum(length).alias("__total")).join(targets, by)
+    off = total.where((F.col("target") > 0) & (F.abs(F.col("__total") - F.col("target")) > F.col("target") * F.lit(tolerance)))
+    return again.unionByName(alone).unionByName(off.select(*by, nothing.alias(clip), F.lit("warning").alias("level"), F.lit("off_target").alias("kind"), nothing.alias("other")))
+
+
 def outside_parent(items: DataFrame, by: list[str], id_col: str, parent: str) -> DataFrame:
     """Items whose range lies in no range of their parent."""
     kids = items.where(F.col(parent).isNotNull()).select(*by, id_col, F.col(parent).alias("__p"), "t_ini", "t_fin")

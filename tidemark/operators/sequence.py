@@ -102,6 +102,22 @@ def label_spans(df: DataFrame, by: list[str], t: str, label: str, max_step, merg
     return joined.where(F.col("t_fin") - F.col("t_ini") >= F.lit(min_dur)).drop("island")
 
 
+def stitch_chunks(frames: DataFrame, by: list[str], chunk: str, frame: str, score: str, threshold: float, min_frames: int, frame_len, slice_width=None) -> DataFrame:
+    """Events of scores that were computed in overlapping chunks: (by, t_ini, t_fin, n_parts).
+
+    ``chunk`` is a chunk's start on the clock, ``frame`` a frame's number inside it. Runs of more than ``min_frames`` frames above the
+    threshold, from the first frame to the last, are found chunk by chunk, so a long recording is many small windows; what two
+    chunks found in their overlap is joined where it meets. Null scores and frames are below; a repeated frame counts once."""
+    from .intervals import union
+
+    w = Window.partitionBy(*by, chunk).orderBy(frame)
+    above = frames.where((F.col(score) > F.lit(threshold)) & F.col(frame).isNotNull()).select(*by, chunk, frame).distinct()
+    numbered = above.withColumn("__run", F.col(frame) - F.row_number().over(w))
+    found = numbered.groupBy(*by, chunk, "__run").agg(F.min(frame).alias("__a"), F.max(frame).alias("__b"), F.count("*").alias("__n")).where(F.col("__n") > min_frames)
+    spans = found.select(*by, (F.col(chunk) + F.col("__a") * F.lit(frame_len)).alias("t_ini"), (F.col(chunk) + F.col("__b") * F.lit(frame_len)).alias("t_fin"))
+    return union(spans, by, touching=True, slice_width=slice_width)
+
+
 def hysteresis(df: DataFrame, by: list[str], t: str, z: str, value: str, on: float, off: float, abs_min: float, max_step, merge, min_dur) -> DataFrame:
     """Regions that begin at the first sample with z >= on and value >= abs_min and run while
     z > off without a hole in the source; near regions are joined unless the first ended in a

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import documents as dc
 from ..operators import edits as ed
+from ..operators import sequence as sq
 from ..plans import review as rv
 from ..sources.timeline import EV_SQL, timeline
 from .interval_queries import BIN, HOUR
@@ -143,3 +145,41 @@ def author_ledger(spark, d):
     ev = timeline(spark, d).withColumn("id", F.col("event_id"))
     decision = F.when(F.col("k") % 3 == 0, "include").when(F.col("k") % 3 == 1, "exclude")
     return rv.author_ledger(ev.where("track_id = 'signup'").withColumn("decision", decision), ev.where("track_id = 'error' AND k < 20"), BY, BIN)
+
+
+#: A frame of a track's curve: the largest value of six hours; chunks have 40 frames and share 10 with the next.
+FRAME = 6 * HOUR
+
+
+@query(
+    "stitched_chunks",
+    f"""WITH {EV_SQL}, fr AS (SELECT track_id, t_ini // {FRAME} AS f, max(value) AS score FROM ev GROUP BY 1, 2),
+ ch AS (SELECT track_id, c * 30 AS c0, f - c * 30 AS n, score FROM fr, unnest(range(greatest(0, (f - 10) // 30), f // 30 + 1)) AS u(c) WHERE f - c * 30 < 40),
+ ab AS (SELECT *, n - row_number() OVER (PARTITION BY track_id, c0 ORDER BY n) AS run FROM ch WHERE score > 50),
+ sp AS (SELECT track_id, (c0 + min(n)) * {FRAME} AS a, (c0 + max(n)) * {FRAME} AS b FROM ab GROUP BY track_id, c0, run HAVING count(*) > 2),
+ nx AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY track_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM sp),
+ gr AS (SELECT *, sum(fresh) OVER (PARTITION BY track_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM nx)
+ SELECT track_id, min(a) AS t_ini, max(b) AS t_fin, count(*) AS n_parts FROM gr GROUP BY track_id, g""",
+)
+def stitched_chunks(spark, d):
+    scores = timeline(spark, d).groupBy("track_id", F.floor(F.col("t_ini") / FRAME).alias("f")).agg(F.max("value").alias("score"))
+    chunks = F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("f") - 39) / 30)), F.floor(F.col("f") / 30)))
+    frames = scores.withColumn("c", chunks).select("track_id", (F.col("c") * 30 * FRAME).alias("c0"), (F.col("f") - F.col("c") * 30).alias("n"), "score")
+    return sq.stitch_chunks(frames, ["track_id"], "c0", "n", "score", 50.0, 2, FRAME)
+
+
+@query(
+    "proposal_findings",
+    f"""WITH {EV_SQL}, cl AS (SELECT media_id, event_id, t_ini, t_fin, CASE WHEN k % 3 = 0 THEN ' ' ELSE track_id END AS reason, k % 2 = 0 AS again FROM ev),
+ k AS (SELECT a.media_id, a.event_id, a.again AND trim(a.reason) <> '' AS meant, b.event_id AS other FROM cl a JOIN cl b ON a.media_id = b.media_id AND b.event_id < a.event_id AND a.t_ini < b.t_fin - 1000 AND a.t_fin > b.t_ini + 1000)
+ SELECT media_id, event_id, CASE WHEN meant THEN 'warning' ELSE 'error' END AS level, CASE WHEN meant THEN 'callback' ELSE 'repeats' END AS kind, other FROM k
+ UNION ALL SELECT media_id, event_id, 'warning', 'short', NULL FROM cl WHERE t_fin - t_ini < {HOUR} * 0.8
+ UNION ALL SELECT media_id, event_id, 'warning', 'long', NULL FROM cl WHERE t_fin - t_ini > {4 * HOUR} * 1.2
+ UNION ALL SELECT media_id, event_id, 'warning', 'no_reason', NULL FROM cl WHERE trim(reason) = ''
+ UNION ALL SELECT media_id, NULL, 'warning', 'off_target', NULL FROM cl GROUP BY media_id HAVING media_id % 5 > 0 AND abs(sum(t_fin - t_ini) - media_id % 5 * {20 * HOUR}) > media_id % 5 * {20 * HOUR} * 0.1""",
+)
+def proposal_findings(spark, d):
+    ev = timeline(spark, d)
+    clips = ev.select("media_id", "event_id", "t_ini", "t_fin", F.when(F.col("k") % 3 == 0, " ").otherwise(F.col("track_id")).alias("reason"), (F.col("k") % 2 == 0).alias("repeat"))
+    targets = ev.select("media_id").distinct().withColumn("target", F.col("media_id") % 5 * (20 * HOUR))
+    return dc.proposal_findings(clips, BY, "event_id", "event_id", targets, 0.1, HOUR, 4 * HOUR, 1000, BIN)
