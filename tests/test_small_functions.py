@@ -143,3 +143,35 @@ def test_proposal_findings_of_odd_clips(spark):
     out = dc.proposal_findings(clips, ["rec"], "id", "id", targets, 0.1, 50, 1000)
     found = {(r["id"], r["level"], r["kind"], r["other"]) for r in out.collect()}
     assert found == {(2, "warning", "callback", 1), (3, "error", "repeats", 1), (3, "error", "repeats", 2), (3, "warning", "short", None), (3, "warning", "no_reason", None), (None, "warning", "off_target", None)}
+
+
+def test_resolved_candidates_of_odd_documents(spark):
+    media = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d"), (5, "e")], "m long, identity string")
+    rows = [(1, "a", "store", 2, True, 3), (1, "a", "sidecar", 2, True, 1), (1, "x", "store", 9, True, 4), (2, "b", "sidecar", None, True, 2), (2, "b", "store", 5, None, 2), (3, None, "store", 1, True, 1), (4, "d", "sidecar", 3, True, 0), (4, "d", "store", 1, True, 7)]
+    found = spark.createDataFrame(rows, "m long, identity string, origin string, revision long, readable boolean, n_items long")
+    mild = {r["m"]: tuple(r)[1:] for r in dc.resolve_candidates(media, found, ["m"], "identity", "sidecar").collect()}
+    none = ("none", None, None, None)
+    assert mild == {1: ("found", "sidecar", 2, 1), 2: ("found", "sidecar", 0, 2), 3: none, 4: none, 5: none}
+    strict = {r["m"]: r["outcome"] for r in dc.resolve_candidates(media, found, ["m"], "identity", "sidecar", True).collect()}
+    assert strict == {1: "found", 2: "error", 3: "none", 4: "none", 5: "none"}
+    assert dc.resolve_candidates(media.limit(0), found, ["m"], "identity", "sidecar").count() == 0
+
+
+def test_bundle_is_written_by_revision_in_order(spark, tmp_path):
+    import pytest
+
+    from tidemark.plans import review as rv
+
+    long = spark.range(500).selectExpr("'r' AS rec", "id AS line_no", "concat('line ', id) AS line")
+    note = spark.createDataFrame([("r", 1, None), ("s", 1, "only")], "rec string, line_no int, line string")
+    lines = rv.bundle({"transcript": long, "notes": note, "empty": note.limit(0)}, ["rec"])
+    path = tmp_path / "revision=1"
+    assert rv.write_bundle(lines, str(tmp_path), 1, ["rec"]) == str(path)
+    text = "".join(f.read_text() for f in sorted((path / "rec=r" / "view=transcript").glob("part-*.txt")))
+    assert text == "".join(f"line {i}\n" for i in range(500))
+    assert [f.read_text() for f in (path / "rec=r" / "view=notes").glob("part-*.txt")] == ["\n"]
+    assert sorted(x.name for x in (path / "rec=s").iterdir()) == ["view=notes"]
+    with pytest.raises(Exception, match="already exists"):
+        rv.write_bundle(lines, str(tmp_path), 1, ["rec"])
+    with pytest.raises(ValueError):
+        rv.bundle({}, ["rec"])

@@ -130,6 +130,24 @@ def latest(versions: DataFrame, keys: list[str], revision: str) -> DataFrame:
     return versions.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def resolve_candidates(media: DataFrame, candidates: DataFrame, by: list[str], identity: str, preferred: str, strict: bool = False) -> DataFrame:
+    """Which of the documents found for each recording counts: (by, outcome, origin, revision, n_items).
+
+    media: ``identity``; candidates: ``identity``, origin, revision, readable, n_items. Only a readable document of the
+    recording's own identity counts; the highest revision wins (null is 0), on equal ones that of the ``preferred`` origin. The outcome
+    is ``found``, or ``none`` if nothing counts or the winner holds no item. If ``strict``, a document that can't be read
+    makes it ``error``: it may hold what the recording needs. A null identity is nobody's; a null readable is not readable."""
+    own = candidates.withColumnRenamed(identity, "__theirs").join(media.select(*by, identity), by)
+    readable = F.coalesce("readable", F.lit(False))
+    counts = readable & F.coalesce(F.col("__theirs") == F.col(identity), F.lit(False))
+    rank = F.struct(F.coalesce("revision", F.lit(0)).cast("long").alias("revision"), (F.col("origin") == preferred).alias("__first"), "origin", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
+    best = own.groupBy(*by).agg(F.max(F.when(counts, rank)).alias("__best"), F.max(~readable).alias("__broken"))
+    broken = F.coalesce("__broken", F.lit(False)) & F.lit(strict)
+    outcome = F.when(broken, "error").when(F.coalesce("__best.n_items", F.lit(0)) == 0, "none").otherwise("found")
+    out = media.select(*by).join(best, by, "left").withColumn("outcome", outcome)
+    return out.select(*by, "outcome", *(F.when(F.col("outcome") == "found", F.col(f"__best.{c}")).alias(c) for c in ("origin", "revision", "n_items")))
+
+
 # ---- edits of single ranges and clips, as column or table transformations
 
 

@@ -121,3 +121,25 @@ def author_ledger(marks: DataFrame, spoken: DataFrame, by: list[str], bin_width=
     last = spoken.select(*by, F.lit(3).alias("section"), "t_ini", "t_fin", F.col("id").cast("string").alias("ids"), F.lit("spoken: its time is out").alias("rule"))
     line = Window.partitionBy(*by).orderBy("section", "t_ini", "t_fin", "ids")
     return first.unionByName(both).unionByName(last).select(*by, F.row_number().over(line).alias("line_no"), "section", "t_ini", "t_fin", "ids", "rule")
+
+
+def bundle(views: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """Several views of the same recordings as one table of lines: (by, view, line_no, line). A view without lines of
+    a recording has no part in its bundle."""
+    out = None
+    for name, lines in views.items():
+        part = lines.select(*by, F.lit(name).alias("view"), F.col("line_no").cast("long").alias("line_no"), F.coalesce(F.col("line").cast("string"), F.lit("")).alias("line"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("a bundle needs a view")
+    return out
+
+
+def write_bundle(lines: DataFrame, root: str, revision: int, by: list[str]) -> str:
+    """Writes a bundle as text, one folder a recording and view, in one job below a folder of its revision: it shows
+    when it is complete, and the revision before stays as it is. Lines are dealt by ranges, so a long view
+    is several files whose names are in the order of its lines."""
+    path = f"{root}/revision={revision}"
+    placed = lines.repartitionByRange(*by, "view", "line_no").sortWithinPartitions(*by, "view", "line_no")
+    placed.drop("line_no").write.mode("errorifexists").partitionBy(*by, "view").text(path)
+    return path

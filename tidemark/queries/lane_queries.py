@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as dc
 from ..operators import edits as ed
+from ..functions import scalar as sc
 from ..operators import sequence as sq
+from ..plans import master as ms
 from ..plans import review as rv
-from ..sources.timeline import EV_SQL, timeline
+from ..sources.timeline import EV_SQL, UT_SQL, timeline, utterances
 from .interval_queries import BIN, HOUR
 from .registry import query
 
@@ -183,3 +185,52 @@ def proposal_findings(spark, d):
     clips = ev.select("media_id", "event_id", "t_ini", "t_fin", F.when(F.col("k") % 3 == 0, " ").otherwise(F.col("track_id")).alias("reason"), (F.col("k") % 2 == 0).alias("repeat"))
     targets = ev.select("media_id").distinct().withColumn("target", F.col("media_id") % 5 * (20 * HOUR))
     return dc.proposal_findings(clips, BY, "event_id", "event_id", targets, 0.1, HOUR, 4 * HOUR, 1000, BIN)
+
+
+@query(
+    "winning_documents",
+    """WITH c AS (SELECT o_custkey AS media_id, o_orderkey % 3 AS theirs, CASE WHEN o_orderkey % 2 = 0 THEN 'store' ELSE 'sidecar' END AS origin, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 4 END AS revision, o_orderkey % 31 > 0 AS readable, o_orderkey % 5 AS n_items FROM orders),
+ m AS (SELECT c_custkey AS media_id, c_custkey % 3 AS identity FROM customer),
+ b AS (SELECT media_id, bool_or(NOT readable) AS broken FROM c GROUP BY 1),
+ w AS (SELECT media_id, origin, coalesce(revision, 0) AS revision, n_items, row_number() OVER (PARTITION BY media_id ORDER BY coalesce(revision, 0) DESC, CASE origin WHEN 'sidecar' THEN 0 ELSE 1 END, origin DESC, n_items DESC) AS r FROM c JOIN m USING (media_id) WHERE readable AND theirs = identity),
+ o AS (SELECT m.media_id, CASE WHEN coalesce(broken, false) THEN 'error' WHEN coalesce(n_items, 0) = 0 THEN 'none' ELSE 'found' END AS outcome, origin, revision, n_items FROM m LEFT JOIN b USING (media_id) LEFT JOIN (SELECT * FROM w WHERE r = 1) x ON x.media_id = m.media_id)
+ SELECT media_id, outcome, CASE WHEN outcome = 'found' THEN origin END AS origin, CASE WHEN outcome = 'found' THEN revision END AS revision, CASE WHEN outcome = 'found' THEN n_items END AS n_items FROM o""",
+)
+def winning_documents(spark, d):
+    key = F.col("o_orderkey")
+    found = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_custkey").alias("media_id"), (key % 3).alias("identity"), F.when(key % 2 == 0, "store").otherwise("sidecar").alias("origin"),
+        F.when(key % 7 > 0, key % 4).alias("revision"), (key % 31 > 0).alias("readable"), (key % 5).alias("n_items"),
+    )
+    media = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("media_id"), (F.col("c_custkey") % 3).alias("identity"))
+    return dc.resolve_candidates(media, found, BY, "identity", "sidecar", strict=True)
+
+
+@query(
+    "view_bundle",
+    f"""WITH {UT_SQL} SELECT conv_id, 'subtitles' AS view, row_number() OVER (PARTITION BY conv_id ORDER BY t_ini, turn) AS line_no, text AS line FROM ut
+ UNION ALL SELECT conv_id, 'inventory', row_number() OVER (PARTITION BY conv_id ORDER BY role), role || ': ' || count(*) FROM ut GROUP BY conv_id, role""",
+)
+def view_bundle(spark, d):
+    ut, by = utterances(spark, d), ["conv_id"]
+    subtitles = ms.subtitles(ut, by, "text", "turn").select("conv_id", F.col("no").alias("line_no"), F.col("body").alias("line"))
+    counts = ut.groupBy("conv_id", "role").count()
+    inventory = counts.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("role")).alias("line_no"), F.concat("role", F.lit(": "), F.col("count").cast("string")).alias("line"))
+    return rv.bundle({"subtitles": subtitles, "inventory": inventory}, by)
+
+
+@query(
+    "strong_signals",
+    f"""WITH {EV_SQL}, s AS (SELECT media_id, avg(value) AS mu, stddev_pop(value) AS sd FROM ev GROUP BY 1),
+ z AS (SELECT media_id, event_id, t_ini FROM ev JOIN s USING (media_id) WHERE (value - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END >= 1.0),
+ n AS (SELECT media_id, event_id, row_number() OVER (PARTITION BY media_id ORDER BY t_ini, event_id) AS n FROM z) SELECT media_id, event_id, n FROM n WHERE n <= 5""",
+)
+def strong_signals(spark, d):
+    return ms.signals(timeline(spark, d), BY, "value", 1.0, 5).select("media_id", "event_id", F.col("n").cast("long").alias("n"))
+
+
+@query("pixel_rectangles", "SELECT p_partkey, CAST(round(p_partkey % 7 / 7.0 * 1920) AS INTEGER) AS x, CAST(round(p_partkey % 11 / 11.0 * 1080) AS INTEGER) AS y, CAST(round(p_size / 51.0 * 1920) AS INTEGER) AS w, CAST(round(p_size / 53.0 * 1080) AS INTEGER) AS h FROM part")
+def pixel_rectangles(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    box = sc.rect_pixels(k % 7 / 7.0, k % 11 / 11.0, size / 51.0, size / 53.0, 1920, 1080)
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", box.alias("box")).select("p_partkey", "box.*")
