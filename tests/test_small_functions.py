@@ -175,3 +175,13 @@ def test_bundle_is_written_by_revision_in_order(spark, tmp_path):
         rv.write_bundle(lines, str(tmp_path), 1, ["rec"])
     with pytest.raises(ValueError):
         rv.bundle({}, ["rec"])
+
+
+def test_descendants_at_any_depth(spark):
+    chain = [("m", i, i - 1 if i else None) for i in range(40)] + [("m", 100, 101), ("m", 101, 100), ("m", 200, 300), ("n", 1, 0)]
+    items = spark.createDataFrame(chain, "rec string, id long, up long")
+    roots = spark.createDataFrame([("m", 2), ("m", 300)], "rec string, id long")
+    found = {tuple(r) for r in dc.descendants(items, roots, ["rec"], "id", "up").collect()}
+    assert found == {("m", i) for i in range(2, 40)} | {("m", 300), ("m", 200)}
+    assert dc.descendants(items, roots.limit(0), ["rec"], "id", "up").count() == 0
+    assert {r["id"]: r["depth"] for r in dc.depth(items, ["rec"], "id", "up").where("rec = 'm' and id < 3").collect()} == {0: 0, 1: 1, 2: 2}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 from .intervals import Convention, islands, meets
 from .joins import overlap_join
 
@@ -91,16 +93,15 @@ def replace_lane(document: DataFrame, proposal: DataFrame, untouched: Column) ->
 
 def _walk(items: DataFrame, roots: DataFrame, by: list[str], id_col: str, parent: str, deepest: int) -> DataFrame:
     """(by, id, depth) of the roots and all items below them, by a recursive query."""
-    spark = items.sparkSession
-    items.select(*by, id_col, parent).createOrReplaceTempView("tidemark_items")
-    roots.select(*by, id_col).createOrReplaceTempView("tidemark_roots")
     keys = "".join(f"{c}, " for c in by)
     own = "".join(f"i.{c}, " for c in by)
     on = "".join(f" AND i.{c} = t.{c}" for c in by)
-    return spark.sql(
-        f"WITH RECURSIVE t({keys}{id_col}, depth) MAX RECURSION LEVEL {deepest + 2} AS (SELECT {keys}{id_col}, 0 FROM tidemark_roots"
-        f" UNION ALL SELECT {own}i.{id_col}, t.depth + 1 FROM tidemark_items i JOIN t ON i.{parent} = t.{id_col}{on} WHERE t.depth < {deepest})"
-        f" SELECT * FROM t"
+    return items.sparkSession.sql(
+        f"WITH RECURSIVE t({keys}{id_col}, depth) MAX RECURSION LEVEL {deepest + 2} AS (SELECT {keys}{id_col}, 0 FROM {{roots}}"
+        f" UNION ALL SELECT {own}i.{id_col}, t.depth + 1 FROM {{items}} i JOIN t ON i.{parent} = t.{id_col}{on} WHERE t.depth < {deepest})"
+        f" SELECT * FROM t",
+        items=items.select(*by, id_col, parent),
+        roots=roots.select(*by, id_col),
     )
 
 
@@ -110,9 +111,19 @@ def depth(items: DataFrame, by: list[str], id_col: str, parent: str, deepest: in
     return items.join(_walk(items, items.where(F.col(parent).isNull()), by, id_col, parent, deepest), [*by, id_col], "left")
 
 
-def descendants(items: DataFrame, roots: DataFrame, by: list[str], id_col: str, parent: str, deepest: int = 32) -> DataFrame:
-    """The roots and all items below them (by, id)."""
-    return _walk(items, roots, by, id_col, parent, deepest).select(*by, id_col).distinct()
+def descendants(items: DataFrame, roots: DataFrame, by: list[str], id_col: str, parent: str) -> DataFrame:
+    """The roots and all items below them (by, id), at any depth: each item looks at ancestors twice as far away
+    in each round, so rounds grow with the logarithm of the depth. Items on a cycle without a root aren't below one."""
+    marked = roots.select(*by, id_col).distinct().withColumn("__hit", F.lit(True))
+    rows = items.select(*by, id_col, F.col(parent).alias("__up")).distinct().join(marked, [*by, id_col], "full_outer")
+    rows = stored(rows.withColumn("__hit", F.coalesce("__hit", F.lit(False))), "descendants")
+    for _ in range(rows.count().bit_length() + 1):
+        if not rows.where("__up is not null and not __hit").take(1):
+            break
+        above = rows.select(*by, F.col(id_col).alias("__up"), F.col("__up").alias("__far"), F.col("__hit").alias("__above"))
+        joined = rows.join(above, [*by, "__up"], "left")
+        rows = stored(joined.select(*by, id_col, F.col("__far").alias("__up"), (F.col("__hit") | F.coalesce("__above", F.lit(False))).alias("__hit")).distinct(), "descendants")
+    return rows.where("__hit").select(*by, id_col).distinct()
 
 
 def merge_layer(stored: DataFrame, proposed: DataFrame, by: list[str], id_col: str, parent: str) -> DataFrame:
