@@ -158,11 +158,13 @@ def assign_by_overlap(items: DataFrame, turns: DataFrame, by: list[str], id_col:
 
 
 def weighted_mean(items: DataFrame, signal: DataFrame, by: list[str], id_col: str, value: str, bin_width=None) -> DataFrame:
-    """Mean of a windowed signal over each item, weighted by overlap; null without overlap."""
+    """Mean of a windowed signal over each item, weighted by overlap; null if nothing meets the item, NaN if what
+    does has no common time with it (an item without length)."""
     s = signal.select(*by, F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin"), F.col(value).alias("__v"))
     hit = overlap_join(items.select(*by, id_col, "t_ini", "t_fin"), s, by, bin_width=bin_width).where("__v is not null")
     ov = overlap_length("t_ini", "t_fin", "r_ini", "r_fin")
-    mean = hit.groupBy(*by, id_col).agg((F.sum(ov * F.col("__v")) / F.sum(ov)).alias(f"{value}_mean"), F.count("*").alias("n_windows"))
+    share = F.when(F.sum(ov) == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.sum(ov * F.col("__v")), F.sum(ov)))
+    mean = hit.groupBy(*by, id_col).agg(share.alias(f"{value}_mean"), F.count("*").alias("n_windows"))
     return items.select(*by, id_col).join(mean, [*by, id_col], "left").withColumn("n_windows", F.coalesce("n_windows", F.lit(0)))
 
 
