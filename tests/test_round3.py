@@ -22,3 +22,15 @@ def test_weighted_mean_of_an_item_without_length(spark):
         out = {r["id"]: (r["k_mean"], r["n_windows"]) for r in jn.weighted_mean(items, signal, M, "id", "k", width).collect()}
         assert math.isnan(out[1][0]) and out[1][1] == 1
         assert out[2] == (7.0, 1) and out[3] == (None, 0)
+
+
+def test_depth_without_a_limit_of_rows(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        rows = [(1, i, None if i % 40 == 0 else i - 1) for i in range(400)] + [(1, 1000, 1001), (1, 1001, 1000), (1, 1002, 5555), (2, 7, None), (2, 8, 7)]
+        out = {(r["m"], r["id"]): r["depth"] for r in dc.depth(spark.createDataFrame(rows, "m int, id int, parent int"), M, "id", "parent").collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(out) == len(rows)
+    assert all(out[1, i] == (i % 40 if i % 40 <= 32 else None) for i in range(400))
+    assert [out[1, i] for i in (1000, 1001, 1002)] == [None] * 3 and out[2, 7] == 0 and out[2, 8] == 1

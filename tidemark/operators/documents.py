@@ -91,24 +91,25 @@ def replace_lane(document: DataFrame, proposal: DataFrame, untouched: Column) ->
     return document.where(~F.coalesce(untouched, F.lit(False))).unionByName(proposal, allowMissingColumns=True)
 
 
-def _walk(items: DataFrame, roots: DataFrame, by: list[str], id_col: str, parent: str, deepest: int) -> DataFrame:
-    """(by, id, depth) of the roots and all items below them, by a recursive query."""
-    keys = "".join(f"{c}, " for c in by)
-    own = "".join(f"i.{c}, " for c in by)
-    on = "".join(f" AND i.{c} = t.{c}" for c in by)
-    return items.sparkSession.sql(
-        f"WITH RECURSIVE t({keys}{id_col}, depth) MAX RECURSION LEVEL {deepest + 2} AS (SELECT {keys}{id_col}, 0 FROM {{roots}}"
-        f" UNION ALL SELECT {own}i.{id_col}, t.depth + 1 FROM {{items}} i JOIN t ON i.{parent} = t.{id_col}{on} WHERE t.depth < {deepest})"
-        f" SELECT * FROM t",
-        items=items.select(*by, id_col, parent),
-        roots=roots.select(*by, id_col),
-    )
-
-
 def depth(items: DataFrame, by: list[str], id_col: str, parent: str, deepest: int = 32) -> DataFrame:
     """Adds the depth of each item (roots 0), null for items on a cycle, under a missing parent or
-    below ``deepest``."""
-    return items.join(_walk(items, items.where(F.col(parent).isNull()), by, id_col, parent, deepest), [*by, id_col], "left")
+    below ``deepest``. Each item looks at ancestors twice as far away in each round; only those that
+    haven't reached a root go on, so no key is hot and the rounds grow with the logarithm of ``deepest``."""
+    up, own = F.col(parent), [*by, F.col(id_col).alias("__id")]
+    known = items.where(up.isNull() & F.col(id_col).isNotNull()).select(*own, F.lit(0).alias("depth"))
+    steps = stored(items.where(up.isNotNull()).select(*own, up.alias("__up"), F.lit(1).alias("__n")), "depth")
+    known = stored(known, "depth")
+    done = known
+    for _ in range(max(1, deepest).bit_length()):
+        if steps.isEmpty():
+            break
+        above = done.select(*by, F.col("__id").alias("__up"), F.lit(None).cast(items.schema[id_col].dataType).alias("__far"), F.col("depth").alias("__m"))
+        above = above.unionByName(steps.select(*by, F.col("__id").alias("__up"), F.col("__up").alias("__far"), F.col("__n").alias("__m")))
+        moved = steps.join(above.hint("merge"), [*by, "__up"]).select(*by, "__id", F.col("__far").alias("__up"), (F.col("__n") + F.col("__m")).alias("__n"))
+        moved = stored(moved.where(F.col("__n") <= deepest), "depth")
+        done = done.unionByName(moved.where("__up IS NULL").select(*by, "__id", F.col("__n").alias("depth")))
+        steps = moved.where("__up IS NOT NULL")
+    return items.join(done.withColumnRenamed("__id", id_col).hint("merge"), [*by, id_col], "left")
 
 
 def descendants(items: DataFrame, roots: DataFrame, by: list[str], id_col: str, parent: str) -> DataFrame:
