@@ -34,3 +34,12 @@ def test_depth_without_a_limit_of_rows(spark):
     assert len(out) == len(rows)
     assert all(out[1, i] == (i % 40 if i % 40 <= 32 else None) for i in range(400))
     assert [out[1, i] for i in (1000, 1001, 1002)] == [None] * 3 and out[2, 7] == 0 and out[2, 8] == 1
+
+
+def test_ranks_when_each_approximation_differs(spark, monkeypatch):
+    cut = F.udf(lambda top: [top * int.from_bytes(os.urandom(2), "big") / 65536], "array<double>").asNondeterministic()
+    monkeypatch.setattr(st.F, "percentile_approx", lambda value, *_: cut(F.max(value)))
+    rows = [(1, float(random.Random(k).randrange(50))) for k in range(300)]
+    values = sorted(v for _, v in rows)
+    for r in st.value_counts(spark.createDataFrame(rows, "m int, v double"), M, "v").collect():
+        assert r["below"] == sum(v < r["value"] for v in values) and r["c"] == values.count(r["value"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .intervals import overlap_length
 from .joins import overlap_join
 
@@ -29,11 +30,13 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     there are. Nulls (and, of doubles, NaN) don't count.
 
     Equal values are counted before the shuffle. Approximate percentiles, which only say where to cut, deal a stream into
-    PIECES pieces; the counts run inside the pieces, and the pieces' totals are carried over. So ranks are exact and no stream is sorted in one task."""
+    PIECES pieces; the counts run inside the pieces, and the pieces' totals are carried over. So ranks are exact and no stream is sorted in one task.
+    The approximation may differ each time it is made, so it is made once and stored: counts and totals must mean the same pieces."""
     rows = df.select(*by, F.col(value).alias("value")).where("value IS NOT NULL")
     if dict(rows.dtypes)["value"] in ("double", "float"):
         rows = rows.where(~F.isnan("value"))
     cuts = rows.groupBy(*by).agg(F.percentile_approx("value", [i / PIECES for i in range(1, PIECES)], 1000).alias("cuts"), F.count("*").alias("n"))
+    cuts = stored(cuts, "cuts")
     counts = rows.groupBy(*by, "value").agg(F.count("*").alias("c")).join(cuts, by).withColumn("piece", F.size(F.filter("cuts", lambda x: x < F.col("value"))))
     inside = Window.partitionBy(*by, "piece").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     line = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
