@@ -43,3 +43,8 @@ def test_ranks_when_each_approximation_differs(spark, monkeypatch):
     values = sorted(v for _, v in rows)
     for r in st.value_counts(spark.createDataFrame(rows, "m int, v double"), M, "v").collect():
         assert r["below"] == sum(v < r["value"] for v in values) and r["c"] == values.count(r["value"])
+
+
+def test_names_of_tracks_beyond_three_letters(spark):
+    names = [r[0] for r in spark.createDataFrame([(p,) for p in (0, 25, 26, 701, 702, 18277, 18278, 129142, 1199999)], "p long").select(tm.track_name(F.col("p"))).collect()]
+    assert names == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "[AA", "ÿAA", chr(65 + 1199297 // 676) + chr(65 + 1199297 // 26 % 26) + chr(65 + 1199297 % 26)]

@@ -78,8 +78,8 @@ def frame_step(fps) -> Column:
 
 
 def track_name(position) -> Column:
-    """0 is A, 25 is Z, 26 is AA and so on, up to three letters."""
-    letter = lambda n: F.chr(65 + n)
+    """0 is A, 25 is Z, 26 is AA and so on, up to three letters; beyond ZZZ the first of the three goes on with the characters after Z."""
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex((65 + n).cast("long")), 8, "0")), "UTF-32")
     two = position - 26
     three = position - 702
     return (
