@@ -48,3 +48,11 @@ def test_ranks_when_each_approximation_differs(spark, monkeypatch):
 def test_names_of_tracks_beyond_three_letters(spark):
     names = [r[0] for r in spark.createDataFrame([(p,) for p in (0, 25, 26, 701, 702, 18277, 18278, 129142, 1199999)], "p long").select(tm.track_name(F.col("p"))).collect()]
     assert names == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "[AA", "ÿAA", chr(65 + 1199297 // 676) + chr(65 + 1199297 // 26 % 26) + chr(65 + 1199297 % 26)]
+
+
+@pytest.mark.parametrize("query", ["same_identity"])
+def test_matches_are_not_narrowed_to_one_number(spark, query):
+    from tidemark import catalog
+
+    rows = catalog.queries()[query](spark, "/root/testdata/sf0.001").collect()
+    assert any(r["s_suppkey"] not in (r["c_custkey"], r["c_custkey"] // 2) for r in rows)
