@@ -50,7 +50,7 @@ def test_names_of_tracks_beyond_three_letters(spark):
     assert names == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "[AA", "ÿAA", chr(65 + 1199297 // 676) + chr(65 + 1199297 // 26 % 26) + chr(65 + 1199297 % 26)]
 
 
-@pytest.mark.parametrize("query", ["same_identity"])
+@pytest.mark.parametrize("query", ["same_identity", "legacy_matches"])
 def test_matches_are_not_narrowed_to_one_number(spark, query):
     from tidemark import catalog
 
