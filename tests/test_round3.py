@@ -56,3 +56,14 @@ def test_matches_are_not_narrowed_to_one_number(spark, query):
 
     rows = catalog.queries()[query](spark, "/root/testdata/sf0.001").collect()
     assert any(r["s_suppkey"] not in (r["c_custkey"], r["c_custkey"] // 2) for r in rows)
+
+
+def test_descendants_of_many_items_without_parent(spark, monkeypatch):
+    sizes, store = [], dc.stored
+    monkeypatch.setattr(dc, "stored", lambda df, name: sizes.append(df.count()) or store(df, name))
+    rows = [(i, None if i % 5 else i - 5 if i else None) for i in range(200)]
+    items = spark.createDataFrame(rows, "id int, parent int")
+    out = [r["id"] for r in dc.descendants(items, items.where("id = 50 OR id = 3"), [], "id", "parent").collect()]
+    assert sorted(out) == sorted([3, *range(50, 200, 5)])
+    # those without a parent aren't looked at in each round, when they would be one key
+    assert all(n <= 40 for n in sizes[1:])

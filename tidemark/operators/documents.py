@@ -114,17 +114,25 @@ def depth(items: DataFrame, by: list[str], id_col: str, parent: str, deepest: in
 
 def descendants(items: DataFrame, roots: DataFrame, by: list[str], id_col: str, parent: str) -> DataFrame:
     """The roots and all items below them (by, id), at any depth: each item looks at ancestors twice as far away
-    in each round, so rounds grow with the logarithm of the depth. Items on a cycle without a root aren't below one."""
+    in each round, so rounds grow with the logarithm of the depth. Items on a cycle without a root aren't below one.
+
+    Items that are below a root, or have no ancestor left to look at, take no further part but as ancestors of others; so
+    the many without an ancestor aren't one key."""
     marked = roots.select(*by, id_col).distinct().withColumn("__hit", F.lit(True))
     rows = items.select(*by, id_col, F.col(parent).alias("__up")).distinct().join(marked, [*by, id_col], "full_outer")
     rows = stored(rows.withColumn("__hit", F.coalesce("__hit", F.lit(False))), "descendants")
+    live = rows.where("__up is not null and not __hit")
+    hits = rows.where("__hit").select(*by, id_col).distinct()
     for _ in range(rows.count().bit_length() + 1):
-        if not rows.where("__up is not null and not __hit").take(1):
+        if live.isEmpty():
             break
-        above = rows.select(*by, F.col(id_col).alias("__up"), F.col("__up").alias("__far"), F.col("__hit").alias("__above"))
-        joined = rows.join(above, [*by, "__up"], "left")
-        rows = stored(joined.select(*by, id_col, F.col("__far").alias("__up"), (F.col("__hit") | F.coalesce("__above", F.lit(False))).alias("__hit")).distinct(), "descendants")
-    return rows.where("__hit").select(*by, id_col).distinct()
+        above = live.select(*by, F.col(id_col).alias("__up"), F.col("__up").alias("__far"), F.lit(False).alias("__above"))
+        above = above.unionByName(hits.select(*by, F.col(id_col).alias("__up"), F.lit(None).cast(items.schema[parent].dataType).alias("__far"), F.lit(True).alias("__above")))
+        moved = live.join(above.hint("merge"), [*by, "__up"]).select(*by, id_col, F.col("__far").alias("__up"), F.col("__above").alias("__hit")).distinct()
+        moved = stored(moved, "descendants")
+        hits = hits.unionByName(moved.where("__hit").select(*by, id_col))
+        live = moved.where("__up is not null and not __hit")
+    return hits.distinct()
 
 
 def merge_layer(stored: DataFrame, proposed: DataFrame, by: list[str], id_col: str, parent: str) -> DataFrame:
