@@ -67,3 +67,53 @@ def test_descendants_of_many_items_without_parent(spark, monkeypatch):
     assert sorted(out) == sorted([3, *range(50, 200, 5)])
     # those without a parent aren't looked at in each round, when they would be one key
     assert all(n <= 40 for n in sizes[1:])
+
+
+def test_lists_of_words_are_lines_of_few_files(spark, monkeypatch):
+    from tidemark.queries import edit_queries as eq
+
+    made, path_of = [], eq.scratch_path
+    monkeypatch.setattr(eq, "scratch_path", lambda *a: made.append(path_of(*a)) or made[-1])
+    out = eq.json_words(spark, "/root/testdata/sf0.001")
+    files = [f for _, _, names in os.walk(made[0]) for f in names if f.startswith("part-")]
+    assert len(files) <= 8 and out.agg({"n": "sum"}).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_likeness_is_the_ratio_and_quick_for_texts_that_hold_each_other(monkeypatch):
+    from difflib import SequenceMatcher
+
+    from tidemark.operators import conversation as cv
+
+    rng, texts = random.Random(3), ["", "a", "ab ab"]
+    texts += ["".join(rng.choice("ab c") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    texts += [t[i : i + 12] for t in texts[3:] for i in (0, 3)]
+    for x in texts:
+        for y in texts[:90]:
+            assert cv.likeness(x, y) == SequenceMatcher(None, x, y, autojunk=False).ratio()
+    monkeypatch.setattr(cv, "SequenceMatcher", None)  # not asked when one is the beginning of the other
+    assert cv.likeness("ab" * 5000, "ab" * 4999) == 2 * 9998 / 19998
+
+
+def test_visits_are_given_in_bounded_portions():
+    import numpy as np
+
+    from tidemark.llm import knn
+
+    at, per, first = np.array([0, 0, 1, 3]), np.array([2, 5, 1, 3]), np.array([10, 20, 30, 40])
+    parts = list(knn.portions(at, per, first, 4))
+    assert [len(r) for r, _ in parts] == [4, 4, 3]
+    assert np.concatenate([r for r, _ in parts]).tolist() == [0] * 7 + [1] + [3] * 3
+    assert np.concatenate([c for _, c in parts]).tolist() == [10, 11, 20, 21, 22, 23, 24, 30, 40, 41, 42]
+    assert not list(knn.portions(at[:0], per[:0], first[:0], 4))
+
+
+def test_a_source_that_many_later_messages_repeat_in_part(spark):
+    from tidemark.llm import quotes
+
+    one, two = "the quick brown fox jumps over the lazy dog today", "seven small boats sail slowly past our old harbour wall"
+    rows = [(1, 0, f"{one}\nbetween them\n{two}")]
+    for k in range(1, 31):  # each passage is written again by many, both only by the first
+        rows.append((1, k, f"{one if k % 2 else two}\nand number {k} goes on"))
+    rows.append((1, 40, f"> {one}\nI agree.\n> {two}\nwith that too"))
+    out = quotes.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))
+    assert out.where("turn = 40").first()["parent_turn"] == 0

@@ -176,6 +176,15 @@ def summary(data: DataFrame, pivots: np.ndarray, head: int, chunk_rows: int) ->
     return data, Summary(cell, s["shell"].to_numpy(), n, *(s[c].to_numpy() for c in ("far", "norm", "tail")), lo, hi, pivots[cell], pieces, np.cumsum(pieces) - pieces)
 
 
+def portions(at: np.ndarray, per: np.ndarray, first: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each i the pairs (at[i], first[i] + 0 .. per[i] - 1), in arrays of at most ``most`` of them."""
+    ends = np.cumsum(per)
+    for s in range(0, int(ends[-1]) if len(ends) else 0, most):
+        place = np.arange(s, min(s + most, ends[-1]))
+        i = np.searchsorted(ends, place, side="right")
+        yield at[i], (first[i] + place - (ends[i] - per[i])).astype(np.int32)
+
+
 def query_groups(counts: dict[int, int], pivots: np.ndarray, most: int) -> dict[int, tuple[int, int]]:
     """For each cell with queries its first group and the groups it is dealt into: a cell with many queries
     has groups of its own, cells with few share one with those next to them."""
@@ -295,11 +304,13 @@ def plan(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col:
                 need = f["reached"].astype("float64").fillna(-np.inf).to_numpy()
                 at, shell = np.nonzero(~(bound < need[:, None]))
                 per = cells.parts[shell]
-                out = f.iloc[np.repeat(at, per)].drop(columns="reached")
-                out["chunk"] = (np.repeat(cells.first[shell], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)).astype(np.int32)
-                yield out[["query_row", "query_id", "q", "grp", "chunk"]]
+                for rows, chunk in portions(at, per, cells.first[shell], most):
+                    out = f.iloc[rows].drop(columns="reached")
+                    out["chunk"] = chunk
+                    yield out[["query_row", "query_id", "q", "grp", "chunk"]]
 
-    step = max(1, NUMBERS // head)
+    # the bounds are matrices of queries by shells, and each visit carries its query
+    step, most = max(1, NUMBERS // max(head, len(cells.cell))), max(1, NUMBERS // width)
     wide = asked.drop("cell").join(reached, "query_row", "left")
     visits = wide.mapInPandas(visited, "query_row long, query_id long, q array<double>, grp int, chunk int")
     return Plan(queries, visits, dealt, int(cells.parts.sum()), found)
