@@ -5,8 +5,7 @@ one level are a passage, and consecutive quoted lines of any level a block. The
 hashed in windows of ``WINDOW``, twice, four times ... as many, and lines, sentences and passages of fewer words as they are.
 The same is done with what a message wrote itself, so a quote that was wrapped anew, or that
 cites part of a line, is found. Each hash is looked up among earlier messages of the same
-conversation: the latest ``LATEST`` that wrote it are candidates. A window of common words has many writers, but
-the longer windows of a passage lead to those that hold it whole. A candidate votes for a passage with the characters that its hashes
+conversation: all that wrote it are candidates. A candidate votes for a passage with the characters that its hashes
 cover there, if they are a fifth of it or more. A message's parent is the candidate with most characters
 in its outermost quotes (ties: the later one). If no outer quote is found the next
 level decides: a passage at level n is looked up among the passages that earlier messages
@@ -18,9 +17,9 @@ the conversations. The text is left without the blocks of which a passage was fo
 block of which nothing was found stays as it is, be it a quote from elsewhere or a prompt in code.
 
 Only messages of conversations with a quote are hashed, and of their hashes only those that a bit filter of
-the quoted ones lets pass are shuffled. The lookup counts the earlier writers of each (conversation, hash, level) in a window and joins
-the last of them by number, so a passage that is repeated or quoted
-any number of times gives a few rows each and no pairs. The order is that of a walk around the
+the quoted ones lets pass are shuffled. The lookup numbers the writers of each (conversation, hash, level) in a window and joins
+a quoted hash with all earlier ones, in pages of ``PAGE`` writers: a passage that many wrote and many quote is
+many pairs, within its conversation, but they are spread over its pages and no task holds them. The order is that of a walk around the
 thread's tree, which enters and leaves every message once: each step points to the next, and
 doubling of the pointers counts the steps to the end, so the rounds are the logarithm of a thread's
 size, a row has a fixed size however long the chain of replies, and no conversation is gathered in one task.
@@ -50,8 +49,8 @@ INTRODUCES = re.compile(r"^\s*(on\b.{0,200}\bwrote|le\b.{0,200}\ba écrit|am\b.{
 
 #: Words of a window; shorter lines, sentences and passages are hashed whole.
 WINDOW = 3
-#: Writers of a hash that are candidates, least part of a passage found (one in so many), bits of the filters' places.
-LATEST, PART, BITS = 8, 5, 23
+#: Writers of a hash on a page, least part of a passage found (one in so many), bits of the filters' places.
+PAGE, PART, BITS = 256, 5, 23
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A word, or one character of a script without blanks.
 TOKEN = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\W\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
@@ -205,9 +204,9 @@ def votes(rows: DataFrame) -> DataFrame:
     key = ["conv_id", "hash", "depth"]
     before = Window.partitionBy(*key).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     both = save(have.withColumn("wrote", F.col("turn")).unionByName(asked, allowMissingColumns=True).withColumn("earlier", F.count("wrote").over(before)))
-    writers = both.where("wrote is not null").select(*key, (F.col("earlier") + 1).alias("number"), F.col("wrote").alias("source"))
-    asked = both.where("wrote is null and earlier > 0").drop("wrote").withColumn("number", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("earlier") - (LATEST - 1)), "earlier")))
-    pairs = asked.join(writers, [*key, "number"])
+    writers = both.where("wrote is not null").select(*key, F.expr(f"earlier div {PAGE}").alias("page"), F.col("wrote").alias("source"))
+    asked = both.where("wrote is null and earlier > 0").drop("wrote").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(earlier - 1) div {PAGE}"))))
+    pairs = asked.join(writers, [*key, "page"]).where("source < turn")
     # characters that the units of a source cover, each once
     part = ["conv_id", "turn", "row", "block", "passage", "size", "level", "depth", "source"]
     covered = F.max("end").over(Window.partitionBy(*part).orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1))
