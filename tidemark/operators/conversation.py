@@ -35,17 +35,26 @@ def cross_track_intersections(utterances: DataFrame, by: list[str], track: str,
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two texts."""
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Ratcliff-Obershelp similarity of two texts; null where one is null."""
+    return pd.Series([None if x is None or y is None else likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+def likeness(x: str, y: str) -> float:
+    """The ratio of a SequenceMatcher; a text that the other holds whole is their longest match, with nothing left to compare."""
+    if x in y or y in x:
+        return 2.0 * min(len(x), len(y)) / (len(x) + len(y)) if x or y else 1.0
+    return SequenceMatcher(None, x, y, autojunk=False).ratio()
 
 
-def letter_counts(text):
-    """How often each letter, digit and the blank occur, and all other characters together."""
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(c))) for c in LETTERS]
-    return F.array(*counts, F.length(F.translate(text, LETTERS, "")))
+def similarity_from(least: float):
+    """As ``similarity``, but null where the letters that both texts have show that it is less than ``least``."""
+
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        near = lambda x, y: x is not None and y is not None and (x in y or y in x or SequenceMatcher(None, x, y, autojunk=False).quick_ratio() >= least)
+        return pd.Series([likeness(x, y) if near(x, y) else None for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run
 
 
 def bleed_duplicates(utterances: DataFrame, by: list[str], track: str, id_col: str, text: str, quality: list[str], least_overlap=0.8, least_similarity=0.92, least_chars=8, bin_width=None) -> DataFrame:
@@ -55,17 +64,18 @@ def bleed_duplicates(utterances: DataFrame, by: list[str], track: str, id_col: s
     texts are compared. Of all pairs in time order each utterance is claimed once, by rounds on all timelines
     at once; the better quality is primary. A null text is similar to nothing; ids are distinct within a timeline."""
     rows = utterances.select(*by, F.col(track).alias("track"), F.col(id_col).alias("id"), "t_ini", "t_fin", F.col(text).alias("text"), F.struct(*quality).alias("q")).where(F.length("text") >= least_chars * least_similarity / (2 - least_similarity))
-    rows = rows.withColumn("letters", letter_counts(F.col("text")))
-    left = rows.select(*by, *(F.col(c).alias(f"o_{c}") for c in ("track", "id", "t_ini", "t_fin", "text", "q", "letters")))
+    rows = stored(rows, "bleed")  # texts are made once, and the plan of the pairs stays small
+    left = rows.select(*by, *(F.col(c).alias(f"o_{c}") for c in ("track", "id", "t_ini", "t_fin", "text", "q")))
     pairs = overlap_join(rows, left, by, ("t_ini", "t_fin"), ("o_t_ini", "o_t_fin"), bin_width=bin_width)
     earlier = F.struct(F.col("o_t_ini"), F.col("o_track"), F.col("o_t_fin"), F.col("o_id")) < F.struct(F.col("t_ini"), F.col("track"), F.col("t_fin"), F.col("id"))
     shared = F.least("t_fin", "o_t_fin") - F.greatest("t_ini", "o_t_ini")
     shorter = F.least(F.col("t_fin") - F.col("t_ini"), F.col("o_t_fin") - F.col("o_t_ini"))
     pairs = pairs.where((F.col("track") != F.col("o_track")) & earlier & (F.length("text") >= least_chars) & (shared >= F.lit(least_overlap) * shorter) & (shorter > 0))
-    both = F.length("text") + F.length("o_text")
-    common = F.aggregate(F.zip_with("letters", "o_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.where((2 * F.least(F.length("text"), F.length("o_text")) >= least_similarity * both) & (2 * common >= least_similarity * both))
-    pairs = pairs.withColumn("similarity", similarity("text", "o_text")).where(F.col("similarity") >= least_similarity)
+    both, fewer = F.length("text") + F.length("o_text"), F.least(F.length("text"), F.length("o_text"))
+    pairs = pairs.where(2 * fewer >= least_similarity * both).withColumn("held", F.contains("text", "o_text") | F.contains("o_text", "text"))
+    # texts go to Python only where neither holds the other, when the shorter is all that they share
+    open_text = lambda c: F.when(~F.col("held"), F.col(c))
+    pairs = pairs.withColumn("similarity", F.when(F.col("held"), 2.0 * fewer / both).otherwise(similarity_from(least_similarity)(open_text("text"), open_text("o_text")))).where(F.col("similarity") >= least_similarity)
     pairs = pairs.select(*by, "t_ini", "track", "t_fin", "id", "o_t_ini", "o_track", "o_t_fin", "o_id", "similarity", (F.col("q") > F.col("o_q")).alias("first_better"))
     order = ["t_ini", "track", "t_fin", "id", "o_t_ini", "o_track", "o_t_fin", "o_id"]
     taken = matching(ranked(pairs, by, order).select(*by, "id", "o_id", "similarity", "first_better", "rank_no"), by, "id", "o_id", "rank_no")
