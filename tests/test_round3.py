@@ -117,3 +117,13 @@ def test_a_source_that_many_later_messages_repeat_in_part(spark):
     rows.append((1, 40, f"> {one}\nI agree.\n> {two}\nwith that too"))
     out = quotes.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))
     assert out.where("turn = 40").first()["parent_turn"] == 0
+
+
+def test_top_tokens_shuffle_texts_once(spark):
+    from tidemark.functions import text as tx
+
+    df = spark.createDataFrame([(1, "red red blue"), (1, "blue blue sky"), (2, None), (3, "the and")], "d int, x string")
+    out = tx.top_tokens(df, ["d"], "x", 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "blue red")]

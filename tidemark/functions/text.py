@@ -64,8 +64,9 @@ def bag(df: DataFrame, keys: list[str], text: str, stop_words: tuple[str, ...] =
 
 
 def top_tokens(df: DataFrame, keys: list[str], text: str, k: int, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """The k most frequent tokens of each document, ties by first appearance: (keys, title)."""
-    rows = df.select(*keys, F.posexplode(tokens(F.col(text))).alias("pos", "token")).where(~F.col("token").isin(*stop_words))
+    """The k most frequent tokens of each document, ties by first appearance: (keys, title). Texts are brought together by
+    their keys before they become tokens, so no token is shuffled."""
+    rows = df.select(*keys, text).repartition(*keys).select(*keys, F.posexplode(tokens(F.col(text))).alias("pos", "token")).where(~F.col("token").isin(*stop_words))
     n = rows.groupBy(*keys, "token").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "first")
     best = n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
