@@ -129,6 +129,46 @@ def test_top_tokens_shuffle_texts_once(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "blue red")]
 
 
+def brute_safety(c, hard, soft, reach):
+    held = lambda events: sum(a < c < b for a, b in events)
+    near = [min(abs(c - a), abs(c - b)) for a, b in hard if a <= c + reach and b >= c - reach and not a < c < b]
+    return held(hard), held(soft), min([reach, *near])
+
+
+@pytest.mark.parametrize("width", [None, 7])
+def test_safety_of_places_pairs_nothing(spark, monkeypatch, width):
+    """Also with events without length, in reverse, at the place itself, without a time or a timeline, and slices without an event."""
+    from tidemark.operators import planning as pl
+
+    rng, made = random.Random(5), []
+    spans = lambda n, least: [(a, a + rng.randrange(least, 25)) for a in (rng.randrange(200) for _ in range(n))]
+    hard, soft = {1: spans(12, 0), 2: spans(3, 0), 3: spans(6, -20)}, {1: spans(9, 0), 2: [], 3: spans(4, -20)}
+    table = lambda events, more: spark.createDataFrame([(m, *x) for m, xs in events.items() for x in xs] + more, "m int, t_ini long, t_fin long")
+    places = [(m, k, c) for m in (1, 2, 3, 4) for k, c in enumerate(range(-40, 260))]
+    candidates = spark.createDataFrame(places + [(None, 7, 50), (1, 900, None)], "m int, id int, c long")
+    join = pl.overlap_join
+    monkeypatch.setattr(pl, "overlap_join", lambda left, right, *a, **k: made.append(right.count()) or join(left, right, *a, **k))
+    out = pl.boundary_safety(candidates, table(hard, [(None, 40, 60), (1, None, 60), (1, 40, None)]), table(soft, [(None, 40, 60)]), M, "c", 6, width)
+    got = {(r["m"], r["id"]): (r["n_hard"], r["n_soft"], r["clearance"]) for r in out.collect()}
+    assert len(got) == len(places) + 2 and got[None, 7] == got[1, 900] == (0, 0, 6)
+    assert all(got[m, k] == brute_safety(c, hard.get(m, []), soft.get(m, []), 6) for m, k, c in places)
+    assert made == [sum(b < a for a, b in hard[3])] and made[0] > 0  # only the reversed ones are joined
+
+
+def test_snapping_sends_no_table_to_the_driver(spark, monkeypatch):
+    from tidemark.operators import planning as pl
+
+    plans, store = [], pl.stored
+    monkeypatch.setattr(pl, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df, name))
+    items = spark.createDataFrame([(1, "a", None, 100, 300), (1, "b", "a", 95, 200)], "m int, id string, parent string, t_ini long, t_fin long")
+    plan = spark.createDataFrame([(1, k, (k - 1) * 100, k * 100) for k in range(1, 4)], "m int, chunk_no int, t_ini long, t_fin long")
+    hard = spark.createDataFrame([(1, 98, 104), (1, 195, 206)], "m int, t_ini long, t_fin long")
+    out = [pl.snap_nested(items, hard, hard.limit(0), M, "id", "parent", 15, 1, 5, 50), pl.snap_plan(plan, hard, hard.limit(0), M, 20, 1, 10, 120, 50)]
+    assert [df.count() for df in out] == [2, 2]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in out]
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_replay_sends_no_table_to_the_driver_and_leaves_finished_documents(spark, monkeypatch):
     from tidemark.operators import history as hi
     from tidemark.operators import scan as sn

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import apart, stored
 
 from .intervals import Convention, islands, meets
 from .joins import overlap_join
@@ -317,6 +317,6 @@ def snapped_proposal(proposal: DataFrame, hard: DataFrame, soft: DataFrame, by:
     name = F.substring_index("__edge", "/", 1)
     first = done.where("endswith(__edge, '/a')").select(*by, name.alias("__id"), F.col("snapped").alias("s_ini"), F.col("n_hard").alias("h_ini"))
     last = done.where("endswith(__edge, '/b')").select(*by, name.alias("__id"), F.col("snapped").alias("s_fin"), F.col("n_hard").alias("h_fin"))
-    both = proposal.withColumn("__id", F.col(id_col).cast("string")).join(first, [*by, "__id"]).join(last, [*by, "__id"]).drop("__id")
+    both = proposal.withColumn("__id", F.col(id_col).cast("string")).join(apart(first), [*by, "__id"]).join(apart(last), [*by, "__id"]).drop("__id")
     notes = F.array_compact(F.array(F.when(F.col("s_fin") - F.col("s_ini") < F.lit(least), F.lit("too_short")), F.when(F.col("h_ini") + F.col("h_fin") > 0, F.lit("crosses")), F.when((F.col("s_ini") != F.col("t_ini")) | (F.col("s_fin") != F.col("t_fin")), F.lit("moved"))))
     return both.withColumn("warnings", F.array_join(notes, ",")).drop("h_ini", "h_fin")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import apart, stored
 from .intervals import Convention, complement, union
 from .joins import asof, overlap_join, stabbing_join
 from .scan import follow, numbered, running
@@ -23,6 +23,7 @@ def boundary_candidates(targets: DataFrame, hard: DataFrame, soft: DataFrame, by
         w = targets.select(*by, id_col, F.greatest("lower", F.least("upper", "target")).alias("target"), "lower", "upper")
     else:
         w = targets.select(*by, id_col, "target", (F.col("target") - F.lit(radius)).alias("lower"), (F.col("target") + F.lit(radius)).alias("upper"))
+    w = apart(w)
     ends = w.select("*", F.explode(F.array("target", "lower", "upper")).alias("c"))
     both = hard.select(*by, "t_ini", "t_fin").unionByName(soft.select(*by, "t_ini", "t_fin"))
     edges = both.select(*by, F.explode(F.array("t_ini", "t_fin")).alias("edge")).distinct().withColumn("edge2", F.col("edge"))
@@ -37,23 +38,58 @@ def boundary_candidates(targets: DataFrame, hard: DataFrame, soft: DataFrame, by
 
 def boundary_safety(candidates: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], c: str, reach, bin_width=None) -> DataFrame:
     """Adds hard and soft events that hold each candidate strictly, and the distance to the nearest
-    edge of a hard event that doesn't, at most ``reach``."""
-    points = candidates.select(*by, c).distinct()
-    h = hard.select(*by, F.col("t_ini").alias("h_ini"), F.col("t_fin").alias("h_fin"))
-    n_hard = stabbing_join(points, h, by, c, ("h_ini", "h_fin"), Convention.STAB, bin_width).groupBy(*by, c).agg(F.count("*").alias("n_hard"))
-    s = soft.select(*by, F.col("t_ini").alias("s_ini"), F.col("t_fin").alias("s_fin"))
-    n_soft = stabbing_join(points, s, by, c, ("s_ini", "s_fin"), Convention.STAB, bin_width).groupBy(*by, c).agg(F.count("*").alias("n_soft"))
-    around = points.withColumn("c_lo", F.col(c) - F.lit(reach)).withColumn("c_hi", F.col(c) + F.lit(reach))
-    near = overlap_join(around, h, by, ("c_lo", "c_hi"), ("h_ini", "h_fin"), Convention.CLOSED, bin_width).where(~((F.col("h_ini") < F.col(c)) & (F.col(c) < F.col("h_fin"))))
-    dist = near.groupBy(*by, c).agg(F.min(F.least(F.abs(F.col(c) - F.col("h_ini")), F.abs(F.col(c) - F.col("h_fin")))).alias("clearance"))
-    out = candidates.join(n_hard, [*by, c], "left").join(n_soft, [*by, c], "left").join(dist, [*by, c], "left")
-    return out.withColumn("n_hard", F.coalesce("n_hard", F.lit(0))).withColumn("n_soft", F.coalesce("n_soft", F.lit(0))).withColumn("clearance", F.least(F.coalesce("clearance", F.lit(reach)), F.lit(reach)))
+    edge of a hard event that doesn't, at most ``reach``.
+
+    Candidates and the edges of events are one line: the events that hold a place are those begun before it less those ended until
+    then, and the nearest that don't hold it are the last end until there and the first start from there on. So each row is shuffled once and
+    nothing is paired. ``bin_width``: slices of the line, with one row of totals each that is carried over."""
+    rows, counts = candidates.withColumns({"__c": F.col(c), "__side": F.lit(1)}), ("__hard", "__soft")
+    there = F.lit(True)
+    for k in by:
+        there = there & F.col(k).isNotNull()
+    edges = None
+    for events, own in ((hard, "__hard"), (soft, "__soft")):
+        # an event without length holds nothing, one that ends before it begins is no event of the line
+        step = F.when(F.col("t_fin") > F.col("t_ini"), 1).otherwise(0)
+        near = F.lit(own == "__hard")
+        end = F.struct(F.col("t_fin").alias("t"), F.lit(0).alias("side"), (-step).alias("n"), F.when(near, F.col("t_fin")).alias("last"), F.when(F.lit(False), F.col("t_ini")).alias("next"))
+        start = F.struct(F.col("t_ini").alias("t"), F.lit(2).alias("side"), step.alias("n"), F.when(F.lit(False), F.col("t_fin")).alias("last"), F.when(near, F.col("t_ini")).alias("next"))
+        x = events.where(there & (F.col("t_fin") >= F.col("t_ini"))).select(*by, F.explode(F.array(end, start)).alias("x"))
+        x = x.select(*by, F.col("x.t").alias("__c"), F.col("x.side").alias("__side"), F.col("x.n").alias(own), F.col("x.last").alias("__last"), F.col("x.next").alias("__next"))
+        edges = x if edges is None else edges.unionByName(x, allowMissingColumns=True)
+    both, keys = rows.unionByName(edges, allowMissingColumns=True), list(by)
+    if bin_width is not None:
+        keys, width = [*by, "__slice"], F.floor(F.col("__c") / F.lit(bin_width))
+        both = both.withColumn("__slice", width)
+        places = rows.select(*by, "__c").distinct().unionByName(edges, allowMissingColumns=True).withColumn("__slice", width)
+        totals = places.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in counts), F.max("__last").alias("__last"), F.min("__next").alias("__next"))
+    up = Window.partitionBy(*keys).orderBy("__c", "__side").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*keys).orderBy(F.desc("__c"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, -1)
+    found = {n: F.sum(n).over(up) for n in counts} | {"__last": F.last("__last", ignorenulls=True).over(up), "__next": F.last("__next", ignorenulls=True).over(down)}
+    out = both.select(*candidates.columns, "__c", "__side", *keys[len(by) :], *(x.alias(f"_{n}") for n, x in found.items())).where("__side = 1")
+    if bin_width is not None:
+        earlier = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        later = Window.partitionBy(*by).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+        carry = {n: F.sum(n).over(earlier) for n in counts} | {"__last": F.last("__last", ignorenulls=True).over(earlier), "__next": F.last("__next", ignorenulls=True).over(later)}
+        out = out.join(apart(totals.select(*keys, *(x.alias(f"c{n}") for n, x in carry.items()))), keys, "left")
+        out = out.withColumns({f"_{n}": F.coalesce(f"_{n}", F.lit(0)) + F.coalesce(f"c{n}", F.lit(0)) for n in counts} | {f"_{n}": F.coalesce(f"_{n}", f"c{n}") for n in ("__last", "__next")})
+    clearance = F.least(F.col(c) - F.col("___last"), F.col("___next") - F.col(c), F.lit(reach))
+    out = out.select(*candidates.columns, F.coalesce("___hard", F.lit(0)).alias("n_hard"), F.coalesce("___soft", F.lit(0)).alias("n_soft"), clearance.alias("clearance"))
+    odd = hard.where("t_fin < t_ini")
+    if odd.isEmpty():
+        return out
+    # events that end before they begin hold nothing, but count as near where both their edges are
+    around = candidates.select(*by, c).distinct().withColumn("c_lo", F.col(c) - F.lit(reach)).withColumn("c_hi", F.col(c) + F.lit(reach))
+    near = overlap_join(around, odd.select(*by, F.col("t_ini").alias("h_ini"), F.col("t_fin").alias("h_fin")), by, ("c_lo", "c_hi"), ("h_ini", "h_fin"), Convention.CLOSED, bin_width)
+    dist = near.groupBy(*by, c).agg(F.min(F.least(F.abs(F.col(c) - F.col("h_ini")), F.abs(F.col(c) - F.col("h_fin")))).alias("__odd"))
+    return out.join(dist, [*by, c], "left").withColumn("clearance", F.least("clearance", "__odd")).select(*out.columns)
 
 
 def snap(targets: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str], id_col: str, radius, eps, reach, bin_width=None) -> DataFrame:
     """The safest place near each target: fewest hard, then soft conflicts, then clearance up to
     ``reach``, then nearest, then earliest: (by, id, target, snapped, n_hard, n_soft)."""
-    scored = boundary_safety(boundary_candidates(targets, hard, soft, by, id_col, radius, eps, bin_width), hard, soft, by, "c", reach, bin_width)
+    places = boundary_candidates(targets, hard, soft, by, id_col, radius, eps, bin_width)
+    scored = boundary_safety(places if bin_width is None else stored(places, "snap"), hard, soft, by, "c", reach, bin_width)
     order = Window.partitionBy(*by, id_col).orderBy("n_hard", "n_soft", F.desc("clearance"), F.abs(F.col("c") - F.col("target")), "c")
     best = scored.withColumn("__r", F.row_number().over(order)).where("__r = 1")
     return best.select(*by, id_col, "target", F.col("c").alias("snapped"), "n_hard", "n_soft")
@@ -120,7 +156,7 @@ def snap_plan(plan: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str],
     def snapped(rows: DataFrame) -> DataFrame:
         some = rows.where("lower <= upper")
         best = snap(some.select(*by, "chunk_no", "target", "lower", "upper"), hard, soft, by, "chunk_no", radius, eps, reach, bin_width).drop("target")
-        return stored(rows.join(best, [*by, "chunk_no"], "left"), "snap")
+        return stored(rows.join(apart(best), [*by, "chunk_no"], "left"), "snap")
 
     done = snapped(line)
     while True:
@@ -131,9 +167,9 @@ def snap_plan(plan: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str],
         first = stored(moved.groupBy(*by).agg(F.min_by(F.struct("chunk_no", "low", "high"), "chunk_no").alias("x")).select(*by, "x.*"), "snap")
         if first.isEmpty():
             break
-        rows = line.drop("lower", "upper").join(first.withColumnsRenamed({"low": "lower", "high": "upper"}), [*by, "chunk_no"])
+        rows = line.drop("lower", "upper").join(apart(first.withColumnsRenamed({"low": "lower", "high": "upper"})), [*by, "chunk_no"])
         again = snapped(rows.select(*line.columns))
-        done = stored(done.join(first.select(*by, "chunk_no"), [*by, "chunk_no"], "left_anti").unionByName(again.select(*done.columns)), "snap")
+        done = stored(done.join(apart(first.select(*by, "chunk_no")), [*by, "chunk_no"], "left_anti").unionByName(again.select(*done.columns)), "snap")
     error = F.when(F.col("lower") > F.col("upper"), "no_room").when(F.col("n_hard") > 0, "crosses")
     return done.select(*by, "chunk_no", "target", F.coalesce("snapped", "target").alias("snapped"), "n_hard", "n_soft", error.alias("error"))
 
@@ -144,23 +180,23 @@ def snap_nested(items: DataFrame, hard: DataFrame, soft: DataFrame, by: list[str
     from .documents import depth
 
     level = stored(depth(items.select(*by, id_col, parent), by, id_col, parent).select(*by, id_col, "depth").where("depth IS NOT NULL").distinct(), "nested")
-    rows = stored(items.join(level, [*by, id_col]), "nested")
+    rows = stored(items.join(apart(level), [*by, id_col]), "nested")
     out = None
     for k in range((level.agg(F.max("depth")).first()[0] or 0) + 1):
         own = rows.where(F.col("depth") == k)
         if out is None:
             own = own.withColumns({"p_ini": F.lit(None).cast("long"), "p_fin": F.lit(None).cast("long")})
         else:
-            own = own.join(out.select(*by, F.col(id_col).alias(parent), F.col("s_ini").alias("p_ini"), F.col("s_fin").alias("p_fin")), [*by, parent])
+            own = own.join(apart(out.select(*by, F.col(id_col).alias(parent), F.col("s_ini").alias("p_ini"), F.col("s_fin").alias("p_fin"))), [*by, parent])
         ends = own.select(*by, id_col, "p_ini", "p_fin", F.explode(F.array(F.struct(F.lit("a").alias("e"), F.col("t_ini").alias("t")), F.struct(F.lit("b").alias("e"), F.col("t_fin").alias("t")))).alias("x"))
         inside = lambda x: F.greatest(F.coalesce("p_ini", x), F.least(F.coalesce("p_fin", x), x))
         t = F.col("x.t").cast("long")
         edge = F.to_json(F.struct(F.col(id_col).alias("id"), "x.e"))
         targets = ends.select(*by, id_col, F.col("x.e").alias("e"), edge.alias("__edge"), inside(t).alias("target"), inside(t - F.lit(radius)).alias("lower"), inside(t + F.lit(radius)).alias("upper"))
         targets = stored(targets, "nested")
-        best = targets.select(*by, id_col, "e", "__edge").join(snap(targets, hard, soft, by, "__edge", radius, eps, reach, bin_width), [*by, "__edge"])
+        best = targets.select(*by, id_col, "e", "__edge").join(apart(snap(targets, hard, soft, by, "__edge", radius, eps, reach, bin_width)), [*by, "__edge"])
         both = best.groupBy(*by, id_col).agg(F.max(F.when(F.col("e") == "a", F.col("snapped"))).alias("s_ini"), F.max(F.when(F.col("e") == "b", F.col("snapped"))).alias("s_fin"), (F.max("n_hard") > 0).alias("crosses"))
-        done = stored(own.join(both, [*by, id_col]).select(*items.columns, "s_ini", "s_fin", "crosses"), "nested")
+        done = stored(own.join(apart(both), [*by, id_col]).select(*items.columns, "s_ini", "s_fin", "crosses"), "nested")
         out = done if out is None else out.unionByName(done)
     return out
 
