@@ -196,3 +196,29 @@ def test_replay_sends_no_table_to_the_driver_and_leaves_finished_documents(spark
     assert all(got[m, s] == ("applied", s, s) for m in range(20) for s in range(1, 6))
     assert sizes == [105, 4, 3]  # the second and third round look at the one document that isn't done
     assert not any("Broadcast" in p for p in plans)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flatten_looks_for_the_clips_over_a_point(spark):
+    from tidemark.operators import intervals as iv
+
+    rng = random.Random(2)
+    rows = [(m, k, rng.randrange(4), a, a + rng.randrange(1, 60), 1000 * k) for m in (1, 2) for k, a in enumerate(rng.randrange(150) for _ in range(25))] + [(3, 1, 1, 0, 90, 5), (3, 2, 2, 90, 90, 5)]
+    clips = spark.createDataFrame(rows, "m int, clip_id int, rank int, seq_ini long, seq_fin long, source_ini long")
+    out = iv.flatten(clips, M, "rank", gaps=True, bin_width=10)
+    assert "Union" not in plan_of(out)  # pieces are no intervals that clips would look for in turn
+    got = {}
+    for r in out.collect():
+        got.update({(r["m"], t): (r["clip_id"], r["source_ini"] + t - r["seq_ini"]) for t in range(r["seq_ini"], r["seq_fin"])})
+    want = {}
+    for m in (1, 2, 3):
+        for t in range(250):
+            over = [(-rank, k, s + t - a) for n, k, rank, a, b, s in rows if n == m and a <= t < b]
+            want.update({(m, t): min(over)[1:]} if over else {})
+    assert got == want
+    edges = iv.elementary(spark.createDataFrame([(1, 5, 9), (1, 5, 9), (1, None, 7), (1, None, 9), (2, 3, 3)], "m int, t_ini long, t_fin long"), M)
+    assert plan_of(edges).count("Exchange hashpartitioning") == 1
+    assert sorted((tuple(r) for r in edges.collect()), key=str) == [(1, 5, 7), (1, 7, 9), (1, None, 5)]

@@ -110,9 +110,10 @@ def covered(merged: DataFrame, by: list[str], bounds: DataFrame) -> DataFrame:
 
 def elementary(df: DataFrame, by: list[str], start: str = "t_ini", end: str = "t_fin") -> DataFrame:
     """The pieces between neighbouring distinct edges of a timeline: (by, a, b)."""
-    edges = df.select(*by, F.explode(F.array(start, end)).alias("a")).distinct()
+    edges = df.select(*by, F.explode(F.array(start, end)).alias("a"))
     w = Window.partitionBy(*by).orderBy("a")
-    return edges.withColumn("b", F.lead("a").over(w)).where("b is not null")
+    # of equal edges only the last has another one behind it
+    return edges.withColumn("b", F.lead("a").over(w)).where("b is not null and (a is null or b > a)")
 
 
 def flatten(clips: DataFrame, by: list[str], rank: str, clip: str = "clip_id", gaps: bool = False, bin_width=None) -> DataFrame:
@@ -123,7 +124,9 @@ def flatten(clips: DataFrame, by: list[str], rank: str, clip: str = "clip_id", g
 
     clips = clips.where("seq_fin > seq_ini")
     pieces = elementary(clips, by, "seq_ini", "seq_fin")
-    over = overlap_join(pieces, clips, by, ("a", "b"), ("seq_ini", "seq_fin"), bin_width=bin_width)
+    # no clip begins or ends inside a piece, so those over it are those over its left edge, which lies in one cell of a level
+    clips = clips.select(*by, clip, rank, "seq_ini", "seq_fin", "source_ini")
+    over = overlap_join(pieces, clips, by, ("a", "a"), ("seq_ini", "seq_fin"), Convention.CLOSED, bin_width).where("seq_fin > a")
     first = Window.partitionBy(*by, "a").orderBy(F.desc(rank), clip)
     top = over.withColumn("__r", F.row_number().over(first)).where("__r = 1")
     top = top.select(*by, clip, "a", "b", (F.col("source_ini") + F.col("a") - F.col("seq_ini")).alias("s"))
