@@ -222,3 +222,28 @@ def test_flatten_looks_for_the_clips_over_a_point(spark):
     edges = iv.elementary(spark.createDataFrame([(1, 5, 9), (1, 5, 9), (1, None, 7), (1, None, 9), (2, 3, 3)], "m int, t_ini long, t_fin long"), M)
     assert plan_of(edges).count("Exchange hashpartitioning") == 1
     assert sorted((tuple(r) for r in edges.collect()), key=str) == [(1, 5, 7), (1, 7, 9), (1, None, 5)]
+
+
+@pytest.mark.parametrize("shared", [None, "s"])
+def test_quotas_send_no_table_to_the_driver(spark, monkeypatch, shared):
+    from tidemark.operators import greedy as gr
+    from tidemark.operators import planning as pl
+
+    plans, store = [], pl.stored
+    for module in (pl, gr):
+        monkeypatch.setattr(module, "stored", lambda df, name: plans.append(plan_of(df)) or store(df, name))
+    rng = random.Random(4)
+    rows = [(1, f"i{k:02}", "ab"[k % 2], t, t + 5, k / 40, [f"p{k % 9}"]) for k, t in enumerate(rng.sample(range(600), 40))]
+    pool = spark.createDataFrame(rows, "m int, id string, lane string, t_ini long, t_fin long, rank double, s array<string>")
+    out = pl.quota_select(pool, M, "lane", "rank", ["a", "b"], {"a": 4}, 20, shared=shared, bin_width=50)
+    got = {r["id"]: r["accepted"] for r in out.collect()}
+    taken = []
+    for lane, most in (("a", 4), ("b", 99)):
+        for r in sorted((r for r in rows if r[2] == lane), key=lambda r: (-r[5], r[3], r[1])):
+            clash = any(r[3] - 20 < x[4] and r[4] + 20 > x[3] or shared and r[6] == x[6] for x in taken)
+            if not clash and sum(x[2] == lane for x in taken) < most:
+                taken.append(r)
+    assert len(got) == 40 and {k for k, v in got.items() if v} == {r[1] for r in taken}
+    assert plans and not any("Broadcast" in p for p in [*plans, plan_of(out)])
+    if shared is None:
+        assert not any("Generate explode(shared" in p for p in plans)

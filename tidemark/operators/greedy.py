@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import apart, stored
 
 
 def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank_no") -> DataFrame:
@@ -28,10 +28,10 @@ def refused(clashes: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     edges = clashes.where(F.col(a) != F.col(b)).select(*by, F.least(a, b).alias("better"), F.greatest(a, b).alias("worse")).distinct()
     edges, out = stored(edges, "greedy"), None
     while not edges.isEmpty():
-        taken = edges.select(*by, "better").distinct().join(edges.select(*by, F.col("worse").alias("better")).distinct(), [*by, "better"], "left_anti")
-        lost = stored(edges.join(taken, [*by, "better"]).select(*by, "worse").distinct(), "greedy")
+        taken = edges.select(*by, "better").distinct().join(apart(edges.select(*by, F.col("worse").alias("better")).distinct()), [*by, "better"], "left_anti")
+        lost = stored(edges.join(apart(taken), [*by, "better"]).select(*by, "worse").distinct(), "greedy")
         out = lost if out is None else out.unionByName(lost)
-        edges = edges.join(lost, [*by, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [*by, "better"], "left_anti")
+        edges = edges.join(apart(lost), [*by, "worse"], "left_anti").join(apart(lost.withColumnRenamed("worse", "better")), [*by, "better"], "left_anti")
         edges = stored(edges, "greedy")
     return (edges.select(*by, "worse") if out is None else out).withColumnRenamed("worse", "rank_no")
 

@@ -38,7 +38,8 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], l_cols: tuple
         hits = overlap_join(left.select(*keys).distinct(), right.select(*by, rs, re), by, l_cols, r_cols, convention, bin_width).select(*keys).distinct()
         return left.join(hits, keys, how)
     l, r = left.withColumn("__level", _level(ls, le, bin_width)), right.withColumn("__level", _level(rs, re, bin_width))
-    seen = [sorted(x for x in (df.agg(F.collect_set("__level")).first()[0]) if x is not None) for df in (l, r)]  # a few numbers
+    held = l.select(F.lit(0).alias("side"), "__level").unionByName(r.select(F.lit(1).alias("side"), "__level")).where("__level IS NOT NULL").distinct().collect()  # a few numbers
+    seen = [sorted(x["__level"] for x in held if x["side"] == k) for k in (0, 1)]
     l_own, r_own = _own(l, "l", ls, le, bin_width), _own(r, "r", rs, re, bin_width)
     out = None
     # the longer interval lies in one or two cells of its level, the shorter one looks there

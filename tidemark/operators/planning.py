@@ -268,14 +268,18 @@ def activity_chunks(samples: DataFrame, by: list[str], pos: str, value: str, bud
     return out.select(*(F.col(k).alias(c) for c, k in zip(names, by, strict=True)), "chunk_no", "first", "last", "activity")
 
 
-def clashes(rows: DataFrame, others: DataFrame, by: list[str], spacing, bin_width=None) -> DataFrame:
-    """(by, a, b): ranks of rows and of others that lie less than ``spacing`` apart or share an entry of ``shared``."""
+def clashes(rows: DataFrame, others: DataFrame, by: list[str], spacing, bin_width=None, shared: bool = True) -> DataFrame:
+    """(by, a, b): ranks of rows and of others that lie less than ``spacing`` apart or (if ``shared``) share an entry of ``shared``;
+    a pair may come more than once."""
+    rows = apart(rows)
     left = rows.select(*by, F.col("rank_no").alias("a"), (F.col("t_ini") - F.lit(spacing)).alias("l_ini"), (F.col("t_fin") + F.lit(spacing)).alias("l_fin"))
     right = others.select(*by, F.col("rank_no").alias("b"), F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin"))
-    near = overlap_join(left, right, by, ("l_ini", "l_fin"), convention=Convention.OPEN, bin_width=bin_width).select(*by, "a", "b")
+    near = overlap_join(left, right, by, ("l_ini", "l_fin"), convention=Convention.OPEN, bin_width=bin_width).select(*by, "a", "b").where("a <> b")
+    if not shared:
+        return near
     mine = rows.select(*by, F.col("rank_no").alias("a"), F.explode("shared").alias("x"))
     theirs = others.select(*by, F.col("rank_no").alias("b"), F.explode("shared").alias("x"))
-    return near.unionByName(mine.join(theirs, [*by, "x"]).select(*by, "a", "b")).where("a <> b").distinct()
+    return near.unionByName(mine.join(theirs, [*by, "x"]).select(*by, "a", "b").where("a <> b"))
 
 
 def quota_select(pool: DataFrame, by: list[str], lane: str, rank: str, lane_order: list[str], quotas: dict[str, int], spacing, always: str | None = None, shared: str | None = None, scale: DataFrame | None = None, bin_width=None) -> DataFrame:
@@ -298,20 +302,20 @@ def quota_select(pool: DataFrame, by: list[str], lane: str, rank: str, lane_orde
     full = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, q in quotas.items() for x in (n, q)]), F.col("lane")), F.lit(99)) if quotas else F.lit(99)
     rows = ranked(rows, by, ["lane_no", F.desc("rank"), "t_ini", "id"]).withColumn("quota", F.when(F.col("lane_no") < len(lane_order), full).otherwise(2**31 - 1))
     if scale is not None:
-        rows = rows.join(scale.select(*by, "scale"), by, "left").withColumn("quota", F.greatest(F.lit(1), F.rint(F.col("quota") * F.coalesce("scale", F.lit(1.0))).cast("int"))).drop("scale")
+        rows = rows.join(apart(scale.select(*by, "scale")), by, "left").withColumn("quota", F.greatest(F.lit(1), F.rint(F.col("quota") * F.coalesce("scale", F.lit(1.0))).cast("int"))).drop("scale")
     rows = stored(rows, "quota")
     taken = rows.where("always")
     for k in [r["lane_no"] for r in rows.where("NOT always").select("lane_no").distinct().orderBy("lane_no").collect()]:  # the lanes named, and one more
         own = rows.where((F.col("lane_no") == k) & ~F.col("always"))
-        blocked = clashes(own, taken, by, spacing, bin_width).select(*by, F.col("a").alias("rank_no")).distinct()
-        free = stored(own.join(blocked, [*by, "rank_no"], "left_anti"), "quota")
-        left = free.join(refused(clashes(free, free, by, spacing, bin_width), by, "a", "b"), [*by, "rank_no"], "left_anti")
+        blocked = clashes(own, taken, by, spacing, bin_width, shared is not None).select(*by, F.col("a").alias("rank_no")).distinct()
+        free = stored(own.join(apart(blocked), [*by, "rank_no"], "left_anti"), "quota")
+        left = free.join(apart(refused(clashes(free, free, by, spacing, bin_width, shared is not None), by, "a", "b")), [*by, "rank_no"], "left_anti")
         first = left.withColumn("place", F.row_number().over(Window.partitionBy(*by, "lane").orderBy("rank_no"))).where("place <= quota").drop("place")
         taken = stored(taken.unionByName(first.select(*taken.columns)), "quota")
     # refused rows: near an accepted one that came before them, or else over the quota
-    refusals = rows.join(taken.select(*by, "rank_no"), [*by, "rank_no"], "left_anti")
-    near = clashes(refusals, taken, by, spacing, bin_width).where("b < a").select(*by, F.col("a").alias("rank_no")).distinct().withColumn("why", F.lit("duplicate"))
-    refusals = refusals.join(near, [*by, "rank_no"], "left").withColumn("why", F.coalesce("why", F.lit("quota"))).withColumn("accepted", F.lit(False))
+    refusals = rows.join(apart(taken.select(*by, "rank_no")), [*by, "rank_no"], "left_anti")
+    near = clashes(refusals, taken, by, spacing, bin_width, shared is not None).where("b < a").select(*by, F.col("a").alias("rank_no")).distinct().withColumn("why", F.lit("duplicate"))
+    refusals = refusals.join(apart(near), [*by, "rank_no"], "left").withColumn("why", F.coalesce("why", F.lit("quota"))).withColumn("accepted", F.lit(False))
     out = taken.withColumn("why", F.lit(None).cast("string")).withColumn("accepted", F.lit(True)).unionByName(refusals, allowMissingColumns=True)
     return out.select(*by, "id", "lane", "t_ini", "t_fin", "rank", "accepted", "why")
 

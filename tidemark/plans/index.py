@@ -10,7 +10,7 @@ from ..operators.intervals import Convention
 from ..operators.joins import overlap_join
 from ..operators.planning import quota_select
 from ..operators.sequence import sessions
-from ..sources.scratch import stored
+from ..sources.scratch import apart, stored
 
 #: The lane of moments in which peaks of several modalities meet.
 MULTIMODAL = "multimodal"
@@ -58,9 +58,9 @@ def signal_index(
     rows = nuclei(pool, by, near).withColumn("always", F.lit(False)).unionByName(one(pool, F.col("modality"), False)).unionByName(one(orders, F.col("modality"), True))
     rows = stored(rows, "index")
     wide = rows.select(*by, "id", "always", (F.col("t_ini") - F.lit(margin)).alias("l_ini"), (F.col("t_fin") + F.lit(margin)).alias("l_fin"))
-    touched = overlap_join(wide, phrases.select(*by, F.col("id").cast("string").alias("phrase"), F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin")), by, ("l_ini", "l_fin"), convention=Convention.OPEN, bin_width=bin_width)
+    touched = overlap_join(apart(wide), phrases.select(*by, F.col("id").cast("string").alias("phrase"), F.col("t_ini").alias("r_ini"), F.col("t_fin").alias("r_fin")), by, ("l_ini", "l_fin"), convention=Convention.OPEN, bin_width=bin_width)
     touched = touched.groupBy(*by, "id", "always").agg(F.array_sort(F.collect_set("phrase")).alias("phrases"))
-    rows = rows.join(touched, [*by, "id", "always"], "left").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+    rows = rows.join(apart(touched), [*by, "id", "always"], "left").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
     rows = stored(rows, "index")
     scale = lengths.select(*by, F.greatest(F.col("length") / F.lit(per), F.lit(0.5)).alias("scale"))
     chosen = stored(quota_select(rows, by, "lane", "rank", [MULTIMODAL, *lanes], quotas, spacing, "always", "phrases", scale, bin_width), "index")
