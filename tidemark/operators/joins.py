@@ -10,9 +10,10 @@ aggregation of the lengths. Without ``bin_width`` the timelines' columns ``by``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import same_identity
 from ..sources.scratch import apart, stored
 from .intervals import Convention, meets, overlap_length
 
@@ -192,3 +193,37 @@ def rectangle_overlap(a: tuple[str, str, str, str], b: tuple[str, str, str, str]
     bx, by_, bw, bh = map(F.col, b)
     x0, y0, x1, y1 = F.greatest(ax, bx), F.greatest(ay, by_), F.least(ax + aw, bx + bw), F.least(ay + ah, by_ + bh)
     return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
+
+
+#: Pairs of a cell of ``keyed_pairs``, right rows of one, and the most tasks that make pairs.
+CELL, BLOCK, TASKS = 1 << 23, 512, 10_000
+
+
+def keyed_pairs(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], size: int | None = None, block: int | None = None) -> DataFrame:
+    """All pairs of rows of one identity (null is null's), for keys with so many rows on both sides that there are far more pairs
+    than rows. Spark deals tasks by what they read, so a few tasks would make all pairs; here a key's pairs are cells of about ``size``,
+    slices of its left rows by blocks of about ``block`` right rows (equal rows share one). A left row is copied for each block, a right row for
+    each slice, so there is about one copy for ``block`` pairs. The pairs of a left row in a cell come one after the other, with the right rows
+    in the order of the row before, so a pair takes a fraction of a byte in a Parquet file. Column names must differ."""
+    size, block = size or CELL, block or BLOCK
+
+    def key(df: DataFrame, names: list[str]) -> Column:
+        # in structs null is equal to null; the cast makes them one type, whether a column can be null or not
+        fields = {f"k{i}": (F.col(c), dict(df.dtypes)[c]) for i, c in enumerate(names)} | {p: (F.col(f"__{p}"), "int") for p in ("slice", "block")}
+        return F.struct(*(c.alias(p) for p, (c, _) in fields.items())).cast(f"struct<{','.join(f'{p}:{kind}' for p, (_, kind) in fields.items())}>")
+
+    def place(df: DataFrame, on: list[str], own: str, other: str) -> DataFrame:
+        """One place among its own kind, copies for all of the other."""
+        held = cells.select(*(F.col(c).alias(f"__{c}") for c in on), F.col("slice").alias("__slices"), F.col("block").alias("__blocks"))
+        met = df.join(held, same_identity(on, [f"__{c}" for c in on]))
+        met = met.withColumn(f"__{own}", F.pmod(F.xxhash64(*df.columns), F.col(f"__{own}s")).cast("int"))
+        met = met.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), F.col(f"__{other}s") - 1)))
+        return met.select(*df.columns, key(df, on).alias(f"__{own}")).repartition(tasks, f"__{own}")
+
+    l_rows, r_rows = left.groupBy(*left_on).agg(F.count("*").alias("__l")), right.groupBy(*right_on).agg(F.count("*").alias("__r"))
+    parts = [(F.floor(F.col(c) / n) + 1).cast("int").alias(name) for c, n, name in (("__l", max(1, size // block), "slice"), ("__r", block, "block"))]
+    cells = stored(l_rows.join(r_rows, same_identity(left_on, right_on)).select(*left_on, *right_on, (F.col("__l") * F.col("__r")).alias("n"), *parts), "cells")
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = min(total // (2 * size) + 1, TASKS)
+    l, r = place(left, left_on, "slice", "block"), place(right, right_on, "block", "slice")
+    return l.join(apart(r), F.col("__slice") == F.col("__block")).select(*left.columns, *right.columns)
